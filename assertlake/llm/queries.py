@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assertlake.llm import cost_pack, fm_decontaminate, rule_filter, tree_shard, url_rules
+from assertlake.llm import cost_pack, fm_decontaminate, rule_filter, signature_join, tree_shard, url_rules
 from assertlake.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_pack.packed(table(spark, sf_dir, "documents"))
 
 
+def op7_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"))
 
@@ -28,11 +32,12 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_hash_tree_sharding, op6_cost_balanced_packing, op9_url_rules, op10_fm_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_hash_tree_sharding, op6_cost_balanced_packing, op7_signature_tree_join, op9_url_rules, op10_fm_decontamination)}
 
 ORACLE_SQL = {
     "op4_quality_rules": rule_filter.oracle(),
     "op5_hash_tree_sharding": tree_shard.oracle(),
+    "op7_signature_tree_join": signature_join.oracle(),
     "op9_url_rules": url_rules.oracle(),
     "op10_fm_decontamination": fm_decontaminate.oracle(),
 }
