@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assertlake.llm import cost_pack, fm_decontaminate, mil_quality, rule_filter, signature_join, sparse_suffix, tree_shard, url_rules
+from assertlake.llm import cost_pack, fm_decontaminate, mil_quality, rule_filter, signature_join, sparse_suffix, tree_shard, url_rules, wrapper_induction
 from assertlake.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_join.joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_induction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"))
 
@@ -40,7 +44,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sparse_suffix_dedup, op3_mil_quality, op4_quality_rules, op5_hash_tree_sharding, op6_cost_balanced_packing, op7_signature_tree_join, op9_url_rules, op10_fm_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sparse_suffix_dedup, op3_mil_quality, op4_quality_rules, op5_hash_tree_sharding, op6_cost_balanced_packing, op7_signature_tree_join, op8_wrapper_extraction, op9_url_rules, op10_fm_decontamination)}
 
 ORACLE_SQL = {
     "op4_quality_rules": rule_filter.oracle(),
