@@ -8,14 +8,15 @@ There are just as many sequences as the tokens need; a remainder that fits nowhe
 sequences with most room. So a pool pads less than one sequence. A sequence is as long as what it holds
 where that is a power of two, else it is padded to SEQUENCE.
 
-A text is tokenised word by word between blanks and newlines, which the tokeniser splits at anyway, with a bounded
-cache of words. sequence_id = partition number * 2**32 + number there.
+A text is tokenised word by word between blanks and newlines, which the tokeniser splits at anyway; a worker keeps the ids
+of up to CACHED_WORDS words. sequence_id = partition number * 2**32 + number there.
 
 Null text: empty; its one id is the end id. Repeated rows or ids: each row is a document. Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,12 +25,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from assertlake.llm.common import ranges
+from assertlake.llm.common import Words, ranges, slices
 
 SEQUENCE = 2048
 END_ID = 1
 POOL_TOKENS = 1 << 21
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_500_000
+#: A special token of the tokeniser; it ends a word in a run.
+MARK = "<|endoftext|>"
+NOT_BLANK = np.ones(256, bool)
+NOT_BLANK[[10, 32]] = False
 #: Cost of a piece of n tokens: n + QUADRATIC * n * n; at SEQUENCE attention costs as much as the rest.
 QUADRATIC = 1 / SEQUENCE
 
@@ -43,39 +48,86 @@ def tokenizer_path() -> str:
 
 
 class WordTokenizer:
-    """ids(texts): the tokeniser's ids of each text, end to end, and how many there are of each."""
+    """ids(bytes, offsets): the tokeniser's ids of each text, end to end, and how many there are of each.
+
+    Known words are kept by a 64-bit hash: a large sorted table and a small one of new words, merged now and then.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.mark = self.encoder.token_to_id(MARK)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.first, self.count, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def learn(self, new: list[str]) -> None:
-        found = [e.ids for i in range(0, len(new), 50_000) for e in self.encoder.encode_batch_fast(new[i : i + 50_000], add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        self.known.update(zip(new, range(len(self.count), len(self.count) + len(new))))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(n) - n])
-        self.count = np.concatenate([self.count, n])
-        self.flat = np.concatenate([self.flat, np.fromiter((y for x in found for y in x), np.uint32, int(n.sum()))])
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        if len(self.known) + len(new) > CACHED_WORDS or len(self.flat) > 8 * CACHED_WORDS:
+        none = np.zeros(0, np.int64)
+        self.tables = [(none.astype(np.uint64), none, none), (none.astype(np.uint64), none, none)]
+        self.flat = np.zeros(0, np.uint32)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, end to end, and their counts: words go in runs, with a special token after each."""
+        odd = [i for i, w in enumerate(words) if MARK[:2] in w]
+        plain = [w if MARK[:2] not in w else "" for w in words]
+        runs = [MARK.join(plain[i : i + 2000]) + MARK for i in range(0, len(plain), 2000)]
+        found = [np.array(e.ids, np.uint32) for i in range(0, len(runs), 8) for e in self.encoder.encode_batch_fast(runs[i : i + 8], add_special_tokens=False)]
+        ids = np.concatenate(found)
+        marks = np.flatnonzero(ids == self.mark)
+        count = np.diff(np.concatenate([[-1], marks])) - 1
+        ids = np.delete(ids, marks)
+        if odd:
+            at = np.concatenate([[0], np.cumsum(count)])
+            own = [ids[at[i] : at[i + 1]] for i in range(len(words))]
+            for i in odd:
+                own[i] = np.array(self.encoder.encode(words[i], add_special_tokens=False).ids, np.uint32)
+            ids, count = np.concatenate(own), np.array([len(x) for x in own])
+        return ids, count
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of words start, -1 for new ones, and how many they are."""
+        first, count = np.full(len(h), -1), np.zeros(len(h), np.int64)
+        for hashes, starts, counts in self.tables:
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                same = hashes[at] == h
+                first[same], count[same] = starts[at[same]], counts[at[same]]
+        return first, count
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = Words(data, offsets, NOT_BLANK)
+        h, where, at = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.tables[0][0]) + len(self.tables[1][0]) + len(h) > CACHED_WORDS or len(self.flat) > 8 * CACHED_WORDS:
             self.clear()
-            new = list({w for ws in split for w in ws if w})
-        if new:
-            self.learn(new)
-        sizes = [len(ws) for ws in split]
-        at = np.fromiter((self.known[w] for ws in split for w in ws), np.int64, sum(sizes))
-        n = self.count[at]
+        first, count = self.find(h)
+        new = np.flatnonzero(first < 0)
+        if len(new):
+            raw = data.tobytes()
+            found, n = self.encode([raw[a:b].decode() for a, b in zip(words.start[where[new]].tolist(), words.end[where[new]].tolist())])
+            first[new], count[new] = len(self.flat) + np.cumsum(n) - n, n
+            self.flat = np.concatenate([self.flat, found])
+            self.tables[1] = self.merged(self.tables[1], (h[new], first[new], n))
+            if 4 * len(self.tables[1][0]) > len(self.tables[0][0]):
+                self.tables = [self.merged(*self.tables), tuple(x[:0] for x in self.tables[1])]
+        n = count[at]
         total = np.concatenate([[0], np.cumsum(n)])
-        return self.flat[ranges(self.first[at], n)], np.diff(total[np.concatenate([[0], np.cumsum(sizes)])])
+        return self.flat[ranges(first[at], n)], np.diff(total[words.first])
+
+    @staticmethod
+    def merged(*tables: tuple) -> tuple:
+        columns = [np.concatenate(x) for x in zip(*tables)]
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(x[order] for x in columns)
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, with the words that it knows."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def pack(length: np.ndarray, sequence: int = SEQUENCE, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -131,16 +183,14 @@ def _packer(path: str, sequence: int, end_id: int, pool_tokens: int):
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], [x.split()[0] for x in PIECES.split(", ")]), first + n_sequences
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(path)
+        words = tokenizer(path)
         at = TaskContext.get().partitionId() << 32
         doc_ids, ids, length, tokens = [], [], [], 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                flat, n = words.ids([t or "" for t in part.column("text").to_pylist()])
-                ends = np.cumsum(n)
-                doc_ids.append(part.column("doc_id"))
-                ids.append(np.insert(flat, ends, np.uint32(end_id)))
+            for i, j, data, offsets in slices(batch.column("text")):
+                flat, n = words.ids(data, offsets)
+                doc_ids.append(batch.column("doc_id").slice(i, j - i))
+                ids.append(np.insert(flat, np.cumsum(n), np.uint32(end_id)))
                 length.append(n + 1)
                 tokens += len(ids[-1])
                 if tokens >= pool_tokens:
