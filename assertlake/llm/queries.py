@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assertlake.llm import cost_pack, fm_decontaminate, mil_quality, rule_filter, signature_join, sparse_suffix, tree_shard, url_rules, wrapper_induction
+from assertlake.llm import cost_pack, fm_decontaminate, katz_lm, mil_quality, rule_filter, signature_join, sparse_suffix, tree_shard, url_rules, wrapper_induction
 from assertlake.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_suffix.reported(table(spark, sf_dir, "documents"))
 
 
+def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op3_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sparse_suffix_dedup, op3_mil_quality, op4_quality_rules, op5_hash_tree_sharding, op6_cost_balanced_packing, op7_signature_tree_join, op8_wrapper_extraction, op9_url_rules, op10_fm_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sparse_suffix_dedup, op2_katz_scores, op3_mil_quality, op4_quality_rules, op5_hash_tree_sharding, op6_cost_balanced_packing, op7_signature_tree_join, op8_wrapper_extraction, op9_url_rules, op10_fm_decontamination)}
 
 ORACLE_SQL = {
     "op4_quality_rules": rule_filter.oracle(),
