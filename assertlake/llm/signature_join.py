@@ -6,11 +6,12 @@ when 100 * |A & B| >= 80 * |A | B|. The way there loses no link:
 1. Order. Each shingle gets a level by the frequency of its rarest word (words with at least WORD_SHARE of all words are counted; there are at
    most 1 / WORD_SHARE of them, so their table has a bound). Sets are sorted by (level, hash), the rarest first.
 2. Prefixes. Two sets that reach the threshold share one of their first n - ceil(0.8 n) + 1 shingles. These go, in blocks for each range of
-   hashes, to tasks that tie the classes which share one: a forest of ties, not pairs. Ties make candidate components.
-3. Trees. A candidate component's sets meet in one task (in pairs of bounded chunks, if it has over CHUNK classes), which builds a
-   signature tree: nodes hold the OR of token bitmaps and a range of sizes. A dual traversal drops node pairs whose greatest possible
-   overlap or sizes can't reach the threshold, and those whose classes are all linked already; leaves compare sets exactly.
-4. The links' components, over classes, give each document its component.
+   hashes, to tasks that find the groups of classes which share one; equal groups count once.
+3. Trees. A group's token bitmaps meet in one task (in pairs of bounded chunks, if it has over CHUNK classes), which builds a
+   signature tree: nodes hold the OR of bitmaps and a range of sizes. A dual traversal drops node pairs whose greatest possible
+   overlap or sizes can't reach the threshold, and those that are tied already; what is left is tied: a forest of ties, not pairs.
+4. Components of ties hold all links. Their sets meet in one task, in the same way, where the leaves compare sets exactly.
+5. The links' components, over classes, give each document its component.
 
 Sets are of 59-bit hashes and 5 bits of level; classes are 64-bit hashes of sets.
 
@@ -27,8 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from assertlake.llm.common import LOWER, SPACED, Words, mix, ngram_hashes, parts, saved, slices
-from assertlake.llm.graph import components, forest, local_roots
+from assertlake.llm.common import LOWER, SPACED, Words, mix, ngram_hashes, parts, ranges, saved, slices
+from assertlake.llm.graph import components, forest
 
 SHINGLE = 5
 WORD_SHARE = 2e-6
@@ -59,7 +60,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh.append(h)
             n_fresh += len(h)
             total += len(h)
-            if n_fresh > 4_000_000:
+            if n_fresh > 1_000_000:
                 fold()
     fold()
     on = counts >= max(2, WORD_SHARE / 4 * total)
@@ -108,7 +109,18 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63)
 
 
-ROWS = "doc_id long, n_shingles long, class long, part int, tokens binary, classes binary"
+ROWS = "doc_id long, n_shingles long, class long, bitmap binary, part int, tokens binary, classes binary"
+
+
+def bits_of(n: int) -> int:
+    """The size of a bitmap for n shingles; half as large a set has half as large a bitmap."""
+    return min(1 << max(8, (2 * n - 1).bit_length()), 1 << 16)
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    full = np.zeros(bits, bool)
+    full[(mix(s) % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(full)
 
 
 def _prefixes(n_parts: int, frequent: tuple[np.ndarray, np.ndarray]):
@@ -122,7 +134,7 @@ def _prefixes(n_parts: int, frequent: tuple[np.ndarray, np.ndarray]):
         cut = np.searchsorted(part, np.arange(n_parts + 1))
         on = [p for p in range(n_parts) if cut[p] < cut[p + 1]]
         none = pa.nulls(len(on), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(on, pa.int32()), *(pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in on], pa.binary()) for x in (token, owner))], names)
+        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(on), pa.binary()), pa.array(on, pa.int32()), *(pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in on], pa.binary()) for x in (token, owner))], names)
 
     names = [x.split()[0] for x in ROWS.split(", ")]
 
@@ -133,19 +145,22 @@ def _prefixes(n_parts: int, frequent: tuple[np.ndarray, np.ndarray]):
             for i, j, data, offsets in slices(batch.column("text")):
                 own = sets(data, offsets, frequent)
                 classes = [class_of(s) if len(s) else None for s in own]
-                none = j - i
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in own], pa.int64()), pa.array(classes, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.binary())], names)
+                maps: list[bytes | None] = []
                 for s, c in zip(own, classes):
                     if c is None or c in seen:
+                        maps.append(None)
                         continue
                     seen.add(c)
+                    maps.append(bitmap(s, bits_of(len(s))).tobytes())
                     n = len(s) - (4 * len(s) + 4) // 5 + 1
-                    tokens.append(s[:n])
+                    tokens.append(s[:n].copy())
                     owners.append((c, n))
                     held += n
+                none = j - i
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in own], pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.binary())], names)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                if held > 2_000_000:
+                if held > 500_000:
                     yield blocks(tokens, owners)
                     tokens, owners, held = [], [], 0
         if held:
@@ -154,8 +169,8 @@ def _prefixes(n_parts: int, frequent: tuple[np.ndarray, np.ndarray]):
     return run
 
 
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest over the classes that share a token; a part's blocks are all in one task."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, class) for the groups of classes that share a token; a part's blocks are all in one task. A group is known by its members."""
     tokens: dict[int, list] = {}
     classes: dict[int, list] = {}
     for batch in batches:
@@ -164,149 +179,188 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             classes.setdefault(p, []).append(np.frombuffer(c, np.int64))
     for p in list(tokens):
         token, owner = np.concatenate(tokens.pop(p)), np.concatenate(classes.pop(p))
-        order = np.argsort(token, kind="stable")
+        order = np.lexsort((owner, token))
         token, owner = token[order], owner[order]
-        new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        hub = np.repeat(owner[new], np.diff(np.concatenate([new, [len(token)]])))
-        on = hub != owner
-        if on.any():
-            yield forest(owner[on], hub[on])
+        once = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
+        token, owner = token[once], owner[once]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(first, len(token)))
+        members = np.add.reduceat(mix(owner.view(np.uint64)), first)
+        known, at = np.unique(mix(members + size.astype(np.uint64)), return_index=True)
+        many = size[at] > 1
+        known, at = known[many], at[many]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(known.view(np.int64), size[at])), pa.array(owner[ranges(first[at], size[at])])], ["group", "class"])
+
+
+class Forest:
+    """Union-find over names; the smallest is the root."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def unite(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
+    def links(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(self.up), pa.int64()), pa.array([self.find(x) for x in self.up], pa.int64())], ["a", "b"])
 
 
 class SignatureTree:
-    """Levels of nodes over sets sorted by size: OR of bitmaps, least and greatest size, greatest excess of a size over its bitmap."""
-
-    def __init__(self, members: list[np.ndarray]):
-        self.sets = members
-        size = np.array([len(s) for s in members])
-        bits = int(np.clip(1 << int(2 * size.max()).bit_length(), 512, 1 << 16))
-        maps = np.zeros((len(members), bits // 8), np.uint8)
-        for i, s in enumerate(members):
-            at = np.unique((mix(s) % np.uint64(bits)).astype(np.int64))
-            full = np.zeros(bits, bool)
-            full[at] = True
-            maps[i] = np.packbits(full)
-        maps = maps.view(np.uint64)
-        self.bitmap = maps
+    """Levels of nodes over sets in the order of their sizes: OR of bitmaps, least and greatest size, greatest excess of a size over its bitmap."""
+
+    def __init__(self, maps: np.ndarray, size: np.ndarray):
+        self.bitmap, self.size = maps, size
         self.excess = size - np.bitwise_count(maps).sum(1)
-        self.size = size
-        firsts = np.arange(0, len(members), LEAF)
-        self.levels = [self._level(maps, size, size, self.excess, firsts)]
+        self.levels = [self._level(maps, size, size, self.excess, np.arange(0, len(maps), LEAF))]
         while len(self.levels[-1][0]) > 1:
-            maps_, low, high, excess = self.levels[-1]
-            self.levels.append(self._level(maps_, low, high, excess, np.arange(0, len(maps_), FAN_OUT)))
+            below = self.levels[-1]
+            self.levels.append(self._level(*below, np.arange(0, len(below[0]), FAN_OUT)))
 
     @staticmethod
     def _level(maps, low, high, excess, firsts):
         return np.bitwise_or.reduceat(maps, firsts), np.minimum.reduceat(low, firsts), np.maximum.reduceat(high, firsts), np.maximum.reduceat(excess, firsts)
 
-    def possible(self, level: int, i: int, js: np.ndarray) -> np.ndarray:
-        """Which of the nodes js may hold a partner of a set in node i."""
-        maps, low, high, excess = self.levels[level]
+    @staticmethod
+    def possible(nodes: tuple, i: int, js: np.ndarray) -> np.ndarray:
+        """Which of the nodes js may hold a partner of a set in node i: sizes within the threshold, and overlap enough."""
+        maps, low, high, excess = nodes
         fits = (5 * high[i] >= 4 * low[js]) & (5 * high[js] >= 4 * low[i])
         overlap = np.bitwise_count(maps[js] & maps[i]).sum(1) + np.minimum(excess[js], excess[i])
         return fits & (9 * overlap >= 4 * (low[i] + low[js]))
 
+    def traverse(self, names: list[int], tied: Forest, confirm) -> None:
+        """Ties the names of all pairs that may reach the threshold and that confirm(i, j) accepts, unless they are tied already."""
+        n = len(names)
+        sets = (self.bitmap, self.size, self.size, self.excess)
+        open_ = [(len(self.levels) - 1, 0, 0)]
+        while open_:
+            level, i, j = open_.pop()
+            width, nodes = (FAN_OUT, self.levels[level - 1]) if level else (LEAF, sets)
+            count = len(nodes[0])
+            right = np.arange(j * width, min(count, (j + 1) * width))
+            for a in range(i * width, min(count, (i + 1) * width)):
+                to = right[right >= a + (level == 0)] if i == j else right
+                if not level and len(to):
+                    own = tied.find(names[a])
+                    to = to[[tied.find(names[b]) != own for b in to.tolist()]]
+                if not len(to):
+                    continue
+                for b in to[self.possible(nodes, a, to)].tolist():
+                    if level:
+                        open_.append((level - 1, a, b))
+                    elif tied.find(names[a]) != tied.find(names[b]) and confirm(a, b):
+                        tied.unite(names[a], names[b])
+
+
+def fold(maps: list[np.ndarray], bits: int) -> np.ndarray:
+    """Bitmaps of bits or a multiple of them, as rows of 64-bit words for bits."""
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, bits // 8), axis=0) for m in maps]).view(np.uint64)
+
+
+def tie_group(names: list[int], sizes: list[int], maps: list[np.ndarray], tied: Forest) -> None:
+    """Ties the members of a group that may be linked. Bitmaps are compared at the size that the smaller set has; no linked set has over twice that."""
+    order = sorted(range(len(names)), key=lambda i: (sizes[i], names[i]))
+    names, sizes, maps = ([x[i] for i in order] for x in (names, sizes, maps))
+    bits = np.array([8 * len(m) for m in maps])
+    for own in np.unique(bits):
+        on = np.flatnonzero((bits == own) | (bits == 2 * own))
+        if len(on) > 1 and len({tied.find(names[i]) for i in on.tolist()}) > 1:
+            tree = SignatureTree(fold([maps[i] for i in on.tolist()], int(own)), np.array([sizes[i] for i in on.tolist()]))
+            mine = bits[on] == own
+            tree.traverse([names[i] for i in on.tolist()], tied, lambda a, b, mine=mine: bool(mine[a] or mine[b]))
+
+
+def _by_task(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list, ...]]:
+    """The columns of each task's rows; rows come sorted by task."""
+    task, held = None, []
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            for t, *row in zip(*(part.column(k).to_pylist() for k in ("task", *columns))):
+                if t != task and held:
+                    yield tuple(zip(*held))
+                    held = []
+                task = t
+                held.append(row)
+    if held:
+        yield tuple(zip(*held))
+
+
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, class, n, bitmap) sorted by task -> a forest of ties."""
+    tied = Forest()
+    for names, sizes, maps in _by_task(batches, ["class", "n", "bitmap"]):
+        own = dict(zip(names, zip(sizes, maps)))
+        tie_group(list(own), [n for n, _ in own.values()], [np.frombuffer(m, np.uint8) for _, m in own.values()], tied)
+        if len(tied.up) > 1_000_000:
+            yield tied.links()
+            tied = Forest()
+    yield tied.links()
+
 
 def link_sets(members: list[np.ndarray]) -> np.ndarray:
     """The number of the smallest member in each one's component of links; members are not empty and all different."""
-    order = np.argsort([len(s) for s in members], kind="stable")
-    members = [members[i] for i in order]
-    root = list(range(len(members)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    order = sorted(range(len(members)), key=lambda i: (len(members[i]), i))
+    own = [members[i] for i in order]
+    tied = Forest()
 
-    def compare(a: int, b: int) -> None:
-        x, y = find(a), find(b)
-        if x == y:
-            return
-        s, t = members[a], members[b]
-        if 5 * len(s) < 4 * len(t) or 5 * len(t) < 4 * len(s):
-            return
-        if len(s) > len(t):
-            s, t = t, s
+    def linked(a: int, b: int) -> bool:
+        s, t = own[a], own[b]
         at = np.searchsorted(t, s)
         at[at == len(t)] = 0
-        if enough(int(np.count_nonzero(t[at] == s)), len(s), len(t)):
-            root[max(x, y)] = min(x, y)
-
-    n = len(members)
-    if n <= LEAF:
-        for a in range(n):
-            for b in range(a):
-                compare(a, b)
-    else:
-        tree = SignatureTree(members)
+        return enough(int(np.count_nonzero(t[at] == s)), len(s), len(t))
 
-        def leaf_pair(i: int, j: int) -> None:
-            js = np.arange(j * LEAF, min(n, (j + 1) * LEAF))
-            for a in range(i * LEAF, min(n, (i + 1) * LEAF)):
-                to = js[js > a] if i == j else js
-                if not len(to) or len({find(a), *map(find, to.tolist())}) == 1:
-                    continue
-                overlap = np.bitwise_count(tree.bitmap[to] & tree.bitmap[a]).sum(1) + np.minimum(tree.excess[to], tree.excess[a])
-                for b in to[9 * overlap >= 4 * (tree.size[to] + tree.size[a])].tolist():
-                    compare(a, b)
-
-        open_ = [(len(tree.levels) - 1, 0, 0)]
-        while open_:
-            level, i, j = open_.pop()
-            if level == 0:
-                leaf_pair(i, j)
-                continue
-            below = len(tree.levels[level - 1][0])
-            right = np.arange(j * FAN_OUT, min(below, (j + 1) * FAN_OUT))
-            for a in range(i * FAN_OUT, min(below, (i + 1) * FAN_OUT)):
-                to = right[right >= a] if i == j else right
-                if len(to):
-                    open_ += [(level - 1, a, b) for b in to[tree.possible(level - 1, a, to)].tolist()]
-    out = np.empty(n, np.int64)
-    low: dict[int, int] = {}
-    for k in range(n):
-        low[find(k)] = min(low.get(find(k), n), int(order[k]))
-    for k in range(n):
-        out[order[k]] = low[find(k)]
-    return out
+    if len(own) <= 3:
+        for b in range(len(own)):
+            for a in range(b):
+                if tied.find(order[a]) != tied.find(order[b]) and 5 * len(own[a]) >= 4 * len(own[b]) and linked(a, b):
+                    tied.unite(order[a], order[b])
+    else:
+        bits = bits_of(len(own[-1]))
+        tree = SignatureTree(np.stack([bitmap(s, bits) for s in own]).view(np.uint64), np.array([len(s) for s in own]))
+        tree.traverse(order, tied, linked)
+    return np.array([tied.find(i) for i in range(len(members))], np.int64)
 
 
 def _linked(frequent: tuple[np.ndarray, np.ndarray]):
     """Rows (task, class, text) sorted by task -> a forest of links between classes."""
 
-    def flush(texts: list, classes: list) -> pa.RecordBatch | None:
-        members: dict[int, np.ndarray] = {}
-        for _, _, data, offsets in slices(pa.array(texts, pa.string())):
-            for s in sets(data, offsets, frequent):
-                if len(s):
-                    members[class_of(s)] = s
-        asked = set(classes)
-        members = {c: s for c, s in members.items() if c in asked}  # an id on several texts brings others along
-        if len(members) < 2:
-            return None
-        names = np.array(list(members), np.int64)
-        low = link_sets(list(members.values()))
-        on = low != np.arange(len(low))
-        return forest(names[on], names[low[on]]) if on.any() else None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, texts, classes = None, [], []
-        for batch in batches:
-            for t, c, x in zip(*(batch.column(k).to_pylist() for k in ("task", "class", "text"))):
-                if t != task:
-                    if (out := flush(texts, classes)) is not None:
-                        yield out
-                    task, texts, classes = t, [], []
-                texts.append(x)
-                classes.append(c)
-        if (out := flush(texts, classes)) is not None:
-            yield out
+        for classes, texts in _by_task(batches, ["class", "text"]):
+            members: dict[int, np.ndarray] = {}
+            for _, _, data, offsets in slices(pa.array(texts, pa.string())):
+                for s in sets(data, offsets, frequent):
+                    if len(s):
+                        members[class_of(s)] = s
+            asked = set(classes)
+            members = {c: s for c, s in members.items() if c in asked}  # an id on several texts brings others along
+            if len(members) > 1:
+                names = np.array(list(members), np.int64)
+                low = link_sets(list(members.values()))
+                on = low != np.arange(len(low))
+                if on.any():
+                    yield forest(names[on], names[low[on]])
 
     return run
 
 
+def tasks(members: DataFrame, group: str, chunk: int) -> DataFrame:
+    """Adds task to rows (group, class): the group, or each pair of its chunks that the class is in."""
+    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    k = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.concat_ws("-", F.col(group), F.least(i, k), F.greatest(i, k)))
+    return members.join(sizes, group).select("class", F.explode(pairs).alias("task"))
+
+
 def joined(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id; a row for each row of docs."""
     spark = docs.sparkSession
@@ -315,15 +369,14 @@ def joined(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = saved(own.mapInArrow(_prefixes(n, frequent), ROWS), "signature-prefixes")
     each = rows.where("part is null").select("doc_id", "n_shingles", "class")
-    ties = rows.where("part is not null").select("part", "tokens", "classes").repartition(n, "part").mapInArrow(_ties, "a long, b long")
-    candidates = components(ties, "signature-ties")
-    sizes = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    blocks = rows.where("part is not null").select("part", "tokens", "classes").repartition(n, "part")
+    groups = saved(blocks.mapInArrow(_groups, "group long, class long").distinct(), "signature-groups")
+    maps = rows.where("bitmap is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
+    ties = tasks(groups, "group", chunk).join(maps, "class").repartition(n, "task").sortWithinPartitions("task").select("task", "class", "n", "bitmap")
+    candidates = components(ties.mapInArrow(_ties, "a long, b long"), "signature-ties").select("root", F.col("node").alias("class"))
     class_ids = each.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    k = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-    other = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.concat_ws("-", F.col("root"), F.least(i, k), F.greatest(i, k)))
-    tasks = candidates.join(sizes, "root").withColumnRenamed("node", "class")
-    tasks = tasks.join(class_ids, "class").select("class", F.col("class_id").alias("doc_id"), F.explode(other).alias("task"))
-    texts = own.join(tasks, "doc_id").select("task", "class", "text")
+    asked = tasks(candidates, "root", chunk).join(class_ids, "class").select("class", F.col("class_id").alias("doc_id"), "task")
+    texts = own.join(asked, "doc_id").select("task", "class", "text")
     links = texts.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_linked(frequent), "a long, b long")
     linked = components(links, "signature-links").withColumnRenamed("node", "class")
     known = linked.join(class_ids, "class")
