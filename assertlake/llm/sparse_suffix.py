@@ -70,42 +70,43 @@ def _minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([t.take(pa.array(doc)), none, none, pa.array(grams[at].view(np.int64)), pa.array(at - words.first[doc])], names)
 
 
-def _hashed_windows(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return ngram_hashes(h, MIN_WORDS)[starts].view(np.int64)
+CONTEXTS = "gram long, t long, doc long, pos long, least long, most long, context binary, window long"
 
 
-def _contexts(hot: bool):
-    """Rows (t, doc, text, places of retained anchors) -> the suffixes with their context, or (hot) the anchors' windows by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column("places")
-            for i, j, data, offsets in slices(batch.column("text")):
-                words = Words(LOWER[data], offsets, SPACED)
-                h, first = words.hashes(), words.first
-                own = wanted.slice(i, j - i)
-                asked = own.flatten().to_numpy() + np.repeat(first[:-1], np.diff(own.offsets.to_numpy()))
-                grams, starts, at = anchors(h, first)
-                run_first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-                run_last = np.append(run_first[1:], len(at)) - 1
-                on = np.isin(at[run_first], asked)
-                run_first, run_last = run_first[on], run_last[on]
-                place = at[run_first]
-                doc = np.searchsorted(first, place, "right") - 1
-                t, ids = batch.column("t").slice(i, j - i), batch.column("doc").slice(i, j - i)
-                if hot:
-                    count = run_last - run_first + 1
-                    s, d = starts[ranges(run_first, count)], np.repeat(doc, count)
-                    columns = [t.take(pa.array(d)), ids.take(pa.array(d)), pa.array(_hashed_windows(h, s)), pa.array(s - first[d])]
-                    yield pa.RecordBatch.from_arrays(columns, ["t", "doc", "window", "start"])
-                    continue
-                near = np.clip(place[:, None] + np.arange(-(SPREAD - 1), MIN_WORDS), 0, len(h) - 1)
-                context = h.astype(np.uint32)[near] if len(h) else np.zeros((0, CONTEXT), np.uint32)
-                blob = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer((np.arange(len(place) + 1) * 4 * CONTEXT).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(context).tobytes())])
-                columns = [pa.array(grams[place].view(np.int64)), t.take(pa.array(doc)), ids.take(pa.array(doc)), pa.array(place - first[doc]), pa.array(place - starts[run_last]), pa.array(place - starts[run_first]), blob]
-                yield pa.RecordBatch.from_arrays(columns, ["gram", "t", "doc", "pos", "least", "most", "context"])
-
-    return run
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t, doc, text, places and hot places of retained anchors) -> the suffixes at places with their context, and for hot places
+    the windows that they anchor: window is their hash, pos where they start."""
+    names = [x.split()[0] for x in CONTEXTS.split(", ")]
+    for batch in batches:
+        for i, j, data, offsets in slices(batch.column("text")):
+            words = Words(LOWER[data], offsets, SPACED)
+            h, first = words.hashes(), words.first
+            grams, starts, at = anchors(h, first)
+            if not len(at):
+                continue
+            t, ids = batch.column("t").slice(i, j - i), batch.column("doc").slice(i, j - i)
+            run_first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            run_last = np.append(run_first[1:], len(at)) - 1
+
+            def asked(column: str, first=first, at=at, run_first=run_first, i=i, j=j, batch=batch) -> np.ndarray:
+                own = batch.column(column).slice(i, j - i)
+                return np.isin(at[run_first], own.flatten().to_numpy() + np.repeat(first[:-1], np.diff(own.offsets.to_numpy())))
+
+            on = asked("places")
+            place = at[run_first[on]]
+            doc = np.searchsorted(first, place, "right") - 1
+            near = np.clip(place[:, None] + np.arange(-(SPREAD - 1), MIN_WORDS), 0, len(h) - 1)
+            context = np.ascontiguousarray(h.astype(np.uint32)[near])
+            blob = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer((np.arange(len(place) + 1) * 4 * CONTEXT).astype(np.int32)), pa.py_buffer(context.tobytes())])
+            columns = [pa.array(grams[place].view(np.int64)), t.take(pa.array(doc)), ids.take(pa.array(doc)), pa.array(place - first[doc]), pa.array(place - starts[run_last[on]]), pa.array(place - starts[run_first[on]]), blob, pa.nulls(len(place), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+            on = asked("hot_places")
+            count = (run_last - run_first + 1)[on]
+            begin = starts[ranges(run_first[on], count)]
+            doc = np.searchsorted(first, begin, "right") - 1
+            none = pa.nulls(len(begin), pa.int64())
+            columns = [none, t.take(pa.array(doc)), ids.take(pa.array(doc)), pa.array(begin - first[doc]), none, none, pa.nulls(len(begin), pa.binary()), pa.array(ngram_hashes(h, MIN_WORDS)[begin].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 SPANS = "t long, doc long, start long, end long, removed boolean, source long"
@@ -197,19 +198,16 @@ def duplicate_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     firsts = each.groupBy("t").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("n").alias("n"))
     grams = rows.where("gram is not null").select("t", "gram", "pos")
     shared = grams.groupBy("gram").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high").select("gram", (F.col("rows") > hot).alias("hot"))
-    retained = saved(grams.join(shared, "gram").groupBy("t", "hot").agg(F.collect_set("pos").alias("places")), "suffix-retained")
-
-    def asked(hot: bool) -> DataFrame:
-        places = retained.where(F.col("hot") == hot).join(firsts.select("t", F.col("first").alias("doc")), "t").select("t", "doc", "places")
-        return own.join(places, ["t", "doc"]).select("t", "doc", "text", "places")
-
-    suffixes = asked(False).mapInArrow(_contexts(False), "gram long, t long, doc long, pos long, least long, most long, context binary")
-    found = suffixes.repartition(parts(spark), "gram").sortWithinPartitions("gram").mapInArrow(_sorted_suffixes, SPANS)
-    if retained.where("hot").limit(1).count():
-        windows = saved(asked(True).mapInArrow(_contexts(True), "t long, doc long, window long, start long").distinct(), "suffix-hot-windows")
-        holders = windows.groupBy("window").agg(F.min(F.struct("doc", "t")).alias("holder"), F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("window", "holder")
-        hot_spans = windows.join(holders, "window").select("t", "doc", "start", (F.col("start") + MIN_WORDS).alias("end"), (F.col("t") != F.col("holder.t")).alias("removed"), F.col("holder.doc").alias("source"))
-        found = found.unionByName(hot_spans)
+    of = lambda hot: F.collect_set(F.when(F.col("hot") == hot, F.col("pos")))
+    retained = grams.join(shared, "gram").groupBy("t").agg(of(False).alias("places"), of(True).alias("hot_places"))
+    asked = retained.join(firsts.select("t", F.col("first").alias("doc")), "t")
+    # by merge at any size: the plan is to be the same for small tables and large ones
+    made = saved(own.join(asked.hint("merge"), ["t", "doc"]).select("t", "doc", "text", "places", "hot_places").mapInArrow(_contexts, CONTEXTS), "suffix-contexts")
+    suffixes = made.where("window is null").drop("window").repartition(parts(spark), "gram").sortWithinPartitions("gram")
+    windows = made.where("window is not null").select("t", "doc", "window", "pos").distinct()
+    holders = windows.groupBy("window").agg(F.min(F.struct("doc", "t")).alias("holder"), F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("window", "holder")
+    hot_spans = windows.join(holders, "window").select("t", "doc", F.col("pos").alias("start"), (F.col("pos") + MIN_WORDS).alias("end"), (F.col("t") != F.col("holder.t")).alias("removed"), F.col("holder.doc").alias("source"))
+    found = suffixes.mapInArrow(_sorted_suffixes, SPANS).unionByName(hot_spans)
     order = W.partitionBy("t", "removed").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     islands = found.withColumn("new", F.when(F.coalesce(reach < F.col("start"), F.lit(True)), 1).otherwise(0)).withColumn("island", F.sum("new").over(order))
