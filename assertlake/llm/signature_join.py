@@ -376,7 +376,8 @@ def joined(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     candidates = components(ties.mapInArrow(_ties, "a long, b long"), "signature-ties").select("root", F.col("node").alias("class"))
     class_ids = each.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
     asked = tasks(candidates, "root", chunk).join(class_ids, "class").select("class", F.col("class_id").alias("doc_id"), "task")
-    texts = own.join(asked, "doc_id").select("task", "class", "text")
+    # by merge at any size: the plan is to be the same for small tables and large ones
+    texts = own.join(asked.hint("merge"), "doc_id").select("task", "class", "text")
     links = texts.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_linked(frequent), "a long, b long")
     linked = components(links, "signature-links").withColumnRenamed("node", "class")
     known = linked.join(class_ids, "class")
