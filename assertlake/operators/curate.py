@@ -147,7 +147,7 @@ def traced(children: DataFrame, parents: DataFrame, on: str, value: str) -> Data
 def enclosing(points: DataFrame, spans: DataFrame, on: str, at: str, low: str, high: str, name: str) -> DataFrame:
     """points with the first span (by low) under the same key that contains them; null where none does."""
     hit = points.select("id", on, at).join(spans.select(on, low, high, name), on).where(F.col(at).between(F.col(low), F.col(high)))
-    return points.join(hit.groupBy("id").agg(F.min_by(name, low).alias(name)), "id", "left")
+    return points.join(hit.groupBy("id").agg(F.min_by(name, F.struct(low, name)).alias(name)), "id", "left")
 
 
 def last_before(points: DataFrame, marks: DataFrame, on: str, at: str, value: str) -> DataFrame:

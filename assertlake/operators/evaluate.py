@@ -127,7 +127,8 @@ def running_cap(rows: DataFrame, group: str, order: str, size: str, cap: int) ->
     """Rows up to the first that takes the group's running size over the cap; what comes after it goes too."""
     w = W.partitionBy(group).orderBy(order)
     out = rows.withColumn("__over", (F.sum(size).over(w) > cap).cast("int"))
-    return out.where(F.coalesce(F.max("__over").over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)) == 0).drop("__over")
+    out = out.withColumn("__cut", F.max("__over").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return out.where("__cut = 0").drop("__over", "__cut")
 
 
 def transitions(rows: DataFrame, trace: list[str], cycle: str, value: str) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from assertlake.plans import curation, evaluation
+
+QUERIES = {**curation.QUERIES, **evaluation.QUERIES}
+ORACLE_SQL = {**curation.ORACLE_SQL, **evaluation.ORACLE_SQL}
