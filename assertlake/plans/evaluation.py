@@ -296,3 +296,23 @@ def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = assertions(spark, sf_dir)
     ref = a.groupBy("customer").agg(F.min_by("sva", "id").alias("ref"))
     return a.join(ref, "customer").select("id", F.round(parse.token_similarity("sva", "ref"), 6).alias("similarity"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, {sql_strip("text")} AS x FROM documents)
+SELECT doc_id, sha256(CASE WHEN x = '' THEN '' ELSE 'Here is the testbench to perform your translation:' || chr(10) || CASE WHEN length(x) > 4500 THEN substr(x, 1, 4500) || chr(10) || '  // ... [truncated]' ELSE x END || chr(10) || chr(10) END || 'Question: Create a SVA assertion that checks: ' || lang || chr(10) || chr(10) || 'Answer:') AS prompt_key FROM d""")
+def prompt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assertlake.functions.prompts import user_prompt
+
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(user_prompt("lang", "text", "Answer:"), 256).alias("prompt_key"))
+
+
+@query(f"""WITH p AS (SELECT id, sva, CASE WHEN id % 3 = 0 THEN '[ASSERT] x' WHEN id % 3 = 1 THEN ' ' ELSE 'real text' END AS nl, (id % 5)::INT AS tcl FROM {ASSERTIONS})
+SELECT id, 'Generate an SVA assertion for:' || chr(10) || CASE WHEN id % 3 < 2 THEN 'Write an SVA for module m (TCL level ' || tcl || ')' ELSE nl END AS content, 1 AS n_refs, 2 AS tier FROM p""")
+def training_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from assertlake.functions.prompts import training_rows
+
+    i = F.col("id")
+    nl = F.when(i % 3 == 0, "[ASSERT] x").when(i % 3 == 1, " ").otherwise("real text")
+    pool = assertions(spark, sf_dir).select(F.col("id").cast("string").alias("rtl_context"), F.col("sva").alias("reference_sva"), nl.alias("nl"), (i % 5).cast("int").alias("expected_tcl"), F.lit("m").alias("module_name"))
+    rows = training_rows(pool, "system")
+    return rows.select(F.col("rtl_context").cast("long").alias("id"), F.col("prompt")[1]["content"].alias("content"), F.size("ref_svas").alias("n_refs"), "tier")

@@ -226,3 +226,13 @@ def test_loss(spark):
     ce = [math.log(sum(math.exp(v) for v in z)) - z[y] for z, y in (([1.0, 2.0, 0.5], 1), ([0.0] * 3, 2))]
     got = rows.select("w", "y", evaluate.cross_entropy(F.col("z"), F.col("y")).alias("ce")).agg(evaluate.weighted_loss(F.col("ce"), F.col("w"), F.col("y")), evaluate.weighted_loss(F.col("ce"), F.lit(1.0), F.col("y"))).first()
     assert math.isclose(got[0], (3 * ce[0] + ce[1]) / 2, rel_tol=1e-9) and math.isclose(got[1], sum(ce) / 2, rel_tol=1e-9)
+
+
+def test_prompts(spark):
+    from assertlake.functions import prompts
+
+    r = one(spark, prompts.user_prompt(F.lit("Create an SVA that x"), F.lit(" "), "End"), prompts.user_prompt(F.lit("x"), F.lit("y" * 5000), "End"), prompts.equivalence_metrics(F.lit("it implies")), F.size(prompts.compile_errors(F.lit("a\nError-[X] b"))))
+    assert r[0] == "Question: Create an SVA that x\n\nEnd" and "[truncated]" in r[1] and "checks: x" in r[1] and tuple(r[2]) == (1.0, 0.0, 1.0) and r[3] == 1
+    rows = spark.createDataFrame([("g", "s", "rising", "delayed", 3, 5, 2), ("g", "a", "falling", "missing", 1, None, None)], "g string, signal string, kind string, violation string, cycle int, matched int, delta int")
+    text = prompts.violation_text(rows, "g").first().text.split("\n")
+    assert "'a'" in text[0] and "no matching" in text[0] and "2 cycle(s) LATE (actual cycle 5)" in text[1]
