@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are looked at together; a longer document is looked at alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -51,6 +54,33 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What a worker process keeps from task to task, by name.
+KEPT: dict[str, object] = {}
+
+
+def settled(run: Callable, keep: str | None = None) -> Callable:
+    """run, a function of Arrow batches, in a worker that holds nothing else: what earlier tasks kept (but for keep) and freed memory go back
+    to the system before it and after it, since workers live on and share the executor's memory with it."""
+
+    def settle() -> None:
+        for name in [k for k in KEPT if k != keep]:
+            del KEPT[name]
+        pa.set_memory_pool(pa.system_memory_pool())  # the default one keeps what it frees
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not the GNU library
+            pass
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        yield from run(batches)
+        settle()
+
+    return whole
+
+
 def _powers(kind: str, n: int) -> np.ndarray:
     """_R or its inverse to the powers 0 to n - 1, modulo 2**64."""
     have = _POWERS[kind]

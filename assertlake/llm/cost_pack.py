@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from assertlake.llm.common import Words, ranges, slices
+from assertlake.llm.common import KEPT, Words, ranges, settled, slices
 
 SEQUENCE = 2048
 END_ID = 1
@@ -120,14 +120,12 @@ class WordTokenizer:
         return tuple(x[order] for x in columns)
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process, with the words that it knows."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    """One for each worker process, with the words that it knows, as long as packing goes on there."""
+    kept = KEPT.setdefault("tokenizer", {})
+    if path not in kept:
+        kept[path] = WordTokenizer(path)
+    return kept[path]
 
 
 def pack(length: np.ndarray, sequence: int = SEQUENCE, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -206,4 +204,4 @@ def _packer(path: str, sequence: int, end_id: int, pool_tokens: int):
 def packed(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, pool_tokens: int = POOL_TOKENS) -> DataFrame:
     """A row for each piece, columns PIECES; path: the tokeniser's file, the same on all machines."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_packer(path or tokenizer_path(), sequence, end_id, pool_tokens), PIECES)
+    return rows.mapInArrow(settled(_packer(path or tokenizer_path(), sequence, end_id, pool_tokens), "tokenizer"), PIECES)

@@ -17,14 +17,13 @@ Repeated item ids: one item with the windows of all its rows. Null item ids: suc
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from assertlake.llm.common import ALNUM, LOWER, Words, buffers, ngram_hashes, ranges, slices
+from assertlake.llm.common import ALNUM, LOWER, Words, buffers, ngram_hashes, ranges, settled, slices
 
 WINDOW = 13
 SAMPLE = 16
@@ -291,34 +290,31 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == part).collect()
         kept = list(dict.fromkeys([*names, "text"])) if part < n_parts - 1 else names
         schema = T.StructType([*(docs.schema[x] for x in kept), *FOUND_TYPES])
-        out = out.mapInArrow(_scanner(Phrases([tuple(x) for x in rows], window), kept), schema)
+        out = out.mapInArrow(settled(_scanner(Phrases([tuple(x) for x in rows], window), kept)), schema)
     return out
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_words, starts, ends, items = (batch.column(x) for x in FOUND)
-        first = starts.offsets.to_numpy()
-        total = np.concatenate([[0], np.cumsum(ends.flatten().to_numpy().astype(np.int64) - starts.flatten().to_numpy())])
-        hit = total[first[1:] - first[0]] - total[first[:-1] - first[0]]
-        names = items.to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), n_words, pa.array(hit), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array((hit > 0) & (20 * hit >= n_words.to_numpy()))],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+def hit_words() -> Column:
+    """How many words the spans hold."""
+    return F.aggregate(F.zip_with(FOUND[2], FOUND[1], lambda e, s: e - s), F.lit(0), lambda a, x: a + x).cast("long")
+
+
+def digested(found: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of what the search has found."""
+    n_words, hit = F.col(FOUND[0]), hit_words()
+    rows = found.select("doc_id", n_words.alias("n_words"), hit.alias("n_hit"), F.size(FOUND[3]).cast("long").alias("n_items"), F.sha2(F.array_join(FOUND[3], ","), 256).alias("items_sha256"))
+    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; a row for each row of docs."""
-    found = hit_spans(docs.select("doc_id", "text"), benchmark, carry=["doc_id"])
-    return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    """digested() of docs; a row for each row of docs."""
+    return digested(hit_spans(docs.select("doc_id", "text"), benchmark, carry=["doc_id"]))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that are not contaminated; those with hits under one word in twenty stay whole."""
-    n_words, starts, ends, _ = FOUND
-    hit = F.aggregate(F.zip_with(ends, starts, lambda e, s: e - s), F.lit(0), lambda a, x: a + x)
-    return hit_spans(docs, benchmark).where((hit == 0) | (20 * hit < F.col(n_words))).select(*docs.columns)
+    hit = hit_words()
+    return hit_spans(docs, benchmark).where((hit == 0) | (20 * hit < F.col(FOUND[0]))).select(*docs.columns)
 
 
 def oracle(window: int = WINDOW) -> str:

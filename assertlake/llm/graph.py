@@ -1,9 +1,7 @@
-"""Connected components of links: local union-find where links are together, then labels over DataFrames."""
+"""Connected components of links: forests where links are together in a task, then labels over DataFrames."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -39,29 +37,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(roots[on])], ["a", "b"])
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    fresh = 0
-    for batch in batches:
-        a, b = np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()])
-        fresh += batch.num_rows
-        if fresh > 1_000_000:  # what is held shrinks to a link for each node
-            out = forest(a, b)
-            a, b, fresh = out.column(0).to_numpy(), out.column(1).to_numpy(), 0
-            if len(a) > 2_000_000:
-                yield out
-                a, b = a[:0], b[:0]
-    if len(a):
-        yield forest(a, b)
-
-
 def components(links: DataFrame, name: str) -> DataFrame:
-    """links (a long, b long) -> (node, root): the smallest node of its component, for every node in a link.
+    """links (a long, b long), best the forests of tasks -> (node, root): the smallest node of its component, for every node in a link.
 
     Each round a node takes the smallest label of its neighbours, then its label's label; rows are pre-aggregated and a node with many
     links is split by the adaptive join. It ends when no label changes. Rounds are written to the shared folder.
     """
-    short = saved(links.select("a", "b").mapInArrow(_contract, "a long, b long").distinct(), f"{name}-links")
+    short = saved(links.select("a", "b").where("a <> b").distinct(), f"{name}-links")
     both = short.union(short.select("b", "a")).toDF("node", "other")
     labels = saved(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), f"{name}-0")
     for k in range(1, 100):

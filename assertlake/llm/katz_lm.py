@@ -28,7 +28,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from assertlake.llm.common import LOWER, SPACED, Words, mix, parts, shared_dir, slices
+from assertlake.llm.common import LOWER, SPACED, Words, mix, parts, settled, shared_dir, slices
 
 BATCH_TOKENS = 1_500_000
 TURING = 5
@@ -335,11 +335,11 @@ def scored(docs: DataFrame, held_out_remainder: int = 1, model_path: str | None
     # a bucketed table: batches stay where they are when answers are joined to them
     path = model_path or shared_dir(spark, "katz")
     name = f"katz_batches_{path.rsplit('-', 1)[-1].replace('/', '_')}"
-    own.mapInArrow(_batches, BATCHES).write.bucketBy(n, "batch").sortBy("batch").option("path", f"{path}/batches").saveAsTable(name)
+    own.mapInArrow(settled(_batches), BATCHES).write.bucketBy(n, "batch").sortBy("batch").option("path", f"{path}/batches").saveAsTable(name)
     batches = spark.table(name)
 
     def asked(blocks: DataFrame, answer, table: str) -> DataFrame:
-        out = blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(answer, ANSWERS)
+        out = blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(settled(answer), ANSWERS)
         out.write.partitionBy("kind").parquet(f"{path}/{table}")
         return spark.read.schema(ANSWERS).parquet(f"{path}/{table}")
 
@@ -347,8 +347,8 @@ def scored(docs: DataFrame, held_out_remainder: int = 1, model_path: str | None
         of = answers.where("kind = 'answer'").groupBy("batch").agg(F.collect_list(F.struct("part", "a", "b")).alias(column))
         return to.join(of.hint("shuffle_merge"), "batch", "left")
 
-    unigrams = asked(batches.select("batch", "words", "counts").mapInArrow(_word_blocks(n), BLOCKS), _unigrams(n), "unigrams")
+    unigrams = asked(batches.select("batch", "words", "counts").mapInArrow(settled(_word_blocks(n)), BLOCKS), _unigrams(n), "unigrams")
     known = joined(batches.drop("words", "counts"), unigrams, "words_answers")
-    bigrams = asked(known.mapInArrow(_bigram_blocks(n), BLOCKS), _bigrams, "bigrams")
+    bigrams = asked(known.mapInArrow(settled(_bigram_blocks(n)), BLOCKS), _bigrams, "bigrams")
     model = Model.of(totals(unigrams), totals(bigrams))
-    return joined(known, bigrams, "pairs_answers").mapInArrow(_scores(model, n), SCORES)
+    return joined(known, bigrams, "pairs_answers").mapInArrow(settled(_scores(model, n)), SCORES)

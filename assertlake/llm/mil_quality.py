@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assertlake.llm.common import LOWER, SPACED, Words, mix, ranges, slices
+from assertlake.llm.common import LOWER, SPACED, Words, mix, ranges, settled, slices
 
 PASSAGE = 64
 SAMPLE_ROWS = 5000
@@ -184,7 +184,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     known = known.select("doc_id", (F.col("mean") > 0.5).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = own.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(_sampled, "doc_id long, y double, bag binary").collect()
+    rows = own.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(settled(_sampled), "doc_id long, y double, bag binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
     y = np.array([r.y for r in rows])
     model = Model(float(y.mean()) if len(y) else 1.0)
@@ -214,7 +214,7 @@ def scored(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Dat
 
     carry = list(docs.columns if carry is None else carry)
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(SCORED[0], T.DoubleType()), T.StructField(SCORED[1], T.LongType()), T.StructField(SCORED[2], T.LongType())])
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(_scorer(model, carry), schema)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(settled(_scorer(model, carry)), schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

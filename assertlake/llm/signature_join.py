@@ -28,13 +28,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from assertlake.llm.common import LOWER, SPACED, Words, mix, ngram_hashes, parts, ranges, saved, slices
+from assertlake.llm.common import LOWER, SPACED, Words, mix, ngram_hashes, parts, ranges, saved, settled, slices
 from assertlake.llm.graph import components, forest
 
 SHINGLE = 5
 WORD_SHARE = 2e-6
 CHUNK = 4096
 LEAF, FAN_OUT = 16, 8
+LAST_ID = (1 << 63) - 1
 
 
 def enough(shared: int, n: int, m: int) -> bool:
@@ -69,7 +70,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_levels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of frequent words and their levels, 1 to 31: more frequent is higher."""
-    rows = docs.select("text").mapInArrow(_frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(settled(_frequent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     total = sum(r.n for r in rows.where("h is null").collect()) or 1
     least = max(2, WORD_SHARE * total)
     found = rows.where((F.col("h").isNotNull()) & (F.col("n") >= least)).toPandas()
@@ -109,7 +110,7 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) - (1 << 63)
 
 
-ROWS = "doc_id long, n_shingles long, class long, bitmap binary, part int, tokens binary, classes binary"
+ROWS = "doc_id long, t long, n_shingles long, class long, bitmap binary, part int, tokens binary, classes binary"
 
 
 def bits_of(n: int) -> int:
@@ -134,7 +135,7 @@ def _prefixes(n_parts: int, frequent: tuple[np.ndarray, np.ndarray]):
         cut = np.searchsorted(part, np.arange(n_parts + 1))
         on = [p for p in range(n_parts) if cut[p] < cut[p + 1]]
         none = pa.nulls(len(on), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(on), pa.binary()), pa.array(on, pa.int32()), *(pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in on], pa.binary()) for x in (token, owner))], names)
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(on), pa.binary()), pa.array(on, pa.int32()), *(pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in on], pa.binary()) for x in (token, owner))], names)
 
     names = [x.split()[0] for x in ROWS.split(", ")]
 
@@ -157,7 +158,7 @@ def _prefixes(n_parts: int, frequent: tuple[np.ndarray, np.ndarray]):
                     owners.append((c, n))
                     held += n
                 none = j - i
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in own], pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("t").slice(i, j - i), pa.array([len(s) for s in own], pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.binary())], names)
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if held > 500_000:
@@ -279,27 +280,26 @@ def tie_group(names: list[int], sizes: list[int], maps: list[np.ndarray], tied:
             tree.traverse([names[i] for i in on.tolist()], tied, lambda a, b, mine=mine: bool(mine[a] or mine[b]))
 
 
-def _by_task(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[list, ...]]:
-    """The columns of each task's rows; rows come sorted by task."""
-    task, held = None, []
+def _by_task(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[dict]:
+    """class -> the row's other columns, for each task; rows come sorted by task, and a class that comes again is skipped."""
+    task, held = None, {}
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
-            for t, *row in zip(*(part.column(k).to_pylist() for k in ("task", *columns))):
+            for t, c, *row in zip(*(part.column(k).to_pylist() for k in ("task", "class", "n", column))):
                 if t != task and held:
-                    yield tuple(zip(*held))
-                    held = []
+                    yield held
+                    held = {}
                 task = t
-                held.append(row)
+                held.setdefault(c, row)
     if held:
-        yield tuple(zip(*held))
+        yield held
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (task, class, n, bitmap) sorted by task -> a forest of ties."""
     tied = Forest()
-    for names, sizes, maps in _by_task(batches, ["class", "n", "bitmap"]):
-        own = dict(zip(names, zip(sizes, maps)))
+    for own in _by_task(batches, "bitmap"):
         tie_group(list(own), [n for n, _ in own.values()], [np.frombuffer(m, np.uint8) for _, m in own.values()], tied)
         if len(tied.up) > 1_000_000:
             yield tied.links()
@@ -335,20 +335,14 @@ def _linked(frequent: tuple[np.ndarray, np.ndarray]):
     """Rows (task, class, text) sorted by task -> a forest of links between classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for classes, texts in _by_task(batches, ["class", "text"]):
-            members: dict[int, np.ndarray] = {}
-            for _, _, data, offsets in slices(pa.array(texts, pa.string())):
-                for s in sets(data, offsets, frequent):
-                    if len(s):
-                        members[class_of(s)] = s
-            asked = set(classes)
-            members = {c: s for c, s in members.items() if c in asked}  # an id on several texts brings others along
-            if len(members) > 1:
-                names = np.array(list(members), np.int64)
-                low = link_sets(list(members.values()))
-                on = low != np.arange(len(low))
-                if on.any():
-                    yield forest(names[on], names[low[on]])
+        for own in _by_task(batches, "text"):
+            if len(own) < 2:
+                continue
+            members = [s for _, _, data, offsets in slices(pa.array([x for _, x in own.values()], pa.string())) for s in sets(data, offsets, frequent)]
+            names, low = np.array(list(own), np.int64), link_sets(members)
+            on = low != np.arange(len(low))
+            if on.any():
+                yield forest(names[on], names[low[on]])
 
     return run
 
@@ -361,36 +355,49 @@ def tasks(members: DataFrame, group: str, chunk: int) -> DataFrame:
     return members.join(sizes, group).select("class", F.explode(pairs).alias("task"))
 
 
-def joined(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id; a row for each row of docs."""
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with __doc, the id with the last of all for null, and __t, a hash of the text."""
+    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t"))
+
+
+def classified(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, t, n_shingles, class, class_key, component_key: a row for each row of docs. A key is struct(doc, t): the smallest id and text."""
     spark = docs.sparkSession
     n = parts(spark)
     frequent = word_levels(docs)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = saved(own.mapInArrow(_prefixes(n, frequent), ROWS), "signature-prefixes")
-    each = rows.where("part is null").select("doc_id", "n_shingles", "class")
+    own = identified(docs.select("doc_id", "text"))
+    rows = saved(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__t").alias("t"), "text").mapInArrow(settled(_prefixes(n, frequent)), ROWS), "signature-prefixes")
+    each = rows.where("part is null").select("doc_id", "t", "n_shingles", "class")
     blocks = rows.where("part is not null").select("part", "tokens", "classes").repartition(n, "part")
-    groups = saved(blocks.mapInArrow(_groups, "group long, class long").distinct(), "signature-groups")
+    groups = saved(blocks.mapInArrow(settled(_groups), "group long, class long").distinct(), "signature-groups")
     maps = rows.where("bitmap is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
     ties = tasks(groups, "group", chunk).join(maps, "class").repartition(n, "task").sortWithinPartitions("task").select("task", "class", "n", "bitmap")
-    candidates = components(ties.mapInArrow(_ties, "a long, b long"), "signature-ties").select("root", F.col("node").alias("class"))
-    class_ids = each.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    asked = tasks(candidates, "root", chunk).join(class_ids, "class").select("class", F.col("class_id").alias("doc_id"), "task")
+    candidates = components(ties.mapInArrow(settled(_ties), "a long, b long"), "signature-ties").select("root", F.col("node").alias("class"))
+    key = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.col("t").alias("t"))
+    keys = each.where("class is not null").groupBy("class").agg(F.min(key).alias("class_key"), F.first("n_shingles").alias("n"))
+    asked = tasks(candidates, "root", chunk).join(keys, "class").select("class", "n", F.col("class_key.doc").alias("__doc"), F.col("class_key.t").alias("__t"), "task")
     # by merge at any size: the plan is to be the same for small tables and large ones
-    texts = own.join(asked.hint("merge"), "doc_id").select("task", "class", "text")
-    links = texts.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_linked(frequent), "a long, b long")
+    texts = own.join(asked.hint("merge"), ["__doc", "__t"]).select("task", "class", "n", "text")
+    links = texts.repartition(n, "task").sortWithinPartitions("task").mapInArrow(settled(_linked(frequent)), "a long, b long")
     linked = components(links, "signature-links").withColumnRenamed("node", "class")
-    known = linked.join(class_ids, "class")
-    low = known.groupBy("root").agg(F.min("class_id").alias("low"))
-    by_class = class_ids.join(known.join(low, "root").select("class", "low"), "class", "left").select("class", "class_id", F.coalesce("low", "class_id").alias("component_id"))
-    return each.join(by_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = linked.join(keys, "class")
+    low = known.groupBy("root").agg(F.min("class_key").alias("low"))
+    by_class = keys.join(known.join(low, "root").select("class", "low"), "class", "left").select("class", "class_key", F.coalesce("low", "class_key").alias("component_key"))
+    out = each.join(by_class, "class", "left")
+    return out.select("doc_id", "t", "n_shingles", "class", F.coalesce("class_key", key).alias("class_key"), F.coalesce("component_key", key).alias("component_key"))
+
+
+def joined(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id; a row for each row of docs."""
+    named = lambda c: F.when(F.col(c)["doc"] != LAST_ID, F.col(c)["doc"])
+    return classified(docs, chunk).select("doc_id", "n_shingles", named("class_key").alias("class_id"), named("component_key").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have the smallest id of their component, once each; with all columns."""
-    kept = joined(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of docs for each component, that of the smallest id, with all columns; documents without words stay, the same row but once."""
+    kept = classified(docs).select(F.col("component_key.doc").alias("__doc"), F.col("component_key.t").alias("__t")).distinct()
+    rows = identified(docs).join(kept.hint("merge"), ["__doc", "__t"], "left_semi")
+    return rows.dropDuplicates(["__doc", "__t"]).select(*docs.columns)
 
 
 def oracle() -> str:

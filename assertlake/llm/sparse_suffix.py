@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from assertlake.llm.common import LOWER, SPACED, Words, mix, ngram_hashes, parts, ranges, saved, slices
+from assertlake.llm.common import LOWER, SPACED, Words, mix, ngram_hashes, parts, ranges, saved, settled, slices
 
 MIN_WORDS = 50
 GRAM = 16
@@ -193,7 +193,7 @@ def duplicate_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     first that does. Spans that are not removed are those from which others are."""
     spark = docs.sparkSession
     own = texts(docs)
-    rows = saved(own.mapInArrow(_minimisers, "t long, doc long, n long, gram long, pos long"), "suffix-anchors")
+    rows = saved(own.mapInArrow(settled(_minimisers), "t long, doc long, n long, gram long, pos long"), "suffix-anchors")
     each = rows.where("gram is null").select("t", "doc", "n").where(F.col("n") >= MIN_WORDS)
     firsts = each.groupBy("t").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("n").alias("n"))
     grams = rows.where("gram is not null").select("t", "gram", "pos")
@@ -202,12 +202,12 @@ def duplicate_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     retained = grams.join(shared, "gram").groupBy("t").agg(of(False).alias("places"), of(True).alias("hot_places"))
     asked = retained.join(firsts.select("t", F.col("first").alias("doc")), "t")
     # by merge at any size: the plan is to be the same for small tables and large ones
-    made = saved(own.join(asked.hint("merge"), ["t", "doc"]).select("t", "doc", "text", "places", "hot_places").mapInArrow(_contexts, CONTEXTS), "suffix-contexts")
+    made = saved(own.join(asked.hint("merge"), ["t", "doc"]).select("t", "doc", "text", "places", "hot_places").mapInArrow(settled(_contexts), CONTEXTS), "suffix-contexts")
     suffixes = made.where("window is null").drop("window").repartition(parts(spark), "gram").sortWithinPartitions("gram")
     windows = made.where("window is not null").select("t", "doc", "window", "pos").distinct()
     holders = windows.groupBy("window").agg(F.min(F.struct("doc", "t")).alias("holder"), F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("window", "holder")
     hot_spans = windows.join(holders, "window").select("t", "doc", F.col("pos").alias("start"), (F.col("pos") + MIN_WORDS).alias("end"), (F.col("t") != F.col("holder.t")).alias("removed"), F.col("holder.doc").alias("source"))
-    found = suffixes.mapInArrow(_sorted_suffixes, SPANS).unionByName(hot_spans)
+    found = suffixes.mapInArrow(settled(_sorted_suffixes), SPANS).unionByName(hot_spans)
     order = W.partitionBy("t", "removed").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     islands = found.withColumn("new", F.when(F.coalesce(reach < F.col("start"), F.lit(True)), 1).otherwise(0)).withColumn("island", F.sum("new").over(order))
@@ -250,5 +250,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     keys = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__doc"))
     rows = keys.join(removed, ["__t", "__doc"], "left").select(*docs.columns, "__spans")
     schema = T.StructType([*docs.schema.fields, T.StructField("__cut", T.BooleanType())])
-    out = rows.withColumn("__cut", F.col("__spans").isNotNull()).mapInArrow(_cut([*docs.columns, "__cut"]), schema)
+    out = rows.withColumn("__cut", F.col("__spans").isNotNull()).mapInArrow(settled(_cut([*docs.columns, "__cut"])), schema)
     return out.where(~F.col("__cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__cut")
