@@ -41,7 +41,7 @@ RULES = (
     Rule("mean_word_chars", low=2.0, high=12.0),
     Rule("symbol_ratio", high=0.1),
     Rule("stop_word_ratio", low=0.02, min_words=50),
-    Rule("dup_line_ratio", high=0.3),
+    Rule("dup_line_ratio", high=0.5),
     Rule("upper_ratio", high=0.4),
     Rule("shout_ratio", high=0.1),
     Rule("distinct_word_ratio", low=0.1, min_words=50),
