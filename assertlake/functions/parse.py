@@ -170,13 +170,21 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(squeezed(c), F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it in a function of array elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def token_similarity(a: Column | str, b: Column | str) -> Column:
     """1 - edit distance over tokens / the longer's tokens; 0 if either is empty. Each distinct token stands as a code point of the private planes."""
-    x, y = tokens(a), tokens(b)
-    known = F.array_distinct(F.concat(x, y))
     # planes 15 and 16 are private: room for 131068 distinct tokens
-    point = lambda t: F.array_position(known, t).cast("int") + 0xF0000 - 1
-    coded = lambda ts: F.decode(F.unhex(F.array_join(F.transform(ts, lambda t: F.lpad(F.hex(point(t)), 8, "0")), "")), "UTF-32")
-    longer = F.greatest(F.size(x), F.size(y))
-    score = F.greatest(F.lit(0.0), 1.0 - F.levenshtein(coded(x), coded(y)) / longer)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), score).otherwise(0.0)
+    point = lambda known, t: F.array_position(known, t).cast("int") + 0xF0000 - 1
+    coded = lambda known, ts: F.decode(F.unhex(F.array_join(F.transform(ts, lambda t: F.lpad(F.hex(point(known, t)), 8, "0")), "")), "UTF-32")
+
+    def score(p: Column) -> Column:
+        longer = F.greatest(F.size(p["x"]), F.size(p["y"]))
+        near = F.greatest(F.lit(0.0), 1.0 - F.levenshtein(coded(p["known"], p["x"]), coded(p["known"], p["y"])) / longer)
+        return F.when((F.size(p["x"]) > 0) & (F.size(p["y"]) > 0), near).otherwise(0.0)
+
+    pair = lambda p: let(F.struct(p["x"].alias("x"), p["y"].alias("y"), F.array_distinct(F.concat(p["x"], p["y"])).alias("known")), score)
+    return let(F.struct(tokens(a).alias("x"), tokens(b).alias("y")), pair)

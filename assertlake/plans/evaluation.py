@@ -295,7 +295,10 @@ def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each assertion against the one of its customer with the smallest id."""
     a = assertions(spark, sf_dir)
     ref = a.groupBy("customer").agg(F.min_by("sva", "id").alias("ref"))
-    return a.join(ref, "customer").select("id", F.round(parse.token_similarity("sva", "ref"), 6).alias("similarity"))
+    rows = a.join(ref, "customer").select("id", "sva", "ref")
+    # each different pair of texts is compared once
+    scores = rows.select("sva", "ref").distinct().withColumn("similarity", F.round(parse.token_similarity("sva", "ref"), 6))
+    return rows.join(scores, ["sva", "ref"]).select("id", "similarity")
 
 
 @query(f"""WITH d AS (SELECT doc_id, lang, {sql_strip("text")} AS x FROM documents)
