@@ -221,3 +221,10 @@ def collected(rows: DataFrame, key: str, rank: str, order: str, value: str, same
     )["values"]
     refs = F.concat(F.array("__first"), F.filter(distinct, lambda v: v != F.col("__first")))
     return out.select(key, refs.alias("refs"), (F.size(refs) - 1).alias("n_extra"))
+
+
+def required(df: DataFrame, look: DataFrame, on: str, values: list[str]) -> DataFrame:
+    """df with values looked up by a unique key; a key without a row is an error when the result is read."""
+    right = look.select(on, F.struct(*values).alias("__v"))
+    found = F.when(F.col("__v").isNull(), F.raise_error(F.concat(F.lit(f"no row for {on} "), F.col(on).cast("string")))).otherwise(F.col("__v"))
+    return df.join(right, on, "left").withColumn("__v", found).select(*df.columns, *(F.col("__v")[c].alias(c) for c in values))

@@ -137,3 +137,30 @@ def transitions(rows: DataFrame, trace: list[str], cycle: str, value: str) -> Da
     out = rows.withColumn("__before", F.lag(value).over(w)).where(F.col("__before").isNotNull() & (F.col("__before") != F.col(value)))
     kind = F.when((F.col("__before") == 0), "rising").when(F.col(value) == 0, "falling").otherwise("change")
     return out.select(*trace, cycle, kind.alias("kind"))
+
+
+def evaluable(tasks: DataFrame, verdicts: DataFrame, on: str, default: bool) -> DataFrame:
+    """tasks with evaluable: whether the reference is equivalent to itself; default where it was not checked."""
+    known = verdicts.select(on, (F.col("verdict") == "EQUIVALENT").alias("__e"))
+    return tasks.join(known, on, "left").select(*tasks.columns, F.coalesce("__e", F.lit(default)).alias("evaluable"))
+
+
+def contingency(left: DataFrame, right: DataFrame, on: str, flag: str) -> DataFrame:
+    """Counts of both, only_left, only_right and neither over the keys of both sides."""
+    a, b = left.select(on, F.col(flag).alias("__a")), right.select(on, F.col(flag).alias("__b"))
+    x, y = F.col("__a"), F.col("__b")
+    return a.join(b, on).agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_left"), F.count_if(~x & y).alias("only_right"), F.count_if(~x & ~y).alias("neither"))
+
+
+def roll_up(rows: DataFrame, level: str, columns: list[str]) -> DataFrame:
+    """Sums by class of levels."""
+    from assertlake.functions.classify import temporal_class
+
+    return rows.groupBy(temporal_class(F.col(level)).alias("class")).agg(*(F.sum(c).alias(c) for c in columns))
+
+
+def mutation_deltas(rows: DataFrame, kind: str, reward: str, golden: str = "golden") -> DataFrame:
+    """(kind, mean, delta): each mutation's mean reward and how far it is below the golden one's."""
+    means = rows.groupBy(kind).agg(F.avg(reward).alias("mean"))
+    top = means.where(F.col(kind) == golden).select(F.col("mean").alias("__g"), F.lit(1).alias("__k"))
+    return means.withColumn("__k", F.lit(1)).join(top, "__k").select(kind, "mean", (F.col("__g") - F.col("mean")).alias("delta"))

@@ -319,3 +319,36 @@ def training_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = assertions(spark, sf_dir).select(F.col("id").cast("string").alias("rtl_context"), F.col("sva").alias("reference_sva"), nl.alias("nl"), (i % 5).cast("int").alias("expected_tcl"), F.lit("m").alias("module_name"))
     rows = training_rows(pool, "system")
     return rows.select(F.col("rtl_context").cast("long").alias("id"), F.col("prompt")[1]["content"].alias("content"), F.size("ref_svas").alias("n_refs"), "tier")
+
+
+@query(f"""WITH a AS (SELECT task, bool_or(verdict = 'EQUIVALENT') AS f FROM {CANDIDATES} WHERE cand <= 3 GROUP BY task), b AS (SELECT task, bool_or(verdict = 'EQUIVALENT') AS f FROM {CANDIDATES} WHERE cand > 3 GROUP BY task)
+SELECT count(*) FILTER (a.f AND b.f) AS both, count(*) FILTER (a.f AND NOT b.f) AS only_left, count(*) FILTER (NOT a.f AND b.f) AS only_right, count(*) FILTER (NOT a.f AND NOT b.f) AS neither FROM a JOIN b USING (task)""")
+def solved_contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = candidates(spark, sf_dir)
+    any_ = lambda rows: rows.groupBy("task").agg(F.bool_or(F.col("verdict") == "EQUIVALENT").alias("f"))
+    return evaluate.contingency(any_(c.where("cand <= 3")), any_(c.where("cand > 3")), "task", "f")
+
+
+@query(f"SELECT CASE tcl WHEN 1 THEN 'C1' WHEN 5 THEN 'C3' ELSE 'C2' END AS class, sum(n)::BIGINT AS n, sum(strict)::BIGINT AS strict FROM {_TASKS} GROUP BY 1")
+def class_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.roll_up(_tasks(spark, sf_dir), "tcl", ["n", "strict"])
+
+
+@query("SELECT o_orderkey, o_custkey, c_name, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey")
+def required_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    look = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    return curate.required(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), look, "o_custkey", ["c_name", "c_nationkey"])
+
+
+@query("SELECT d.doc_id, coalesce(l.quality = 1, true) AS evaluable FROM documents d LEFT JOIN labels l USING (doc_id)")
+def evaluable_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "EQUIVALENT").otherwise("NOT_EQUIVALENT").alias("verdict"))
+    return evaluate.evaluable(table(spark, sf_dir, "documents").select("doc_id"), known, "doc_id", True)
+
+
+@query(f"""WITH r AS (SELECT CASE cand % 3 WHEN 0 THEN 'golden' WHEN 1 THEN 'swap' ELSE 'flip' END AS kind, ({_REWARD})::DOUBLE AS r FROM {CANDIDATES}), m AS (SELECT kind, avg(r) AS mean FROM r GROUP BY kind)
+SELECT kind, round(mean, 9) AS mean, round((SELECT mean FROM m WHERE kind = 'golden') - mean, 9) AS delta FROM m""")
+def mutation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("cand") % 3 == 0, "golden").when(F.col("cand") % 3 == 1, "swap").otherwise("flip")
+    rows = candidates(spark, sf_dir).select(kind.alias("kind"), rewards.equivalence(F.col("verdict"), F.lit(True), F.lit(True)).alias("reward"))
+    return evaluate.mutation_deltas(rows, "kind", "reward").select("kind", F.round("mean", 9).alias("mean"), F.round("delta", 9).alias("delta"))

@@ -44,3 +44,26 @@ def canonical(df: DataFrame, source: str | Column) -> DataFrame:
     tcl = F.coalesce(F.nullif(F.col("expected_tcl").try_cast("int"), F.lit(0)), level_merge("reference_sva"))
     id_ = F.coalesce(F.nullif("id", F.lit("")), F.concat_ws("_", F.substring("source", 1, 8), "hash"))
     return rows.select(id_.alias("id"), "source", strip("nl").alias("nl"), "reference_sva", strip("rtl_context").alias("rtl_context"), tcl.alias("expected_tcl"), "hash", "nl_filled_by")
+
+
+def hardware_dataset(df: DataFrame, split: str = "train") -> DataFrame:
+    """Records (name, specification, sva, rtl_code, clk, reset, reset_polarity, signals) as unified ones, with a class; those without a usable description or context go."""
+    from assertlake.functions.classify import level, temporal_class
+    from assertlake.functions.keys import body_hash, strip
+    from assertlake.functions.predicates import has_rtl, real_nl
+
+    rows = df.where(real_nl("specification", "usable") & has_rtl("rtl_code") & (strip("sva") != ""))
+    tcl = level("sva")
+    return rows.select(
+        F.concat(F.lit("codev_"), body_hash("sva")).alias("id"), F.lit("codev").alias("source"), strip("specification").alias("nl"), strip("sva").alias("reference_sva"), F.col("rtl_code").alias("rtl_context"),
+        tcl.alias("expected_tcl"), temporal_class(tcl).alias("temporal_class"), F.lit(split).alias("split"), body_hash("sva").alias("hash"), "clk", "reset", "reset_polarity", "signals",
+    )
+
+
+def with_context(df: DataFrame, sva: str = "reference_sva", rtl: str = "rtl_context") -> DataFrame:
+    """Records without a module get one with the assertion's identifiers as inputs; made says which. Only they reach Python."""
+    from assertlake.functions.predicates import has_module
+    from assertlake.functions.rewrite import free_inputs
+
+    own, none = df.where(has_module(rtl)), df.where(~has_module(rtl))
+    return own.withColumn("made", F.lit(False)).unionByName(none.withColumn(rtl, free_inputs(sva)).withColumn("made", F.lit(True)))

@@ -48,3 +48,12 @@ def manifest(path: str, **frames: DataFrame) -> DataFrame:
 def registry(df: DataFrame, key: str, path: str) -> None:
     """The distinct keys of a test set."""
     df.select(key).where(F.coalesce(key, F.lit("")) != "").distinct().write.mode("overwrite").parquet(path)
+
+
+def metrics(path: str):
+    """A foreachBatch function that appends metric rows as tab-separated lines."""
+
+    def append(rows: DataFrame, _batch: int) -> None:
+        rows.coalesce(1).write.mode("append").option("sep", "\t").csv(path)  # a few rows a batch
+
+    return append

@@ -142,3 +142,23 @@ def test_modules_and_bundles(spark):
     assert sorted(tuple(r) for r in extract.modules(files).collect()) == [("f", 1, 3, "a"), ("f", 4, 5, "b")]
     parts = spark.createDataFrame([("r", i, "`include \"x\"\n" + "y" * 10) for i in range(5)], "repo string, n int, text string")
     assert extract.bundle(parts, ["n"], most_bytes=60).first().text == "\n".join(["y" * 10] * 2)
+
+
+def test_two_arms_contexts_and_required(spark, tmp_path):
+    from assertlake.functions import rewrite
+
+    text = rewrite.two_arm("module m(input clk, a, b);\nendmodule", "assert property (@(posedge clk) a |=> b);", "assert property (@(posedge clk) a === b);", "rst")
+    assert "assume (" in text and "assert (" in text and text.count("!(rst)") == 2 and "===" not in text
+    assert rewrite.two_arm("module m;\nendmodule", "assert property (s_eventually a);", "assert property (a);") is None
+    df = spark.createDataFrame([("assert property (q);", ""), ("assert property (q);", "module m; endmodule")], "reference_sva string, rtl_context string")
+    got = {r.made: r.rtl_context for r in schemas.with_context(df).collect()}
+    assert "input logic [31:0] q" in got[True] and got[False] == "module m; endmodule"
+    raw = spark.createDataFrame([("n", "a long specification", "assert property (a |-> b);", "module m; endmodule", "clk", "r", True, ["a"]), ("n", "x", "s", "", "c", "r", True, [])], "name string, specification string, sva string, rtl_code string, clk string, reset string, reset_polarity boolean, signals array<string>")
+    assert [(r.expected_tcl, r.temporal_class) for r in schemas.hardware_dataset(raw).collect()] == [(4, "C2")]
+    look = spark.createDataFrame([(1, "x")], "k int, v string")
+    assert curate.required(spark.createDataFrame([(1,)], "k int"), look, "k", ["v"]).first().v == "x"
+    with pytest.raises(Exception, match="no row for k"):
+        curate.required(spark.createDataFrame([(2,)], "k int"), look, "k", ["v"]).collect()
+    sinks.metrics(str(tmp_path / "tsv"))(look, 0)
+    sinks.metrics(str(tmp_path / "tsv"))(look, 1)
+    assert spark.read.option("sep", "\t").csv(str(tmp_path / "tsv")).count() == 2
