@@ -51,6 +51,7 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_sparse_suffix_dedup, op2_katz_scores, op3_mil_quality, op4_quality_rules, op5_hash_tree_sharding, op6_cost_balanced_packing, op7_signature_tree_join, op8_wrapper_extraction, op9_url_rules, op10_fm_decontamination)}
 
 ORACLE_SQL = {
+    "op1_sparse_suffix_dedup": sparse_suffix.oracle(),
     "op4_quality_rules": rule_filter.oracle(),
     "op5_hash_tree_sharding": tree_shard.oracle(),
     "op7_signature_tree_join": signature_join.oracle(),

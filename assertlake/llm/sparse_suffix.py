@@ -8,9 +8,13 @@ passage the first document's copy stays. Words are compared with A-Z in lower ca
 2. Suffix arrays. Retained suffixes with their context go to tasks by k-gram, are sorted, and neighbours compared: the common prefix
    of neighbours bounds classes of equal right sides. Matches are extended to the left word by word, which splits the classes. In each class of a
    whole window the first document keeps it.
-3. A k-gram on more than HOT rows is not sorted in one task: its windows are hashed, aggregated with map-side combining, and joined back.
+3. A k-gram on more than HOT places is not sorted in one task: its windows are hashed, and their holders found from what each batch has
+   aggregated; the windows themselves then stream past.
 4. Windows merge into spans.
 
+Tasks exchange blocks (arrays for a range of hashes). Where a key can be frequent, small blocks of each batch's distinct keys come first and tell
+which keys matter; the full blocks follow and are read one by one, so a frequent key fills no task's memory.
+
 Texts that are equal as a whole are one text, held by the smallest id; the other ids are copies, removed whole where they have MIN_WORDS words.
 Words are compared by 32-bit hashes within a common k-gram of 64 bits; texts are known by a 64-bit hash.
 
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from assertlake.llm.common import LOWER, SPACED, Words, mix, ngram_hashes, parts, ranges, saved, settled, slices
 
@@ -54,76 +58,191 @@ def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return grams, starts, (least[starts] & PLACE).astype(np.int64)
 
 
-def _minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, doc, n, null, null) for each text, and (t, null, null, gram, pos) for each of its anchors."""
-    names = ["t", "doc", "n", "gram", "pos"]
-    for batch in batches:
-        for i, j, data, offsets in slices(batch.column("text")):
-            words = Words(LOWER[data], offsets, SPACED)
-            t = batch.column("t").slice(i, j - i)
-            none = pa.nulls(j - i, pa.int64())
-            yield pa.RecordBatch.from_arrays([t, batch.column("doc").slice(i, j - i), pa.array(np.diff(words.first)), none, none], names)
-            grams, _, at = anchors(words.hashes(), words.first)
-            at = np.unique(at)
-            doc = np.searchsorted(words.first, at, "right") - 1
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([t.take(pa.array(doc)), none, none, pa.array(grams[at].view(np.int64)), pa.array(at - words.first[doc])], names)
+BLOCKS = "part int, kind int, t long, doc long, n long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
+#: Kinds of rows: a text; keys of a batch with what it aggregates; the batch's arrays; suffixes with context.
+TEXT, KEYS, FULL, SUFFIXES = range(4)
+
 
+def block_rows(records: list[tuple]) -> pa.RecordBatch:
+    """(part, kind, arrays) as rows."""
+    blobs = [[(r[2][k].tobytes() if k < len(r[2]) else None) for r in records] for k in range(7)]
+    none = pa.nulls(len(records), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in records], pa.int32()), pa.array([r[1] for r in records], pa.int32()), none, none, none, *(pa.array(x, pa.binary()) for x in blobs)], NAMES)
 
-CONTEXTS = "gram long, t long, doc long, pos long, least long, most long, context binary, window long"
 
+def dealt(keys: np.ndarray, n_parts: int, kind: int, arrays: list[np.ndarray]) -> list[tuple]:
+    """The arrays by part of the keys' hash."""
+    part = (mix(keys.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(n_parts + 1))
+    return [(p, kind, [x[order[cut[p] : cut[p + 1]]] for x in arrays]) for p in range(n_parts) if cut[p] < cut[p + 1]]
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (t, doc, text, places and hot places of retained anchors) -> the suffixes at places with their context, and for hot places
-    the windows that they anchor: window is their hash, pos where they start."""
-    names = [x.split()[0] for x in CONTEXTS.split(", ")]
+
+def by_part(batches: Iterator[pa.RecordBatch], dtypes: dict[int, list]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(part, kind, arrays) of blocks one by one; rows come sorted by part and kind."""
     for batch in batches:
-        for i, j, data, offsets in slices(batch.column("text")):
-            words = Words(LOWER[data], offsets, SPACED)
-            h, first = words.hashes(), words.first
-            grams, starts, at = anchors(h, first)
-            if not len(at):
+        for i in range(batch.num_rows):
+            kind = batch.column("kind")[i].as_py()
+            yield batch.column("part")[i].as_py(), kind, [np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in zip("abcdefg", dtypes[kind])]
+
+
+def _anchors(n_parts: int):
+    """A row for each text, and blocks of its anchors: distinct k-grams with their least and greatest text and their number, then all places."""
+
+    def blocks(held: list[tuple]) -> pa.RecordBatch:
+        gram, t, pos = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(gram, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]]))
+        own = t[order]
+        keys = [gram[order][first], np.minimum.reduceat(own, first), np.maximum.reduceat(own, first), np.diff(np.append(first, len(own)))]
+        return block_rows(dealt(keys[0], n_parts, KEYS, keys) + dealt(gram, n_parts, FULL, [gram, t, pos]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for i, j, data, offsets in slices(batch.column("text")):
+                words = Words(LOWER[data], offsets, SPACED)
+                t, n = batch.column("t").slice(i, j - i), j - i
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(np.zeros(n, np.int32)), t, batch.column("doc").slice(i, n), pa.array(np.diff(words.first)), *(pa.nulls(n, pa.binary()) for _ in range(7))], NAMES)
+                grams, _, at = anchors(words.hashes(), words.first)
+                at = np.unique(at)
+                if not len(at):
+                    continue
+                doc = np.searchsorted(words.first, at, "right") - 1
+                held.append((grams[at].view(np.int64), t.to_numpy()[doc], at - words.first[doc]))
+                size += len(at)
+                if size > 500_000:
+                    yield blocks(held)
+                    held, size = [], 0
+        if size:
+            yield blocks(held)
+
+    return run
+
+
+def _retained(n_parts: int, hot: int):
+    """The places whose k-gram several texts have, in blocks by text: t, place, whether the k-gram is frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, keys, known = None, [], None
+        for p, kind, arrays in by_part(batches, {KEYS: [np.int64] * 4, FULL: [np.int64] * 3}):
+            if p != part:
+                part, keys, known = p, [], None
+            if kind == KEYS:
+                keys.append(arrays)
                 continue
-            t, ids = batch.column("t").slice(i, j - i), batch.column("doc").slice(i, j - i)
-            run_first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            run_last = np.append(run_first[1:], len(at)) - 1
-
-            def asked(column: str, first=first, at=at, run_first=run_first, i=i, j=j, batch=batch) -> np.ndarray:
-                own = batch.column(column).slice(i, j - i)
-                return np.isin(at[run_first], own.flatten().to_numpy() + np.repeat(first[:-1], np.diff(own.offsets.to_numpy())))
-
-            on = asked("places")
-            place = at[run_first[on]]
-            doc = np.searchsorted(first, place, "right") - 1
-            near = np.clip(place[:, None] + np.arange(-(SPREAD - 1), MIN_WORDS), 0, len(h) - 1)
-            context = np.ascontiguousarray(h.astype(np.uint32)[near])
-            blob = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer((np.arange(len(place) + 1) * 4 * CONTEXT).astype(np.int32)), pa.py_buffer(context.tobytes())])
-            columns = [pa.array(grams[place].view(np.int64)), t.take(pa.array(doc)), ids.take(pa.array(doc)), pa.array(place - first[doc]), pa.array(place - starts[run_last[on]]), pa.array(place - starts[run_first[on]]), blob, pa.nulls(len(place), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names)
-            on = asked("hot_places")
-            count = (run_last - run_first + 1)[on]
-            begin = starts[ranges(run_first[on], count)]
-            doc = np.searchsorted(first, begin, "right") - 1
-            none = pa.nulls(len(begin), pa.int64())
-            columns = [none, t.take(pa.array(doc)), ids.take(pa.array(doc)), pa.array(begin - first[doc]), none, none, pa.nulls(len(begin), pa.binary()), pa.array(ngram_hashes(h, MIN_WORDS)[begin].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            if known is None:
+                gram, low, high, n = (np.concatenate(x) for x in zip(*keys))
+                order = np.argsort(gram, kind="stable")
+                gram, low, high, n = (x[order] for x in (gram, low, high, n))
+                first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+                shared = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)
+                known, frequent, keys = gram[first][shared], (np.add.reduceat(n, first) > hot)[shared], []
+            gram, t, pos = arrays
+            at = np.searchsorted(known, gram)
+            at[at == len(known)] = 0
+            on = known[at] == gram if len(known) else np.zeros(len(gram), bool)
+            if on.any():
+                yield block_rows(dealt(t[on], n_parts, FULL, [t[on], pos[on], frequent[at[on]].astype(np.int64)]))
 
+    return run
 
-SPANS = "t long, doc long, start long, end long, removed boolean, source long"
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, places, hot places), each once, for each text with retained anchors."""
+    part, held = None, []
+
+    def flush() -> pa.RecordBatch:
+        t, pos, hot = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((pos, t))
+        t, pos, hot = t[order], pos[order], hot[order]
+        once = np.concatenate([[True], (t[1:] != t[:-1]) | (pos[1:] != pos[:-1])])
+        t, pos, hot = t[once], pos[once], hot[once]
+        texts_ = t[np.concatenate([[True], t[1:] != t[:-1]])]
+        lists = [pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(t[hot == k], texts_), np.count_nonzero(hot == k)).astype(np.int32)), pa.array(pos[hot == k])) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(texts_), *lists], ["t", "places", "hot_places"])
+
+    for p, _, arrays in by_part(batches, {FULL: [np.int64] * 3}):
+        if p != part and held:
+            yield flush()
+            held = []
+        part = p
+        held.append(arrays)
+    if held:
+        yield flush()
+
+
+def _contexts(n_parts: int):
+    """Rows (t, doc, text, places and hot places of retained anchors) -> blocks of suffixes with their context, by k-gram; and for hot places the
+    windows that they anchor, by the windows' hash: first the distinct ones with their first holder and texts, then all."""
+
+    def blocks(suffixes: list[tuple], windows: list[tuple]) -> pa.RecordBatch:
+        out = []
+        if suffixes:
+            arrays = [np.concatenate(x) for x in zip(*suffixes)]
+            out += dealt(arrays[0], n_parts, SUFFIXES, arrays)
+        if windows:
+            window, t, doc, start = (np.concatenate(x) for x in zip(*windows))
+            order = np.lexsort((t, doc, window))
+            w, own = window[order], t[order]
+            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            keys = [w[first], doc[order][first], own[first], np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)]
+            out += dealt(keys[0], n_parts, KEYS, keys) + dealt(window, n_parts, FULL, [window, t, doc, start])
+        return block_rows(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        suffixes, windows, size = [], [], 0
+        for batch in batches:
+            for i, j, data, offsets in slices(batch.column("text")):
+                words = Words(LOWER[data], offsets, SPACED)
+                h, first = words.hashes(), words.first
+                grams, starts, at = anchors(h, first)
+                if not len(at):
+                    continue
+                t, ids = (batch.column(c).slice(i, j - i).to_numpy() for c in ("t", "doc"))
+                run_first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                run_last = np.append(run_first[1:], len(at)) - 1
+
+                def asked(column: str, first=first, at=at, run_first=run_first, i=i, j=j, batch=batch) -> np.ndarray:
+                    own = batch.column(column).slice(i, j - i)
+                    return np.isin(at[run_first], own.flatten().to_numpy() + np.repeat(first[:-1], np.diff(own.offsets.to_numpy())))
+
+                on = asked("places")
+                if on.any():
+                    place = at[run_first[on]]
+                    doc = np.searchsorted(first, place, "right") - 1
+                    near = np.clip(place[:, None] + np.arange(-(SPREAD - 1), MIN_WORDS), 0, len(h) - 1)
+                    suffixes.append((grams[place].view(np.int64), t[doc], ids[doc], place - first[doc], place - starts[run_last[on]], place - starts[run_first[on]], h.astype(np.uint32)[near]))
+                    size += 10 * len(place)
+                on = asked("hot_places")
+                if on.any():
+                    begin = starts[ranges(run_first[on], (run_last - run_first + 1)[on])]
+                    doc = np.searchsorted(first, begin, "right") - 1
+                    windows.append((ngram_hashes(h, MIN_WORDS)[begin].view(np.int64), t[doc], ids[doc], begin - first[doc]))
+                    size += len(begin)
+                if size > 500_000:
+                    yield blocks(suffixes, windows)
+                    suffixes, windows, size = [], [], 0
+        if size:
+            yield blocks(suffixes, windows)
 
-def spans(t: np.ndarray, doc: np.ndarray, start: np.ndarray, removed: np.ndarray, source: np.ndarray) -> pa.RecordBatch:
-    """Windows that overlap or touch become one span with the smallest source."""
+    return run
+
+
+def spans(t: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, removed: np.ndarray, source: np.ndarray) -> list[np.ndarray]:
+    """Spans that overlap or touch become one with the smallest source, removed ones and others apart."""
     order = np.lexsort((start, removed, t))
-    t, doc, start, removed, source = (x[order] for x in (t, doc, start, removed, source))
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (removed[1:] != removed[:-1]) | (start[1:] > start[:-1] + MIN_WORDS)
-    at = np.flatnonzero(new)
-    end = start[np.append(at[1:], len(t)) - 1] + MIN_WORDS
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (t[at], doc[at], start[at], end, removed[at], np.minimum.reduceat(source, at) if len(at) else source)], [x.split()[0] for x in SPANS.split(", ")])
+    t, doc, start, end, removed, source = (x[order] for x in (t, doc, start, end, removed, source))
+    group = np.cumsum(np.concatenate([[0], (t[1:] != t[:-1]) | (removed[1:] != removed[:-1])]))
+    wide = int(end.max()) + 2 if len(end) else 1
+    reach = np.maximum.accumulate(group * wide + end)
+    at = np.flatnonzero(np.concatenate([[True], group[1:] * wide + start[1:] > reach[:-1]]))
+    last = np.append(at[1:], len(t)) - 1
+    return [t[at], doc[at], start[at], reach[last] - group[last] * wide, removed[at], np.minimum.reduceat(source, at)]
 
 
-def repeated(gram: np.ndarray, t: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: np.ndarray, most: np.ndarray, context: np.ndarray) -> pa.RecordBatch | None:
+def repeated(gram: np.ndarray, t: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: np.ndarray, most: np.ndarray, context: np.ndarray) -> list[np.ndarray] | None:
     """The suffix array of retained suffixes, and the spans of the windows that several texts hold."""
     left, right = context[:, SPREAD - 2 :: -1], context[:, SPREAD - 1 :]
     key = np.concatenate([gram.view(np.uint64).astype(">u8")[:, None].view(np.uint8), np.ascontiguousarray(right).astype(">u4").view(np.uint8)], axis=1)
@@ -153,34 +272,83 @@ def repeated(gram: np.ndarray, t: np.ndarray, doc: np.ndarray, pos: np.ndarray,
         several = np.repeat(np.maximum.reduceat(t[on] != t[holder], first), size)
         on, holder = on[several], holder[several]
         if len(on):
-            out.append((t[on], doc[on], pos[on] - o, t[on] != t[holder], doc[holder]))
+            out.append((t[on], doc[on], pos[on] - o, pos[on] - o + MIN_WORDS, (t[on] != t[holder]).astype(np.int64), doc[holder]))
     return spans(*(np.concatenate(x) for x in zip(*out))) if out else None
 
 
-def _sorted_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by k-gram; a k-gram's rows are together."""
-    held: list[list[np.ndarray]] = []
-    n = 0
+def _repeats(n_parts: int):
+    """Span blocks by text, of the windows that several texts hold."""
 
-    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-        blob = batch.column("context")
-        data = np.frombuffer(blob.buffers()[2], np.uint32) if len(blob) else np.zeros(0, np.uint32)
-        at = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset] // 4 if len(blob) else 0
-        context = data[at : at + len(blob) * CONTEXT].reshape(-1, CONTEXT).copy()
-        return [*(batch.column(c).to_numpy() for c in ("gram", "t", "doc", "pos", "least", "most")), context]
-
-    for batch in batches:
-        held.append(columns(batch))
-        n += batch.num_rows
-        if n < HOT:
-            continue
+    def sorted_out(held: list[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
         whole = [np.concatenate(x) for x in zip(*held)]
-        cut = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1 if whole[0][0] != whole[0][-1] else 0
-        if cut and (out := repeated(*(x[:cut] for x in whole))) is not None:
-            yield out
-        held, n = [[x[cut:] for x in whole]], len(whole[0]) - cut
-    if n and (out := repeated(*(np.concatenate(x) for x in zip(*held)))) is not None:
-        yield out
+        order = np.argsort(whole[0], kind="stable")
+        gram = whole[0][order]
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        begin = 0
+        for end in [*first[1:][np.diff(first // HOT) > 0].tolist(), len(gram)]:  # whole k-grams, about HOT rows at a time
+            if begin < end and (out := repeated(*(x[order[begin:end]] for x in whole))) is not None:
+                yield out
+            begin = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, keys, known = None, [], [], None
+        send = lambda out: block_rows(dealt(out[0], n_parts, FULL, out))
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if held:
+                for out in sorted_out(held):
+                    yield send(out)
+
+        for p, kind, arrays in by_part(batches, {SUFFIXES: [np.int64] * 6 + [np.uint32], KEYS: [np.int64] * 5, FULL: [np.int64] * 4}):
+            if p != part:
+                yield from finish()
+                part, held, keys, known = p, [], [], None
+            if kind == SUFFIXES:
+                held.append([*arrays[:6], arrays[6].reshape(-1, CONTEXT)])
+            elif kind == KEYS:
+                keys.append(arrays)
+            else:
+                if known is None:
+                    window, doc, t, low, high = (np.concatenate(x) for x in zip(*keys))
+                    order = np.lexsort((t, doc, window))
+                    window, doc, t, low, high = (x[order] for x in (window, doc, t, low, high))
+                    first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+                    several = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)
+                    known, holder_doc, holder_t, keys = (*(x[first][several] for x in (window, doc, t)), [])
+                window, t, doc, start = arrays
+                at = np.searchsorted(known, window)
+                at[at == len(known)] = 0
+                on = np.flatnonzero(known[at] == window) if len(known) else np.zeros(0, np.int64)
+                if len(on):
+                    at = at[on]
+                    yield send(spans(t[on], doc[on], start[on], start[on] + MIN_WORDS, (t[on] != holder_t[at]).astype(np.int64), holder_doc[at]))
+        yield from finish()
+
+    return run
+
+
+SPANS = "t long, doc long, start long, end long, removed boolean, source long"
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each text."""
+    part, held = None, []
+
+    def flush() -> pa.RecordBatch:
+        out = spans(*(np.concatenate(x) for x in zip(*held)))
+        out[4] = out[4].astype(bool)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], [x.split()[0] for x in SPANS.split(", ")])
+
+    for p, _, arrays in by_part(batches, {FULL: [np.int64] * 6}):
+        if p != part and held:
+            yield flush()
+            held = []
+        part = p
+        held.append(arrays)
+        if len(held) >= 64:  # pieces of one span are many
+            held = [spans(*(np.concatenate(x) for x in zip(*held)))]
+    if held:
+        yield flush()
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -191,28 +359,18 @@ def texts(docs: DataFrame) -> DataFrame:
 def duplicate_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(t, doc, start, end, removed, source), spans in words, end excluded. removed: a document before holds the passage too; source: the
     first that does. Spans that are not removed are those from which others are."""
-    spark = docs.sparkSession
+    n = parts(docs.sparkSession)
     own = texts(docs)
-    rows = saved(own.mapInArrow(settled(_minimisers), "t long, doc long, n long, gram long, pos long"), "suffix-anchors")
-    each = rows.where("gram is null").select("t", "doc", "n").where(F.col("n") >= MIN_WORDS)
-    firsts = each.groupBy("t").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("n").alias("n"))
-    grams = rows.where("gram is not null").select("t", "gram", "pos")
-    shared = grams.groupBy("gram").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high").select("gram", (F.col("rows") > hot).alias("hot"))
-    of = lambda hot: F.collect_set(F.when(F.col("hot") == hot, F.col("pos")))
-    retained = grams.join(shared, "gram").groupBy("t").agg(of(False).alias("places"), of(True).alias("hot_places"))
-    asked = retained.join(firsts.select("t", F.col("first").alias("doc")), "t")
+    rows = saved(own.mapInArrow(settled(_anchors(n)), BLOCKS), "suffix-anchors")
+    together = lambda df: df.repartition(n, "part").sortWithinPartitions("part", "kind")
+    each = rows.where("part is null").select("t", "doc", "n").where(F.col("n") >= MIN_WORDS)
+    firsts = each.groupBy("t").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    retained = together(rows.where("part is not null")).mapInArrow(settled(_retained(n, hot)), BLOCKS)
+    places = together(retained).mapInArrow(settled(_places), "t long, places array<long>, hot_places array<long>")
+    asked = places.join(firsts.select("t", F.col("first").alias("doc")), "t")
     # by merge at any size: the plan is to be the same for small tables and large ones
-    made = saved(own.join(asked.hint("merge"), ["t", "doc"]).select("t", "doc", "text", "places", "hot_places").mapInArrow(settled(_contexts), CONTEXTS), "suffix-contexts")
-    suffixes = made.where("window is null").drop("window").repartition(parts(spark), "gram").sortWithinPartitions("gram")
-    windows = made.where("window is not null").select("t", "doc", "window", "pos").distinct()
-    holders = windows.groupBy("window").agg(F.min(F.struct("doc", "t")).alias("holder"), F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select("window", "holder")
-    hot_spans = windows.join(holders, "window").select("t", "doc", F.col("pos").alias("start"), (F.col("pos") + MIN_WORDS).alias("end"), (F.col("t") != F.col("holder.t")).alias("removed"), F.col("holder.doc").alias("source"))
-    found = suffixes.mapInArrow(settled(_sorted_suffixes), SPANS).unionByName(hot_spans)
-    order = W.partitionBy("t", "removed").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    islands = found.withColumn("new", F.when(F.coalesce(reach < F.col("start"), F.lit(True)), 1).otherwise(0)).withColumn("island", F.sum("new").over(order))
-    merged = islands.groupBy("t", "doc", "removed", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("source").alias("source"))
-    merged = merged.select("t", "doc", "start", "end", "removed", "source")
+    found = own.join(asked.hint("merge"), ["t", "doc"]).select("t", "doc", "text", "places", "hot_places").mapInArrow(settled(_contexts(n)), BLOCKS)
+    merged = together(together(found).mapInArrow(settled(_repeats(n)), BLOCKS)).mapInArrow(settled(_merged), SPANS)
     copies = each.distinct().join(firsts.where(F.col("first") < F.col("last")).select("t", "first"), "t")
     whole = copies.select("t", "doc", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), (F.col("doc") != F.col("first")).alias("removed"), F.col("first").alias("source"))
     return merged.unionByName(whole)
@@ -252,3 +410,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("__cut", T.BooleanType())])
     out = rows.withColumn("__cut", F.col("__spans").isNotNull()).mapInArrow(settled(_cut([*docs.columns, "__cut"])), schema)
     return out.where(~F.col("__cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__cut")
+
+
+def oracle(least: int = MIN_WORDS) -> str:
+    """reported() in DuckDB's SQL: windows of words joined by their text. Of equal ids the smaller text comes first."""
+    return rf"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT text, min(doc_id) AS first, max(doc_id) AS last, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d GROUP BY text),
+w AS (SELECT first AS doc, text, i - 1 AS s, array_to_string(w[i : i + {least - 1}], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - {least - 2})) AS i FROM f WHERE len(w) >= {least})),
+h AS (SELECT g, arg_min(text, struct_pack(d := doc, t := text)) AS holder, min(doc) AS source FROM w GROUP BY g HAVING count(DISTINCT text) > 1),
+m AS (SELECT doc, s, s + {least} AS e, text <> holder AS removed, source FROM w JOIN h USING (g)),
+n AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY doc, removed ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM m),
+i AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc, removed ORDER BY s) AS k FROM n)
+SELECT doc AS doc_id, min(s) AS start_word, max(e) AS end_word, removed, min(source) AS source_doc_id FROM i GROUP BY doc, removed, k
+UNION ALL SELECT doc_id, 0, len(w), doc_id <> first, first FROM d JOIN f USING (text) WHERE first < last AND len(w) >= {least}
+"""
