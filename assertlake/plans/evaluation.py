@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assertlake.functions import classify, parse, predicates, rewards
 from assertlake.operators import curate, evaluate, splits
-from assertlake.plans.tables import ASSERTIONS, CANDIDATES, SQL_SPACE, assertions, candidates, sql_squeezed, sql_strip, table
+from assertlake.plans.tables import ASSERTIONS, CANDIDATES, assertions, candidates, sql_squeezed, sql_strip, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
