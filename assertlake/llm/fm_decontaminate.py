@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from assertlake.llm.common import ALNUM, LOWER, Words, buffers, ngram_hashes, ranges, settled, slices
+from assertlake.llm.common import ALNUM, LOWER, Words, buffers, ranges, settled, slices
 
 WINDOW = 13
 SAMPLE = 16

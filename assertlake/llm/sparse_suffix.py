@@ -60,8 +60,8 @@ def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 BLOCKS = "part int, kind int, t long, doc long, n long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
-#: Kinds of rows: a text; keys of a batch with what it aggregates; the batch's arrays; suffixes with context.
-TEXT, KEYS, FULL, SUFFIXES = range(4)
+#: Kinds of rows: a text; what a batch has once for a key; other keys with what the batch aggregates; their arrays; suffixes with context.
+TEXT, SINGLES, KEYS, FULL, SUFFIXES = range(5)
 
 
 def block_rows(records: list[tuple]) -> pa.RecordBatch:
@@ -88,15 +88,23 @@ def by_part(batches: Iterator[pa.RecordBatch], dtypes: dict[int, list]) -> Itera
 
 
 def _anchors(n_parts: int):
-    """A row for each text, and blocks of its anchors: distinct k-grams with their least and greatest text and their number, then all places."""
+    """A row for each text, and blocks of anchors: those whose k-gram is once in the batch; of others the k-grams with their least and greatest text
+    and their number, and all places."""
 
     def blocks(held: list[tuple]) -> pa.RecordBatch:
         gram, t, pos = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(gram, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]]))
-        own = t[order]
-        keys = [gram[order][first], np.minimum.reduceat(own, first), np.maximum.reduceat(own, first), np.diff(np.append(first, len(own)))]
-        return block_rows(dealt(keys[0], n_parts, KEYS, keys) + dealt(gram, n_parts, FULL, [gram, t, pos]))
+        gram, t, pos = gram[order], t[order], pos[order]
+        count = np.diff(np.append(first, len(gram)))
+        once, many = first[count == 1], np.repeat(count > 1, count)
+        out = dealt(gram[once], n_parts, SINGLES, [gram[once], t[once], pos[once].astype(np.int32)])
+        if many.any():
+            gram, t, pos, count = gram[many], t[many], pos[many], count[count > 1]
+            first = np.cumsum(count) - count
+            keys = [gram[first], np.minimum.reduceat(t, first), np.maximum.reduceat(t, first), count]
+            out += dealt(keys[0], n_parts, KEYS, keys) + dealt(gram, n_parts, FULL, [gram, t, pos])
+        return block_rows(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -124,27 +132,42 @@ def _anchors(n_parts: int):
 def _retained(n_parts: int, hot: int):
     """The places whose k-gram several texts have, in blocks by text: t, place, whether the k-gram is frequent."""
 
+    def kept(known: np.ndarray, frequent: np.ndarray, gram: np.ndarray, t: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.searchsorted(known, gram)
+        at[at == len(known)] = 0
+        on = known[at] == gram if len(known) else np.zeros(len(gram), bool)
+        if on.any():
+            yield block_rows(dealt(t[on], n_parts, FULL, [t[on], pos[on].astype(np.int64), frequent[at[on]].astype(np.int64)]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, keys, known = None, [], None
-        for p, kind, arrays in by_part(batches, {KEYS: [np.int64] * 4, FULL: [np.int64] * 3}):
+        part, singles, keys, known = None, [], [], None
+
+        def learn() -> tuple[np.ndarray, np.ndarray]:
+            whole = [[g, t, t, np.ones(len(g), np.int64)] for g, t, _ in singles] + keys
+            gram, low, high, n = (np.concatenate(x) for x in zip(*whole))
+            order = np.argsort(gram, kind="stable")
+            gram, low, high, n = (x[order] for x in (gram, low, high, n))
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            shared = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)
+            return gram[first][shared], (np.add.reduceat(n, first) > hot)[shared]
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            told = known if known is not None else learn() if singles or keys else None
+            if told and singles:
+                yield from kept(*told, *(np.concatenate(x) for x in zip(*singles)))
+
+        for p, kind, arrays in by_part(batches, {SINGLES: [np.int64, np.int64, np.int32], KEYS: [np.int64] * 4, FULL: [np.int64] * 3}):
             if p != part:
-                part, keys, known = p, [], None
-            if kind == KEYS:
+                yield from finish()
+                part, singles, keys, known = p, [], [], None
+            if kind == SINGLES:
+                singles.append(arrays)
+            elif kind == KEYS:
                 keys.append(arrays)
-                continue
-            if known is None:
-                gram, low, high, n = (np.concatenate(x) for x in zip(*keys))
-                order = np.argsort(gram, kind="stable")
-                gram, low, high, n = (x[order] for x in (gram, low, high, n))
-                first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-                shared = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)
-                known, frequent, keys = gram[first][shared], (np.add.reduceat(n, first) > hot)[shared], []
-            gram, t, pos = arrays
-            at = np.searchsorted(known, gram)
-            at[at == len(known)] = 0
-            on = known[at] == gram if len(known) else np.zeros(len(gram), bool)
-            if on.any():
-                yield block_rows(dealt(t[on], n_parts, FULL, [t[on], pos[on], frequent[at[on]].astype(np.int64)]))
+            else:
+                known = known if known is not None else learn()
+                yield from kept(*known, *arrays)
+        yield from finish()
 
     return run
 
