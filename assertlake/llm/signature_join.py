@@ -70,7 +70,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_levels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of frequent words and their levels, 1 to 31: more frequent is higher."""
-    rows = docs.select("text").mapInArrow(settled(_frequent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = saved(docs.select("text").mapInArrow(settled(_frequent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "signature-words")
     total = sum(r.n for r in rows.where("h is null").collect()) or 1
     least = max(2, WORD_SHARE * total)
     found = rows.where((F.col("h").isNotNull()) & (F.col("n") >= least)).toPandas()
