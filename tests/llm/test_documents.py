@@ -71,6 +71,17 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """A path over shuffled ids is one component, and takes rounds by the logarithm of its length."""
+    names, rounds = random.Random(5).sample(range(10**6), 4000), []
+    keep = graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, name: rounds.append(name) or keep(df, name))
+    links = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long").repartition(5)
+    got = {x.node: x.root for x in graph.components(links, "t").collect()}
+    assert got == dict.fromkeys(names, min(names))
+    assert len(rounds) < 30
+
+
 # ---- 1: suffix-array dedup ----
 
 
