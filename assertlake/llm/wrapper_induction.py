@@ -1,6 +1,6 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host are aligned: their trees are matched by simple tree matching (equal labels, children in order, most matched nodes), page
+Pages of one host are aligned: their trees are matched by simple tree matching (equal labels, children in order, most matched nodes at all levels), page
 by page, into a template tree. A node with the same text on all pages that have it is constant and belongs to the template; one whose text
 varies is a slot. The content is the slot region with the most varying text outside of what its role marks as navigation,
 header, footer, sidebar, notice, advert, form or comments; its path in the template is the host's wrapper. A page's main text is what
@@ -164,30 +164,72 @@ def elements(node: Node) -> list[Node]:
     return [x for x in node.children if not isinstance(x, str)]
 
 
-def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two lists of trees: the most matched nodes, and the pairs at the top."""
+def inner(node: Node) -> list[Node]:
+    """The children that an alignment goes down to: marked parts are leaves."""
+    return [] if node.marked else elements(node)
+
+
+def fits(x: Template, y: Node) -> bool:
+    return x.label == y.label and x.marked == y.marked
+
+
+def same(x: Template, y: Node) -> bool:
+    """Equal trees of labels."""
+    if not fits(x, y):
+        return False
+    b = inner(y)
+    return len(x.children) == len(b) and all(map(same, x.children, b))
+
+
+def match(a: list, b: list, memo: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching of two lists of trees: the most matched nodes at all levels, and the pairs at the top.
+
+    The trees of a are a template's, so no deeper than DEPTH; memo holds the matching of the children of each pair of nodes.
+    """
+    memo = {} if memo is None else memo
     n, m = len(a), len(b)
-    if n == m and all(x.label == y.label for x, y in zip(a, b)) and len({x.label for x in a}) == n:
-        return n, [(i, i) for i in range(n)]
+    if n == m and all(map(fits, a, b)) and len({x.label for x in a}) == n:
+        return sum(1 + below(x, y, memo)[0] for x, y in zip(a, b)), [(i, i) for i in range(n)]
+    # equal trees at either end match: no other pair of one of the two can have more nodes
+    low = 0
+    while low < min(n, m) and same(a[low], b[low]):
+        low += 1
+    high = 0
+    while high < min(n, m) - low and same(a[n - 1 - high], b[m - 1 - high]):
+        high += 1
+    n, m = n - low - high, m - low - high
     best = [[0] * (m + 1) for _ in range(n + 1)]
     score = {}
-    for i in range(n):
+    for i in range(n if m else 0):
+        x, above, row = a[low + i], best[i], best[i + 1]
         for j in range(m):
-            if a[i].label == b[j].label:
-                x, y = a[i].children, elements(b[j])
-                # below the top the size of the common part is enough: sequences of labels
-                score[i, j] = 1 + (min(len(x), len(y)) if x and y else 0)
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + score.get((i, j), 0))
-    pairs, i, j = [], n, m
+            most = above[j + 1] if above[j + 1] > row[j] else row[j]
+            if fits(x, b[low + j]):
+                score[i, j] = 1 + below(x, b[low + j], memo)[0]
+                most = max(most, above[j] + score[i, j])
+            row[j + 1] = most
+    pairs, i, j = [(len(a) - 1 - k, len(b) - 1 - k) for k in range(high)], n, m
     while i and j:
         if (i - 1, j - 1) in score and best[i][j] == best[i - 1][j - 1] + score[i - 1, j - 1]:
-            pairs.append((i - 1, j - 1))
+            pairs.append((low + i - 1, low + j - 1))
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return best[n][m], pairs[::-1]
+    pairs += [(k, k) for k in reversed(range(low))]
+    ends = sum(1 + below(a[i], b[j], memo)[0] for i, j in (pairs[:high] + pairs[len(pairs) - low :]))
+    return best[n][m] + ends, pairs[::-1]
+
+
+def below(x: Template, y: Node, memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """The matching of two nodes' children."""
+    if not x.children or y.marked:
+        return 0, []
+    key = id(x), id(y)
+    if key not in memo:
+        memo[key] = match(x.children, elements(y), memo)
+    return memo[key]
 
 
 def whole_text(node: Node) -> str:
@@ -201,7 +243,7 @@ def whole_text(node: Node) -> str:
     return "".join(out)
 
 
-def align(template: Template, node: Node, depth: int = 0) -> None:
+def align(template: Template, node: Node, depth: int = 0, memo: dict | None = None) -> None:
     """Adds a page's subtree to the template's. What is nested over DEPTH deep counts as its ancestor's own text."""
     template.pages += 1
     deep = depth >= DEPTH
@@ -210,18 +252,20 @@ def align(template: Template, node: Node, depth: int = 0) -> None:
         template.texts.add(own)
     if template.marked or deep:
         return
+    # a pair's matching is looked up before align changes either tree below it
+    memo = {} if memo is None else memo
     children = elements(node)
-    _, pairs = match(template.children, children)
+    _, pairs = below(template, node, memo)
     partner = {j: i for i, j in pairs}
     at, out = 0, []
     for j, child in enumerate(children):
         if j in partner:
             out += template.children[at : partner[j] + 1]
             at = partner[j] + 1
-            align(out[-1], child, depth + 1)
+            align(out[-1], child, depth + 1, memo)
         else:
             new = Template(child)
-            align(new, child, depth + 1)
+            align(new, child, depth + 1, memo)
             out.append(new)
     template.children = out + template.children[at:]
 

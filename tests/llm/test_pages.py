@@ -1,5 +1,6 @@
 """The operators over pages."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -72,3 +73,33 @@ def test_main_text_over_groups(spark):
     by = {r.page_id: r.text for r in got}
     assert all(by[i] == want for i in range(40)) and (by[90], by[91], by[92], by[None], by[93]) == ("", "", "unclosed text <ok>", "plain text", "deep")
     assert wi.main_text(pages.where("false")).count() == 0
+
+
+def most_matched(x, y):
+    """Simple tree matching by its definition."""
+    a, b = x.children, wi.inner(y)
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + most_matched(a[i], b[j]))
+    return 1 + best[-1][-1] if wi.fits(x, y) else 0
+
+
+def as_template(node):
+    t = wi.Template(node)
+    t.children = list(map(as_template, wi.inner(node)))
+    return t
+
+
+def test_matching_counts_nodes_of_all_levels():
+    """Of two divs with three children each, the one with equal labels below is the partner."""
+    menu, text = "<div><a>1</a><a>2</a><a>3</a></div>", "<div><p>4</p><p>5</p><p>6</p></div>"
+    a, b = as_template(wi.parse(menu + text)), wi.parse(text)
+    assert wi.match(a.children, wi.inner(b)) == (4, [(1, 0)])
+    r = random.Random(2)
+    tree = lambda depth: "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in r.choices(["div", "b", "nav"], k=r.randrange(4))) if depth else ""
+    for _ in range(200):
+        x, y = as_template(wi.parse(tree(3))), wi.parse(tree(3))
+        n, pairs = wi.match(x.children, wi.inner(y))
+        assert n + 1 == most_matched(x, y) == 1 + sum(most_matched(x.children[i], wi.inner(y)[j]) for i, j in pairs)
+        assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
