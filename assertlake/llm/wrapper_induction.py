@@ -2,13 +2,13 @@
 
 Pages of one host are aligned: their trees are matched by simple tree matching (equal labels, children in order, most matched nodes at all levels), page
 by page, into a template tree. A node with the same text on all pages that have it is constant and belongs to the template; one whose text
-varies is a slot. The content is the slot region with the most varying text outside of what its role marks as navigation,
+varies is a slot. The content is the lowest region that holds all slots outside of what its role marks as navigation,
 header, footer, sidebar, notice, advert, form or comments; its path in the template is the host's wrapper. A page's main text is what
 stands at the wrapper's path, without marked parts, block by block.
 
 Pages are grouped by (host, salt), so a large host is dealt out to several tasks; a task takes a host's pages at most 4 * GROUP_PAGES at a
 time, with a wrapper for each such group. A group aligns at most ALIGNED pages of different text, evenly chosen, and applies the wrapper to all. A page on which the wrapper's path is missing, or
-whose host has too few pages to tell, is read by the same roles on its own: its densest region.
+whose host has too few pages to tell, is read by the same roles on its own: the lowest region with all its unmarked text.
 
 Null or empty html: empty text. Null url: host is empty. Repeated rows: each gives a row; copies count once in an alignment. A malformed page
 is parsed as far as it goes: unclosed elements end with their parent.
@@ -39,6 +39,8 @@ DROPPED = frozenset("script style noscript template iframe svg math canvas head
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open p ends where one of these begins.
 ENDS_P = BLOCKS | frozenset("nav header footer aside form fieldset menu".split())
+#: Parts of running text: the content region is above them.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong span a li td blockquote pre".split())
 #: name -> the open elements that it ends, up to a bound
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of class, id and role that mark a part as not being content.
@@ -270,12 +272,18 @@ def align(template: Template, node: Node, depth: int = 0, memo: dict | None = No
     template.children = out + template.children[at:]
 
 
-def varying(t: Template) -> int:
-    """Characters of slot text in a subtree, without marked parts: constant nodes count nothing."""
-    if t.marked:
-        return 0
-    own = sum(map(len, t.texts)) / max(1, t.pages) if len(t.texts) > 1 or t.pages == 1 else 0
-    return int(own) + sum(map(varying, t.children))
+def own_slot(t: Template) -> bool:
+    """Whether a node's own text differs between its pages, or it has some on its only page."""
+    return len(t.texts) > 1 or t.pages == 1 and bool(t.texts)
+
+
+def varying(t: Template) -> bool:
+    """Whether a subtree has slot text outside of marked parts; an article's text always counts as such, since copies of it are constant."""
+    return not t.marked and (own_slot(t) or any(map(varying, t.children)) or t.name == "article" and any(map(worded, t.children)))
+
+
+def worded(t: Template) -> bool:
+    return not t.marked and (bool(t.texts) or any(map(worded, t.children)))
 
 
 def induced(pages: list[Node]) -> list[str]:
@@ -287,22 +295,15 @@ def induced(pages: list[Node]) -> list[str]:
 
 
 def region(t: Template) -> list[str]:
-    """From the root down: an article or main part if there is one, else down as long as one child holds nearly all varying text."""
+    """From the root down to the lowest node that holds all unmarked slots; an article is not entered, nor what is part of running text."""
     path: list[str] = []
-    while True:
-        total = varying(t)
-        inner = [x for x in t.children if not x.marked and varying(x)]
-        named = [x for x in inner if x.name in ("article", "main")]
-        if named:
-            t = max(named, key=varying)
-        elif inner and t.name not in ("article",):
-            top = max(inner, key=varying)
-            if varying(top) < 0.8 * total or top.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "span", "a", "li", "td", "blockquote", "pre"):
-                return path
-            t = top
-        else:
-            return path
+    while t.name != "article" and not own_slot(t):
+        slots = [x for x in t.children if varying(x)]
+        if len(slots) != 1 or slots[0].name in RUNNING:
+            break
+        t = slots[0]
         path.append(t.label)
+    return path
 
 
 def at_path(node: Node, path: list[str]) -> list[Node]:
@@ -313,27 +314,12 @@ def at_path(node: Node, path: list[str]) -> list[Node]:
     return found
 
 
-def articles(node: Node) -> list[Node]:
-    """The outermost article parts that are not marked."""
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if x.marked and x is not node:
-            continue
-        if x.name == "article":
-            out.append(x)
-        else:
-            stack.extend(reversed(elements(x)))
-    return out
-
-
 def extracted(page: Node, path: list[str] | None) -> str:
     found = at_path(page, path) if path else []
     text = "\n".join(s for x in found for s in blocks(x))
     if text:
         return text
-    alone = articles(page) or at_path(page, induced([page]))
-    return "\n".join(s for x in alone for s in blocks(x))
+    return "\n".join(s for x in at_path(page, induced([page])) for s in blocks(x))
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long, wrapper string"

@@ -75,6 +75,25 @@ def test_main_text_over_groups(spark):
     assert wi.main_text(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<div class="body"><h1>{a}</h1><p class="lede">{b}</p><div class="txt"><p>{c}</p><p>{d}</p></div></div>',
+        "<main><h1>{a}</h1><article><p>{b}</p><p>{c}</p><p>{d}</p></article></main>",
+        '<article class="x"><p>{a}</p><p>{b}</p></article><article class="y"><p>{c}</p><p>{d}</p></article>',
+        '<h1>{a}</h1><div class="txt">{b}<p>{c}</p></div><div class="more"><p>{d}</p></div>',
+    ],
+)
+def test_no_slot_is_dropped(body):
+    """Headline and lede beside a long text stay, on pages of one host and on a page alone."""
+    top, low = '<nav><a href="/">Home</a></nav>', '<div class="footer">All rights are ours</div>'
+    texts = [dict(a=f"Head {i}", b=f"Lede {i}", c=f"Body {i} " + "word " * 200 + "end", d=f"Last {i}") for i in range(5)]
+    pages = [wi.parse(page(top + body.format(**t) + low)) for t in texts]
+    path = wi.induced(pages)
+    for p, t in zip(pages, texts):
+        assert wi.extracted(p, path) == wi.extracted(p, None) == "\n".join(t.values())
+
+
 def most_matched(x, y):
     """Simple tree matching by its definition."""
     a, b = x.children, wi.inner(y)
