@@ -3,12 +3,13 @@
 Pages of one host are aligned: their trees are matched by simple tree matching (equal labels, children in order, most matched nodes at all levels), page
 by page, into a template tree. A node with the same text on all pages that have it is constant and belongs to the template; one whose text
 varies is a slot. The content is the lowest region that holds all slots outside of what its role marks as navigation,
-header, footer, sidebar, notice, advert, form or comments; its path in the template is the host's wrapper. A page's main text is what
-stands at the wrapper's path, without marked parts, block by block.
+header, footer, sidebar, notice, advert, form or comments; its path is the page's wrapper, so each layout of a host has its own. A page's
+main text is what stands in its region, block by block, without marked parts and without parts beside the slots that are
+the same on most pages.
 
 Pages are grouped by (host, salt), so a large host is dealt out to several tasks; a task takes a host's pages at most 4 * GROUP_PAGES at a
-time, with a wrapper for each such group. A group aligns at most ALIGNED pages of different text, evenly chosen, and applies the wrapper to all. A page on which the wrapper's path is missing, or
-whose host has too few pages to tell, is read by the same roles on its own: the lowest region with all its unmarked text.
+time, with a template for each such group. All different pages of a group are aligned, those of a shape met before at once. A page
+without a slot, or alone in its group, is read by the same roles on its own: the lowest region with all its unmarked text.
 
 Null or empty html: empty text. Null url: host is empty. Repeated rows: each gives a row; copies count once in an alignment. A malformed page
 is parsed as far as it goes: unclosed elements end with their parent.
@@ -16,6 +17,7 @@ is parsed as far as it goes: unclosed elements end with their parent.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from assertlake.llm.common import parts, settled
 
 GROUP_PAGES = 500
-ALIGNED = 12
+#: Pages up to so many characters of a group are parsed once; further ones twice.
+TREE_CHARS = 1 << 22
 DEPTH = 200
 #: Hosts with more than this share of all pages are dealt out to several tasks; there are fewer than so many.
 LARGE_HOSTS = 5000
@@ -119,8 +122,8 @@ def parse(text: str) -> Node:
     return root
 
 
-def blocks(node: Node) -> list[str]:
-    """The texts of a subtree's blocks in page order, without marked parts; white space within is one space."""
+def blocks(node: Node, without: set[int] = frozenset()) -> list[str]:
+    """The texts of a subtree's blocks in page order, without marked parts and nodes of these ids; white space within is one space."""
     out: list[str] = []
     held: list[str] = []
 
@@ -138,7 +141,7 @@ def blocks(node: Node) -> list[str]:
             close()
         elif isinstance(x, str):
             held.append(x)
-        elif x is node or not x.marked:
+        elif x is node or not x.marked and id(x) not in without:
             if x.name == "br":
                 held.append(" ")
                 continue
@@ -151,7 +154,7 @@ def blocks(node: Node) -> list[str]:
 
 
 class Template:
-    """A node of aligned pages: its text on each page, and its aligned children."""
+    """A node of aligned pages: two of its texts, which tell whether it varies, the number of its pages, and its aligned children."""
 
     __slots__ = ("label", "name", "marked", "texts", "pages", "children")
 
@@ -161,6 +164,11 @@ class Template:
         self.pages = 0
         self.children: list[Template] = []
 
+    def add(self, own: str) -> None:
+        self.pages += 1
+        if own and len(self.texts) < 2:
+            self.texts.add(own)
+
 
 def elements(node: Node) -> list[Node]:
     return [x for x in node.children if not isinstance(x, str)]
@@ -245,13 +253,17 @@ def whole_text(node: Node) -> str:
     return "".join(out)
 
 
-def align(template: Template, node: Node, depth: int = 0, memo: dict | None = None) -> None:
-    """Adds a page's subtree to the template's. What is nested over DEPTH deep counts as its ancestor's own text."""
-    template.pages += 1
+def own_text(node: Node, deep: bool) -> str:
+    return (whole_text(node) if deep else "".join(x for x in node.children if isinstance(x, str))).strip()
+
+
+def align(template: Template, node: Node, depth: int = 0, memo: dict | None = None, met: list[Template] | None = None) -> None:
+    """Adds a page's subtree to the template's. What is nested over DEPTH deep counts as its ancestor's own text.
+    met gets the template's nodes in the order of visited()."""
     deep = depth >= DEPTH
-    own = (whole_text(node) if deep else "".join(x for x in node.children if isinstance(x, str))).strip()
-    if own:
-        template.texts.add(own)
+    template.add(own_text(node, deep))
+    met = [] if met is None else met
+    met.append(template)
     if template.marked or deep:
         return
     # a pair's matching is looked up before align changes either tree below it
@@ -264,14 +276,81 @@ def align(template: Template, node: Node, depth: int = 0, memo: dict | None = No
         if j in partner:
             out += template.children[at : partner[j] + 1]
             at = partner[j] + 1
-            align(out[-1], child, depth + 1, memo)
+            align(out[-1], child, depth + 1, memo, met)
         else:
             new = Template(child)
-            align(new, child, depth + 1, memo)
+            align(new, child, depth + 1, memo, met)
             out.append(new)
     template.children = out + template.children[at:]
 
 
+def visited(page: Node) -> list[tuple[Node, int]]:
+    """The nodes that align() meets and their depths, each before its children."""
+    out, stack = [], [(page, 0)]
+    while stack:
+        node, depth = stack.pop()
+        out.append((node, depth))
+        if depth < DEPTH:
+            stack.extend((x, depth + 1) for x in reversed(inner(node)))
+    return out
+
+
+class Host:
+    """The template of all pages of a group, and for each shape of page the template's nodes that its nodes are aligned with."""
+
+    def __init__(self) -> None:
+        self.template: Template | None = None
+        self.shapes: dict[bytes, list[Template]] = {}
+
+    def met(self, nodes: list[tuple[Node, int]]) -> tuple[bytes, list[Template] | None]:
+        shape = hashlib.blake2b(repr([(x.label, x.marked, depth) for x, depth in nodes]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        return shape, self.shapes.get(shape)
+
+    def fold(self, page: Node) -> None:
+        """Adds a page. One of a known shape matches the template with all its nodes, so it is added node by node."""
+        nodes = visited(page)
+        shape, known = self.met(nodes)
+        if known is not None:
+            for t, (node, depth) in zip(known, nodes):
+                t.add(own_text(node, depth >= DEPTH))
+            return
+        if self.template is None:
+            self.template = Template(page)
+        self.shapes[shape] = met = []
+        align(self.template, page, met=met)
+
+    def content(self, page: Node) -> tuple[str, list[str]]:
+        """The main text of a page that was added, and the path of its region: the lowest node that holds all slots of this page."""
+        nodes = visited(page)
+        _, met = self.met(nodes)
+        partner = {id(node): t for t, (node, _) in zip(met, nodes)}
+        slot, held, worded_ = set(), set(), set()
+        for t, (node, depth) in zip(reversed(met), reversed(nodes)):
+            if node.marked:
+                continue
+            k, below_ = id(node), inner(node) if depth < DEPTH else []
+            own = bool(own_text(node, depth >= DEPTH))
+            if own and own_slot(t):
+                slot.add(k)
+            if own or any(id(x) in worded_ for x in below_):
+                worded_.add(k)
+            if k in slot or any(id(x) in held for x in below_) or node.name == "article" and k in worded_:
+                held.add(k)
+        if id(page) not in held:  # nothing but what other pages have too
+            path = induced([page])
+            return "\n".join(s for x in at_path(page, path) for s in blocks(x)), path
+        at, path = page, []
+        while at.name != "article" and id(at) not in slot:
+            slots = [x for x in inner(at) if id(x) in held]
+            if len(slots) != 1 or slots[0].name in RUNNING:
+                break
+            at = slots[0]
+            path.append(at.label)
+        # beside the slots, what is the same on most pages is the site's
+        site = set() if at.name == "article" else {id(x) for x in inner(at) if id(x) in partner and x.name not in RUNNING and id(x) not in held and 2 <= partner[id(x)].pages > self.template.pages / 2}
+        return "\n".join(blocks(at, site)), path
+
+
 def own_slot(t: Template) -> bool:
     """Whether a node's own text differs between its pages, or it has some on its only page."""
     return len(t.texts) > 1 or t.pages == 1 and bool(t.texts)
@@ -331,11 +410,17 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         distinct = list(dict.fromkeys(x for _, _, x in held if x))
-        step = max(1, len(distinct) // ALIGNED)
-        sample = [parse(x) for x in distinct[::step][:ALIGNED]]
-        path = induced(sample) if len(sample) > 1 else None
-        texts = [extracted(parse(x), path) if x else "" for _, _, x in held]
-        columns = [pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(["/".join(path or [])] * len(held), pa.string())]
+        host, trees, room = Host(), {}, TREE_CHARS
+        for x in distinct:
+            page = parse(x)
+            host.fold(page)
+            room -= len(x)
+            if room >= 0:
+                trees[x] = page
+        found = {x: host.content(trees.pop(x, None) or parse(x)) for x in distinct}
+        texts = [found[x][0] if x else "" for _, _, x in held]
+        wrappers = ["/".join(found[x][1]) if x and len(distinct) > 1 else "" for _, _, x in held]
+        columns = [pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(wrappers, pa.string())]
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in EXTRACTED.split(", ")])
 
     for batch in batches:

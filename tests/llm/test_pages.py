@@ -94,6 +94,18 @@ def test_no_slot_is_dropped(body):
         assert wi.extracted(p, path) == wi.extracted(p, None) == "\n".join(t.values())
 
 
+def test_rare_layout_of_a_host(spark):
+    """Pages of a layout that few pages of a large host use keep their whole text, though they have a node at the common wrapper's path."""
+    top, low = '<div class="top"><a href="/">Home</a></div>', '<div class="low">All rights are ours</div>'
+    usual = lambda i: page(f'{top}<div class="body"><div class="txt"><p>Text {i}</p><p>End {i * i}</p></div></div>{low}')
+    rare = lambda i: page(f'{top}<div class="body"><div class="txt"><p>Teaser {i}</p></div></div><div class="story"><h2>Story {i}</h2><p>Long {i}</p></div>{low}')
+    made = {i: (rare(i), f"Teaser {i}\nStory {i}\nLong {i}") if i % 40 == 17 else (usual(i), f"Text {i}\nEnd {i * i}") for i in range(120)}
+    pages = spark.createDataFrame([(i, f"http://one.example.com/{i}", x) for i, (x, _) in made.items()], "page_id long, url string, html string")
+    got = wi.main_text(pages).collect()
+    assert {r.page_id: r.text for r in got} == {i: t for i, (_, t) in made.items()}
+    assert {r.wrapper for r in got if r.page_id % 40 != 17} == {"html./body./div.body/div.txt"}
+
+
 def most_matched(x, y):
     """Simple tree matching by its definition."""
     a, b = x.children, wi.inner(y)
