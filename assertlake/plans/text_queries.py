@@ -15,6 +15,9 @@ from assertlake.streaming import incremental
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: The assertions are dealt to so many groups; a page's file has one group.
+FILES = 50
+
 
 def query(sql: str | None = None):
     def register(f):
@@ -76,13 +79,13 @@ def reset_handling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with assertions in them as source files."""
-    a = distinct_assertions(spark, sf_dir).select((F.col("id") % 50).alias("page_id"), "sva")
-    per = a.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("sva")), "\n// next\n").alias("svas"))
+    """Every page as a source file, with the assertions of one of FILES groups in it."""
+    a = distinct_assertions(spark, sf_dir).select((F.col("id") % FILES).alias("part"), "sva")
+    per = a.groupBy("part").agg(F.array_join(F.array_sort(F.collect_list("sva")), "\n// next\n").alias("svas"))
     head = F.concat(F.lit("module m"), F.col("page_id").cast("string"), F.lit("(input clk);\n// checks the thing\n"))
     tail = F.lit("\nproperty named_p; a |-> b; endproperty\n`ASSERT(Known, a |-> c)\nendmodule\n")
-    rows = table(spark, sf_dir, "pages").select("page_id", "url").join(per, "page_id")
-    return rows.select(F.col("url").alias("path"), F.concat(head, F.col("svas"), tail).alias("text"))
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.pmod("page_id", F.lit(FILES)).alias("part")).join(F.broadcast(per), "part", "left")
+    return rows.select(F.col("url").alias("path"), F.concat(head, F.coalesce("svas", F.lit("")), tail).alias("text"))
 
 
 @query()

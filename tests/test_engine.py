@@ -162,3 +162,17 @@ def test_two_arms_contexts_and_required(spark, tmp_path):
     sinks.metrics(str(tmp_path / "tsv"))(look, 0)
     sinks.metrics(str(tmp_path / "tsv"))(look, 1)
     assert spark.read.option("sep", "\t").csv(str(tmp_path / "tsv")).count() == 2
+
+
+def test_every_page_is_a_file(spark, tmp_path):
+    """Pages after the first FILES are extracted too, with their group's assertions."""
+    from assertlake.plans import text_queries as q
+
+    spark.createDataFrame([(i, 7) for i in range(1, 40)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    n = 3 * q.FILES
+    spark.createDataFrame([(i, f"u{i}") for i in range(n)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = q.extract_blocks(spark, str(tmp_path)).collect()
+    assert {r.path for r in found} == {f"u{i}" for i in range(n)}
+    per = lambda k: sorted((r.kind, r.sva) for r in found if r.path == f"u{k}")
+    assert all(per(k) == per(k + q.FILES) == per(k + 2 * q.FILES) for k in range(q.FILES))
+    assert sorted(r.module for r in q.module_lines(spark, str(tmp_path)).collect()) == sorted(f"m{i}" for i in range(n))
