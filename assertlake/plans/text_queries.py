@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assertlake.functions import describe, keys, rewrite
-from assertlake.operators import extract, provider
+from assertlake.operators import curate, extract, provider
 from assertlake.plans.tables import assertions, table
 from assertlake.streaming import incremental
 
@@ -34,27 +35,36 @@ def distinct_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assertions(spark, sf_dir).groupBy("sva").agg(F.min("id").alias("id"))
 
 
+def for_all_ids(spark: SparkSession, sf_dir: str, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """judge's rows (sva, ...) of each distinct text, for every id that has the text."""
+    rows = assertions(spark, sf_dir).select("id", "sva")
+    texts = rows.select("sva").distinct()
+    few = texts.limit(curate.BROADCAST_ROWS + 1).count() <= curate.BROADCAST_ROWS
+    judged = judge(texts)
+    return rows.join(F.broadcast(judged) if few else judged, "sva").drop("sva")
+
+
 @query()
 def normalize_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_assertions(spark, sf_dir).select("id", rewrite.normalise("sva").alias("normalised"))
+    return for_all_ids(spark, sf_dir, lambda texts: texts.select("sva", rewrite.normalise("sva").alias("normalised")))
 
 
 @query()
 def lower_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_assertions(spark, sf_dir).select("id", rewrite.lower("sva").alias("x")).select("id", "x.ok", "x.pattern", "x.tcl", "x.lowered")
+    return for_all_ids(spark, sf_dir, lambda texts: texts.select("sva", rewrite.lower("sva").alias("x")).select("sva", "x.ok", "x.pattern", "x.tcl", "x.lowered"))
 
 
 @query()
 def vacuity_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = rewrite.vacuity("sva")
-    return distinct_assertions(spark, sf_dir).select("id", reason.alias("reason")).withColumn("score", F.when(F.col("reason") == "", 1.0).otherwise(0.0))
+    return for_all_ids(spark, sf_dir, lambda texts: texts.select("sva", reason.alias("reason"))).withColumn("score", F.when(F.col("reason") == "", 1.0).otherwise(0.0))
 
 
 @query()
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.explode(F.array(*map(F.lit, rewrite.MUTATIONS)))
-    rows = distinct_assertions(spark, sf_dir).select("id", "sva", kinds.alias("kind"))
-    return rows.select("id", "kind", rewrite.mutate("sva", "kind").alias("mutated"), (rewrite.mutate("sva", "kind") != F.col("sva")).alias("changed"))
+    mutated = rewrite.mutate("sva", "kind")
+    return for_all_ids(spark, sf_dir, lambda texts: texts.select("sva", kinds.alias("kind")).select("sva", "kind", mutated.alias("mutated"), (mutated != F.col("sva")).alias("changed")))
 
 
 @query()
@@ -62,20 +72,20 @@ def expanded_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants that are classified at the level that they are made for."""
     from assertlake.functions.classify import level
 
-    rows = distinct_assertions(spark, sf_dir).select("id", F.explode(rewrite.expand("sva")).alias("v")).select("id", "v.*")
     target = F.when(F.col("kind").startswith("range_"), 3).otherwise(5)
-    return rows.where(level("text") == target).select("id", "kind", "text")
+    variants = lambda texts: texts.select("sva", F.explode(rewrite.expand("sva")).alias("v")).select("sva", "v.*")
+    return for_all_ids(spark, sf_dir, lambda texts: variants(texts).where(level("text") == target).select("sva", "kind", "text"))
 
 
 @query()
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_assertions(spark, sf_dir).select("id", describe.describe("sva").alias("nl"), describe.by_operator("sva", F.lit("m"), F.lit("")).alias("by_operator"))
+    return for_all_ids(spark, sf_dir, lambda texts: texts.select("sva", describe.describe("sva").alias("nl"), describe.by_operator("sva", F.lit("m"), F.lit("")).alias("by_operator")))
 
 
 @query()
 def reset_handling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = distinct_assertions(spark, sf_dir).withColumn("rtl", rewrite.free_inputs("sva"))
-    return rows.select("id", rewrite.reset_expression("rtl", "sva", "sva").alias("reset"), keys.raw_hash("rtl").alias("rtl_key"))
+    rtl = lambda texts: texts.withColumn("rtl", rewrite.free_inputs("sva"))
+    return for_all_ids(spark, sf_dir, lambda texts: rtl(texts).select("sva", rewrite.reset_expression("rtl", "sva", "sva").alias("reset"), keys.raw_hash("rtl").alias("rtl_key")))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:

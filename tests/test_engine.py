@@ -176,3 +176,18 @@ def test_every_page_is_a_file(spark, tmp_path):
     per = lambda k: sorted((r.kind, r.sva) for r in found if r.path == f"u{k}")
     assert all(per(k) == per(k + q.FILES) == per(k + 2 * q.FILES) for k in range(q.FILES))
     assert sorted(r.module for r in q.module_lines(spark, str(tmp_path)).collect()) == sorted(f"m{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("name", ["normalize_rules", "lower_assertions", "vacuity_reasons", "mutations", "expanded_levels", "descriptions", "reset_handling"])
+def test_every_assertion_has_its_results(spark, tmp_path, name):
+    """Ids with equal texts have equal rows: the texts repeat after 65 ids."""
+    from collections import defaultdict
+
+    from assertlake.plans import registry
+
+    spark.createDataFrame([(i, 7) for i in range(1, 196)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = defaultdict(list)
+    for r in registry.QUERIES[name](spark, str(tmp_path)).collect():
+        rows[r.id].append(str(r[1:]))
+    assert len(rows) % 3 == 0 and (len(rows) == 195 or name == "expanded_levels")
+    assert rows and all(sorted(rows[i]) == sorted(rows.get(i % 65 or 65, [])) for i in list(rows))
