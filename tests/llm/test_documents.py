@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +201,11 @@ def test_gradients_of_the_attention_model():
         assert math.isclose((up - down) / 2e-5, np.asarray(g)[at], rel_tol=1e-3, abs_tol=1e-7), name
 
 
+def test_readme_names_the_fit_sample():
+    text = (Path(__file__).parents[2] / "README.md").read_text()
+    assert "`SAMPLE_ROWS`" in text and f"`SAMPLE_PASSAGES` = {mil_quality.SAMPLE_PASSAGES} " in text
+
+
 # ---- 4: quality rules ----
 
 
