@@ -34,13 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The paths that this session has written to, in order.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; without that setting (tests on one machine) below a folder of its own."""
+    """A new path below spark.checkpoint.dir. Without that setting a session on one machine gets a folder of its own; on a cluster it's an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         top = "file://" + tempfile.mkdtemp(prefix="assertlake-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{top}/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -50,8 +57,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def written() -> int:
+    """A mark for removed(): what was written before it stays."""
+    return len(WRITTEN)
+
+
+def removed(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes what was written since a mark but for the last keep paths. A result that is still to be computed from it must be saved before."""
+    gone = WRITTEN[since : len(WRITTEN) - keep]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del WRITTEN[since : since + len(gone)]
+
+
+#: Bytes of a table, as its files have them, for each part.
+PART_BYTES = 128 << 20
+
+
+def parts(spark: SparkSession, *tables: DataFrame) -> int:
+    """The number of shuffle partitions, or more where the tables are large."""
+    size = sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // PART_BYTES)) if size < 1 << 60 else least  # unknown sizes are huge
 
 
 #: What a worker process keeps from task to task, by name.

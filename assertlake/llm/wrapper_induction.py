@@ -1,48 +1,57 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host are aligned: their trees are matched by simple tree matching (equal labels, children in order, most matched nodes at all levels), page
-by page, into a template tree. A node with the same text on all pages that have it is constant and belongs to the template; one whose text
-varies is a slot. The content is the lowest region that holds all slots outside of what its role marks as navigation,
-header, footer, sidebar, notice, advert, form or comments; its path is the page's wrapper, so each layout of a host has its own. A page's
-main text is what stands in its region, block by block, without marked parts and without parts beside the slots that are
-the same on most pages.
-
-Pages are grouped by (host, salt), so a large host is dealt out to several tasks; a task takes a host's pages at most 4 * GROUP_PAGES at a
-time, with a template for each such group. All different pages of a group are aligned, those of a shape met before at once. A page
-without a slot, or alone in its group, is read by the same roles on its own: the lowest region with all its unmarked text.
-
-Null or empty html: empty text. Null url: host is empty. Repeated rows: each gives a row; copies count once in an alignment. A malformed page
-is parsed as far as it goes: unclosed elements end with their parent.
+Pages of one host are aligned: their trees are matched by simple tree matching (equal labels, children in order, most matched nodes at all
+levels) and merged into one template of the host. A node with the same text on all pages that have it is constant and belongs to the template;
+one whose text varies, or that one page alone has, is a slot. A page's main text is what stands in the lowest region with all of its slots,
+block by block, without constants that most of the host's pages have. What its role marks as navigation, header, footer, sidebar, notice,
+advert, form or comments is left out before. An article's text counts as a slot, since copies of an article are constant too; in it,
+and for running text (RUNNING), only what EVIDENCE different pages share is constant.
+
+1. Shapes. A task parses the pages that it reads. A page's shape is its tree of labels; what is running text is a leaf, and neighbours of one
+   structure are folded. Pages of one host and shape come together as counts and text states, so copies count once and no text travels.
+2. Templates. The shapes of a host are merged in the order of their hash, by prefixes of it: a tree of merges with the same outcome
+   under any partitioning, in which no task takes in all of a large host.
+3. Extraction. Pages are dealt out by (host, salt), so a large host has several tasks, each beside the host's template.
+
+Null or empty html: empty text. Null url: host is empty. Repeated rows: each gives a row; copies count once in a template. Empty table: no
+rows. Other columns are not read. A malformed page is parsed as far as it goes, in one pass: unclosed elements end with their parent, what is
+nested over DEPTH deep counts as text of its ancestor, and an unclosed tag runs to the end.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from assertlake.llm.common import parts, settled
+from assertlake.llm.common import parts, saved, settled
 
-GROUP_PAGES = 500
-#: Pages up to so many characters of a group are parsed once; further ones twice.
-TREE_CHARS = 1 << 22
+#: Rows of a large host that one task is to extract.
+GROUP_PAGES = 2000
 DEPTH = 200
-#: Hosts with more than this share of all pages are dealt out to several tasks; there are fewer than so many.
+#: At most so many hosts are dealt out to several tasks; it doesn't touch the result.
 LARGE_HOSTS = 5000
+#: Different pages that must share a running text, or a part of an article, to make it constant.
+EVIDENCE = 8
+#: Cells of an alignment that are held at once; larger ones are split.
+CELLS = 1 << 22
+#: Bits of a shape's hash that each round of merges takes off.
+PREFIX, STEP = 12, 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is not markup.
-RAW = re.compile(r"</(script|style|textarea|title|noscript|template|iframe|svg|xmp|noembed|noframes)[\s/>]", re.I)
 RAW_NAMES = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 DROPPED = frozenset("script style noscript template iframe svg math canvas head title object embed audio video nav header footer aside form button select option textarea input label fieldset dialog menu map figure-ad ins-ad".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open p ends where one of these begins.
 ENDS_P = BLOCKS | frozenset("nav header footer aside form fieldset menu".split())
-#: Parts of running text: the content region is above them.
+#: Parts of running text.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong span a li td blockquote pre".split())
 #: name -> the open elements that it ends, up to a bound
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -53,73 +62,141 @@ MARKED = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: The same for an article.
+MARKED_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|reply|ads?|advert\w*|sponsor\w*|promo\w*|related)(?=$|[\s_-])", re.I)
+#: A tag from its name on, with quoted values; possessive, so it goes forward only.
+TAG = re.compile(r"""([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+BARE_TAG = re.compile(r"([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]*+))?""")
 #: HTML's white space and the no-break space stay apart: only these count as white space in a block, with other Unicode spaces.
 SPACES = re.compile(r"\s+")
+DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("name", "label", "marked", "children", "parent")
+    """An element of a page. inner: a block stands in it that is not marked, at any depth."""
+
+    __slots__ = ("name", "label", "marked", "children", "parent", "inner")
 
     def __init__(self, name: str, label: str = "", marked: bool = False, parent: Node | None = None):
-        self.name, self.label, self.marked, self.parent = name, label, marked, parent
+        self.name, self.label, self.marked, self.parent, self.inner = name, label, marked, parent, False
         self.children: list[Node | str] = []
 
 
-def parse(text: str) -> Node:
-    """The tree of a page; strings are text with references decoded."""
-    root = at = Node("#root", "#root")
-    position, n = 0, len(text)
+class Scanner:
+    """Builds a page's tree in one pass; nothing is scanned twice but after the first tag that quotes leave open, from where on quotes don't count."""
 
-    def say(s: str) -> None:
-        if s:
-            at.children.append(html.unescape(s) if "&" in s else s)
+    def __init__(self, text: str):
+        self.text, self.root = text, Node("#root", "#root")
+        self.at, self.open = self.root, {}
+        self.tag = TAG
+        self.ends: dict[str, re.Pattern] = {}
 
-    while position < n:
-        m = TAG.search(text, position)
-        if not m:
-            say(text[position:])
-            break
-        say(text[position : m.start()])
-        position = m.end()
-        if m[1]:
-            name, node = m[1].lower(), at
-            while node.parent is not None and node.name != name:
+    def say(self, s: str) -> None:
+        if s:
+            self.at.children.append(html.unescape(s) if "&" in s else s)
+
+    def leave(self, node: Node) -> None:
+        """Closes the open elements down to node."""
+        while self.at is not node:
+            self.open[self.at.name] -= 1
+            self.at = self.at.parent
+        self.open[node.name] -= 1
+        self.at = node.parent
+
+    def parsed(self) -> Node:
+        text, position, n = self.text, 0, len(self.text)
+        while position < n:
+            start = text.find("<", position)
+            if start < 0:
+                self.say(text[position:])
+                break
+            mark = text[start + 1 : start + 2]
+            if not (mark.isascii() and mark.isalpha() or mark in ("/", "!", "?") and mark):
+                self.say(text[position : start + 1])
+                position = start + 1
+                continue
+            self.say(text[position:start])
+            if mark.isalpha():
+                position = self.element(start + 1)
+            elif text.startswith("<!--", start) or text.startswith("<![CDATA[", start):
+                close = "-->" if text[start + 2] == "-" else "]]>"
+                end = text.find(close, start + 4)
+                position = end + 3 if end >= 0 else n
+            else:
+                end = text.find(">", start)
+                position = end + 1 if end >= 0 else n
+                if mark == "/" and end >= 0:
+                    name = text[start + 2 : end].split("/")[0].split()
+                    self.closed(name[0].lower() if name else "")
+        return self.root
+
+    def closed(self, name: str) -> None:
+        if self.open.get(name):
+            node = self.at
+            while node.name != name:
                 node = node.parent
-            if node.parent is not None:
-                at = node.parent
-            elif name == "p":
-                at.children.append(Node("p", "p", False, at))
-            elif name == "br":
-                at.children.append(Node("br", "br", False, at))
-        elif m[2]:
-            name, attributes = m[2].lower(), m[3] or ""
-            if name in ENDS_P or name in CLOSES:
-                ends, bound = CLOSES.get(name, ({"p"}, {"table", "td", "th", "button", "object"}))
-                for names, stop in ((ends, bound), ({"p"}, {"table", "td", "th", "button", "object"})) if name in CLOSES else ((ends, bound),):
-                    node = at
-                    while node.parent is not None and node.name not in names and node.name not in stop and (node.name not in BLOCKS or names != {"p"}):
-                        node = node.parent
-                    if node.name in names:
-                        at = node.parent
-            found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-            names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-            marked = name in DROPPED or found.get("role", "").lower() in ROLES or bool(names and MARKED.search(names)) or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-            if name in ("html", "body", "main", "article"):
-                marked = found.get("role", "").lower() in ROLES and name not in ("html", "body")
-                marked = marked or name == "article" and bool(re.search(r"(?:^|[\s_-])(?:comments?|reply|ads?|advert\w*|sponsor\w*|promo\w*|related)(?=$|[\s_-])", names, re.I))
-            node = Node(name, f"{name}.{found.get('class', '').lower()}", marked, at)
-            at.children.append(node)
-            if name in RAW_NAMES:
-                end = next((x for x in RAW.finditer(text, position) if x[1].lower() == name), None)
-                close = text.find(">", end.end() - 1) if end else -1
-                position = close + 1 if close >= 0 else n
-            elif name not in VOID and not attributes.rstrip().endswith("/"):
-                at = node
-            elif name not in VOID and name not in ("svg", "path", "math"):
-                at = node  # a slash does not close an HTML element
-    return root
+            self.leave(node)
+        elif name in ("p", "br"):
+            self.at.children.append(Node(name, name, False, self.at))
+
+    def element(self, position: int) -> int:
+        """Opens the element whose name is at position; returns where the text goes on."""
+        m = self.tag.match(self.text, position)
+        if not m and self.tag is TAG:
+            self.tag = BARE_TAG
+            m = self.tag.match(self.text, position)
+        if not m:
+            return len(self.text)
+        name, attributes = m[1].lower(), m[2]
+        self.end_others(name)
+        node = Node(name, *named(name, attributes), self.at)
+        self.at.children.append(node)
+        if name in BLOCKS and not node.marked:
+            above = self.at
+            while above is not None and not above.inner:
+                above.inner, above = True, above.parent
+        if name in RAW_NAMES:
+            ends = self.ends.setdefault(name, re.compile(rf"</{name}[\s/>]", re.I))
+            end = ends.search(self.text, m.end())
+            close = self.text.find(">", end.end() - 1) if end else -1
+            return close + 1 if close >= 0 else len(self.text)
+        if name not in VOID:
+            self.at = node  # a slash does not close an HTML element
+            self.open[name] = self.open.get(name, 0) + 1
+        return m.end()
+
+    def end_others(self, name: str) -> None:
+        """Elements that end where one of this name begins."""
+        for names, stop in ((CLOSES[name], P) if name in CLOSES else (P,) if name in ENDS_P else ()):
+            if any(self.open.get(x) for x in names):
+                node = self.at
+                while node.parent is not None and node.name not in names and node.name not in stop and (node.name not in BLOCKS or "p" not in names):
+                    node = node.parent
+                if node.name in names:
+                    self.leave(node)
+
+
+P = ({"p"}, {"table", "td", "th", "button", "object"})
+
+
+def named(name: str, attributes: str) -> tuple[str, bool]:
+    """The label of an element, its name and class without digits, and whether its role is not content."""
+    found: dict[str, str] = {}
+    if attributes.strip():
+        for k, v in ATTRIBUTE.findall(attributes):
+            found.setdefault(k.lower(), v.strip("\"'"))
+    names = f"{found.get('class', '')} {found.get('id', '')}".strip()
+    role = found.get("role", "").lower()
+    marked = name in DROPPED or role in ROLES or bool(names and MARKED.search(names)) or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    if name in ("html", "body", "main", "article"):
+        marked = role in ROLES and name not in ("html", "body") or name == "article" and bool(MARKED_ARTICLE.search(names))
+    return f"{name}.{DIGITS.sub('#', found.get('class', '').lower())}", marked
+
+
+def parse(text: str) -> Node:
+    """The tree of a page; strings are text with references decoded."""
+    return Scanner(text).parsed()
 
 
 def blocks(node: Node, without: set[int] = frozenset()) -> list[str]:
@@ -153,298 +230,383 @@ def blocks(node: Node, without: set[int] = frozenset()) -> list[str]:
     return out
 
 
-class Template:
-    """A node of aligned pages: two of its texts, which tell whether it varies, the number of its pages, and its aligned children."""
-
-    __slots__ = ("label", "name", "marked", "texts", "pages", "children")
-
-    def __init__(self, node: Node):
-        self.label, self.name, self.marked = node.label, node.name, node.marked
-        self.texts: set[str] = set()
-        self.pages = 0
-        self.children: list[Template] = []
-
-    def add(self, own: str) -> None:
-        self.pages += 1
-        if own and len(self.texts) < 2:
-            self.texts.add(own)
-
+def visible_text(node: Node) -> str:
+    out, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x is node or not x.marked:
+            stack.extend(reversed(x.children))
+    return "".join(out).strip()
+
+
+class Tree:
+    """A node of one page or of aligned pages. text: a hash of the text, 0 without any; varies: pages differ in it; pages: how many have it;
+    nodes: a page's elements (several where neighbours are folded); key and size: the structure's hash and its number of nodes."""
+
+    __slots__ = ("label", "text", "varies", "pages", "children", "nodes", "key", "size")
+
+    def __init__(self, label: str, text: int = 0, children: list[Tree] = (), nodes: list[Node] = (), varies: bool = False, pages: int = 1):
+        self.label, self.text, self.varies, self.pages, self.nodes = label, text, varies, pages, list(nodes)
+        self.set(list(children))
+
+    def set(self, children: list[Tree]) -> None:
+        self.children = children
+        self.size = 1 + sum(x.size for x in children)
+        self.key = xxhash.xxh3_64_intdigest("\0".join([self.label, *(str(x.key) for x in children)]).encode("utf-8", "surrogatepass"))
+
+    @property
+    def name(self) -> str:
+        return self.label.partition(".")[0]
+
+    def walk(self) -> Iterator[tuple[Tree, int]]:
+        """All nodes and their depths, each before its children."""
+        stack = [(self, 0)]
+        while stack:
+            t, depth = stack.pop()
+            yield t, depth
+            stack.extend((x, depth + 1) for x in reversed(t.children))
+
+
+def hashed(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 | 1 if text else 0
+
+
+def tree_of(node: Node, depth: int = 0) -> Tree:
+    """A page's tree, without marked parts and empty leaves."""
+    if not node.inner or depth >= DEPTH:
+        return Tree(node.label, hashed(visible_text(node)), nodes=[node])
+    kids: list[Tree] = []
+    for x in node.children:
+        if isinstance(x, str) or x.marked:
+            continue
+        kid = tree_of(x, depth + 1)
+        if kids and kids[-1].key == kid.key:
+            for (a, _), (b, _) in zip(kids[-1].walk(), kid.walk()):
+                a.text = hashed(f"{a.text} {b.text}") if a.text or b.text else 0
+                a.nodes += b.nodes
+        elif kid.children or kid.text:
+            kids.append(kid)
+    return Tree(node.label, hashed("".join(x for x in node.children if isinstance(x, str)).strip()), kids, [node])
+
+
+def match(a: list[Tree], b: list[Tree], memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching of two lists of trees: the most matched nodes at all levels, and the pairs at the top. memo holds the matching of the
+    children of two structures."""
+    # equal trees at either end match: no other pair of one of the two can have more nodes
+    low, n, m = 0, len(a), len(b)
+    while low < min(n, m) and a[low].key == b[low].key:
+        low += 1
+    high = 0
+    while high < min(n, m) - low and a[n - 1 - high].key == b[m - 1 - high].key:
+        high += 1
+    total, pairs = aligned(a[low : n - high], b[low : m - high], memo)
+    pairs = [*((i, i) for i in range(low)), *((low + i, low + j) for i, j in pairs), *((n - k, m - k) for k in range(high, 0, -1))]
+    return total + sum(x.size for x in (*a[:low], *a[n - high :])), pairs
 
-def elements(node: Node) -> list[Node]:
-    return [x for x in node.children if not isinstance(x, str)]
 
+def below(x: Tree, y: Tree, memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """The matching of two nodes' children."""
+    if not x.children or not y.children:
+        return 0, []
+    if x.key == y.key:
+        return x.size - 1, [(i, i) for i in range(len(x.children))]
+    key = x.key, y.key
+    if key not in memo:
+        memo[key] = match(x.children, y.children, memo)
+    return memo[key]
 
-def inner(node: Node) -> list[Node]:
-    """The children that an alignment goes down to: marked parts are leaves."""
-    return [] if node.marked else elements(node)
 
+def best_row(row: np.ndarray, x: Tree, at: np.ndarray, b: list[Tree], memo: dict) -> np.ndarray:
+    """The next row of the alignment's table; at: where x's label stands in b."""
+    if not len(at):
+        return row
+    out = row.copy()
+    out[at + 1] = np.maximum(out[at + 1], row[at] + [1 + below(x, b[j], memo)[0] for j in at.tolist()])
+    return np.maximum.accumulate(out)
 
-def fits(x: Template, y: Node) -> bool:
-    return x.label == y.label and x.marked == y.marked
 
+def places(b: list[Tree]) -> dict[str, np.ndarray]:
+    out: dict[str, list[int]] = {}
+    for j, y in enumerate(b):
+        out.setdefault(y.label, []).append(j)
+    return {k: np.array(v) for k, v in out.items()}
 
-def same(x: Template, y: Node) -> bool:
-    """Equal trees of labels."""
-    if not fits(x, y):
-        return False
-    b = inner(y)
-    return len(x.children) == len(b) and all(map(same, x.children, b))
 
+NONE = np.zeros(0, np.int64)
 
-def match(a: list, b: list, memo: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two lists of trees: the most matched nodes at all levels, and the pairs at the top.
 
-    The trees of a are a template's, so no deeper than DEPTH; memo holds the matching of the children of each pair of nodes.
-    """
-    memo = {} if memo is None else memo
+def aligned(a: list[Tree], b: list[Tree], memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """match() without its short cuts. Large tables are halved where the scores of both halves meet, so memory is bounded."""
     n, m = len(a), len(b)
-    if n == m and all(map(fits, a, b)) and len({x.label for x in a}) == n:
-        return sum(1 + below(x, y, memo)[0] for x, y in zip(a, b)), [(i, i) for i in range(n)]
-    # equal trees at either end match: no other pair of one of the two can have more nodes
-    low = 0
-    while low < min(n, m) and same(a[low], b[low]):
-        low += 1
-    high = 0
-    while high < min(n, m) - low and same(a[n - 1 - high], b[m - 1 - high]):
-        high += 1
-    n, m = n - low - high, m - low - high
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    score = {}
-    for i in range(n if m else 0):
-        x, above, row = a[low + i], best[i], best[i + 1]
-        for j in range(m):
-            most = above[j + 1] if above[j + 1] > row[j] else row[j]
-            if fits(x, b[low + j]):
-                score[i, j] = 1 + below(x, b[low + j], memo)[0]
-                most = max(most, above[j] + score[i, j])
-            row[j + 1] = most
-    pairs, i, j = [(len(a) - 1 - k, len(b) - 1 - k) for k in range(high)], n, m
+    if not n or not m:
+        return 0, []
+    if n * m > CELLS and n > 1:
+        half = n // 2
+        up, down, where, back = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64), places(b), places(b[::-1])
+        for x in a[:half]:
+            up = best_row(up, x, where.get(x.label, NONE), b, memo)
+        for x in a[:half - 1 : -1]:
+            down = best_row(down, x, back.get(x.label, NONE), b[::-1], memo)
+        cut = int(np.argmax(up + down[::-1]))
+        (p, left), (q, right) = aligned(a[:half], b[:cut], memo), aligned(a[half:], b[cut:], memo)
+        return p + q, left + [(half + i, cut + j) for i, j in right]
+    where = places(b)
+    rows = [np.zeros(m + 1, np.int64)]
+    for x in a:
+        rows.append(best_row(rows[-1], x, where.get(x.label, NONE), b, memo))
+    pairs, i, j = [], n, m
     while i and j:
-        if (i - 1, j - 1) in score and best[i][j] == best[i - 1][j - 1] + score[i - 1, j - 1]:
-            pairs.append((low + i - 1, low + j - 1))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
+        if rows[i][j] == rows[i - 1][j]:
             i -= 1
-        else:
+        elif rows[i][j] == rows[i][j - 1]:
             j -= 1
-    pairs += [(k, k) for k in reversed(range(low))]
-    ends = sum(1 + below(a[i], b[j], memo)[0] for i, j in (pairs[:high] + pairs[len(pairs) - low :]))
-    return best[n][m] + ends, pairs[::-1]
-
-
-def below(x: Template, y: Node, memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """The matching of two nodes' children."""
-    if not x.children or y.marked:
-        return 0, []
-    key = id(x), id(y)
-    if key not in memo:
-        memo[key] = match(x.children, elements(y), memo)
-    return memo[key]
-
-
-def whole_text(node: Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
         else:
-            stack.extend(reversed(x.children))
-    return "".join(out)
-
-
-def own_text(node: Node, deep: bool) -> str:
-    return (whole_text(node) if deep else "".join(x for x in node.children if isinstance(x, str))).strip()
-
-
-def align(template: Template, node: Node, depth: int = 0, memo: dict | None = None, met: list[Template] | None = None) -> None:
-    """Adds a page's subtree to the template's. What is nested over DEPTH deep counts as its ancestor's own text.
-    met gets the template's nodes in the order of visited()."""
-    deep = depth >= DEPTH
-    template.add(own_text(node, deep))
-    met = [] if met is None else met
-    met.append(template)
-    if template.marked or deep:
-        return
-    # a pair's matching is looked up before align changes either tree below it
-    memo = {} if memo is None else memo
-    children = elements(node)
-    _, pairs = below(template, node, memo)
-    partner = {j: i for i, j in pairs}
-    at, out = 0, []
-    for j, child in enumerate(children):
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return int(rows[n][m]), pairs[::-1]
+
+
+def merge(template: Tree, tree: Tree, memo: dict) -> None:
+    """Adds tree, of other pages, to the template."""
+    _, pairs = below(template, tree, memo)
+    template.pages += tree.pages
+    template.varies |= tree.varies or bool(template.text and tree.text and template.text != tree.text)
+    template.text = max(template.text, tree.text)
+    at, out, partner = 0, [], {j: i for i, j in pairs}
+    for j, child in enumerate(tree.children):
         if j in partner:
             out += template.children[at : partner[j] + 1]
             at = partner[j] + 1
-            align(out[-1], child, depth + 1, memo, met)
+            merge(out[-1], child, memo)
         else:
-            new = Template(child)
-            align(new, child, depth + 1, memo, met)
-            out.append(new)
-    template.children = out + template.children[at:]
+            out.append(child)
+    template.set(out + template.children[at:])
+
 
+def induced(trees: list[Tree]) -> Tree:
+    """The template of different pages of a host."""
+    memo: dict = {}
+    template, *others = sorted(trees, key=lambda t: t.key)
+    for t in others:
+        merge(template, t, memo)
+    return template
 
-def visited(page: Node) -> list[tuple[Node, int]]:
-    """The nodes that align() meets and their depths, each before its children."""
-    out, stack = [], [(page, 0)]
+
+def pairs_of(template: Tree | None, tree: Tree, memo: dict) -> dict[int, Tree]:
+    """The template's node of each node of a page (by id) that has one."""
+    out, stack = {}, [(template, tree)] if template else []
     while stack:
-        node, depth = stack.pop()
-        out.append((node, depth))
-        if depth < DEPTH:
-            stack.extend((x, depth + 1) for x in reversed(inner(node)))
+        t, own = stack.pop()
+        out[id(own)] = t
+        stack.extend((t.children[i], own.children[j]) for i, j in below(t, own, memo)[1])
     return out
 
 
-class Host:
-    """The template of all pages of a group, and for each shape of page the template's nodes that its nodes are aligned with."""
-
-    def __init__(self) -> None:
-        self.template: Template | None = None
-        self.shapes: dict[bytes, list[Template]] = {}
-
-    def met(self, nodes: list[tuple[Node, int]]) -> tuple[bytes, list[Template] | None]:
-        shape = hashlib.blake2b(repr([(x.label, x.marked, depth) for x, depth in nodes]).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        return shape, self.shapes.get(shape)
-
-    def fold(self, page: Node) -> None:
-        """Adds a page. One of a known shape matches the template with all its nodes, so it is added node by node."""
-        nodes = visited(page)
-        shape, known = self.met(nodes)
-        if known is not None:
-            for t, (node, depth) in zip(known, nodes):
-                t.add(own_text(node, depth >= DEPTH))
-            return
-        if self.template is None:
-            self.template = Template(page)
-        self.shapes[shape] = met = []
-        align(self.template, page, met=met)
-
-    def content(self, page: Node) -> tuple[str, list[str]]:
-        """The main text of a page that was added, and the path of its region: the lowest node that holds all slots of this page."""
-        nodes = visited(page)
-        _, met = self.met(nodes)
-        partner = {id(node): t for t, (node, _) in zip(met, nodes)}
-        slot, held, worded_ = set(), set(), set()
-        for t, (node, depth) in zip(reversed(met), reversed(nodes)):
-            if node.marked:
-                continue
-            k, below_ = id(node), inner(node) if depth < DEPTH else []
-            own = bool(own_text(node, depth >= DEPTH))
-            if own and own_slot(t):
-                slot.add(k)
-            if own or any(id(x) in worded_ for x in below_):
-                worded_.add(k)
-            if k in slot or any(id(x) in held for x in below_) or node.name == "article" and k in worded_:
-                held.add(k)
-        if id(page) not in held:  # nothing but what other pages have too
-            path = induced([page])
-            return "\n".join(s for x in at_path(page, path) for s in blocks(x)), path
-        at, path = page, []
-        while at.name != "article" and id(at) not in slot:
-            slots = [x for x in inner(at) if id(x) in held]
-            if len(slots) != 1 or slots[0].name in RUNNING:
-                break
-            at = slots[0]
-            path.append(at.label)
-        # beside the slots, what is the same on most pages is the site's
-        site = set() if at.name == "article" else {id(x) for x in inner(at) if id(x) in partner and x.name not in RUNNING and id(x) not in held and 2 <= partner[id(x)].pages > self.template.pages / 2}
-        return "\n".join(blocks(at, site)), path
+def content(page: Node, template: Tree | None, memo: dict | None = None) -> tuple[str, list[str]]:
+    """The main text of a page, and the path of its region: the lowest node that holds all its slots."""
+    tree = tree_of(page)
+    partner = pairs_of(template, tree, {} if memo is None else memo)
+    held, slots, worded = set(), set(), set()
+    for x, _ in reversed(list(tree.walk())):
+        k, t = id(x), partner.get(id(x))
+        if x.text and (t is None or t.varies or t.pages == 1):
+            slots.add(k)
+        if x.text or any(id(y) in worded for y in x.children):
+            worded.add(k)
+        if k in slots or any(id(y) in held for y in x.children) or x.name == "article" and k in worded:
+            held.add(k)
+    if id(tree) not in held:  # nothing but what other pages have too
+        held = slots = worded
+    at, path = tree, []
+    while at.name != "article" and id(at) not in slots:
+        inner = [x for x in at.children if id(x) in held]
+        if len(inner) != 1 or not inner[0].children and inner[0].name != "article":
+            break
+        at = inner[0]
+        path.append(at.label)
+    site: set[int] = set()
+    stack = [(x, at.name == "article") for x in at.children]
+    while stack:
+        x, article = stack.pop()
+        t = partner.get(id(x))
+        if id(x) in held or t is None or not 2 * t.pages > template.pages or t.pages < (EVIDENCE if article or x.name in RUNNING else 2):
+            stack.extend((y, article or x.name == "article") for y in x.children)
+        else:
+            site.update(map(id, x.nodes))
+    return "\n".join(s for node in at.nodes for s in blocks(node, site)), path
 
 
-def own_slot(t: Template) -> bool:
-    """Whether a node's own text differs between its pages, or it has some on its only page."""
-    return len(t.texts) > 1 or t.pages == 1 and bool(t.texts)
+def packed(tree: Tree) -> bytes:
+    """A tree as bytes: its nodes in order with depths, then their states."""
+    rows = list(tree.walk())
+    names = "\n".join(f"{depth} {t.label.encode('utf-8', 'replace').decode().replace(chr(10), ' ')}" for t, depth in rows).encode()
+    states = np.array([(t.text, t.varies, t.pages) for t, _ in rows], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(len(rows).to_bytes(8, "little") + states + names)
 
 
-def varying(t: Template) -> bool:
-    """Whether a subtree has slot text outside of marked parts; an article's text always counts as such, since copies of it are constant."""
-    return not t.marked and (own_slot(t) or any(map(varying, t.children)) or t.name == "article" and any(map(worded, t.children)))
 
+def unpacked(blob: bytes) -> Tree:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    states = np.frombuffer(raw[8 : 8 + 24 * n], np.int64).reshape(n, 3).tolist()
+    names = [x.split(" ", 1) for x in raw[8 + 24 * n :].decode().split("\n")]
+    waiting: dict[int, list[Tree]] = {}
+    for (depth, label), (text, varies, pages) in zip(reversed(names), reversed(states)):
+        depth = int(depth)
+        t = Tree(label, text, waiting.pop(depth + 1, [])[::-1], varies=bool(varies), pages=pages)
+        waiting.setdefault(depth, []).append(t)
+    return waiting[0][0]
 
-def worded(t: Template) -> bool:
-    return not t.marked and (bool(t.texts) or any(map(worded, t.children)))
 
+SHAPES = "host string, shape long, page long, tree binary"
 
-def induced(pages: list[Node]) -> list[str]:
-    """The wrapper of same-host pages: the labels from the root down to the content region."""
-    template = Template(pages[0])
-    for page in pages:
-        align(template, page)
-    return region(template)
 
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (host, shape, page) for each page, page a hash of the html, and rows (host, shape, tree) with the states of this task's pages."""
+    held: dict[tuple[str, int], Tree] = {}
 
-def region(t: Template) -> list[str]:
-    """From the root down to the lowest node that holds all unmarked slots; an article is not entered, nor what is part of running text."""
-    path: list[str] = []
-    while t.name != "article" and not own_slot(t):
-        slots = [x for x in t.children if varying(x)]
-        if len(slots) != 1 or slots[0].name in RUNNING:
-            break
-        t = slots[0]
-        path.append(t.label)
-    return path
+    def rows(host: list, shape: list, page: list, tree: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(shape, pa.int64()), pa.array(page, pa.int64()), pa.array(tree, pa.binary())], ["host", "shape", "page", "tree"])
 
+    def flush() -> pa.RecordBatch:
+        out = rows([h for h, _ in held], [s for _, s in held], [None] * len(held), list(map(packed, held.values())))
+        held.clear()
+        return out
 
-def at_path(node: Node, path: list[str]) -> list[Node]:
-    """The nodes at a path of labels; where several children fit, all of them, in page order."""
-    found = [node]
-    for label in path:
-        found = [x for f in found for x in elements(f) if x.label == label and not x.marked]
-    return found
+    nodes = 0
+    for batch in batches:
+        hosts, shapes, pages = [], [], []
+        for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            if not text:
+                continue
+            tree = tree_of(parse(text))
+            key = host, tree.key - (1 << 63)
+            hosts.append(host)
+            shapes.append(key[1])
+            pages.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
+            if key in held:
+                overlaid(held[key], tree)
+            else:
+                for t, _ in tree.walk():
+                    t.nodes = []
+                held[key] = tree
+                nodes += tree.size
+        yield rows(hosts, shapes, pages, [None] * len(hosts))
+        if nodes > 1_000_000:
+            yield flush()
+            nodes = 0
+    if held:
+        yield flush()
 
 
-def extracted(page: Node, path: list[str] | None) -> str:
-    found = at_path(page, path) if path else []
-    text = "\n".join(s for x in found for s in blocks(x))
-    if text:
-        return text
-    return "\n".join(s for x in at_path(page, induced([page])) for s in blocks(x))
+def overlaid(a: Tree, b: Tree) -> None:
+    """Adds the texts of a page to another of the same shape."""
+    for (x, _), (y, _) in zip(a.walk(), b.walk()):
+        x.varies |= y.varies or x.text != y.text
+        x.text = max(x.text, y.text)
+
+
+TEMPLATES = "host string, prefix long, tree binary"
+
+
+def _merged(last: bool):
+    """Rows (host, prefix, shape, pages, tree), sorted, of shapes or templates -> a template for each (host, prefix)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, template, shape, own, memo = None, None, None, None, {}
+
+        def settle_shape() -> None:
+            nonlocal template, own
+            if own is not None and template is None:
+                template = own
+            elif own is not None:
+                merge(template, own, memo)
+            own = None
+
+        def finish() -> pa.RecordBatch:
+            if last:  # what one page alone has is a slot with or without it
+                stack = [template]
+                for t in stack:
+                    t.children = [x for x in t.children if x.pages > 1]
+                    stack.extend(t.children)
+                for t in reversed(stack):
+                    t.set(t.children)
+            return pa.RecordBatch.from_arrays([pa.array([group[0]], pa.string()), pa.array([group[1]], pa.int64()), pa.array([packed(template)], pa.binary())], ["host", "prefix", "tree"])
+
+        for batch in batches:
+            for host, prefix, new, pages, blob in zip(*(batch.column(c).to_pylist() for c in ("host", "prefix", "shape", "pages", "tree"))):
+                if group != (host, prefix):
+                    settle_shape()
+                    if template is not None:
+                        yield finish()
+                    group, template, memo = (host, prefix), None, {}
+                tree = unpacked(blob)
+                if new is not None and own is not None and new == shape:
+                    overlaid(own, tree)
+                    continue
+                settle_shape()
+                shape, own = new, tree
+                if pages is not None:
+                    for t, _ in own.walk():
+                        t.pages = pages
+        settle_shape()
+        if template is not None:
+            yield finish()
+
+    return run
+
+
+def templates(shapes: DataFrame, n: int) -> DataFrame:
+    """(host, tree): the template of each host of rows SHAPES."""
+    pages = shapes.where("page is not null").groupBy("host", "shape").agg(F.count_distinct("page").alias("pages"))
+    own = shapes.where("tree is not null").select("host", "shape", "tree").join(pages, ["host", "shape"])
+    rows = own.select("host", F.shiftrightunsigned("shape", 64 - PREFIX).alias("prefix"), "shape", "pages", "tree")
+    for bits in range(PREFIX, -1, -STEP):
+        rows = rows.repartition(n, "host", "prefix").sortWithinPartitions("host", "prefix", *(["shape", "tree"] if bits == PREFIX else ["before"]))
+        rows = rows.mapInArrow(settled(_merged(not bits)), TEMPLATES)
+        none = F.lit(None).cast("long")
+        rows = rows.select("host", F.shiftright("prefix", STEP).alias("prefix"), F.col("prefix").alias("before"), none.alias("shape"), none.alias("pages"), "tree")
+    return rows.select("host", "tree")
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long, wrapper string"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group; a group's rows are together."""
-    group, held = None, []
-
-    def flush() -> pa.RecordBatch:
-        distinct = list(dict.fromkeys(x for _, _, x in held if x))
-        host, trees, room = Host(), {}, TREE_CHARS
-        for x in distinct:
-            page = parse(x)
-            host.fold(page)
-            room -= len(x)
-            if room >= 0:
-                trees[x] = page
-        found = {x: host.content(trees.pop(x, None) or parse(x)) for x in distinct}
-        texts = [found[x][0] if x else "" for _, _, x in held]
-        wrappers = ["/".join(found[x][1]) if x and len(distinct) > 1 else "" for _, _, x in held]
-        columns = [pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64()), pa.array(wrappers, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in EXTRACTED.split(", ")])
-
+    """Rows come sorted by host, a host's template before its pages."""
+    host, template, memo = None, None, {}
     for batch in batches:
-        for g, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "page_id", "url", "html"))):
-            if g != group and held:
-                yield flush()
-                held = []
-            group = g
-            held.append(row)
-            if len(held) >= 4 * GROUP_PAGES:
-                yield flush()
-                held = []
-    if held:
-        yield flush()
+        rows = []
+        for own, tree, page_id, url, text in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "page_id", "url", "html"))):
+            if own != host:
+                host, template, memo = own, None, {}
+            if tree is not None:
+                template = unpacked(tree)
+                continue
+            found, path = content(parse(text), template, memo) if text else ("", [])
+            rows.append((page_id, url, found, len(found), "/".join(path)))
+            if len(memo) > 100_000:
+                memo.clear()
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], [x.split()[0] for x in EXTRACTED.split(", ")])
 
 
 def main_text(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     """page_id, url, text, n_chars, wrapper; a row for each row of pages."""
+    n = parts(pages.sparkSession, pages)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    rows = pages.select("page_id", "url", "html", host.alias("host"))
-    large = pages.select(F.lit(1)).count() // LARGE_HOSTS
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(group_pages, large))
-    sizes = sizes.select("host", F.ceil(F.col("n") / group_pages).cast("int").alias("salts"))  # fewer than LARGE_HOSTS rows
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.col("salts")).cast("string")
-    rows = rows.join(F.broadcast(sizes), "host", "left")
-    rows = rows.select(F.concat_ws(" ", "host", F.coalesce(salt, F.lit("0"))).alias("group"), "page_id", "url", "html")
-    return rows.repartition(parts(pages.sparkSession), "group").sortWithinPartitions("group").mapInArrow(settled(_extract), EXTRACTED)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
+    shapes = saved(rows.select("host", "html").mapInArrow(settled(_shapes), SHAPES), "wrapper-shapes")
+    own = shapes.where("page is not null")
+    least = max(group_pages, own.count() // LARGE_HOSTS)
+    sizes = own.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    sizes = F.broadcast(sizes.select("host", F.ceil(F.col("n") / group_pages).cast("int").alias("salts")))  # fewer than LARGE_HOSTS rows
+    salts = F.coalesce("salts", F.lit(1))
+    none = lambda t: F.lit(None).cast(t)
+    trees = templates(shapes, n).join(sizes, "host", "left").select("host", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "tree", none("long").alias("page_id"), none("string").alias("url"), none("string").alias("html"))
+    salt = F.pmod(F.xxhash64("page_id", "url"), salts).cast("int")
+    dealt = rows.join(sizes, "host", "left").select("host", salt.alias("salt"), none("binary").alias("tree"), "page_id", "url", "html").unionByName(trees)
+    dealt = dealt.repartition(n, "host", "salt").sortWithinPartitions("host", "salt", F.col("tree").isNull())
+    return dealt.select("host", "tree", "page_id", "url", "html").mapInArrow(settled(_extract), EXTRACTED)

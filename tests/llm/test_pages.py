@@ -1,6 +1,7 @@
 """The operators over pages."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -48,25 +49,49 @@ LAYOUTS = [
 ]
 
 
+def alone(html):
+    return wi.content(wi.parse(html), None)[0]
+
+
+def together(pages):
+    """The texts and regions of one host's pages, each beside the template of all."""
+    trees = [wi.parse(p) for p in pages]
+    template = wi.induced([wi.tree_of(t) for t in trees])
+    return [wi.content(t, template) for t in trees]
+
+
 @pytest.mark.parametrize("html", LAYOUTS)
 def test_main_text_of_layouts(html):
     want = "Head\nOne & two three\nFour bold five"
-    assert wi.extracted(wi.parse(html), None) == want
-    assert wi.extracted(wi.parse(html), wi.induced([wi.parse(html), wi.parse(html.replace("One", "Other"))])) == want
+    assert alone(html) == want
+    assert [t for t, _ in together([html, html.replace("One", "Other")])] == [want, want.replace("One", "Other")]
 
 
 def test_wrapper_without_an_article():
     """Same-host pages in plain divs: what is the same on all of them is template, what varies is content."""
     make = lambda a, b: page(f'<div class="top"><a href="/">Home</a> <a href="/x">All news</a></div><div class="body"><div class="meta">Posted by staff</div><div class="txt"><p>{a}</p><p>{b}</p></div></div><div class="low">All rights are ours</div>')
-    pages = [wi.parse(make(f"Text number {i} is long enough to tell.", f"It ends with {i * i} words of its own.")) for i in range(6)]
-    path = wi.induced(pages)
-    assert path[-1] == "div.txt"
-    assert wi.extracted(pages[3], path) == "Text number 3 is long enough to tell.\nIt ends with 9 words of its own."
+    pages = [make(f"Text number {i} is long enough to tell.", f"It ends with {i * i} words of its own.") for i in range(6)]
+    text, path = together(pages)[3]
+    assert path[-1] == "div.txt" and text == "Text number 3 is long enough to tell.\nIt ends with 9 words of its own."
+    assert "Home" in alone(pages[3])  # without the other pages nothing tells
+
+
+def test_wrapper_without_telling_names():
+    """No article, no class: only the alignment tells the site's parts from the page's, also those between slots."""
+    make = lambda i: page(f"<div><a>Home</a><a>News</a></div><div><h2>Title {i}</h2><div><p>You read the Daily</p></div><p>Text {i}</p><div><b>Call us</b> now</div><p>End {i}</p></div><div><p>Printed in town</p></div>")
+    assert together([make(i) for i in range(9)])[4][0] == "Title 4\nText 4\nEnd 4"
+    assert "Home" in alone(make(4)) and "Daily" in alone(make(4))
+
+
+def test_constants_of_an_article_need_evidence():
+    make = lambda i: page(f'<article><h1>Same head</h1><p>Text {i}</p><div class="box"><p>Read more of us</p></div></article>')
+    assert together([make(i) for i in range(3)])[0][0] == "Same head\nText 0\nRead more of us"
+    assert together([make(i) for i in range(20)])[0][0] == "Text 0"
 
 
 def test_main_text_over_groups(spark):
     rows = [(i, f"http://h{i % 2}.example.com/{i}", LAYOUTS[i % 4]) for i in range(40)] + [(90, None, None), (91, "x", ""), (92, "http://h0.example.com/z", "<p>unclosed <b>text &lt;ok&gt;"), (0, "http://h0.example.com/0", LAYOUTS[0]), (None, "http://h1.example.com", "plain   text"), (93, "http://big", "<div>" * 3000 + "deep" + "</div>" * 3000)]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(*r, "clash", "c") for r in rows], "page_id long, url string, html string, text string, host string")
     got = wi.main_text(pages, group_pages=5).collect()
     want = "Head\nOne & two three\nFour bold five"
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
@@ -75,6 +100,18 @@ def test_main_text_over_groups(spark):
     assert wi.main_text(pages.where("false")).count() == 0
 
 
+def test_same_text_under_any_partitioning(spark):
+    """Neither the order of rows nor the sizes of tasks touch the result."""
+    r = random.Random(4)
+    body = lambda i: "".join(f"<{t}>{r.choice(['site', 'own'])} {i if r.random() < 0.5 else ''}</{t}>" for t in r.choices(["p", "div", "h2", "ul"], k=6))
+    rows = [(i, f"http://h{i % 2}/{i}", page(f"<div>{body(i)}</div><section>{body(i)}</section>")) for i in range(120)]
+    results = []
+    for order, n, size in ((rows, 1, 2000), (rows[::-1], 7, 10), (r.sample(rows, 120), 3, 50)):
+        got = wi.main_text(spark.createDataFrame(order, "page_id long, url string, html string").repartition(n), size).collect()
+        results.append(sorted((x.page_id, x.text, x.wrapper) for x in got))
+    assert results[0] == results[1] == results[2] and len(results[0]) == 120
+
+
 @pytest.mark.parametrize(
     "body",
     [
@@ -88,10 +125,9 @@ def test_no_slot_is_dropped(body):
     """Headline and lede beside a long text stay, on pages of one host and on a page alone."""
     top, low = '<nav><a href="/">Home</a></nav>', '<div class="footer">All rights are ours</div>'
     texts = [dict(a=f"Head {i}", b=f"Lede {i}", c=f"Body {i} " + "word " * 200 + "end", d=f"Last {i}") for i in range(5)]
-    pages = [wi.parse(page(top + body.format(**t) + low)) for t in texts]
-    path = wi.induced(pages)
-    for p, t in zip(pages, texts):
-        assert wi.extracted(p, path) == wi.extracted(p, None) == "\n".join(t.values())
+    pages = [page(top + body.format(**t) + low) for t in texts]
+    for p, (text, _), t in zip(pages, together(pages), texts):
+        assert text == alone(p) == "\n".join(t.values())
 
 
 def test_rare_layout_of_a_host(spark):
@@ -106,31 +142,38 @@ def test_rare_layout_of_a_host(spark):
     assert {r.wrapper for r in got if r.page_id % 40 != 17} == {"html./body./div.body/div.txt"}
 
 
+@pytest.mark.parametrize(
+    "html",
+    ["<a " * 3_000_000, '<p x="' * 1_500_000, '<a ">" ' * 1_200_000, "<div>" * 300_000 + "</b>" * 300_000, "<b>" * 300_000 + "<div></div>" * 100_000, "<!--" * 2_000_000, "<script>" * 500_000, "</" * 3_000_000, "< " * 3_000_000, "<td>" * 500_000, "<li><p>" * 200_000],
+)
+def test_malformed_pages_take_linear_time(html):
+    began = time.time()
+    alone(html)
+    assert time.time() - began < 20
+
+
 def most_matched(x, y):
     """Simple tree matching by its definition."""
-    a, b = x.children, wi.inner(y)
+    a, b = x.children, y.children
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
         for j in range(len(b)):
             best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + most_matched(a[i], b[j]))
-    return 1 + best[-1][-1] if wi.fits(x, y) else 0
-
-
-def as_template(node):
-    t = wi.Template(node)
-    t.children = list(map(as_template, wi.inner(node)))
-    return t
+    return 1 + best[-1][-1] if x.label == y.label else 0
 
 
-def test_matching_counts_nodes_of_all_levels():
-    """Of two divs with three children each, the one with equal labels below is the partner."""
-    menu, text = "<div><a>1</a><a>2</a><a>3</a></div>", "<div><p>4</p><p>5</p><p>6</p></div>"
-    a, b = as_template(wi.parse(menu + text)), wi.parse(text)
-    assert wi.match(a.children, wi.inner(b)) == (4, [(1, 0)])
+@pytest.mark.parametrize("cells", [wi.CELLS, 2])
+def test_matching_is_the_most_at_all_levels(monkeypatch, cells):
+    monkeypatch.setattr(wi, "CELLS", cells)
+    leaf = lambda x: wi.Tree(x, 1)
+    menu, text = wi.Tree("div", 0, [leaf("a"), leaf("a"), leaf("a")]), wi.Tree("div", 0, [leaf("p"), leaf("p"), leaf("p")])
+    assert wi.match([menu, text], [text], {}) == (4, [(1, 0)])  # of two divs with three children each, the one with equal labels below
     r = random.Random(2)
-    tree = lambda depth: "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in r.choices(["div", "b", "nav"], k=r.randrange(4))) if depth else ""
+    tree = lambda depth: wi.Tree(r.choice("abc"), r.randrange(3), [tree(depth - 1) for _ in range(r.randrange(5))] if depth else [])
     for _ in range(200):
-        x, y = as_template(wi.parse(tree(3))), wi.parse(tree(3))
-        n, pairs = wi.match(x.children, wi.inner(y))
-        assert n + 1 == most_matched(x, y) == 1 + sum(most_matched(x.children[i], wi.inner(y)[j]) for i, j in pairs)
+        x, y = wi.Tree("root", 0, [tree(2) for _ in range(r.randrange(5))]), wi.Tree("root", 0, [tree(2) for _ in range(r.randrange(5))])
+        n, pairs = wi.match(x.children, y.children, {})
+        assert n + 1 == most_matched(x, y) == 1 + sum(most_matched(x.children[i], y.children[j]) for i, j in pairs)
         assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        back = wi.unpacked(wi.packed(x))
+        assert back.key == x.key and [t.text for t, _ in back.walk()] == [t.text for t, _ in x.walk()]
