@@ -82,6 +82,12 @@ def parts(spark: SparkSession, *tables: DataFrame) -> int:
     return max(least, -(-size // PART_BYTES)) if size < 1 << 60 else least  # unknown sizes are huge
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to clash with no column (names of any case are one to Spark)."""
+    taken = {c.lower() for c in columns}
+    return [next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
+
+
 #: What a worker process keeps from task to task, by name.
 KEPT: dict[str, object] = {}
 

@@ -1,42 +1,12 @@
-"""Connected components of links: forests where links are together in a task, then labels over DataFrames."""
+"""Connected components of links, as labels over DataFrames."""
 
 from __future__ import annotations
 
 import itertools
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assertlake.llm.common import saved
-
-
-def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct nodes of links (a[i], b[i]) and the smallest node of each one's component."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while len(u):
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        while True:
-            jumped = new[new]
-            if np.array_equal(jumped, new):
-                break
-            new = jumped
-        label = new[label]
-        open_ = label[u] != label[v]
-        u, v = u[open_], v[open_]
-    return nodes, nodes[label]
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Links (a, b) with the same components, at most one for each node, b the smallest."""
-    nodes, roots = local_roots(a, b)
-    on = nodes != roots
-    return pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(roots[on])], ["a", "b"])
+from assertlake.llm.common import removed, saved, written
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -44,10 +14,12 @@ def components(links: DataFrame, name: str) -> DataFrame:
 
     Each round a node takes the smallest label of its neighbours, hands it to the node of its old label too (so whole trees hook at once, and
     rounds grow with the logarithm of a chain's length), then takes its label's label. Rows are pre-aggregated and a node with many links is
-    split by the adaptive join. It ends when no label changes, after however many rounds. Rounds are written to the shared folder.
+    split by the adaptive join. It ends when no label changes, after however many rounds. Rounds are written to the shared folder, and
+    deleted when the next one is. No links: no rows. Links of a node with itself and repeated ones count as none and one; ids are not null.
     """
     short = saved(links.select("a", "b").where("a <> b").distinct(), f"{name}-links")
     both = short.union(short.select("b", "a")).toDF("node", "other")
+    begin = written()
     labels = saved(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), f"{name}-0")
     for k in itertools.count(1):
         near = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
@@ -59,6 +31,8 @@ def components(links: DataFrame, name: str) -> DataFrame:
         new = saved(step.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")), f"{name}-{k}")
         changed = new.where("old <> root").limit(1).count()
         labels = new.select("node", "root")
+        removed(links.sparkSession, begin, keep=1)
         if not changed:
             break
+    removed(links.sparkSession, begin - 1, keep=1)
     return labels

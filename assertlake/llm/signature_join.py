@@ -7,16 +7,21 @@ when 100 * |A & B| >= 80 * |A | B|. The way there loses no link:
    most 1 / WORD_SHARE of them, so their table has a bound). Sets are sorted by (level, hash), the rarest first.
 2. Prefixes. Two sets that reach the threshold share one of their first n - ceil(0.8 n) + 1 shingles. These go, in blocks for each range of
    hashes, to tasks that find the groups of classes which share one; equal groups count once.
-3. Trees. A group's token bitmaps meet in one task (in pairs of bounded chunks, if it has over CHUNK classes), which builds a
-   signature tree: nodes hold the OR of bitmaps and a range of sizes. A dual traversal drops node pairs whose greatest possible
-   overlap or sizes can't reach the threshold, and those that are tied already; what is left is tied: a forest of ties, not pairs.
+3. Trees. A group's token bitmaps meet in one task, which builds a signature tree: nodes hold the OR of bitmaps and a range of sizes. A dual
+   traversal drops node pairs whose greatest possible overlap or sizes can't reach the threshold, and those that are tied already; what is
+   left is tied: a forest of ties, not pairs.
 4. Components of ties hold all links. Their sets meet in one task, in the same way, where the leaves compare sets exactly.
 5. The links' components, over classes, give each document its component.
 
+A group of over CHUNK classes is dealt to chunks twice, by two hashes, so each class is sent twice; copies of one text come together by that. Only
+if the group still has several components are those compared with each other: by bands of size, which linked sets can't skip, and
+in a band by pairs of chunks, with what has one component passed over.
+
 Sets are of 59-bit hashes and 5 bits of level; classes are 64-bit hashes of sets.
 
 Null, empty or word-free text: an empty set, linked with nothing, its own component. Fewer than SHINGLE words: one shingle, the whole.
-Repeated rows or ids: each gives a row; equal texts are one class. Null doc_id: counts as no id when the smallest is taken.
+Repeated rows or ids: each gives a row; equal texts are one class. Null doc_id: counts as no id when the smallest is taken. Empty table: no
+rows. Other columns, whatever their names, are passed on by one_of_each() and ignored by the rest.
 """
 
 from __future__ import annotations
@@ -28,14 +33,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from assertlake.llm.common import LOWER, SPACED, Words, mix, ngram_hashes, parts, ranges, saved, settled, slices
-from assertlake.llm.graph import components, forest
+from assertlake.llm.common import LOWER, SPACED, Words, fresh, mix, ngram_hashes, parts, ranges, saved, settled, slices
+from assertlake.llm.graph import components
 
 SHINGLE = 5
 WORD_SHARE = 2e-6
 CHUNK = 4096
 LEAF, FAN_OUT = 16, 8
-LAST_ID = (1 << 63) - 1
+#: Linked sets are at most one band of sizes apart: 1.25 is the greatest ratio of their sizes.
+BAND = 1.26
+#: A class with over 1 / HOT_CLASSES of all rows is hot; so there are fewer than so many.
+HOT_CLASSES = 2000
 
 
 def enough(shared: int, n: int, m: int) -> bool:
@@ -281,12 +289,12 @@ def tie_group(names: list[int], sizes: list[int], maps: list[np.ndarray], tied:
 
 
 def _by_task(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[dict]:
-    """class -> the row's other columns, for each task; rows come sorted by task, and a class that comes again is skipped."""
+    """class -> (name, n, the column), for each task; rows come sorted by task, and a class that comes again is skipped."""
     task, held = None, {}
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
-            for t, c, *row in zip(*(part.column(k).to_pylist() for k in ("task", "class", "n", column))):
+            for t, c, *row in zip(*(part.column(k).to_pylist() for k in ("task", "class", "name", "n", column))):
                 if t != task and held:
                     yield held
                     held = {}
@@ -297,20 +305,23 @@ def _by_task(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[dict]:
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, class, n, bitmap) sorted by task -> a forest of ties."""
+    """Rows (task, class, name, n, bitmap) sorted by task -> a forest of ties between names."""
     tied = Forest()
     for own in _by_task(batches, "bitmap"):
-        tie_group(list(own), [n for n, _ in own.values()], [np.frombuffer(m, np.uint8) for _, m in own.values()], tied)
+        names, sizes, maps = zip(*own.values())
+        if len(set(names)) > 1:
+            tie_group(list(names), list(sizes), [np.frombuffer(m, np.uint8) for m in maps], tied)
         if len(tied.up) > 1_000_000:
             yield tied.links()
             tied = Forest()
     yield tied.links()
 
 
-def link_sets(members: list[np.ndarray]) -> np.ndarray:
-    """The number of the smallest member in each one's component of links; members are not empty and all different."""
+def link_sets(members: list[np.ndarray], names: list[int]) -> Forest:
+    """Ties the names of linked members, which are not empty; those of one name are tied already."""
     order = sorted(range(len(members)), key=lambda i: (len(members[i]), i))
     own = [members[i] for i in order]
+    named = [names[i] for i in order]
     tied = Forest()
 
     def linked(a: int, b: int) -> bool:
@@ -322,82 +333,113 @@ def link_sets(members: list[np.ndarray]) -> np.ndarray:
     if len(own) <= 3:
         for b in range(len(own)):
             for a in range(b):
-                if tied.find(order[a]) != tied.find(order[b]) and 5 * len(own[a]) >= 4 * len(own[b]) and linked(a, b):
-                    tied.unite(order[a], order[b])
+                if tied.find(named[a]) != tied.find(named[b]) and 5 * len(own[a]) >= 4 * len(own[b]) and linked(a, b):
+                    tied.unite(named[a], named[b])
     else:
         bits = bits_of(len(own[-1]))
         tree = SignatureTree(np.stack([bitmap(s, bits) for s in own]).view(np.uint64), np.array([len(s) for s in own]))
-        tree.traverse(order, tied, linked)
-    return np.array([tied.find(i) for i in range(len(members))], np.int64)
+        tree.traverse(named, tied, linked)
+    return tied
 
 
 def _linked(frequent: tuple[np.ndarray, np.ndarray]):
-    """Rows (task, class, text) sorted by task -> a forest of links between classes."""
+    """Rows (task, class, name, n, text) sorted by task -> a forest of links between names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _by_task(batches, "text"):
-            if len(own) < 2:
-                continue
-            members = [s for _, _, data, offsets in slices(pa.array([x for _, x in own.values()], pa.string())) for s in sets(data, offsets, frequent)]
-            names, low = np.array(list(own), np.int64), link_sets(members)
-            on = low != np.arange(len(low))
-            if on.any():
-                yield forest(names[on], names[low[on]])
+            names, _, texts = zip(*own.values())
+            if len(set(names)) > 1:
+                members = [s for _, _, data, offsets in slices(pa.array(texts, pa.string())) for s in sets(data, offsets, frequent)]
+                tied = link_sets(members, list(names))
+                if tied.up:
+                    yield tied.links()
 
     return run
 
 
-def tasks(members: DataFrame, group: str, chunk: int) -> DataFrame:
-    """Adds task to rows (group, class): the group, or each pair of its chunks that the class is in."""
-    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    k = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.concat_ws("-", F.col(group), F.least(i, k), F.greatest(i, k)))
-    return members.join(sizes, group).select("class", F.explode(pairs).alias("task"))
-
-
-def identified(docs: DataFrame) -> DataFrame:
-    """docs with __doc, the id with the last of all for null, and __t, a hash of the text."""
-    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t"))
+def chunked(members: DataFrame, group: list[str], chunk: int) -> DataFrame:
+    """Adds chunks to rows of groups: how many chunks the group has."""
+    return members.join(members.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), group)
+
+
+def grouped_components(members: DataFrame, attach, judge, n_parts: int, chunk: int, name: str) -> DataFrame:
+    """(class, root) of the classes that judge ties within the groups of rows (group, class, n). attach adds to rows (task, class, name, n) the
+    column that judge compares."""
+    run = lambda rows: attach(rows).repartition(n_parts, "task").sortWithinPartitions("task").mapInArrow(settled(judge), "a long, b long")
+    of = lambda seed: F.pmod(F.xxhash64("class", F.lit(seed)), F.col("chunks")).cast("int")
+    rows = chunked(members, ["group"], chunk)
+    twice = F.when(F.col("chunks") > 1, F.array(*(F.concat_ws("-", "group", F.lit(str(k)), of(k)) for k in (1, 2)))).otherwise(F.array(F.col("group").cast("string")))
+    found = components(run(rows.select(F.explode(twice).alias("task"), "class", F.col("class").alias("name"), "n")), name).withColumnRenamed("node", "class")
+    large = rows.where("chunks > 1").join(found, "class", "left").select("group", "class", "n", F.coalesce("root", "class").alias("name"))
+    several = large.groupBy("group").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("group")
+    large = saved(large.join(several, "group"), f"{name}-large")
+    if large.isEmpty():
+        return found
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(BAND))).cast("int")
+    rest = chunked(large.select("group", F.explode(F.array(band, band + 1)).alias("band"), "class", "name", "n"), ["group", "band"], chunk)
+    own = of(3)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.concat_ws("-", "group", "band", F.least(i, own), F.greatest(i, own)))
+    more = components(run(rest.select(F.explode(pairs).alias("task"), "class", "name", "n")), f"{name}-rest").select(F.col("node").alias("root"), F.col("root").alias("low"))
+    both = found.union(large.select("class", F.col("name").alias("root"))).distinct()
+    return both.join(more, "root", "left").select("class", F.coalesce("low", "root").alias("root"))
+
+
+def identified(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs with the columns names: whether the id is null, the id (0 for null), a hash of the text."""
+    none, doc, t = names
+    id_ = F.col("doc_id").cast("long")
+    return docs.select("*", id_.isNull().alias(none), F.coalesce(id_, F.lit(0)).alias(doc), F.xxhash64(F.coalesce("text", F.lit(""))).alias(t))
 
 
 def classified(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, t, n_shingles, class, class_key, component_key: a row for each row of docs. A key is struct(doc, t): the smallest id and text."""
+    """doc_id, t, n_shingles, class, class_key, component_key: a row for each row of docs. A key is struct(none, doc, t): the smallest id, null
+    as the last of all, and its text."""
     spark = docs.sparkSession
-    n = parts(spark)
+    n = parts(spark, docs)
     frequent = word_levels(docs)
-    own = identified(docs.select("doc_id", "text"))
-    rows = saved(own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__t").alias("t"), "text").mapInArrow(settled(_prefixes(n, frequent)), ROWS), "signature-prefixes")
+    own = identified(docs.select("doc_id", "text"), ["none", "doc", "t"])
+    rows = saved(own.select(F.col("doc_id").cast("long").alias("doc_id"), "t", "text").mapInArrow(settled(_prefixes(n, frequent)), ROWS), "signature-prefixes")
     each = rows.where("part is null").select("doc_id", "t", "n_shingles", "class")
-    blocks = rows.where("part is not null").select("part", "tokens", "classes").repartition(n, "part")
-    groups = saved(blocks.mapInArrow(settled(_groups), "group long, class long").distinct(), "signature-groups")
+    blocks = rows.where("part is not null").select("part", "tokens", "classes").repartitionById(n, F.col("part"))
     maps = rows.where("bitmap is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bitmap").alias("bitmap"))
-    ties = tasks(groups, "group", chunk).join(maps, "class").repartition(n, "task").sortWithinPartitions("task").select("task", "class", "n", "bitmap")
-    candidates = components(ties.mapInArrow(settled(_ties), "a long, b long"), "signature-ties").select("root", F.col("node").alias("class"))
-    key = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), F.col("t").alias("t"))
-    keys = each.where("class is not null").groupBy("class").agg(F.min(key).alias("class_key"), F.first("n_shingles").alias("n"))
-    asked = tasks(candidates, "root", chunk).join(keys, "class").select("class", "n", F.col("class_key.doc").alias("__doc"), F.col("class_key.t").alias("__t"), "task")
-    # by merge at any size: the plan is to be the same for small tables and large ones
-    texts = own.join(asked.hint("merge"), ["__doc", "__t"]).select("task", "class", "n", "text")
-    links = texts.repartition(n, "task").sortWithinPartitions("task").mapInArrow(settled(_linked(frequent)), "a long, b long")
-    linked = components(links, "signature-links").withColumnRenamed("node", "class")
-    known = linked.join(keys, "class")
+    groups = saved(blocks.mapInArrow(settled(_groups), "group long, class long").distinct().join(maps.select("class", "n"), "class").select("group", "class", "n"), "signature-groups")
+    with_maps = lambda x: x.join(maps.select("class", "bitmap"), "class").select("task", "class", "name", "n", "bitmap")
+    candidates = grouped_components(groups, with_maps, _ties, n, chunk, "signature-ties")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("t").alias("t"))
+    keys = saved(each.where("class is not null").groupBy("class").agg(F.min(key).alias("class_key"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("n_rows")), "signature-classes")
+    members = candidates.join(keys, "class").select(F.col("root").alias("group"), "class", "n")
+
+    def with_texts(x: DataFrame) -> DataFrame:
+        asked = x.join(keys.select("class", "class_key.*"), "class")
+        # by merge at any size: the plan is to be the same for small tables and large ones
+        return own.join(asked.hint("merge"), ["none", "doc", "t"]).select("task", "class", "name", "n", "text")
+
+    known = grouped_components(members, with_texts, _linked(frequent), n, chunk, "signature-links").join(keys.select("class", "class_key"), "class")
     low = known.groupBy("root").agg(F.min("class_key").alias("low"))
-    by_class = keys.join(known.join(low, "root").select("class", "low"), "class", "left").select("class", "class_key", F.coalesce("low", "class_key").alias("component_key"))
-    out = each.join(by_class, "class", "left")
+    by_class = keys.join(known.join(low, "root").select("class", "low"), "class", "left").select("class", "class_key", F.coalesce("low", "class_key").alias("component_key"), "n_rows")
+    # a hot class's rows are dealt to several tasks
+    total = each.count()
+    salts = F.ceil(F.col("n_rows") * HOT_CLASSES / F.lit(max(1, total))).cast("int")
+    hot = F.broadcast(keys.where(F.col("n_rows") * HOT_CLASSES > total).select("class", salts.alias("salts")))
+    salt = F.pmod(F.xxhash64("doc_id", "t", F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int")
+    dealt = each.join(hot, "class", "left").withColumn("salt", salt).drop("salts")
+    by_class = by_class.join(hot, "class", "left").select("class", "class_key", "component_key", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    out = dealt.join(by_class, ["class", "salt"], "left")
     return out.select("doc_id", "t", "n_shingles", "class", F.coalesce("class_key", key).alias("class_key"), F.coalesce("component_key", key).alias("component_key"))
 
 
 def joined(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id; a row for each row of docs."""
-    named = lambda c: F.when(F.col(c)["doc"] != LAST_ID, F.col(c)["doc"])
-    return classified(docs, chunk).select("doc_id", "n_shingles", named("class_key").alias("class_id"), named("component_key").alias("component_id"))
+    named = lambda c: F.when(~F.col(c)["none"], F.col(c)["doc"])
+    return classified(docs.select("doc_id", "text"), chunk).select("doc_id", "n_shingles", named("class_key").alias("class_id"), named("component_key").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, that of the smallest id, with all columns; documents without words stay, the same row but once."""
-    kept = classified(docs).select(F.col("component_key.doc").alias("__doc"), F.col("component_key.t").alias("__t")).distinct()
-    rows = identified(docs).join(kept.hint("merge"), ["__doc", "__t"], "left_semi")
-    return rows.dropDuplicates(["__doc", "__t"]).select(*docs.columns)
+    names = fresh(docs.columns, "__none", "__doc", "__t")
+    kept = classified(docs.select("doc_id", "text")).select("component_key.*").toDF(*names).distinct()
+    rows = identified(docs, names).join(kept.hint("merge"), names, "left_semi")
+    return rows.dropDuplicates(names).select(*docs.columns)
 
 
 def oracle() -> str:

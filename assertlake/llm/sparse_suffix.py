@@ -8,8 +8,8 @@ passage the first document's copy stays. Words are compared with A-Z in lower ca
 2. Suffix arrays. Retained suffixes with their context go to tasks by k-gram, are sorted, and neighbours compared: the common prefix
    of neighbours bounds classes of equal right sides. Matches are extended to the left word by word, which splits the classes. In each class of a
    whole window the first document keeps it.
-3. A k-gram on more than HOT places is not sorted in one task: its windows are hashed, and their holders found from what each batch has
-   aggregated; the windows themselves then stream past.
+3. A k-gram on more than HOT places is split by a longer one, the whole window: windows go to tasks by their hash, where each batch has sorted and
+   aggregated its own; these are sorted again and neighbours compared, then the windows themselves stream past. The rows are the same.
 4. Windows merge into spans.
 
 Tasks exchange blocks (arrays for a range of hashes). Where a key can be frequent, small blocks of each batch's distinct keys come first and tell
@@ -18,7 +18,9 @@ which keys matter; the full blocks follow and are read one by one, so a frequent
 Texts that are equal as a whole are one text, held by the smallest id; the other ids are copies, removed whole where they have MIN_WORDS words.
 Words are compared by 32-bit hashes within a common k-gram of 64 bits; texts are known by a 64-bit hash.
 
-Null, empty or short texts: no spans. Repeated rows (same id and text): one document. Null id: comes last. Empty table: no rows.
+Null, empty or short texts: no spans. Repeated rows (same id and text): one document. Equal ids of different texts: documents in the order of the
+text's hash. Null id: comes last (and so does -2**63, the one long that has no place). Texts of any length. Empty table: no rows. Other
+columns are passed on by without_repeats(), whatever their names, and ignored by the rest.
 """
 
 from __future__ import annotations
@@ -27,18 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from assertlake.llm.common import LOWER, SPACED, Words, mix, ngram_hashes, parts, ranges, saved, settled, slices
+from assertlake.llm.common import LOWER, SPACED, Words, fresh, mix, ngram_hashes, parts, ranges, saved, settled, slices
 
 MIN_WORDS = 50
 GRAM = 16
 HOT = 20_000
 #: k-grams that a window holds.
 SPREAD = MIN_WORDS - GRAM + 1
+#: A run of words whose places are packed with the hashes' high bits; longer texts are taken run by run, with overlap.
+RUN = 1 << 23
 PLACE = np.uint64((1 << 24) - 1)
 CONTEXT = SPREAD - 1 + MIN_WORDS
-LAST_ID = (1 << 63) - 1
+#: Ids go one down, so that null has the greatest number and comes last.
+NO_ID = (1 << 63) - 1
 
 
 def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,14 +53,18 @@ def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     starts = ranges(first[:-1], np.maximum(0, size - MIN_WORDS + 1))
     if not len(starts):
         return grams, starts, starts
-    least = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
-    width = 1
-    while 2 * width <= SPREAD:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    rest = SPREAD - width
-    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    return grams, starts, (least[starts] & PLACE).astype(np.int64)
+    at = np.empty(len(grams) - SPREAD + 1, np.int64)
+    for begin in range(0, len(at), RUN):  # places within a run fit below the hash
+        own = grams[begin : begin + RUN + SPREAD - 1]
+        least = (own & ~PLACE) | np.arange(len(own), dtype=np.uint64)
+        width = 1
+        while 2 * width <= SPREAD:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        rest = SPREAD - width
+        least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+        at[begin : begin + RUN] = (least & PLACE).astype(np.int64) + begin
+    return grams, starts, at[starts]
 
 
 BLOCKS = "part int, kind int, t long, doc long, n long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
@@ -375,17 +384,25 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """(t, doc, text): t is the hash of the text, doc the id with the last of all for null."""
-    return docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    """(t, doc, text): t is the hash of the text, doc the id's number."""
+    return docs.select(*numbered(), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def numbered(t: str = "t", doc: str = "doc") -> list[Column]:
+    return [F.xxhash64(F.coalesce("text", F.lit(""))).alias(t), F.coalesce(F.try_subtract(F.col("doc_id").cast("long"), F.lit(1).cast("long")), F.lit(NO_ID)).alias(doc)]
+
+
+def doc_id(doc: str) -> Column:
+    return F.when(F.col(doc) != NO_ID, F.col(doc) + 1)
 
 
 def duplicate_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(t, doc, start, end, removed, source), spans in words, end excluded. removed: a document before holds the passage too; source: the
     first that does. Spans that are not removed are those from which others are."""
-    n = parts(docs.sparkSession)
+    n = parts(docs.sparkSession, docs)
     own = texts(docs)
     rows = saved(own.mapInArrow(settled(_anchors(n)), BLOCKS), "suffix-anchors")
-    together = lambda df: df.repartition(n, "part").sortWithinPartitions("part", "kind")
+    together = lambda df: df.repartitionById(n, F.col("part")).sortWithinPartitions("part", "kind")
     each = rows.where("part is null").select("t", "doc", "n").where(F.col("n") >= MIN_WORDS)
     firsts = each.groupBy("t").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     retained = together(rows.where("part is not null")).mapInArrow(settled(_retained(n, hot)), BLOCKS)
@@ -402,15 +419,14 @@ def duplicate_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
 def reported(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word, removed, source_doc_id: a row for each span of a repeated passage."""
     out = duplicate_spans(docs)
-    named = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return out.select(named("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), "removed", named("source").alias("source_doc_id"))
+    return out.select(doc_id("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), "removed", doc_id("source").alias("source_doc_id"))
 
 
-def _cut(carry: list[str]):
+def _cut(carry: list[str], spans_: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts_ = batch.column("text").to_pylist()
-            for i, own in enumerate(batch.column("__spans").to_pylist()):
+            for i, own in enumerate(batch.column(spans_).to_pylist()):
                 if own:
                     raw = (texts_[i] or "").encode()
                     words = Words(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), SPACED)
@@ -426,13 +442,13 @@ def _cut(carry: list[str]):
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, without the words of removed spans; a row that loses all its words goes."""
-    removed = duplicate_spans(docs).where("removed").groupBy(F.col("t").alias("__t"), F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    keys = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__t"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__doc"))
-    rows = keys.join(removed, ["__t", "__doc"], "left").select(*docs.columns, "__spans")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__cut", T.BooleanType())])
-    out = rows.withColumn("__cut", F.col("__spans").isNotNull()).mapInArrow(settled(_cut([*docs.columns, "__cut"])), schema)
-    return out.where(~F.col("__cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("__cut")
+    """The rows of docs, with all columns, without the words of removed spans; a row that loses all its words goes. Null and empty texts stay."""
+    t, doc, spans_, cut = fresh(docs.columns, "__t", "__doc", "__spans", "__cut")
+    gone = duplicate_spans(docs.select("doc_id", "text")).where("removed").groupBy(F.col("t").alias(t), F.col("doc").alias(doc)).agg(F.collect_list(F.struct("start", "end")).alias(spans_))
+    rows = docs.select("*", *numbered(t, doc)).join(gone, [t, doc], "left").select(*docs.columns, spans_, F.col(spans_).isNotNull().alias(cut))
+    schema = T.StructType([*docs.schema.fields, T.StructField(cut, T.BooleanType())])
+    out = rows.mapInArrow(settled(_cut([*docs.columns, cut], spans_)), schema)
+    return out.where(~F.col(cut) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop(cut)
 
 
 def oracle(least: int = MIN_WORDS) -> str:

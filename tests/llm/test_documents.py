@@ -68,7 +68,8 @@ def test_components(spark):
         a, b = sorted((find(a), find(b)))
         up[b] = a
     got = {x.node: x.root for x in graph.components(spark.createDataFrame(links, "a long, b long").repartition(5), "t").collect()}
-    assert got == {x: find(x) for x in up if any(x in e and e[0] != e[1] for e in links)} or got == {x: find(x) for x in got}
+    linked = {x for e in links if e[0] != e[1] for x in e}
+    assert got == {x: find(x) for x in linked}
     assert graph.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
 
 
@@ -93,7 +94,7 @@ def test_removed_passages(docs, rows, hot):
         want.setdefault(i, set()).update(places)
     got = {}
     for r in sparse_suffix.duplicate_spans(docs, hot).where("removed").collect():
-        got.setdefault(None if r.doc == sparse_suffix.LAST_ID else r.doc, set()).update(range(r.start, r.end))
+        got.setdefault(None if r.doc == sparse_suffix.NO_ID else r.doc + 1, set()).update(range(r.start, r.end))
     assert got == want and {5, 9, 10} <= set(got)
 
 
@@ -112,6 +113,29 @@ def test_texts_without_repeats(docs, rows, empty):
     assert sparse_suffix.reported(empty).count() == 0 and sparse_suffix.without_repeats(empty).count() == 0
 
 
+def test_anchors_of_a_text_longer_than_a_run(monkeypatch):
+    h_ = np.random.default_rng(1).integers(0, 60, 5000).astype(np.uint64)
+    want = sparse_suffix.anchors(h_, np.array([0, 3000, 5000]))
+    monkeypatch.setattr(sparse_suffix, "RUN", 100)
+    for a, b in zip(want, sparse_suffix.anchors(h_, np.array([0, 3000, 5000]))):
+        assert np.array_equal(a, b)
+    assert ((want[2] - want[1] >= 0) & (want[2] - want[1] < sparse_suffix.SPREAD)).all()
+
+
+def test_greatest_id_and_clashing_names(spark):
+    r, vocab = random.Random(9), h.vocabulary()
+    text = h.prose(r, vocab, 90)
+    rows = [((1 << 63) - 1, text), (None, text), (4, h.prose(r, vocab, 90))]
+    docs = spark.createDataFrame([(*x, 1, 2, 3, 4) for x in rows], "doc_id long, text string, __t int, __doc int, __spans int, __cut int")
+    found = {(x.doc_id, x.removed, x.source_doc_id) for x in sparse_suffix.reported(docs).collect()}
+    assert found == {((1 << 63) - 1, False, (1 << 63) - 1), (None, True, (1 << 63) - 1)}
+    out = sparse_suffix.without_repeats(docs)
+    assert out.columns == docs.columns and {x.doc_id for x in out.collect()} == {(1 << 63) - 1, 4}
+    one = signature_join.one_of_each(docs)
+    assert one.columns == docs.columns and {x.doc_id for x in one.collect()} == {(1 << 63) - 1, 4}
+    assert {(x.doc_id, x.component_id) for x in signature_join.joined(docs).collect()} == {((1 << 63) - 1, (1 << 63) - 1), (None, (1 << 63) - 1), (4, 4)}
+
+
 # ---- 2: language model ----
 
 
@@ -347,6 +371,24 @@ def test_many_near_copies_make_one_component(spark):
     assert got == {i: min(rows[k][0] for k in range(len(rows)) if root[k] == root[j]) for j, (i, _) in enumerate(rows)}
 
 
+def test_a_large_group_is_sent_twice(spark, monkeypatch):
+    """Near copies in a group of many chunks: each class goes to two chunks, no pair of chunks is sent."""
+    r, vocab = random.Random(6), h.vocabulary()
+    base = h.prose(r, vocab, 200).split()
+    rows = [(i, " ".join([*base[: i % 200], f"own{i}", *base[i % 200 :]])) for i in range(600)]
+    rows += [(2000 + i, h.prose(r, vocab, 100) + f" end{i} " + " ".join(base[:30])) for i in range(30)]
+    sent, keep = [], signature_join.chunked
+
+    def counted(members, group, chunk):
+        sent.append((tuple(group), members.count()))
+        return keep(members, group, chunk)
+
+    monkeypatch.setattr(signature_join, "chunked", counted)
+    got = {x.doc_id: x.component_id for x in signature_join.joined(h.frame(spark, rows), 64).collect()}
+    assert got == {i: 0 if i < 2000 else i for i, _ in rows}
+    assert not any(len(g) > 1 and n > 2000 for g, n in sent)
+
+
 # ---- 10: decontamination ----
 
 
