@@ -1,24 +1,29 @@
-"""LM scoring: a Katz backoff bigram model with Good-Turing discounts and exactly normalised backoff weights.
+"""LM scoring: a Katz backoff trigram model with Good-Turing discounts and exactly normalised backoff weights.
 
-p(w | h) is d(c) * c(h w) / c(h) for a bigram of the training texts, else alpha(h) * p(w), by recursion to the unigram; p(w) is d(c) * c(w) / N, and
-an unknown word, one type as in the base model, has the mass that the discounts leave. alpha(h) makes the probabilities after h sum to 1.
+p(w | u v) is d(c) * c(u v w) / c(u v) for a trigram of the training texts, else alpha(u v) * p(w | v); p(w | v) is d(c) * c(v w) / c(v) for a bigram,
+else alpha(v) * p(w); p(w) is d(c) * c(w) / N, and an unknown word, one type as in the base model, has the mass that the discounts leave.
+alpha(h) makes the probabilities after h sum to 1; an unknown h backs off with weight 1.
 Counts of up to TURING occurrences are discounted by Good-Turing, with Katz's correction, or up to as many as give discounts in (0, 1]; where the
-counts of counts allow none, half an occurrence is taken off. A context without any discounted count gives up 1 / (c(h) + 1).
+counts of counts allow none, half an occurrence is taken off. Trigrams that occur once count as unseen (the usual cut-off), the others are
+discounted by Good-Turing as it is. A context without any discounted count gives up 1 / (c(h) + 1).
 
 How it is spread out: a task makes batches of about BATCH_TOKENS tokens with a vocabulary of their own. Vocabularies go in blocks to tasks by
 range of the word's hash, which sum counts and answer each batch with its words' numbers and counts. Then bigrams, unique in a batch, go in
-blocks to tasks by their context, which sum counts, gather what alpha needs, and answer again. Each batch then evaluates its tokens.
-Only the counts of counts (a few numbers) pass the driver. The answers beside it, the tasks store the model: partitioned tables of
-unigrams and bigrams with counts, below model_path.
+blocks to tasks by their context, which sum counts, gather what alpha needs, and answer again. Then trigrams, in the same way: only
+those of bigrams that occur twice, since others can't. Each batch then evaluates its tokens by recursion.
+Only the counts of counts (a few numbers) pass the driver. The answers beside it, the tasks store the model: tables of uni-, bi- and trigrams
+with counts, partitioned in the same way. scored_by() scores texts by stored tables: they go beside the texts' blocks to the same tasks.
 
-A text's first token follows the end token, which also is its last. Words are known by 64-bit hashes.
+A text's first token follows the end token, which also is its last; its first has no trigram context. Words are known by 64-bit hashes.
 
 Null or empty text: one token, the end. Null doc_id: its text counts as empty for crc32, remainder 0, so it trains. Repeated rows: each counts and
-gives a row. No training rows: N and V are 0, and both scores give each token the mass of the unknown.
+gives a row. No training rows: N and V are 0, and both scores give each token the mass of the unknown. Empty table: no rows. Texts of
+any length. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assertlake.llm.common import LOWER, SPACED, Words, mix, parts, settled, shared_dir, slices
 
@@ -84,11 +89,31 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-BLOCKS = "part int, batch long, a binary, b binary, c binary, d binary, e binary"
+#: batch is null for a stored part of a model.
+BLOCKS = "part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary"
 BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
-#: kind: answer (to a batch), model (a part of the table of n-grams), stats (counts of counts, numbers of tokens and types).
-ANSWERS = "kind string, part int, batch long, a binary, b binary, c binary, stats array<long>"
-ANSWER_NAMES = [x.split()[0] for x in ANSWERS.split(", ")]
+#: kind: answer (to a batch), model (a part of the table of n-grams, as a block), stats (counts of counts, numbers of tokens and types).
+ANSWERS = "kind string, part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary, stats array<long>"
+
+
+def block(part: int, batch: int, *blobs: bytes) -> tuple:
+    return (part, batch, *blobs, *[None] * (6 - len(blobs)))
+
+
+def answer(kind: str, part: int, batch: int | None, *blobs: bytes, stats: list[int] | None = None) -> tuple:
+    return (kind, *block(part, batch, *blobs), stats)
+
+
+def unique_rows(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different row is first, in sorted order, and the number of each row there."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= np.diff(c[order]) != 0
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at
 
 
 def rows(records: list[tuple], schema: str) -> pa.RecordBatch:
@@ -108,7 +133,7 @@ def _word_blocks(n_parts: int):
             for number, raw, counts in zip(*(batch.column(c).to_pylist() for c in ("batch", "words", "counts"))):
                 words, counts = np.frombuffer(raw, np.uint64), numbers(counts)
                 cut = np.searchsorted(word_part(words, n_parts), np.arange(n_parts + 1))
-                yield rows([(p, number, words[a:b].tobytes(), planes(counts[a:b]), None, None, None) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b], BLOCKS)
+                yield rows([block(p, number, words[a:b].tobytes(), planes(counts[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b], BLOCKS)
 
     return run
 
@@ -142,12 +167,13 @@ def _unigrams(n_parts: int):
             number = np.empty(len(words), np.int64)
             number[np.argsort(-total, kind="stable")] = np.arange(len(words)) * n_parts + part
             seen = total > 0
-            out = [("stats", part, None, None, None, None, [int(total.sum()), int(seen.sum()), *counts_of_counts(total)]), ("model", part, None, words[seen].tobytes(), planes(total[seen]), None, None)]
+            out = [answer("stats", part, None, stats=[int(total.sum()), int(seen.sum()), *counts_of_counts(total)]), answer("model", part, None, words[seen].tobytes(), planes(total[seen]))]
             begin = 0
-            for block, w in zip(blocks, own):
+            for b, w in zip(blocks, own):
                 mine = at[begin : begin + len(w)]
                 begin += len(w)
-                out.append(("answer", part, block[0], planes(number[mine]), planes(total[mine]), None, None))
+                if b[0] is not None:
+                    out.append(answer("answer", part, b[0], planes(number[mine]), planes(total[mine])))
             yield rows(out, ANSWERS)
 
     return run
@@ -216,7 +242,7 @@ def _bigram_blocks(n_parts: int):
                 for p, (i, j) in enumerate(zip(cut[:-1], cut[1:])):
                     if i < j:
                         first = groups(h[i:j])
-                        out.append((p, row["batch"], planes(b.number[h[i:j][first]]), planes(np.diff(np.append(first, j - i))), planes(b.number[w[i:j]]), planes(counts[i:j]), planes(b.count[w[i:j]])))
+                        out.append(block(p, row["batch"], planes(b.number[h[i:j][first]]), planes(np.diff(np.append(first, j - i))), planes(b.number[w[i:j]]), planes(counts[i:j]), planes(b.count[w[i:j]])))
                 yield rows(out, BLOCKS)
 
     return run
@@ -230,8 +256,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([np.repeat(c, numbers(b[2])) for c, b in zip(contexts, blocks)])
         w, counts, own = (np.concatenate([numbers(b[k]) for b in blocks]) for k in (3, 4, 5))
         sizes = [int(numbers(b[2]).sum()) for b in blocks]
-        key = (h << 32) | w if max(h.max(), w.max()) < 1 << 31 else mix(mix(h.astype(np.uint64)) * np.uint64(3) + w.astype(np.uint64)).view(np.int64)
-        _, where, at = np.unique(key, return_index=True, return_inverse=True)
+        where, at = unique_rows(h, w)
         total = np.bincount(at, counts, len(where)).astype(np.int64)
         pair_h, pair_own = h[where], own[where]
         names, context = np.unique(pair_h, return_inverse=True)
@@ -242,14 +267,62 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stats[:, TURING + r] = np.bincount(context[seen & (pair_own == r)], minlength=len(names))
         high = seen & (pair_own > TURING)
         stats[:, TURING] = np.bincount(context[high], pair_own[high], len(names)).astype(np.int64)
-        out = [("stats", part, None, None, None, None, [int(total.sum()), int(seen.sum()), *counts_of_counts(total)]), ("model", part, None, planes(pair_h[seen]), planes(w[where][seen]), planes(total[seen]), None)]
+        first = groups(pair_h[seen])
+        table = planes(pair_h[seen][first]), planes(np.diff(np.append(first, seen.sum()))), planes(w[where][seen]), planes(total[seen]), planes(pair_own[seen])
+        out = [answer("stats", part, None, stats=[int(total.sum()), int(seen.sum()), *counts_of_counts(total)]), answer("model", part, None, *table)]
         begin = 0
-        for block, c, n in zip(blocks, contexts, sizes):
-            out.append(("answer", part, block[0], planes(total[at[begin : begin + n]]), planes(stats[np.searchsorted(names, c)].T.ravel()), None, None))
+        for b, c, n in zip(blocks, contexts, sizes):
+            if b[0] is not None:
+                out.append(answer("answer", part, b[0], planes(total[at[begin : begin + n]]), planes(stats[np.searchsorted(names, c)].T.ravel())))
             begin += n
         yield rows(out, ANSWERS)
 
 
+def reals(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, "<f8").tobytes())
+
+
+def from_reals(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<f8")
+
+
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the counts of a part's trigrams; answers with them, and for each context with its trigrams by count 2 to TURING, the sum of counts over
+    TURING, and the sum of the bigram model's probabilities of the words of both."""
+    for part, blocks in by_part(batches):
+        own = [tuple(numbers(x) for x in b[1:6]) for b in blocks]
+        u, v = (np.concatenate([np.repeat(x[k], x[2]) for x in own]) for k in (0, 1))
+        w, counts = (np.concatenate([x[k] for x in own]) for k in (3, 4))
+        p = np.concatenate([from_reals(b[6]) for b in blocks])
+        where, at = unique_rows(u, v, w)
+        total = np.bincount(at, counts, len(where)).astype(np.int64)
+        context_u, context_v = (np.concatenate([x[k] for x in own]) for k in (0, 1))
+        names, asked = unique_rows(context_u, context_v)
+        # both are sorted by (u, v)
+        context = np.cumsum(np.diff(u[where], prepend=u[where][:1]).astype(bool) | np.diff(v[where], prepend=v[where][:1]).astype(bool))
+        has_words = np.zeros(len(names), bool)
+        has_words[asked[np.repeat(np.arange(len(context_u)), np.concatenate([x[2] for x in own]))]] = True
+        context = np.flatnonzero(has_words)[context] if len(context) else context
+        kept = total > 1
+        stats = np.zeros((len(names), TURING), np.int64)
+        for r in range(2, TURING + 1):
+            stats[:, r - 2] = np.bincount(context[total == r], minlength=len(names))
+        high = total > TURING
+        stats[:, TURING - 1] = np.bincount(context[high], total[high], len(names)).astype(np.int64)
+        mass = np.bincount(context[kept], p[where][kept], len(names))
+        first = groups(context[kept])
+        at_kept = where[kept]
+        table = planes(u[at_kept][first]), planes(v[at_kept][first]), planes(np.diff(np.append(first, len(at_kept)))), planes(w[at_kept]), planes(total[kept]), reals(p[at_kept])
+        out = [answer("stats", part, None, stats=[int(total.sum()), int(kept.sum()), *counts_of_counts(total)]), answer("model", part, None, *table)]
+        begin, first_context = 0, 0
+        for b, x in zip(blocks, own):
+            mine = asked[first_context : first_context + len(x[0])]
+            if b[0] is not None:
+                out.append(answer("answer", part, b[0], planes(total[at[begin : begin + len(x[3])]]), planes(stats[mine].T.ravel()), reals(mass[mine])))
+            begin, first_context = begin + len(x[3]), first_context + len(x[0])
+        yield rows(out, ANSWERS)
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """d[r] for r from 0 to TURING; n[r - 1] is how many n-grams occur r times, up to TURING + 1."""
     for k in range(TURING if len(n) > TURING else 0, 1, -1):
@@ -261,6 +334,18 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([1.0] + [(r - 0.5) / r for r in range(1, TURING + 1)])
 
 
+def cut_discounts(n: list[int]) -> np.ndarray:
+    """d[r] of trigrams, 0 for one occurrence: Good-Turing from two occurrences up, as far as it gives discounts in (0, 1]."""
+    d = np.ones(TURING + 1)
+    d[1] = 0.0
+    own = [(r + 1) * n[r] / (r * n[r - 1]) if len(n) > r and n[r - 1] else 0.0 for r in range(2, TURING + 1)]
+    good = next((k for k, x in enumerate(own) if not 0 < x <= 1), len(own))
+    d[2 : 2 + good] = own[:good]
+    if not good:
+        d[2:] = [(r - 0.5) / r for r in range(2, TURING + 1)]
+    return d
+
+
 @dataclass
 class Model:
     """What all batches need to know: number of training tokens and types, discounts by order."""
@@ -294,25 +379,101 @@ class Model:
         return factor, left / (1 - seen)
 
 
+    def trigram_context(self, three: np.ndarray, c: np.ndarray, stats: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(factor of trigrams' discounted shares, alpha) of contexts with counts c and the stats of _trigrams."""
+        r = np.arange(2, TURING + 1)
+        left = c - stats[:, TURING - 1] - stats[:, : TURING - 1] @ (three[2:] * r)
+        some = left > 1e-9
+        factor, left = np.where(some, 1.0, c / (c + 1.0)), np.where(some, left / c, 1 / (c + 1.0))
+        return factor, np.where(mass > 0, left / (1 - mass), 1.0)
+
+
+class Bigrams:
+    """A batch's unique bigrams with the answers to them: context h, word w, place of each token's bigram, total counts, probabilities."""
+
+    def __init__(self, b: Batch, row: dict, model: Model, n_parts: int):
+        self.h, self.w, part, self.of = b.pairs(n_parts)
+        answers = sorted(row["pairs_answers"] or [], key=lambda x: x["part"])
+        self.total = np.concatenate([np.zeros(0, np.int64), *(numbers(x["a"]) for x in answers)])
+        stats = np.concatenate([np.zeros((0, 2 * TURING + 1), np.int64), *(numbers(x["b"]).reshape(2 * TURING + 1, -1).T for x in answers)])
+        first = groups(part * len(b.number) + self.h)
+        context = np.cumsum(np.isin(np.arange(len(self.h)), first)) - 1
+        factor, alpha = model.context(b.count[self.h[first]], stats) if len(self.h) else (np.zeros(0), np.zeros(0))
+        self.single = model.unigram(b.count)
+        share = factor[context] * model.two[np.where(self.total <= TURING, self.total, 0)] * self.total / np.maximum(1, b.count[self.h])
+        self.p = np.where(self.total > 0, share, alpha[context] * self.single[self.w])
+
+    def triples(self, b: Batch, n_parts: int):
+        """The unique contexts (as places of bigrams that occur twice) and trigrams (as places of a context and a bigram), sorted by part and
+        numbers; and for each token its context and its trigram, -1 for none."""
+        first = np.zeros(len(b.tokens), bool)
+        first[np.concatenate([[0], np.cumsum(b.sizes)[:-1]])] = True
+        before = np.concatenate([[-1], self.of[:-1]])
+        total = np.append(self.total, 0)
+        on = np.flatnonzero(~first & (total[before] > 1))
+        own, at = np.unique(before[on], return_inverse=True)
+        u, v = b.number[self.h[own]], b.number[self.w[own]]
+        part = (mix(mix(u.astype(np.uint64)) * np.uint64(3) + v.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+        order = np.lexsort((v, u, part))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        context_of = np.full(len(b.tokens), -1)
+        context_of[on] = back[at]
+        some = on[total[self.of[on]] > 1]
+        key, at = np.unique(context_of[some] * len(total) + self.of[some], return_inverse=True)
+        context, pair = key // len(total), key % len(total)
+        inner = np.lexsort((b.number[self.w[pair]], context))
+        back = np.empty(len(inner), np.int64)
+        back[inner] = np.arange(len(inner))
+        trigram_of = np.full(len(b.tokens), -1)
+        trigram_of[some] = back[at]
+        return own[order], part[order], context[inner], pair[inner], context_of, trigram_of
+
+
+def _trigram_blocks(model: Model, n_parts: int):
+    """Blocks: numbers of the contexts' words, how many words follow each, their numbers, counts in training, the bigram model's probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            for row in records(some):
+                b = Batch.of(row)
+                two = Bigrams(b, row, model, n_parts)
+                own, part, context, pair, _, of = two.triples(b, n_parts)
+                trained = of[np.repeat(b.train, b.sizes)]
+                counts = np.bincount(trained[trained >= 0], minlength=len(pair))
+                size = np.bincount(context, minlength=len(own))
+                cut, begin = np.searchsorted(part, np.arange(n_parts + 1)), np.concatenate([[0], np.cumsum(size)])
+                out = []
+                for p, (i, j) in enumerate(zip(cut[:-1], cut[1:])):
+                    if i < j:
+                        at = slice(begin[i], begin[j])
+                        out.append(block(p, row["batch"], planes(b.number[two.h[own[i:j]]]), planes(b.number[two.w[own[i:j]]]), planes(size[i:j]), planes(b.number[two.w[pair[at]]]), planes(counts[at]), reals(two.p[pair[at]])))
+                yield rows(out, BLOCKS)
+
+    return run
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(model: Model, n_parts: int):
+def _scores(model: Model, three: np.ndarray, n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
             for row in records(some):
                 b = Batch.of(row)
-                h, w, part, of = b.pairs(n_parts)
-                answers = sorted(row["pairs_answers"] or [], key=lambda x: x["part"])
-                total = np.concatenate([np.zeros(0, np.int64), *(numbers(x["a"]) for x in answers)])
-                stats = np.concatenate([np.zeros((0, 2 * TURING + 1), np.int64), *(numbers(x["b"]).reshape(2 * TURING + 1, -1).T for x in answers)])
-                context = np.cumsum(np.isin(np.arange(len(h)), groups(part * len(b.number) + h))) - 1
-                factor, alpha = model.context(b.count[h[groups(part * len(b.number) + h)]], stats) if len(h) else (np.zeros(0), np.zeros(0))
-                single = model.unigram(b.count)
-                seen = total > 0
-                share = factor[context] * model.two[np.where(total <= TURING, total, 0)] * total / np.maximum(1, b.count[h])
-                pair = np.log10(np.where(seen, share, alpha[context] * single[w]))
-                p = np.where(of >= 0, pair[of] if len(pair) else 0.0, np.log10(single)[b.tokens])
+                two = Bigrams(b, row, model, n_parts)
+                p = np.where(two.of >= 0, np.append(two.p, 0.0)[two.of], two.single[b.tokens])
+                own, _, context, pair, context_of, of = two.triples(b, n_parts)
+                if len(own):
+                    answers = sorted(row["triples_answers"], key=lambda x: x["part"])
+                    total = np.concatenate([numbers(x["a"]) for x in answers])
+                    stats = np.concatenate([numbers(x["b"]).reshape(TURING, -1).T for x in answers])
+                    factor, alpha = model.trigram_context(three, two.total[own], stats, np.concatenate([from_reals(x["c"]) for x in answers]))
+                    count = np.append(total, 0)[of]  # of each token's trigram
+                    at = np.maximum(context_of, 0)
+                    share = factor[at] * three[np.where(count <= TURING, count, 0)] * count / two.total[own][at]
+                    p = np.where(context_of < 0, p, np.where(count > 1, share, alpha[at] * p))
+                p = np.log10(p)
                 base = np.log10((b.count + 0.5) / (model.tokens + 0.5 * (model.types + 1)))[b.tokens]
                 first = np.concatenate([[0], np.cumsum(b.sizes)[:-1]])
                 columns = [pa.array(row["ids"], pa.int64()), pa.array(~b.train), pa.array(b.sizes), pa.array(np.add.reduceat((b.count > 0)[b.tokens].astype(np.int64), first)), pa.array(np.full(len(first), model.tokens)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(p, first))]
@@ -326,29 +487,51 @@ def totals(answers: DataFrame) -> list[int]:
     return [int(x or 0) for x in row]
 
 
+def remainder() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+
+
 def scored(docs: DataFrame, held_out_remainder: int = 1, model_path: str | None = None) -> DataFrame:
     """Columns SCORES; a row for each row of docs. model_path: where the model's tables go, else the shared folder."""
+    train = remainder() != held_out_remainder
+    return _run(docs, train, model_path or shared_dir(docs.sparkSession, "katz"), None)
+
+
+def scored_by(docs: DataFrame, model_path: str) -> DataFrame:
+    """The same by a model that scored() has stored; no row of docs trains."""
+    return _run(docs, F.lit(False), shared_dir(docs.sparkSession, "katz"), model_path)
+
+
+def _run(docs: DataFrame, train: Column, path: str, stored: str | None) -> DataFrame:
     spark = docs.sparkSession
-    n = parts(spark)
-    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder != held_out_remainder).alias("train"), "text")
-    # a bucketed table: batches stay where they are when answers are joined to them
-    path = model_path or shared_dir(spark, "katz")
-    name = f"katz_batches_{path.rsplit('-', 1)[-1].replace('/', '_')}"
+    n = spark.read.schema("parts int").parquet(f"{stored}/parts").first()[0] if stored else parts(spark, docs)
+    if not stored:
+        spark.range(1).select(F.lit(n).alias("parts")).coalesce(1).write.parquet(f"{path}/parts")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), "text")
+    # a bucketed table: batches stay where they are when answers are joined to them; its files stay when its name goes
+    name = f"katz_batches_{uuid.uuid4().hex}"
     own.mapInArrow(settled(_batches), BATCHES).write.bucketBy(n, "batch").sortBy("batch").option("path", f"{path}/batches").saveAsTable(name)
     batches = spark.table(name)
-
-    def asked(blocks: DataFrame, answer, table: str) -> DataFrame:
-        out = blocks.repartition(n, "part").sortWithinPartitions("part").mapInArrow(settled(answer), ANSWERS)
+    batches.schema  # resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+
+    def asked(blocks: DataFrame, reply, table: str) -> DataFrame:
+        if stored:
+            model = spark.read.schema(ANSWERS).parquet(f"{stored}/{table}").where("kind = 'model'")
+            blocks = blocks.unionByName(model.select(*BLOCK_NAMES))
+        out = blocks.repartitionById(n, F.col("part")).sortWithinPartitions("part").mapInArrow(settled(reply), ANSWERS)
         out.write.partitionBy("kind").parquet(f"{path}/{table}")
         return spark.read.schema(ANSWERS).parquet(f"{path}/{table}")
 
     def joined(to: DataFrame, answers: DataFrame, column: str) -> DataFrame:
-        of = answers.where("kind = 'answer'").groupBy("batch").agg(F.collect_list(F.struct("part", "a", "b")).alias(column))
+        of = answers.where("kind = 'answer'").groupBy("batch").agg(F.collect_list(F.struct("part", "a", "b", "c")).alias(column))
         return to.join(of.hint("shuffle_merge"), "batch", "left")
 
     unigrams = asked(batches.select("batch", "words", "counts").mapInArrow(settled(_word_blocks(n)), BLOCKS), _unigrams(n), "unigrams")
     known = joined(batches.drop("words", "counts"), unigrams, "words_answers")
     bigrams = asked(known.mapInArrow(settled(_bigram_blocks(n)), BLOCKS), _bigrams, "bigrams")
     model = Model.of(totals(unigrams), totals(bigrams))
-    return joined(known, bigrams, "pairs_answers").mapInArrow(settled(_scores(model, n)), SCORES)
+    known = joined(known, bigrams, "pairs_answers")
+    trigrams = asked(known.mapInArrow(settled(_trigram_blocks(model, n)), BLOCKS), _trigrams, "trigrams")
+    three = cut_discounts(totals(trigrams)[2:])
+    return joined(known, trigrams, "triples_answers").mapInArrow(settled(_scores(model, three, n)), SCORES)

@@ -139,48 +139,89 @@ def test_greatest_id_and_clashing_names(spark):
 # ---- 2: language model ----
 
 
-def test_katz_scores(docs, rows, empty):
-    got = {}
-    for r in katz_lm.scored(docs).collect():
-        got.setdefault((r.doc_id, r.n_tokens), []).append(r)
-    tokens = [(i, h.crc(i) % 5 != 1, [*h.words(t), "</s>"]) for i, t in rows]
-    one, two = Counter(), Counter()
-    for _, train, w in tokens:
+def plain_katz(rows):
+    """Katz's recursion by its definition: (tokens, base, score) of a text, and the probability of a word after two."""
+    tokens = [(h.crc(i) % 5 != 1, [*h.words(t), "</s>"]) for i, t in rows]
+    one, two, three = Counter(), Counter(), Counter()
+    for train, w in tokens:
         if train:
             one.update(w)
             two.update(zip(["</s>", *w[:-1]], w))
+            three.update(zip(["</s>", *w[:-2]], w, w[1:]))
+    three = Counter({k: c for k, c in three.items() if c > 1})
     n, v = sum(one.values()), len(one)
-    d1, d2 = (katz_lm.discounts([sum(c == r for c in x.values()) for r in range(1, 7)]) for x in (one, two))
+    times = lambda x: [sum(c == r for c in x.values()) for r in range(1, 7)]
+    d1, d2, d3 = katz_lm.discounts(times(one)), katz_lm.discounts(times(two)), katz_lm.cut_discounts(times(three))
     share = lambda d, c: (d[c] if c <= 5 else 1.0) * c
     p1 = lambda w: share(d1, one[w]) / n if one[w] else sum(c - share(d1, c) for c in one.values()) / n
-    after = {}
-    for (a, b), c in two.items():
-        after.setdefault(a, {})[b] = c
-
-    def context(a):
-        left = sum(c - share(d2, c) for c in after[a].values())
-        factor, left = (1.0, left / one[a]) if left > 1e-12 else (one[a] / (one[a] + 1), 1 / (one[a] + 1))
-        return factor, left / (1 - sum(p1(b) for b in after[a]))
-
-    for i, train, w in tokens:
-        score = 0.0
-        for a, b in zip(["</s>", *w[:-1]], w):
-            if one[a]:
-                factor, alpha = context(a)
-                score += math.log10(factor * share(d2, two[a, b]) / one[a] if two[a, b] else alpha * p1(b))
-            else:
-                score += math.log10(p1(b))
-        base = sum(math.log10((one[b] + 0.5) / (n + 0.5 * (v + 1))) for b in w)
-        hits = [r for r in got[i, len(w)] if math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-9)]
-        assert hits and all((r.held_out, r.n_known, r.train_tokens) == (not train, sum(one[b] > 0 for b in w), n) and math.isclose(r.base_score, base, rel_tol=1e-9) for r in hits)
-    # exactly normalised: the words after a context, the rest of the vocabulary and the unknown word
-    for a in list(after)[:20]:
-        factor, alpha = context(a)
-        whole = sum(factor * share(d2, c) / one[a] for c in after[a].values()) + alpha * (sum(p1(b) for b in one if b not in after[a]) + p1("never"))
-        assert math.isclose(whole, 1.0, rel_tol=1e-9)
+    after: dict = {}
+    for (*context, b), c in [*two.items(), *three.items()]:
+        after.setdefault(tuple(context), {})[b] = c
+
+    def backoff(context, whole, d, lower):
+        left = whole - sum(share(d, c) for c in after[context].values())
+        factor, left = (1.0, left / whole) if left > 1e-9 else (whole / (whole + 1), 1 / (whole + 1))
+        return factor, left / (1 - sum(lower(b) for b in after[context]))
+
+    def p2(a, b):
+        if not one[a]:
+            return p1(b)
+        factor, alpha = backoff((a,), one[a], d2, p1)
+        return factor * share(d2, two[a, b]) / one[a] if two[a, b] else alpha * p1(b)
+
+    def p3(a, b, c):
+        if (a, b) not in after:
+            return p2(b, c)
+        factor, alpha = backoff((a, b), two[a, b], d3, lambda x: p2(b, x))
+        return factor * share(d3, three[a, b, c]) / two[a, b] if three[a, b, c] else alpha * p2(b, c)
+
+    def text(w):
+        w = [*w, "</s>"]
+        score = math.log10(p2("</s>", w[0])) + sum(math.log10(p3(*x)) for x in zip(["</s>", *w[:-2]], w, w[1:]))
+        return len(w), sum(one[b] > 0 for b in w), n, sum(math.log10((one[b] + 0.5) / (n + 0.5 * (v + 1))) for b in w), score
+
+    return text, p3, one, after
+
+
+def test_katz_scores(docs, rows, empty):
+    got = {}
+    for r in katz_lm.scored(docs).collect():
+        got.setdefault((r.doc_id, r.n_tokens), []).append(r)
+    text, p3, one, after = plain_katz(rows)
+    contexts = [x for x in after if len(x) == 2]
+    assert len(contexts) > 20
+    for i, t in rows:
+        size, known, n, base, score = text(h.words(t))
+        hits = [r for r in got[i, size] if math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-9)]
+        assert hits and all((r.held_out, r.n_known, r.train_tokens) == (h.crc(i) % 5 == 1, known, n) and math.isclose(r.base_score, base, rel_tol=1e-9) for r in hits)
+    # exactly normalised: the whole vocabulary and the unknown word after two words
+    for a, b in contexts[:10]:
+        assert math.isclose(sum(p3(a, b, c) for c in [*one, "never"]), 1.0, rel_tol=1e-9)
     assert katz_lm.scored(empty).count() == 0
 
 
+def test_katz_by_stored_tables(spark, docs, rows, tmp_path):
+    """Other texts, scored by the tables of a stored model; the catalog holds no table of it."""
+    path = f"file://{tmp_path}/a.model-1"
+    trained = {(r.doc_id, r.n_tokens, round(r.score, 9)) for r in katz_lm.scored(docs, model_path=path).collect()}
+    assert trained == {(r.doc_id, r.n_tokens, round(r.score, 9)) for r in katz_lm.scored_by(docs, path).collect()}
+    new = [(1, "something new"), (2, " ".join(h.words(rows[0][1])[i].decode() for i in range(30))), (3, None)]
+    text = plain_katz(rows)[0]
+    got = {r.doc_id: r for r in katz_lm.scored_by(spark.createDataFrame(new, "doc_id long, text string"), path).collect()}
+    for i, t in new:
+        size, known, n, base, score = text(h.words(t))
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (size, known, n) and math.isclose(got[i].score, score, rel_tol=1e-9) and math.isclose(got[i].base_score, base, rel_tol=1e-9)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("katz")]
+
+
+def test_numbers_of_any_size_are_apart():
+    r = np.random.default_rng(0)
+    a, b = r.integers(0, 1 << 40, 50)[r.integers(0, 50, 900)], r.integers(0, 1 << 40, 50)[r.integers(0, 50, 900)]
+    where, at = katz_lm.unique_rows(a, b)
+    pairs = list(zip(a.tolist(), b.tolist()))
+    assert [pairs[i] for i in where] == sorted(set(pairs)) and [pairs[where[k]] for k in at] == pairs
+
+
 def test_held_out_text_is_likelier_than_by_the_base(spark):
     rows = katz_lm.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]
