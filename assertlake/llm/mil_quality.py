@@ -4,11 +4,12 @@ A document is a bag of passages of about PASSAGE words. Each passage is encoded
 of the document repeats), a learned layer turns the encoding into a state, gated attention weighs the states of a document's passages, and the
 weighted sum gives the score. All weights are learned together from document labels.
 
-The fit takes at most SAMPLE_ROWS labelled documents (the first by a hash of their id) and at most SAMPLE_PASSAGES evenly spread passages of
-each, so what reaches the driver is bounded. Scoring takes every passage of every text and shuffles nothing.
+The fit takes labelled documents in the order of a hash of their id: at most SAMPLE_ROWS, as many as have SAMPLE_PASSAGES passages together, each
+with all its passages; so what reaches the driver is bounded. Scoring takes every passage of every text and shuffles nothing.
 
-Null or empty text: one empty passage, scored like any. Null doc_id: remainder 0, so held out. Repeated rows: each gives a row. Several labels of a
-document: their majority; a tie gives no label. No label of one kind at all: every score is the share of label 1 (1.0 without any label).
+Null or empty text: one empty passage, scored like any. Null doc_id: remainder 0, so held out. Repeated rows: each gives a row; of several texts of
+one id the fit takes the one with the least hash. Several labels of a document: their majority; a tie gives no label. No label of one kind at
+all: every score is the share of label 1 (1.0 without any label). Empty table: no rows. Other columns, whatever their names, are carried.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from assertlake.llm.common import LOWER, SPACED, Words, mix, ranges, settled, slices
+from assertlake.llm.common import LOWER, SPACED, Words, fresh, mix, ranges, saved, settled, slices
 
 PASSAGE = 64
 SAMPLE_ROWS = 5000
-SAMPLE_PASSAGES = 256
+SAMPLE_PASSAGES = 1 << 20
 HIDDEN, ATTENTION = 24, 16
 EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.01, 1e-4
 THRESHOLD = 0.3
@@ -170,22 +171,27 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, data, offsets in slices(batch.column("text")):
             x, count = encoded(data, offsets)
             first = np.concatenate([[0], np.cumsum(count)[:-1]])
-            bags = [x[a : a + n][np.unique(np.linspace(0, n - 1, min(n, SAMPLE_PASSAGES)).astype(int))].astype(np.float32).tobytes() for a, n in zip(first.tolist(), count.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("y").slice(i, j - i), pa.array(bags, pa.binary())], ["doc_id", "y", "bag"])
+            bags = [x[a : a + n].astype(np.float32).tobytes() for a, n in zip(first.tolist(), count.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("y").slice(i, j - i), pa.array(count.astype(np.int64)), pa.array(bags, pa.large_binary()).cast(pa.binary())], ["doc_id", "y", "n", "bag"])
 
 
 def remainder():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_passages: int = SAMPLE_PASSAGES) -> Model:
     known = labels.where("quality in (0, 1) and doc_id is not null").where(remainder() != 0)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("mean")).where("mean <> 0.5")
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    known = known.select("doc_id", (F.col("mean") > 0.5).cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = own.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(settled(_sampled), "doc_id long, y double, bag binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
+    order = F.xxhash64("doc_id")
+    known = known.select("doc_id", (F.col("mean") > 0.5).cast("double").alias("y")).orderBy(order, "doc_id").limit(sample_rows)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    own = own.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "y", "x.text")
+    bags = saved(own.mapInArrow(settled(_sampled), "doc_id long, y double, n long, bag binary"), "mil-bags")
+    sizes = bags.select("doc_id", "n").orderBy(order, "doc_id").collect()  # sample_rows at most
+    taken = [r.doc_id for r, total in zip(sizes, np.cumsum([r.n for r in sizes])) if total <= sample_passages]
+    rows = bags.where(F.col("doc_id").isin(taken)).collect() if taken else []
+    rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.y for r in rows])
     model = Model(float(y.mean()) if len(y) else 1.0)
     if 0 < y.sum() < len(y):
@@ -193,37 +199,37 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     return model
 
 
-#: The columns that scoring adds.
+#: The columns that scoring adds, with more underscores where they clash.
 SCORED = ["__mil_score", "__mil_passages", "__mil_top"]
 
 
-def _scorer(model: Model, carry: list[str]):
+def _scorer(model: Model, carry: list[str], added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in slices(batch.column("text")):
                 x, count = encoded(data, offsets)
                 score, top = model.score(x, count)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in carry), pa.array(score), pa.array(count), pa.array(top)], [*carry, *SCORED])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in carry), pa.array(score), pa.array(count), pa.array(top)], [*carry, *added])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
-    """The columns of docs that carry names (None: all) and those of SCORED."""
-    from pyspark.sql import types as T
-
+def scored(docs: DataFrame, model: Model, carry: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """The columns of docs that carry names (None: all) and those of SCORED; and what these are called."""
     carry = list(docs.columns if carry is None else carry)
-    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(SCORED[0], T.DoubleType()), T.StructField(SCORED[1], T.LongType()), T.StructField(SCORED[2], T.LongType())])
-    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(settled(_scorer(model, carry)), schema)
+    added = fresh(carry, *SCORED)
+    schema = T.StructType([*(docs.schema[c] for c in carry), *(T.StructField(c, t) for c, t in zip(added, (T.DoubleType(), T.LongType(), T.LongType())))])
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(settled(_scorer(model, carry, added)), schema), added
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_passages, top_passage; a row for each row of docs."""
-    rows = scored(docs.select("doc_id", "text"), fitted(docs, labels), ["doc_id"])
-    score, n, top = (F.col(c) for c in SCORED)
+    rows, added = scored(docs.select("doc_id", "text"), fitted(docs, labels), ["doc_id"])
+    score, n, top = (F.col(c) for c in added)
     return rows.select("doc_id", (remainder() == 0).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), n.alias("n_passages"), top.alias("top_passage"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier doesn't reject."""
-    return scored(docs, fitted(docs, labels)).where(F.col(SCORED[0]) >= THRESHOLD).select(*docs.columns)
+    rows, added = scored(docs, fitted(docs, labels))
+    return rows.where(F.col(added[0]) >= THRESHOLD).select(*docs.columns)
