@@ -6,10 +6,11 @@ with the sum of the weights, so a subtree gets its share. A document descends fr
 the shard. A changed weight changes draws of its own subtree only: if it grows, rows move into it, and within
 it into the shard that grew; others stay.
 
-slot numbers a shard's rows without gaps, in the order of a hash of id and text: ranges of that hash are numbered in windows of bounded
-size, and the counts of the ranges before are added.
+slot numbers a shard's rows without gaps, in the order of a hash of id and text: equal rows are counted first, ranges of that hash are summed up
+in windows of bounded size, and the counts of the ranges before are added. Then each row of a count takes its own slot, COPIES at a time.
 
-Null doc_id: the key is the text `null`. Null text: size 1, crc32 of nothing. Repeated rows or ids: in one shard, each with its own slot.
+Null doc_id: the key is the text `null`. Null text: size 1, crc32 of nothing. Repeated rows or ids: in one shard, each with its own slot. Texts of
+any length. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ GROWN[1][1][16] = 1.0
 LEVELS = ("region", "rack", "shard")
 #: Rows that a numbering window is to hold.
 BUCKET_ROWS = 50_000
+#: Equal rows that one task numbers.
+COPIES = 50_000
 
 
 def fraction(digits: Column, n_digits: int) -> Column:
@@ -73,19 +76,25 @@ def placed(docs: DataFrame, tree: dict = TREE, grown: dict | None = GROWN) -> Da
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), *LEVELS, "grown_shard")
 
 
-def sharded(docs: DataFrame, tree: dict = TREE, grown: dict | None = GROWN, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def sharded(docs: DataFrame, tree: dict = TREE, grown: dict | None = GROWN, bucket_rows: int = BUCKET_ROWS, copies: int = COPIES) -> DataFrame:
     """placed() and slot."""
-    rows = placed(docs, tree, grown)
-    n = max(parts(docs.sparkSession), -(-docs.select(F.lit(1)).count() // bucket_rows))
+    n = max(parts(docs.sparkSession, docs), -(-docs.select(F.lit(1)).count() // bucket_rows))
     own = F.concat_ws("|", F.lit("slot"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32", "size")
-    rows = saved(rows.withColumn("__at", fraction(F.substring(F.md5(own), 1, 13), 13)), "shard-places")
+    rows = placed(docs, tree, grown)
+    rows = saved(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__at", fraction(F.substring(F.md5(own), 1, 13), 13)), "shard-places")
     rows = rows.withColumn("__bucket", F.floor(F.col("__at") * n).cast("int"))
     before = W.partitionBy("shard").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = rows.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    number = F.row_number().over(W.partitionBy("shard", "__bucket").orderBy("__at", "doc_id")) - 1
-    out = rows.withColumn("__in_bucket", number).join(counts, ["shard", "__bucket"])
-    return out.select("doc_id", "size", "text_crc32", "law", "region", "rack", "shard", (F.col("__in_bucket") + F.col("__before")).cast("long").alias("slot"), "grown_shard")
+    sizes = rows.groupBy("shard", "__bucket").agg(F.sum("__n").alias("__rows"))
+    sizes = sizes.select("shard", "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    inside = W.partitionBy("shard", "__bucket").orderBy("__at", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("__n").over(inside), F.lit(0))
+    rows = rows.withColumn("__in_bucket", first).join(sizes, ["shard", "__bucket"]).withColumn("__first", F.col("__in_bucket") + F.col("__before"))
+    # a row for each run of copies slots; long runs are dealt to several tasks
+    runs = F.sequence(F.col("__first"), F.col("__first") + F.col("__n") - 1, F.lit(copies).cast("long"))
+    rows = rows.select("*", F.explode(runs).alias("__run"), (F.col("__first") + F.col("__n")).alias("__end"))
+    short = rows.where(F.col("__n") <= copies).unionByName(rows.where(F.col("__n") > copies).repartition(n, "__run"))
+    slots = F.sequence(F.col("__run"), F.least(F.col("__run") + copies, F.col("__end")) - 1)
+    return short.select("doc_id", "size", "text_crc32", "law", "region", "rack", "shard", F.explode(slots).alias("slot"), "grown_shard")
 
 
 def oracle(tree: dict = TREE, grown: dict = GROWN) -> str:

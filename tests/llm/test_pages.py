@@ -34,9 +34,21 @@ def test_url_rules(spark, rules):
     pages = spark.createDataFrame([(i, u, "h", "clash") for i, u in rows], "page_id long, url string, html string, verdict string")
     got = Counter(tuple(r) for r in url_rules.judged(pages, rules, range_rows=7).collect())
     assert got == Counter((i, *plain(u, rules)) for i, u in rows)
+    assert Counter(tuple(r) for r in url_rules.judged(pages, spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string"), range_rows=3, rules_at_once=2).collect()) == got
     assert url_rules.judged(pages.where("false"), rules).count() == 0
 
 
+def test_many_rules(spark):
+    """More rules than one sweep holds, nested and repeated, against a plain loop."""
+    r = random.Random(1)
+    name = lambda: ".".join(r.choices(["a", "b", "c", "net"], k=r.randrange(1, 5)))
+    rules = [url_rules.Rule(name(), r.choice(["/", "/x", "/x/", "/x/y"]), r.choice(["allow", "block"])) for _ in range(300)]
+    urls = [f"http://{name()}{r.choice(['', '/', '/x', '/x/y/z', '/xy'])}" for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = Counter(tuple(x) for x in url_rules.judged(pages, rules, range_rows=20, rules_at_once=70).collect())
+    assert got == Counter((i, *plain(u, rules)) for i, u in enumerate(urls))
+
+
 def page(body, head=""):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style>{head}</head><body>{body}</body></html>"
 
