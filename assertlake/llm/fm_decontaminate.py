@@ -7,12 +7,13 @@ in a wavelet tree, and suffix positions sampled every SAMPLE symbols and at each
 are searched backwards at once by wavelet-tree ranks; their occurrences are located by walking back to a
 sampled position; overlapping occurrences merge into removal spans.
 
-Nothing is shuffled: a task indexes what it reads, shard by shard. The phrases are broadcast; where the
-benchmark has more than PHRASE_BYTES, it is taken in parts of that size and the documents pass through one
-index search for each part.
+Nothing is shuffled: a task indexes what it reads, shard by shard; a shard ends at SHARD_SYMBOLS symbols or SHARD_BYTES of rows, a longer
+text is a shard of its own. The phrases are broadcast; where the benchmark has more than PHRASE_BYTES, it is taken in parts of that size: the
+driver holds one at a time, and what the search of a part has found is saved before the next.
 
 Null, empty or word-free texts: no words, no hits. Empty benchmark: no hits. Repeated rows: each gives a row.
-Repeated item ids: one item with the windows of all its rows. Null item ids: such rows are not items.
+Repeated item ids: one item with the windows of all its rows. Null item ids: such rows are not items. Texts of any length. Empty table: no
+rows. Other columns, whatever their names, are carried.
 """
 
 from __future__ import annotations
@@ -23,43 +24,51 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from assertlake.llm.common import ALNUM, LOWER, Words, buffers, ranges, settled, slices
+from assertlake.llm.common import ALNUM, LOWER, Words, buffers, fresh, ngram_hashes, ranges, removed, saved, settled, slices, written
 
 WINDOW = 13
 SAMPLE = 16
 SHARD_SYMBOLS = 1 << 20
-SHARD_DOCS = 50_000
+SHARD_BYTES = 32 << 20
 PHRASE_BYTES = 16 << 20
 
-#: The columns that the search adds; spans are in words, ends excluded.
+#: The columns that the search adds, with more underscores where they clash; spans are in words, ends excluded.
 FOUND = ["__fm_n_words", "__fm_starts", "__fm_ends", "__fm_items"]
-FOUND_TYPES = [T.StructField(FOUND[0], T.LongType()), *(T.StructField(x, T.ArrayType(T.IntegerType())) for x in FOUND[1:3]), T.StructField(FOUND[3], T.ArrayType(T.StringType()))]
+FOUND_TYPES = [T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())]
 
 
 class Phrases:
-    """The distinct windows of benchmark texts as rows of vocabulary numbers (1 and up)."""
+    """The distinct windows of benchmark texts: each a run of flat, vocabulary numbers (1 and up), and the items that have it."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         data, offsets = buffers(pa.array([t or "" for _, t in items], pa.string()))
         words = Words(LOWER[data], offsets, ALNUM)
         h = words.hashes()
         self.vocabulary = np.unique(h)
-        symbols = np.searchsorted(self.vocabulary, h).astype(np.int64) + 1
-        found: dict[tuple, set] = {}
-        for i, (name, _) in enumerate(items):
-            own = symbols[words.first[i] : words.first[i + 1]]
-            for j in range(max(1, len(own) - window + 1) if len(own) else 0):
-                found.setdefault(tuple(own[j : j + window]), set()).add(name)
-        self.window = window
-        self.length = np.array([len(k) for k in found], np.int64)
-        self.symbols = np.zeros((len(found), window), np.int64)
-        for i, k in enumerate(found):
-            self.symbols[i, : len(k)] = k
-        self.names = sorted({x for v in found.values() for x in v})
-        at = {x: i for i, x in enumerate(self.names)}
-        sets = [sorted(at[x] for x in v) for v in found.values()]
-        self.item_first = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
-        self.item = np.array([y for x in sets for y in x], np.int64)
+        self.flat = (np.searchsorted(self.vocabulary, h) + 1).astype(np.int32)
+        self.names = sorted({n for n, _ in items})
+        at = {n: i for i, n in enumerate(self.names)}
+        owner = np.array([at[n] for n, _ in items], np.int64)
+        size = np.diff(words.first)
+        short = np.flatnonzero((size > 0) & (size < window))
+        first = words.first[:-1]
+        keys = [ngram_hashes(h[a : a + n], n) for a, n in zip(first[short].tolist(), size[short].tolist())]
+        long = np.maximum(0, size - window + 1)
+        start = ranges(first, long)
+        key = np.concatenate([ngram_hashes(h, window)[start], *keys])
+        start = np.concatenate([start, first[short]])
+        length = np.concatenate([np.full(int(long.sum()), window), size[short]])
+        item = np.concatenate([np.repeat(owner, long), owner[short]])
+        # by length and hash; each window once with its items
+        order = np.lexsort((item, key, length))
+        start, length, item, key = start[order], length[order], item[order], key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (length[1:] != length[:-1])
+        self.start, self.length = start[new], length[new]
+        kept = new.copy()
+        kept[1:] |= item[1:] != item[:-1]
+        self.item = item[kept]
+        self.item_first = np.append(np.flatnonzero(new[kept]), len(self.item))
 
     @property
     def shortest(self) -> int:
@@ -137,14 +146,14 @@ class FMIndex:
         self.sample_rank = np.concatenate([[0], np.cumsum(sampled)])
         self.sampled, self.samples = sampled, order[sampled]
 
-    def search(self, patterns: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix ranges [low, high) that start with each pattern."""
+    def search(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix ranges [low, high) that start with each pattern, a run of flat."""
         low, high = np.zeros(len(length), np.int64), np.full(len(length), self.bwt.size, np.int64)
-        for back in range(1, patterns.shape[1] + 1):
+        for back in range(1, int(length.max(initial=0)) + 1):
             on = np.flatnonzero((length >= back) & (low < high))
             if not len(on):
                 break
-            symbol = patterns[on, length[on] - back]
+            symbol = flat[start[on] + length[on] - back].astype(np.int64)
             low[on] = self.before[symbol] + self.bwt.rank(symbol, low[on])
             high[on] = self.before[symbol] + self.bwt.rank(symbol, high[on])
         return low, np.maximum(low, high)
@@ -217,7 +226,7 @@ class Shard:
             return none, none, none
         text, owner, word = (np.concatenate(x) for x in (self.symbols, self.owner, self.word))
         index = FMIndex(text, len(self.phrases.vocabulary) + 1)
-        low, high = index.search(self.phrases.symbols, self.phrases.length)
+        low, high = index.search(self.phrases.flat, self.phrases.start, self.phrases.length)
         found = index.locate(ranges(low, high - low))
         return owner[found], word[found], np.repeat(np.arange(len(low)), high - low)
 
@@ -235,14 +244,16 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[at], start[at], reach[np.concatenate([at[1:] - 1, [len(doc) - 1]])] - doc[at] * wide
 
 
-def _scanner(phrases: Phrases, carry: list[str]):
+def _scanner(phrases: Phrases, carry: list[str], added: list[str]):
+    """carry: the columns to pass on; added: what FOUND is called."""
+
     def flush(shard: Shard, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
         n = rows.num_rows
         doc, first, phrase = shard.occurrences()
         a, b, c = doc, first, first + phrases.length[phrase]
-        if FOUND[1] in rows.column_names:  # spans and items that earlier parts of the benchmark have given
-            old = [rows[x].combine_chunks() for x in FOUND[1:3]]
+        if added[1] in rows.column_names:  # spans and items that earlier parts of the benchmark have given
+            old = [rows[x].combine_chunks() for x in added[1:3]]
             a = np.concatenate([a, np.repeat(np.arange(n), np.diff(old[0].offsets.to_numpy()))])
             b, c = (np.concatenate([x, y.flatten().to_numpy()]) for x, y in ((b, old[0]), (c, old[1])))
         a, b, c = merged(a, b, c)
@@ -253,35 +264,39 @@ def _scanner(phrases: Phrases, carry: list[str]):
             pairs = np.unique(np.repeat(doc, per) * len(phrases.names) + phrases.item[ranges(phrases.item_first[phrase], per)])
             for x in pairs:
                 names[x // len(phrases.names)].add(phrases.names[x % len(phrases.names)])
-        if FOUND[3] in rows.column_names:
-            for x, y in zip(names, rows[FOUND[3]].to_pylist()):
+        if added[3] in rows.column_names:
+            for x, y in zip(names, rows[added[3]].to_pylist()):
                 x.update(y)
-        out = [rows[x].combine_chunks() for x in [*carry, FOUND[0]]]
+        out = [rows[x].combine_chunks() for x in [*carry, added[0]]]
         out += [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (b, c)]
-        return pa.RecordBatch.from_arrays([*out, pa.array([sorted(x) for x in names], pa.list_(pa.string()))], [*carry, *FOUND])
+        return pa.RecordBatch.from_arrays([*out, pa.array([sorted(x) for x in names], pa.list_(pa.string()))], [*carry, *added])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = Shard(phrases), []
+        shard, held, size = Shard(phrases), [], 0
         for batch in batches:
+            per_row = batch.nbytes / max(1, batch.num_rows)
             for i, j, data, offsets in slices(batch.column("text")):
                 words = Words(LOWER[data], offsets, ALNUM)
                 shard.add(words)
                 own = batch.slice(i, j - i)
-                keep = [x for x in own.schema.names if x in carry or x in FOUND[1:]]
-                held.append(pa.RecordBatch.from_arrays([*(own.column(x) for x in keep), pa.array(np.diff(words.first))], [*keep, FOUND[0]]))
-                if shard.n_symbols >= SHARD_SYMBOLS or shard.docs >= SHARD_DOCS:
+                keep = [x for x in own.schema.names if x in carry or x in added[1:]]
+                held.append(pa.RecordBatch.from_arrays([*(own.column(x) for x in keep), pa.array(np.diff(words.first))], [*keep, added[0]]))
+                size += max(len(data), per_row * (j - i))
+                if shard.n_symbols >= SHARD_SYMBOLS or size >= SHARD_BYTES:
                     yield flush(shard, held)
                     shard.clear()
-                    held = []
+                    held, size = [], 0
         if held:
             yield flush(shard, held)
 
     return scan
 
 
-def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: list[str] | None = None, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
-    """docs has a column text, benchmark (item_id, text). Returns the columns of docs that carry names (None: all) and those of FOUND."""
+def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: list[str] | None = None, phrase_bytes: int = PHRASE_BYTES) -> tuple[DataFrame, list[str]]:
+    """docs has a column text, benchmark (item_id, text). Returns the columns of docs that carry names (None: all) and those of FOUND; and what
+    these are called."""
     names = list(docs.columns if carry is None else carry)
+    added = fresh([*names, "text"], *FOUND)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
     n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_parts = max(1, -(-int(n_bytes) // phrase_bytes))
@@ -289,32 +304,38 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry
     for part in range(n_parts):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == part).collect()
         kept = list(dict.fromkeys([*names, "text"])) if part < n_parts - 1 else names
-        schema = T.StructType([*(docs.schema[x] for x in kept), *FOUND_TYPES])
-        out = out.mapInArrow(settled(_scanner(Phrases([tuple(x) for x in rows], window), kept)), schema)
-    return out
+        schema = T.StructType([*(docs.schema[x] for x in kept), *(T.StructField(c, t) for c, t in zip(added, FOUND_TYPES))])
+        begin = written()
+        out = out.mapInArrow(settled(_scanner(Phrases([tuple(x) for x in rows], window), kept, added)), schema)
+        if part < n_parts - 1:
+            out = saved(out, "fm-part")
+            removed(docs.sparkSession, begin - (part > 0), keep=1)
+    return out, added
 
 
-def hit_words() -> Column:
+def hit_words(added: list[str]) -> Column:
     """How many words the spans hold."""
-    return F.aggregate(F.zip_with(FOUND[2], FOUND[1], lambda e, s: e - s), F.lit(0), lambda a, x: a + x).cast("long")
+    return F.aggregate(F.zip_with(added[2], added[1], lambda e, s: e - s), F.lit(0), lambda a, x: a + x).cast("long")
 
 
-def digested(found: DataFrame) -> DataFrame:
+def digested(found: DataFrame, added: list[str]) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of what the search has found."""
-    n_words, hit = F.col(FOUND[0]), hit_words()
-    rows = found.select("doc_id", n_words.alias("n_words"), hit.alias("n_hit"), F.size(FOUND[3]).cast("long").alias("n_items"), F.sha2(F.array_join(FOUND[3], ","), 256).alias("items_sha256"))
+    n_words, hit, items = F.col(added[0]), hit_words(added), added[3]
+    rows = found.select("doc_id", n_words.alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """digested() of docs; a row for each row of docs."""
-    return digested(hit_spans(docs.select("doc_id", "text"), benchmark, carry=["doc_id"]))
+    return digested(*hit_spans(docs.select("doc_id", "text"), benchmark, carry=["doc_id"]))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are not contaminated; those with hits under one word in twenty stay whole."""
-    hit = hit_words()
-    return hit_spans(docs, benchmark).where((hit == 0) | (20 * hit < F.col(FOUND[0]))).select(*docs.columns)
+    """The rows of docs, with all their columns, that are not contaminated. Those with hits under one word in twenty stay whole: items of a few
+    words occur in clean prose, and cutting them would damage it."""
+    found, added = hit_spans(docs, benchmark)
+    hit = hit_words(added)
+    return found.where((hit == 0) | (20 * hit < F.col(added[0]))).select(*docs.columns)
 
 
 def oracle(window: int = WINDOW) -> str:

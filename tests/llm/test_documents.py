@@ -532,12 +532,13 @@ def plain_hits(rows, items):
     return out
 
 
-@pytest.mark.parametrize("phrase_bytes", [1 << 20, 300])
-def test_contamination(spark, docs, rows, empty, phrase_bytes):
+@pytest.mark.parametrize(("phrase_bytes", "shard_bytes"), [(1 << 20, fm_decontaminate.SHARD_BYTES), (300, 5000)])
+def test_contamination(spark, docs, rows, empty, phrase_bytes, shard_bytes, monkeypatch):
+    monkeypatch.setattr(fm_decontaminate, "SHARD_BYTES", shard_bytes)
     part = lambda i, a, b: " ".join((rows[i][1] or "").split()[a:b])
     items = [(1, part(0, 10, 40)), (2, part(1, 5, 12)), (3, part(0, 20, 33).upper().replace("É", "é")), (4, None), (5, ""), (6, "one, two"), (7, part(15, 3000, 3050)), (7, part(2, 0, 13)), (None, part(3, 0, 30)), (10, "never seen " * 20), (11, "same")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = fm_decontaminate.digested(fm_decontaminate.hit_spans(docs.select("doc_id", "text"), bench, carry=["doc_id"], phrase_bytes=phrase_bytes)).collect()
+    got = fm_decontaminate.digested(*fm_decontaminate.hit_spans(docs.select("doc_id", "text"), bench, carry=["doc_id"], phrase_bytes=phrase_bytes)).collect()
     assert Counter(tuple(r) for r in got) == plain_hits(rows, items)
     clean = fm_decontaminate.decontaminated(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(not r.contaminated for r in got)
@@ -551,10 +552,7 @@ def test_fm_index_finds_all_occurrences(text, patterns):
     text = np.array([*text, 0])
     index = fm_decontaminate.FMIndex(text, 5)
     length = np.array([len(p) for p in patterns])
-    table = np.zeros((len(patterns), 4), np.int64)
-    for i, p in enumerate(patterns):
-        table[i, : len(p)] = p
-    low, high = index.search(table, length)
+    low, high = index.search(np.array([x for p in patterns for x in p]), np.cumsum(length) - length, length)
     for i, p in enumerate(patterns):
         want = [k for k in range(len(text)) if text[k : k + len(p)].tolist() == p]
         assert sorted(index.locate(np.arange(low[i], high[i])).tolist()) == want
