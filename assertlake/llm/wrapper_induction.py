@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from assertlake.llm.common import parts, saved, settled
 
 #: Rows of a large host that one task is to extract.
-GROUP_PAGES = 2000
+GROUP_PAGES = 250
 DEPTH = 200
 #: At most so many hosts are dealt out to several tasks; it doesn't touch the result.
 LARGE_HOSTS = 5000
