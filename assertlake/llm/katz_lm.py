@@ -55,6 +55,31 @@ def numbers(blob: bytes) -> np.ndarray:
     return out.view("<i8")[:, 0].astype(np.int64)
 
 
+def steps(a: np.ndarray) -> bytes:
+    """Whole numbers that don't fall."""
+    return planes(np.diff(a, prepend=0))
+
+
+def from_steps(blob: bytes) -> np.ndarray:
+    return np.cumsum(numbers(blob))
+
+
+def runs(a: np.ndarray, size: np.ndarray) -> bytes:
+    """Whole numbers that rise within runs of these sizes."""
+    first = np.cumsum(size[size > 0]) - size[size > 0]
+    out = np.diff(a, prepend=0)
+    out[first] = a[first]
+    return planes(out)
+
+
+def from_runs(blob: bytes, size: np.ndarray) -> np.ndarray:
+    out = np.cumsum(numbers(blob))
+    some = size[size > 0]
+    first = np.cumsum(some) - some
+    before = np.concatenate([[0], out])[first]
+    return out - np.repeat(before, some)
+
+
 BATCHES = "batch long, ids array<long>, train binary, sizes binary, tokens binary, words binary, counts binary"
 
 
@@ -90,14 +115,14 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: batch is null for a stored part of a model.
-BLOCKS = "part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary"
+BLOCKS = "part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
 #: kind: answer (to a batch), model (a part of the table of n-grams, as a block), stats (counts of counts, numbers of tokens and types).
-ANSWERS = "kind string, part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary, stats array<long>"
+ANSWERS = "kind string, part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary, g binary, stats array<long>"
 
 
 def block(part: int, batch: int, *blobs: bytes) -> tuple:
-    return (part, batch, *blobs, *[None] * (6 - len(blobs)))
+    return (part, batch, *blobs, *[None] * (7 - len(blobs)))
 
 
 def answer(kind: str, part: int, batch: int | None, *blobs: bytes, stats: list[int] | None = None) -> tuple:
@@ -242,7 +267,8 @@ def _bigram_blocks(n_parts: int):
                 for p, (i, j) in enumerate(zip(cut[:-1], cut[1:])):
                     if i < j:
                         first = groups(h[i:j])
-                        out.append(block(p, row["batch"], planes(b.number[h[i:j][first]]), planes(np.diff(np.append(first, j - i))), planes(b.number[w[i:j]]), planes(counts[i:j]), planes(b.count[w[i:j]])))
+                        size = np.diff(np.append(first, j - i))
+                        out.append(block(p, row["batch"], steps(b.number[h[i:j][first]]), planes(size), runs(b.number[w[i:j]], size), planes(counts[i:j]), planes(b.count[w[i:j]])))
                 yield rows(out, BLOCKS)
 
     return run
@@ -252,10 +278,11 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums the counts of a part's bigrams; answers with them, and for each context: its bigrams by count 1 to TURING, the sum of the own
     counts (over TURING) of the words seen after it, and those words by own count 1 to TURING."""
     for part, blocks in by_part(batches):
-        contexts = [numbers(b[1]) for b in blocks]
-        h = np.concatenate([np.repeat(c, numbers(b[2])) for c, b in zip(contexts, blocks)])
-        w, counts, own = (np.concatenate([numbers(b[k]) for b in blocks]) for k in (3, 4, 5))
-        sizes = [int(numbers(b[2]).sum()) for b in blocks]
+        contexts, follow = [from_steps(b[1]) for b in blocks], [numbers(b[2]) for b in blocks]
+        h = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, follow)])
+        w = np.concatenate([from_runs(b[3], n) for b, n in zip(blocks, follow)])
+        counts, own = (np.concatenate([numbers(b[k]) for b in blocks]) for k in (4, 5))
+        sizes = [int(n.sum()) for n in follow]
         where, at = unique_rows(h, w)
         total = np.bincount(at, counts, len(where)).astype(np.int64)
         pair_h, pair_own = h[where], own[where]
@@ -268,7 +295,8 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high = seen & (pair_own > TURING)
         stats[:, TURING] = np.bincount(context[high], pair_own[high], len(names)).astype(np.int64)
         first = groups(pair_h[seen])
-        table = planes(pair_h[seen][first]), planes(np.diff(np.append(first, seen.sum()))), planes(w[where][seen]), planes(total[seen]), planes(pair_own[seen])
+        size = np.diff(np.append(first, seen.sum()))
+        table = steps(pair_h[seen][first]), planes(size), runs(w[where][seen], size), planes(total[seen]), planes(pair_own[seen])
         out = [answer("stats", part, None, stats=[int(total.sum()), int(seen.sum()), *counts_of_counts(total)]), answer("model", part, None, *table)]
         begin = 0
         for b, c, n in zip(blocks, contexts, sizes):
@@ -286,41 +314,52 @@ def from_reals(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<f8")
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _trigrams(model: Model):
     """Sums the counts of a part's trigrams; answers with them, and for each context with its trigrams by count 2 to TURING, the sum of counts over
     TURING, and the sum of the bigram model's probabilities of the words of both."""
-    for part, blocks in by_part(batches):
-        own = [tuple(numbers(x) for x in b[1:6]) for b in blocks]
-        u, v = (np.concatenate([np.repeat(x[k], x[2]) for x in own]) for k in (0, 1))
-        w, counts = (np.concatenate([x[k] for x in own]) for k in (3, 4))
-        p = np.concatenate([from_reals(b[6]) for b in blocks])
-        where, at = unique_rows(u, v, w)
-        total = np.bincount(at, counts, len(where)).astype(np.int64)
-        context_u, context_v = (np.concatenate([x[k] for x in own]) for k in (0, 1))
-        names, asked = unique_rows(context_u, context_v)
-        # both are sorted by (u, v)
-        context = np.cumsum(np.diff(u[where], prepend=u[where][:1]).astype(bool) | np.diff(v[where], prepend=v[where][:1]).astype(bool))
-        has_words = np.zeros(len(names), bool)
-        has_words[asked[np.repeat(np.arange(len(context_u)), np.concatenate([x[2] for x in own]))]] = True
-        context = np.flatnonzero(has_words)[context] if len(context) else context
-        kept = total > 1
-        stats = np.zeros((len(names), TURING), np.int64)
-        for r in range(2, TURING + 1):
-            stats[:, r - 2] = np.bincount(context[total == r], minlength=len(names))
-        high = total > TURING
-        stats[:, TURING - 1] = np.bincount(context[high], total[high], len(names)).astype(np.int64)
-        mass = np.bincount(context[kept], p[where][kept], len(names))
-        first = groups(context[kept])
-        at_kept = where[kept]
-        table = planes(u[at_kept][first]), planes(v[at_kept][first]), planes(np.diff(np.append(first, len(at_kept)))), planes(w[at_kept]), planes(total[kept]), reals(p[at_kept])
-        out = [answer("stats", part, None, stats=[int(total.sum()), int(kept.sum()), *counts_of_counts(total)]), answer("model", part, None, *table)]
-        begin, first_context = 0, 0
-        for b, x in zip(blocks, own):
-            mine = asked[first_context : first_context + len(x[0])]
-            if b[0] is not None:
-                out.append(answer("answer", part, b[0], planes(total[at[begin : begin + len(x[3])]]), planes(stats[mine].T.ravel()), reals(mass[mine])))
-            begin, first_context = begin + len(x[3]), first_context + len(x[0])
-        yield rows(out, ANSWERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, blocks in by_part(batches):
+            yield rows(list(_trigram_part(model, part, blocks)), ANSWERS)
+
+    return run
+
+
+def _trigram_part(model: Model, part: int, blocks: list[tuple]) -> Iterator[tuple]:
+    own = []
+    for _, a, b, c, d, *rest in blocks:
+        size = numbers(c)
+        own.append((from_steps(a), numbers(b), size, from_runs(d, size), *(numbers(x) for x in rest)))
+    u, v, weight = (np.concatenate([np.repeat(x[k], x[2]) for x in own]) for k in (0, 1, 6))
+    w, counts, pairs = (np.concatenate([x[k] for x in own]) for k in (3, 4, 5))
+    p = model.pair(pairs, weight)
+    where, at = unique_rows(u, v, w)
+    total = np.bincount(at, counts, len(where)).astype(np.int64)
+    context_u, context_v = (np.concatenate([x[k] for x in own]) for k in (0, 1))
+    names, asked = unique_rows(context_u, context_v)
+    # both are sorted by (u, v)
+    context = np.cumsum(np.diff(u[where], prepend=u[where][:1]).astype(bool) | np.diff(v[where], prepend=v[where][:1]).astype(bool))
+    has_words = np.zeros(len(names), bool)
+    has_words[asked[np.repeat(np.arange(len(context_u)), np.concatenate([x[2] for x in own]))]] = True
+    context = np.flatnonzero(has_words)[context] if len(context) else context
+    kept = total > 1
+    stats = np.zeros((len(names), TURING), np.int64)
+    for r in range(2, TURING + 1):
+        stats[:, r - 2] = np.bincount(context[total == r], minlength=len(names))
+    high = total > TURING
+    stats[:, TURING - 1] = np.bincount(context[high], total[high], len(names)).astype(np.int64)
+    mass = np.bincount(context[kept], p[where][kept], len(names))
+    first = groups(context[kept])
+    at_kept = where[kept]
+    size = np.diff(np.append(first, len(at_kept)))
+    yield answer("stats", part, None, stats=[int(total.sum()), int(kept.sum()), *counts_of_counts(total)])
+    yield answer("model", part, None, steps(u[at_kept][first]), planes(v[at_kept][first]), planes(size), runs(w[at_kept], size), planes(total[kept]), planes(pairs[at_kept]), planes(weight[at_kept][first]))
+    begin, first_context = 0, 0
+    for b, x in zip(blocks, own):
+        mine = asked[first_context : first_context + len(x[0])]
+        if b[0] is not None:
+            yield answer("answer", part, b[0], planes(total[at[begin : begin + len(x[3])]]), planes(stats[mine].T.ravel()), reals(mass[mine]))
+        begin, first_context = begin + len(x[3]), first_context + len(x[0])
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -379,6 +418,12 @@ class Model:
         return factor, left / (1 - seen)
 
 
+    def pair(self, total: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """p(w | v) of bigrams that occur; weight: the context's count, doubled, plus 1 if its discounts leave nothing."""
+        c = weight >> 1
+        factor = np.where(weight & 1, c / (c + 1.0), 1.0)
+        return factor * self.two[np.where(total <= TURING, total, 0)] * total / np.maximum(1, c)
+
     def trigram_context(self, three: np.ndarray, c: np.ndarray, stats: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(factor of trigrams' discounted shares, alpha) of contexts with counts c and the stats of _trigrams."""
         r = np.arange(2, TURING + 1)
@@ -400,8 +445,9 @@ class Bigrams:
         context = np.cumsum(np.isin(np.arange(len(self.h)), first)) - 1
         factor, alpha = model.context(b.count[self.h[first]], stats) if len(self.h) else (np.zeros(0), np.zeros(0))
         self.single = model.unigram(b.count)
-        share = factor[context] * model.two[np.where(self.total <= TURING, self.total, 0)] * self.total / np.maximum(1, b.count[self.h])
-        self.p = np.where(self.total > 0, share, alpha[context] * self.single[self.w])
+        self.weight = 2 * b.count + 0  # of each word of the batch, as a context
+        self.weight[self.h[first][factor < 1]] += 1
+        self.p = np.where(self.total > 0, model.pair(self.total, self.weight[self.h]), alpha[context] * self.single[self.w])
 
     def triples(self, b: Batch, n_parts: int):
         """The unique contexts (as places of bigrams that occur twice) and trigrams (as places of a context and a bigram), sorted by part and
@@ -431,7 +477,8 @@ class Bigrams:
 
 
 def _trigram_blocks(model: Model, n_parts: int):
-    """Blocks: numbers of the contexts' words, how many words follow each, their numbers, counts in training, the bigram model's probabilities."""
+    """Blocks: numbers of the contexts' words, how many words follow each, their numbers, counts in training, counts of the bigrams of the context's
+    last word and them, weights of that last word as a context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
@@ -447,7 +494,7 @@ def _trigram_blocks(model: Model, n_parts: int):
                 for p, (i, j) in enumerate(zip(cut[:-1], cut[1:])):
                     if i < j:
                         at = slice(begin[i], begin[j])
-                        out.append(block(p, row["batch"], planes(b.number[two.h[own[i:j]]]), planes(b.number[two.w[own[i:j]]]), planes(size[i:j]), planes(b.number[two.w[pair[at]]]), planes(counts[at]), reals(two.p[pair[at]])))
+                        out.append(block(p, row["batch"], steps(b.number[two.h[own[i:j]]]), planes(b.number[two.w[own[i:j]]]), planes(size[i:j]), runs(b.number[two.w[pair[at]]], size[i:j]), planes(counts[at]), planes(two.total[pair[at]]), planes(two.weight[two.w[own[i:j]]])))
                 yield rows(out, BLOCKS)
 
     return run
@@ -532,6 +579,6 @@ def _run(docs: DataFrame, train: Column, path: str, stored: str | None) -> DataF
     bigrams = asked(known.mapInArrow(settled(_bigram_blocks(n)), BLOCKS), _bigrams, "bigrams")
     model = Model.of(totals(unigrams), totals(bigrams))
     known = joined(known, bigrams, "pairs_answers")
-    trigrams = asked(known.mapInArrow(settled(_trigram_blocks(model, n)), BLOCKS), _trigrams, "trigrams")
+    trigrams = asked(known.mapInArrow(settled(_trigram_blocks(model, n)), BLOCKS), _trigrams(model), "trigrams")
     three = cut_discounts(totals(trigrams)[2:])
     return joined(known, trigrams, "triples_answers").mapInArrow(settled(_scores(model, three, n)), SCORES)
