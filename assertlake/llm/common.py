@@ -71,6 +71,12 @@ def removed(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     del WRITTEN[since : since + len(gone)]
 
 
+def settled_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are written: it does so when the driver's collector finds them unused."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Bytes of a table, as its files have them, for each part.
 PART_BYTES = 128 << 20
 

@@ -33,7 +33,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assertlake.llm.common import LOWER, SPACED, Words, mix, parts, settled, shared_dir, slices
+from assertlake.llm.common import LOWER, SPACED, Words, mix, parts, settled, settled_shuffles, shared_dir, slices
 
 BATCH_TOKENS = 1_500_000
 TURING = 5
@@ -306,33 +306,30 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(out, ANSWERS)
 
 
-def reals(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, "<f8").tobytes())
-
-
-def from_reals(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<f8")
-
+def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the counts of a part's trigrams; answers with them, and for each context with its trigrams by count 2 to TURING and the sum of counts over
+    TURING, and in the same way with the counts of the bigrams of the context's last word and the words of its trigrams."""
+    for part, blocks in by_part(batches):
+        yield rows(list(_trigram_part(part, blocks)), ANSWERS)
 
-def _trigrams(model: Model):
-    """Sums the counts of a part's trigrams; answers with them, and for each context with its trigrams by count 2 to TURING, the sum of counts over
-    TURING, and the sum of the bigram model's probabilities of the words of both."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, blocks in by_part(batches):
-            yield rows(list(_trigram_part(model, part, blocks)), ANSWERS)
-
-    return run
+def by_count(count: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
+    """How many counts each context has of 2 to TURING, and the sum of the greater ones."""
+    out = np.zeros((n, TURING), np.int64)
+    for r in range(2, TURING + 1):
+        out[:, r - 2] = np.bincount(context[count == r], minlength=n)
+    high = count > TURING
+    out[:, TURING - 1] = np.bincount(context[high], count[high], n).astype(np.int64)
+    return out
 
 
-def _trigram_part(model: Model, part: int, blocks: list[tuple]) -> Iterator[tuple]:
+def _trigram_part(part: int, blocks: list[tuple]) -> Iterator[tuple]:
     own = []
     for _, a, b, c, d, *rest in blocks:
         size = numbers(c)
         own.append((from_steps(a), numbers(b), size, from_runs(d, size), *(numbers(x) for x in rest)))
     u, v, weight = (np.concatenate([np.repeat(x[k], x[2]) for x in own]) for k in (0, 1, 6))
     w, counts, pairs = (np.concatenate([x[k] for x in own]) for k in (3, 4, 5))
-    p = model.pair(pairs, weight)
     where, at = unique_rows(u, v, w)
     total = np.bincount(at, counts, len(where)).astype(np.int64)
     context_u, context_v = (np.concatenate([x[k] for x in own]) for k in (0, 1))
@@ -343,12 +340,7 @@ def _trigram_part(model: Model, part: int, blocks: list[tuple]) -> Iterator[tupl
     has_words[asked[np.repeat(np.arange(len(context_u)), np.concatenate([x[2] for x in own]))]] = True
     context = np.flatnonzero(has_words)[context] if len(context) else context
     kept = total > 1
-    stats = np.zeros((len(names), TURING), np.int64)
-    for r in range(2, TURING + 1):
-        stats[:, r - 2] = np.bincount(context[total == r], minlength=len(names))
-    high = total > TURING
-    stats[:, TURING - 1] = np.bincount(context[high], total[high], len(names)).astype(np.int64)
-    mass = np.bincount(context[kept], p[where][kept], len(names))
+    stats, mass = by_count(total[kept], context[kept], len(names)), by_count(pairs[where][kept], context[kept], len(names))
     first = groups(context[kept])
     at_kept = where[kept]
     size = np.diff(np.append(first, len(at_kept)))
@@ -358,7 +350,7 @@ def _trigram_part(model: Model, part: int, blocks: list[tuple]) -> Iterator[tupl
     for b, x in zip(blocks, own):
         mine = asked[first_context : first_context + len(x[0])]
         if b[0] is not None:
-            yield answer("answer", part, b[0], planes(total[at[begin : begin + len(x[3])]]), planes(stats[mine].T.ravel()), reals(mass[mine]))
+            yield answer("answer", part, b[0], planes(total[at[begin : begin + len(x[3])]]), planes(stats[mine].T.ravel()), planes(mass[mine].T.ravel()))
         begin, first_context = begin + len(x[3]), first_context + len(x[0])
 
 
@@ -420,14 +412,18 @@ class Model:
 
     def pair(self, total: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """p(w | v) of bigrams that occur; weight: the context's count, doubled, plus 1 if its discounts leave nothing."""
-        c = weight >> 1
-        factor = np.where(weight & 1, c / (c + 1.0), 1.0)
-        return factor * self.two[np.where(total <= TURING, total, 0)] * total / np.maximum(1, c)
+        return self.two[np.where(total <= TURING, total, 0)] * total * self.share(weight)
+
+    @staticmethod
+    def share(weight: np.ndarray) -> np.ndarray:
+        """What one discounted occurrence after a context has of it."""
+        return 1 / np.maximum(1.0, (weight >> 1) + (weight & 1))
 
-    def trigram_context(self, three: np.ndarray, c: np.ndarray, stats: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(factor of trigrams' discounted shares, alpha) of contexts with counts c and the stats of _trigrams."""
+    def trigram_context(self, three: np.ndarray, c: np.ndarray, weight: np.ndarray, stats: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(factor of trigrams' discounted shares, alpha) of contexts with counts c, weights of their last words, and the answers of _trigrams."""
         r = np.arange(2, TURING + 1)
         left = c - stats[:, TURING - 1] - stats[:, : TURING - 1] @ (three[2:] * r)
+        mass = (pairs[:, TURING - 1] + pairs[:, : TURING - 1] @ (self.two[2:] * r)) * self.share(weight)
         some = left > 1e-9
         factor, left = np.where(some, 1.0, c / (c + 1.0)), np.where(some, left / c, 1 / (c + 1.0))
         return factor, np.where(mass > 0, left / (1 - mass), 1.0)
@@ -515,7 +511,8 @@ def _scores(model: Model, three: np.ndarray, n_parts: int):
                     answers = sorted(row["triples_answers"], key=lambda x: x["part"])
                     total = np.concatenate([numbers(x["a"]) for x in answers])
                     stats = np.concatenate([numbers(x["b"]).reshape(TURING, -1).T for x in answers])
-                    factor, alpha = model.trigram_context(three, two.total[own], stats, np.concatenate([from_reals(x["c"]) for x in answers]))
+                    pairs = np.concatenate([numbers(x["c"]).reshape(TURING, -1).T for x in answers])
+                    factor, alpha = model.trigram_context(three, two.total[own], two.weight[two.w[own]], stats, pairs)
                     count = np.append(total, 0)[of]  # of each token's trigram
                     at = np.maximum(context_of, 0)
                     share = factor[at] * three[np.where(count <= TURING, count, 0)] * count / two.total[own][at]
@@ -568,6 +565,7 @@ def _run(docs: DataFrame, train: Column, path: str, stored: str | None) -> DataF
             blocks = blocks.unionByName(model.select(*BLOCK_NAMES))
         out = blocks.repartitionById(n, F.col("part")).sortWithinPartitions("part").mapInArrow(settled(reply), ANSWERS)
         out.write.partitionBy("kind").parquet(f"{path}/{table}")
+        settled_shuffles(spark)
         return spark.read.schema(ANSWERS).parquet(f"{path}/{table}")
 
     def joined(to: DataFrame, answers: DataFrame, column: str) -> DataFrame:
@@ -579,6 +577,6 @@ def _run(docs: DataFrame, train: Column, path: str, stored: str | None) -> DataF
     bigrams = asked(known.mapInArrow(settled(_bigram_blocks(n)), BLOCKS), _bigrams, "bigrams")
     model = Model.of(totals(unigrams), totals(bigrams))
     known = joined(known, bigrams, "pairs_answers")
-    trigrams = asked(known.mapInArrow(settled(_trigram_blocks(model, n)), BLOCKS), _trigrams(model), "trigrams")
+    trigrams = asked(known.mapInArrow(settled(_trigram_blocks(model, n)), BLOCKS), _trigrams, "trigrams")
     three = cut_discounts(totals(trigrams)[2:])
     return joined(known, trigrams, "triples_answers").mapInArrow(settled(_scores(model, three, n)), SCORES)
