@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -53,7 +54,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it again."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -71,10 +73,16 @@ def removed(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     del WRITTEN[since : since + len(gone)]
 
 
-def settled_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are written: it does so when the driver's collector finds them unused."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that are run here leave no shuffle files behind: what they write is read again, not they."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 #: Bytes of a table, as its files have them, for each part.

@@ -33,7 +33,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assertlake.llm.common import LOWER, SPACED, Words, mix, parts, settled, settled_shuffles, shared_dir, slices
+from assertlake.llm.common import LOWER, SPACED, Words, mix, parts, settled, shared_dir, shuffles_removed, slices
 
 BATCH_TOKENS = 1_500_000
 TURING = 5
@@ -564,8 +564,8 @@ def _run(docs: DataFrame, train: Column, path: str, stored: str | None) -> DataF
             model = spark.read.schema(ANSWERS).parquet(f"{stored}/{table}").where("kind = 'model'")
             blocks = blocks.unionByName(model.select(*BLOCK_NAMES))
         out = blocks.repartitionById(n, F.col("part")).sortWithinPartitions("part").mapInArrow(settled(reply), ANSWERS)
-        out.write.partitionBy("kind").parquet(f"{path}/{table}")
-        settled_shuffles(spark)
+        with shuffles_removed(spark):
+            out.write.partitionBy("kind").parquet(f"{path}/{table}")
         return spark.read.schema(ANSWERS).parquet(f"{path}/{table}")
 
     def joined(to: DataFrame, answers: DataFrame, column: str) -> DataFrame:
