@@ -23,6 +23,7 @@ any length. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assertlake.llm.common import LOWER, SPACED, Words, mix, parts, settled, shared_dir, shuffles_removed, slices
 
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 1_000_000
 TURING = 5
 END = np.uint64(0x656E64)
 
@@ -121,6 +122,109 @@ BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
 ANSWERS = "kind string, part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary, g binary, stats array<long>"
 
 
+def block(part: int, batch: int, *blobs: bytes) -> tuple:
+    return (part, batch, *blobs, *[None] * (7 - len(blobs)))
+
+
+def answer(kind: str, part: int, batch: int | None, *blobs: bytes, stats: list[int] | None = None) -> tuple:
+    return (kind, *block(part, batch, *blobs), stats)
+
+
+def packed(*columns: np.ndarray) -> np.ndarray | None:
+    """One number for each row, in the rows' order; None where 63 bits don't hold it."""
+    sizes = [int(c.max(initial=0)) + 1 for c in columns]
+    if math.prod(sizes) >= 1 << 63:
+        return None
+    out = columns[0]
+    for c, n in zip(columns[1:], sizes[1:]):
+        out = out * n + c
+    return out
+
+
+def row_order(*columns: np.ndarray) -> np.ndarray:
+    key = packed(*columns)
+    return np.lexsort(columns[::-1]) if key is None else np.argsort(key)
+
+
+def unique_rows(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different row of non-negative numbers is, in sorted order, and the number of each row there."""
+    order = row_order(*columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        own = c[order]
+        new[1:] |= own[1:] != own[:-1]
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at
+
+
+def steps(a: np.ndarray) -> bytes:
+    """Whole numbers that don't fall."""
+    return planes(np.diff(a, prepend=0))
+
+
+def from_steps(blob: bytes) -> np.ndarray:
+    return np.cumsum(numbers(blob))
+
+
+def runs(a: np.ndarray, size: np.ndarray) -> bytes:
+    """Whole numbers that rise within runs of these sizes."""
+    first = np.cumsum(size[size > 0]) - size[size > 0]
+    out = np.diff(a, prepend=0)
+    out[first] = a[first]
+    return planes(out)
+
+
+def from_runs(blob: bytes, size: np.ndarray) -> np.ndarray:
+    out = np.cumsum(numbers(blob))
+    some = size[size > 0]
+    first = np.cumsum(some) - some
+    before = np.concatenate([[0], out])[first]
+    return out - np.repeat(before, some)
+
+
+BATCHES = "batch long, ids array<long>, train binary, sizes binary, tokens binary, words binary, counts binary"
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, train, text) -> batches; tokens are places in the batch's sorted words."""
+    names = [x.split()[0] for x in BATCHES.split(", ")]
+    number = TaskContext.get().partitionId() << 24
+    ids, train, sizes, hashes, n = [], [], [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal number
+        size, trains = np.concatenate(sizes), np.concatenate(train)
+        words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = np.bincount(tokens[np.repeat(trains, size)], minlength=len(words))
+        all_ids = pa.concat_arrays(ids)
+        out = [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), *(pa.array([x], pa.binary()) for x in (planes(trains), planes(size), planes(tokens), words.tobytes(), planes(counts)))]
+        number += 1
+        return pa.RecordBatch.from_arrays(out, names)
+
+    for batch in batches:
+        for i, j, data, offsets in slices(batch.column("text")):
+            words = Words(LOWER[data], offsets, SPACED)
+            ids.append(batch.column("doc_id").slice(i, j - i))
+            train.append(batch.column("train").slice(i, j - i).to_numpy(zero_copy_only=False).astype(bool))
+            sizes.append(np.diff(words.first) + 1)
+            hashes.append(np.insert(words.hashes(), words.first[1:], END))
+            n += len(hashes[-1])
+            if n >= BATCH_TOKENS:
+                yield flush()
+                ids, train, sizes, hashes, n = [], [], [], [], 0
+    if n:
+        yield flush()
+
+
+#: batch is null for a stored part of a model.
+BLOCKS = "part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
+#: kind: answer (to a batch), model (a part of the table of n-grams, as a block), stats (counts of counts, numbers of tokens and types).
+ANSWERS = "kind string, part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary, g binary, stats array<long>"
+
+
 def block(part: int, batch: int, *blobs: bytes) -> tuple:
     return (part, batch, *blobs, *[None] * (7 - len(blobs)))
 
@@ -229,17 +333,20 @@ class Batch:
 
     def pairs(self, n_parts: int):
         """The unique bigrams of known contexts: (place of h, place of w, part), sorted by part and numbers; and each token's bigram, -1 for none."""
-        wide = len(self.number)
-        known = self.count[self.prev] > 0
-        unique, at = np.unique(self.prev[known] * wide + self.tokens[known], return_inverse=True)
-        h, w = unique // wide, unique % wide
-        part = (mix(self.number[h].astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
-        order = np.lexsort((self.number[w], self.number[h], part))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        part = (mix(self.number.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+        known = np.flatnonzero(self.count[self.prev] > 0)
+        # words by (part as a context, number), so that places of the pair tell its order
+        by = row_order(part, self.number)
+        head = np.empty(len(by), np.int64)
+        head[by] = np.arange(len(by))
+        by_number = np.argsort(self.number)
+        tail = np.empty(len(by), np.int64)
+        tail[by_number] = np.arange(len(by))
+        unique, at = np.unique(head[self.prev[known]] * len(by) + tail[self.tokens[known]], return_inverse=True)
+        h, w = by[unique // max(1, len(by))], by_number[unique % max(1, len(by))]
         of = np.full(len(self.tokens), -1)
-        of[known] = back[at]
-        return h[order], w[order], part[order], of
+        of[known] = at
+        return h, w, part[h], of
 
 
 def groups(sorted_values: np.ndarray) -> np.ndarray:
@@ -328,24 +435,20 @@ def _trigram_part(part: int, blocks: list[tuple]) -> Iterator[tuple]:
     for _, a, b, c, d, *rest in blocks:
         size = numbers(c)
         own.append((from_steps(a), numbers(b), size, from_runs(d, size), *(numbers(x) for x in rest)))
-    u, v, weight = (np.concatenate([np.repeat(x[k], x[2]) for x in own]) for k in (0, 1, 6))
+    context_u, context_v, size, weight = (np.concatenate([x[k] for x in own]) for k in (0, 1, 2, 6))
     w, counts, pairs = (np.concatenate([x[k] for x in own]) for k in (3, 4, 5))
-    where, at = unique_rows(u, v, w)
-    total = np.bincount(at, counts, len(where)).astype(np.int64)
-    context_u, context_v = (np.concatenate([x[k] for x in own]) for k in (0, 1))
     names, asked = unique_rows(context_u, context_v)
-    # both are sorted by (u, v)
-    context = np.cumsum(np.diff(u[where], prepend=u[where][:1]).astype(bool) | np.diff(v[where], prepend=v[where][:1]).astype(bool))
-    has_words = np.zeros(len(names), bool)
-    has_words[asked[np.repeat(np.arange(len(context_u)), np.concatenate([x[2] for x in own]))]] = True
-    context = np.flatnonzero(has_words)[context] if len(context) else context
+    context = np.repeat(asked, size)
+    where, at = unique_rows(context, w)
+    total = np.bincount(at, counts, len(where)).astype(np.int64)
+    context = context[where]
     kept = total > 1
     stats, mass = by_count(total[kept], context[kept], len(names)), by_count(pairs[where][kept], context[kept], len(names))
-    first = groups(context[kept])
-    at_kept = where[kept]
+    at_kept, first = where[kept], groups(context[kept])
+    named = names[context[kept][first]]
     size = np.diff(np.append(first, len(at_kept)))
     yield answer("stats", part, None, stats=[int(total.sum()), int(kept.sum()), *counts_of_counts(total)])
-    yield answer("model", part, None, steps(u[at_kept][first]), planes(v[at_kept][first]), planes(size), runs(w[at_kept], size), planes(total[kept]), planes(pairs[at_kept]), planes(weight[at_kept][first]))
+    yield answer("model", part, None, steps(context_u[named]), planes(context_v[named]), planes(size), runs(w[at_kept], size), planes(total[kept]), planes(pairs[at_kept]), planes(weight[named]))
     begin, first_context = 0, 0
     for b, x in zip(blocks, own):
         mine = asked[first_context : first_context + len(x[0])]
@@ -453,23 +556,22 @@ class Bigrams:
         before = np.concatenate([[-1], self.of[:-1]])
         total = np.append(self.total, 0)
         on = np.flatnonzero(~first & (total[before] > 1))
-        own, at = np.unique(before[on], return_inverse=True)
+        mark = np.zeros(len(total), bool)
+        mark[before[on]] = True
+        own = np.flatnonzero(mark)
         u, v = b.number[self.h[own]], b.number[self.w[own]]
         part = (mix(mix(u.astype(np.uint64)) * np.uint64(3) + v.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
-        order = np.lexsort((v, u, part))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        order = row_order(part, u, v)
+        place = np.empty(len(total), np.int64)
+        place[own[order]] = np.arange(len(order))
         context_of = np.full(len(b.tokens), -1)
-        context_of[on] = back[at]
+        context_of[on] = place[before[on]]
         some = on[total[self.of[on]] > 1]
+        # bigrams of one context are in the order of their words' numbers
         key, at = np.unique(context_of[some] * len(total) + self.of[some], return_inverse=True)
-        context, pair = key // len(total), key % len(total)
-        inner = np.lexsort((b.number[self.w[pair]], context))
-        back = np.empty(len(inner), np.int64)
-        back[inner] = np.arange(len(inner))
         trigram_of = np.full(len(b.tokens), -1)
-        trigram_of[some] = back[at]
-        return own[order], part[order], context[inner], pair[inner], context_of, trigram_of
+        trigram_of[some] = at
+        return own[order], part[order], key // len(total), key % len(total), context_of, trigram_of
 
 
 def _trigram_blocks(model: Model, n_parts: int):
