@@ -85,7 +85,7 @@ BATCHES = "batch long, ids array<long>, train binary, sizes binary, tokens binar
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, train, text) -> batches; tokens are places in the batch's sorted words."""
+    """Rows (doc_id, train, text) -> batches; tokens are places in the batch's words in the order of their frequency, so that most are small."""
     names = [x.split()[0] for x in BATCHES.split(", ")]
     number = TaskContext.get().partitionId() << 24
     ids, train, sizes, hashes, n = [], [], [], [], 0
@@ -94,6 +94,10 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal number
         size, trains = np.concatenate(sizes), np.concatenate(train)
         words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+        order = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        words, tokens = words[order], place[tokens]
         counts = np.bincount(tokens[np.repeat(trains, size)], minlength=len(words))
         all_ids = pa.concat_arrays(ids)
         out = [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(all_ids)], pa.int32()), all_ids), *(pa.array([x], pa.binary()) for x in (planes(trains), planes(size), planes(tokens), words.tobytes(), planes(counts)))]
@@ -116,14 +120,14 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: batch is null for a stored part of a model.
-BLOCKS = "part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+BLOCKS = "part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary"
 BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
 #: kind: answer (to a batch), model (a part of the table of n-grams, as a block), stats (counts of counts, numbers of tokens and types).
-ANSWERS = "kind string, part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary, g binary, stats array<long>"
+ANSWERS = "kind string, part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary, stats array<long>"
 
 
 def block(part: int, batch: int, *blobs: bytes) -> tuple:
-    return (part, batch, *blobs, *[None] * (7 - len(blobs)))
+    return (part, batch, *blobs, *[None] * (6 - len(blobs)))
 
 
 def answer(kind: str, part: int, batch: int | None, *blobs: bytes, stats: list[int] | None = None) -> tuple:
@@ -261,6 +265,8 @@ def _word_blocks(n_parts: int):
         for batch in batches:
             for number, raw, counts in zip(*(batch.column(c).to_pylist() for c in ("batch", "words", "counts"))):
                 words, counts = np.frombuffer(raw, np.uint64), numbers(counts)
+                order = np.argsort(words)
+                words, counts = words[order], counts[order]
                 cut = np.searchsorted(word_part(words, n_parts), np.arange(n_parts + 1))
                 yield rows([block(p, number, words[a:b].tobytes(), planes(counts[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b], BLOCKS)
 
@@ -323,7 +329,9 @@ class Batch:
     @classmethod
     def of(cls, row: dict) -> Batch:
         answers = sorted(row["words_answers"], key=lambda x: x["part"])
-        number, count = (np.concatenate([numbers(x[k]) for x in answers]) for k in ("a", "b"))
+        answered = np.argsort(np.frombuffer(row["words"], np.uint64))  # answers are in the order of hashes
+        number, count = np.empty((2, len(answered)), np.int64)
+        number[answered], count[answered] = (np.concatenate([numbers(x[k]) for x in answers]) for k in ("a", "b"))
         sizes, tokens = numbers(row["sizes"]), numbers(row["tokens"])
         ends = np.cumsum(sizes) - 1
         prev = np.empty_like(tokens)
@@ -435,7 +443,7 @@ def _trigram_part(part: int, blocks: list[tuple]) -> Iterator[tuple]:
     for _, a, b, c, d, *rest in blocks:
         size = numbers(c)
         own.append((from_steps(a), numbers(b), size, from_runs(d, size), *(numbers(x) for x in rest)))
-    context_u, context_v, size, weight = (np.concatenate([x[k] for x in own]) for k in (0, 1, 2, 6))
+    context_u, context_v, size = (np.concatenate([x[k] for x in own]) for k in (0, 1, 2))
     w, counts, pairs = (np.concatenate([x[k] for x in own]) for k in (3, 4, 5))
     names, asked = unique_rows(context_u, context_v)
     context = np.repeat(asked, size)
@@ -448,7 +456,7 @@ def _trigram_part(part: int, blocks: list[tuple]) -> Iterator[tuple]:
     named = names[context[kept][first]]
     size = np.diff(np.append(first, len(at_kept)))
     yield answer("stats", part, None, stats=[int(total.sum()), int(kept.sum()), *counts_of_counts(total)])
-    yield answer("model", part, None, steps(context_u[named]), planes(context_v[named]), planes(size), runs(w[at_kept], size), planes(total[kept]), planes(pairs[at_kept]), planes(weight[named]))
+    yield answer("model", part, None, steps(context_u[named]), planes(context_v[named]), planes(size), runs(w[at_kept], size), planes(total[kept]), planes(pairs[at_kept]))
     begin, first_context = 0, 0
     for b, x in zip(blocks, own):
         mine = asked[first_context : first_context + len(x[0])]
@@ -576,7 +584,7 @@ class Bigrams:
 
 def _trigram_blocks(model: Model, n_parts: int):
     """Blocks: numbers of the contexts' words, how many words follow each, their numbers, counts in training, counts of the bigrams of the context's
-    last word and them, weights of that last word as a context."""
+    last word and them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
@@ -592,7 +600,7 @@ def _trigram_blocks(model: Model, n_parts: int):
                 for p, (i, j) in enumerate(zip(cut[:-1], cut[1:])):
                     if i < j:
                         at = slice(begin[i], begin[j])
-                        out.append(block(p, row["batch"], steps(b.number[two.h[own[i:j]]]), planes(b.number[two.w[own[i:j]]]), planes(size[i:j]), runs(b.number[two.w[pair[at]]], size[i:j]), planes(counts[at]), planes(two.total[pair[at]]), planes(two.weight[two.w[own[i:j]]])))
+                        out.append(block(p, row["batch"], steps(b.number[two.h[own[i:j]]]), planes(b.number[two.w[own[i:j]]]), planes(size[i:j]), runs(b.number[two.w[pair[at]]], size[i:j]), planes(counts[at]), planes(two.total[pair[at]])))
                 yield rows(out, BLOCKS)
 
     return run
@@ -675,7 +683,7 @@ def _run(docs: DataFrame, train: Column, path: str, stored: str | None) -> DataF
         return to.join(of.hint("shuffle_merge"), "batch", "left")
 
     unigrams = asked(batches.select("batch", "words", "counts").mapInArrow(settled(_word_blocks(n)), BLOCKS), _unigrams(n), "unigrams")
-    known = joined(batches.drop("words", "counts"), unigrams, "words_answers")
+    known = joined(batches.drop("counts"), unigrams, "words_answers")
     bigrams = asked(known.mapInArrow(settled(_bigram_blocks(n)), BLOCKS), _bigrams, "bigrams")
     model = Model.of(totals(unigrams), totals(bigrams))
     known = joined(known, bigrams, "pairs_answers")
