@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assertlake.llm.common import LOWER, SPACED, Words, mix, parts, settled, shared_dir, shuffles_removed, slices
 
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 2_000_000
 TURING = 5
 END = np.uint64(0x656E64)
 
@@ -246,7 +246,7 @@ class Batch:
         answered = np.argsort(np.frombuffer(row["words"], np.uint64))  # answers are in the order of hashes
         number, count = np.empty((2, len(answered)), np.int64)
         number[answered], count[answered] = (np.concatenate([numbers(x[k]) for x in answers]) for k in ("a", "b"))
-        sizes, tokens = numbers(row["sizes"]), numbers(row["tokens"])
+        sizes, tokens = numbers(row["sizes"]), numbers(row["tokens"]).astype(np.int32)
         ends = np.cumsum(sizes) - 1
         prev = np.empty_like(tokens)
         prev[1:] = tokens[:-1]
@@ -266,7 +266,7 @@ class Batch:
         tail[by_number] = np.arange(len(by))
         unique, at = np.unique(head[self.prev[known]] * len(by) + tail[self.tokens[known]], return_inverse=True)
         h, w = by[unique // max(1, len(by))], by_number[unique % max(1, len(by))]
-        of = np.full(len(self.tokens), -1)
+        of = np.full(len(self.tokens), -1, np.int32)
         of[known] = at
         return h, w, part[h], of
 
@@ -475,7 +475,7 @@ class Bigrams:
         numbers; and for each token its context and its trigram, -1 for none."""
         first = np.zeros(len(b.tokens), bool)
         first[np.concatenate([[0], np.cumsum(b.sizes)[:-1]])] = True
-        before = np.concatenate([[-1], self.of[:-1]])
+        before = np.concatenate([self.of[:0] if not len(self.of) else self.of[-1:], self.of[:-1]])  # the first is no text's second token
         total = np.append(self.total, 0)
         on = np.flatnonzero(~first & (total[before] > 1))
         mark = np.zeros(len(total), bool)
@@ -486,12 +486,12 @@ class Bigrams:
         order = row_order(part, u, v)
         place = np.empty(len(total), np.int64)
         place[own[order]] = np.arange(len(order))
-        context_of = np.full(len(b.tokens), -1)
+        context_of = np.full(len(b.tokens), -1, np.int32)
         context_of[on] = place[before[on]]
         some = on[total[self.of[on]] > 1]
         # bigrams of one context are in the order of their words' numbers
-        key, at = np.unique(context_of[some] * len(total) + self.of[some], return_inverse=True)
-        trigram_of = np.full(len(b.tokens), -1)
+        key, at = np.unique(context_of[some].astype(np.int64) * len(total) + self.of[some], return_inverse=True)
+        trigram_of = np.full(len(b.tokens), -1, np.int32)
         trigram_of[some] = at
         return own[order], part[order], key // len(total), key % len(total), context_of, trigram_of
 
