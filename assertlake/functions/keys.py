@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: What Unicode-aware regular expressions take as white space; fixed values.
-SPACE_CLASS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def text(c: Column | str) -> Column:
@@ -15,11 +15,11 @@ def text(c: Column | str) -> Column:
 
 def collapse(c: Column | str) -> Column:
     """Runs of white space become one space."""
-    return F.regexp_replace(text(c), SPACE_CLASS + "+", " ")
+    return F.regexp_replace(F.translate(text(c), SPACES, " " * len(SPACES)), "  +", " ")
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(text(c), rf"^{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")
+    return F.btrim(text(c), F.lit(SPACES))
 
 
 def squeezed(c: Column | str) -> Column:
@@ -28,7 +28,7 @@ def squeezed(c: Column | str) -> Column:
 
 
 def without_space(c: Column | str) -> Column:
-    return F.regexp_replace(text(c), SPACE_CLASS + "+", "")
+    return F.translate(text(c), SPACES, "")
 
 
 def uncommented(c: Column | str, block_first: bool = False) -> Column:
@@ -86,6 +86,18 @@ def partial_hash(c: Column | str) -> Column:
     return digest(collapse(c))
 
 
+def identities(df: DataFrame, body: str, other: str) -> DataFrame:
+    """df's body under all keys of one text; white space is collapsed once for all of them. other goes beside it in sample_hash and cache_key."""
+    c = "__collapsed"
+    rows = df.withColumn(c, collapse(body))
+    bare = F.lower(F.translate(c, " ", ""))
+    return rows.select(
+        *df.columns, digest(F.trim(c)).alias("body_hash"), digest(F.lower(F.trim(c))).alias("body_hash_ci"), F.when(bare == "", "").otherwise(F.substring(F.md5(bare), 1, 16)).alias("canon_hash"),
+        sample_hash(other, body).alias("sample_hash"), raw_hash(body).alias("raw_hash"), digest(F.col(c)).alias("partial_hash"), cache_key(body, other).alias("cache_key"),
+        digest(F.concat(F.trim(c), F.lit("|||"), squeezed(other))).alias("cache_key_normalised"),
+    ).drop(c)
+
+
 def cache_key(sva: Column | str, rtl: Column | str, normalised: bool = False) -> Column:
     own = squeezed if normalised else text
     return digest(F.concat(own(sva), F.lit("|||"), own(rtl)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from assertlake.functions.predicates import engineer_nl, real_nl
+from assertlake.sources.stage import staged
 
 
 def keep_first(df: DataFrame, key: str | Column, order: str) -> DataFrame:
@@ -64,13 +65,15 @@ def merge_fieldwise(df: DataFrame, key: str, order: str) -> DataFrame:
     )
 
 
-#: A side with at most so many rows is broadcast; a larger one is left to the planner.
-BROADCAST_ROWS = 1_000_000
+#: A side with at most so many rows and bytes is broadcast; a larger one is left to the planner.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if its rows, counted up to the limit, are few."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its rows, looked at up to the limit, are few and short."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, total = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and total <= most_bytes else df
 
 
 def without(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -132,9 +135,11 @@ def longest_suffix(paths: DataFrame, path: str, known: DataFrame, tail: str) ->
 
 
 def most_hints(candidates: DataFrame, key: str, path: str, hints: str) -> DataFrame:
-    """The candidate path that contains the most hints; the shortest, then the first, of equals."""
+    """The candidate path that contains the most hints; the shortest, then the last by text, of equals."""
     score = F.size(F.filter(hints, lambda h: F.contains(F.lower(F.col(path)), F.lower(h))))
-    return candidates.groupBy(key).agg(F.max_by(path, F.struct(score, -F.length(path))).alias(path), F.max(score).alias("hits"))
+    rows = candidates.select(key, path, score.alias("__score"))
+    best = rows.groupBy(key).agg(F.max(F.struct("__score", (-F.length(path)).alias("__short"), path)).alias("__best"))
+    return best.select(key, F.col("__best")[path].alias(path), F.col("__best.__score").alias("hits"))
 
 
 def traced(children: DataFrame, parents: DataFrame, on: str, value: str) -> DataFrame:
@@ -145,20 +150,40 @@ def traced(children: DataFrame, parents: DataFrame, on: str, value: str) -> Data
 
 
 def enclosing(points: DataFrame, spans: DataFrame, on: str, at: str, low: str, high: str, name: str) -> DataFrame:
-    """points with the first span (by low) under the same key that contains them; null where none does."""
-    hit = points.select("id", on, at).join(spans.select(on, low, high, name), on).where(F.col(at).between(F.col(low), F.col(high)))
+    """points (with a unique id) with the first span (by low, then name) under the same key that contains them; null where none does.
+
+    A band join by levels: a span of a length up to 2 ** k lies in at most two bins of that width, and a point in one of each level that occurs,
+    so a point meets only spans that begin or end near it, as seen from their own length.
+    """
+    level = F.ceil(F.log2(F.greatest(F.lit(1.0), (F.col(high) - F.col(low) + 1).cast("double")))).cast("int")
+    leveled = spans.where(F.col(low) <= F.col(high)).select(on, low, high, name, level.alias("__level"))
+    levels = [r[0] for r in leveled.select("__level").distinct().collect()]  # 64 at most
+    bin_of = lambda x, k: F.floor(x / F.pow(F.lit(2.0), k)).cast("long")
+    binned = leveled.withColumn("__bin", F.explode(F.sequence(bin_of(F.col(low), F.col("__level")), bin_of(F.col(high), F.col("__level")))))
+    dealt = points.select("id", on, at).withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("__bin", bin_of(F.col(at), F.col("__level")))
+    hit = dealt.join(binned, [on, "__level", "__bin"]).where(F.col(at).between(F.col(low), F.col(high)))
     return points.join(hit.groupBy("id").agg(F.min_by(name, F.struct(low, name)).alias(name)), "id", "left")
 
 
-def last_before(points: DataFrame, marks: DataFrame, on: str, at: str, value: str) -> DataFrame:
-    """As-of join: points with the value of the last mark at or before them under the same key.
+def last_before(points: DataFrame, marks: DataFrame, on: str, at: str, value: str, ranges: int | None = None) -> DataFrame:
+    """As-of join: points with the value of the last mark at or before them under the same key. Null values are no marks; at is a number.
 
-    One window over the union, sorted by position; no pair of point and mark is built. Marks at a point's position count.
+    A window over the union, sorted by position, in ranges of the position; the last mark of the ranges before is carried into a range, so a
+    frequent key is not one task's. No pair of point and mark is built. Marks at a point's position count.
     """
-    rows = points.select(on, at, F.lit(1).alias("__point"), F.struct(*points.columns).alias("__row"), F.lit(None).cast(marks.schema[value].dataType).alias(value))
-    rows = rows.unionByName(marks.select(on, at, F.lit(0).alias("__point"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), value))
-    w = W.partitionBy(on).orderBy(at, "__point").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("__point = 1").select("__row.*", value)
+    n = ranges or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low, high = points.select(at).unionByName(marks.select(at)).agg(F.min(at).cast("double"), F.max(at).cast("double")).first()
+    width = max(1e-300, ((high or 0.0) - (low or 0.0)) / n)
+    own = F.floor((F.col(at).cast("double") - F.lit(low or 0.0)) / F.lit(width)).cast("long").alias("__range")
+    rows = points.select(on, at, own, F.lit(1).alias("__point"), F.struct(*points.columns).alias("__row"), F.lit(None).cast(marks.schema[value].dataType).alias(value))
+    rows = rows.unionByName(marks.select(on, at, own, F.lit(0).alias("__point"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), value))
+    last = rows.where(F.col(value).isNotNull()).groupBy(on, "__range").agg(F.max_by(value, at).alias("__last"))
+    seen = rows.select(on, "__range").distinct().join(last, [on, "__range"], "left")  # a row for each key and range
+    carried = seen.withColumn("__carried", F.last("__last", ignorenulls=True).over(W.partitionBy(on).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))).drop("__last")
+    w = W.partitionBy(on, "__range").orderBy(at, "__point").rowsBetween(W.unboundedPreceding, 0)
+    inside = rows.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("__point = 1")
+    out = inside.withColumnRenamed(on, "__on").join(carried.withColumnRenamed(on, "__key"), F.col("__on").eqNullSafe(F.col("__key")) & (inside["__range"] == carried["__range"]), "left")
+    return out.select("__row.*", F.coalesce(value, "__carried").alias(value))
 
 
 def closest(wanted: DataFrame, found: DataFrame, on: list[str], at: str, window: int = 10) -> DataFrame:
@@ -188,9 +213,10 @@ def best_of(rows: DataFrame, key: list[str], verdict: str, ranks: dict[str, int]
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
-    """A gapless number by order: ranges are numbered apart, and the sizes of the ranges before are added."""
+    """A gapless number by order: ranges are numbered apart, and the sizes of the ranges before are added. The ranges are staged: drawn anew for a task
+    that runs again, they could be others."""
     spread = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    parts = df.repartitionByRange(int(spread), *order).withColumn("__part", F.spark_partition_id())
+    parts = staged(df.repartitionByRange(int(spread), *order).withColumn("__part", F.spark_partition_id()), "numbered")
     sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row for each range
     rows = parts.withColumn("__i", F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1)

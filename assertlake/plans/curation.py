@@ -46,15 +46,12 @@ def clean_pool_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, {BODY} AS body_hash, {sql_digest("lower(" + sql_squeezed("text") + ")")} AS body_hash_ci,
   CASE WHEN regexp_replace(coalesce(text, ''), '{SQL_SPACE}+', '', 'g') = '' THEN '' ELSE substr(md5(lower(regexp_replace(coalesce(text, ''), '{SQL_SPACE}+', '', 'g'))), 1, 16) END AS canon_hash,
   {sql_digest(sql_strip("source") + " || '|||' || " + sql_strip("text"))} AS sample_hash, {sql_digest("coalesce(text, '')")} AS raw_hash,
-  {sql_digest(f"regexp_replace(coalesce(text, ''), '{SQL_SPACE}+', ' ', 'g')")} AS partial_hash, {sql_digest("coalesce(text, '') || '|||' || coalesce(source, '')")} AS cache_key
+  {sql_digest(f"regexp_replace(coalesce(text, ''), '{SQL_SPACE}+', ' ', 'g')")} AS partial_hash, {sql_digest("coalesce(text, '') || '|||' || coalesce(source, '')")} AS cache_key,
+  {sql_digest(sql_squeezed("text") + " || '|||' || " + sql_squeezed("source"))} AS cache_key_normalised
 FROM documents
 """)
 def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select(
-        "doc_id", keys.body_hash("text").alias("body_hash"), keys.body_hash_ci("text").alias("body_hash_ci"), keys.canon_hash("text").alias("canon_hash"), keys.sample_hash("source", "text").alias("sample_hash"),
-        keys.raw_hash("text").alias("raw_hash"), keys.partial_hash("text").alias("partial_hash"), keys.cache_key("text", "source").alias("cache_key"),
-    )
+    return keys.identities(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "text", "source").drop("text", "source")
 
 
 _BARE = r"regexp_replace(regexp_replace(coalesce(sva, ''), '(?s)/\*.*?\*/', ' ', 'g'), '//[^\n]*', ' ', 'g')"
@@ -194,11 +191,11 @@ def parent_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.traced(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("k")), parents, "k", "v")
 
 
-@query("SELECT n_regionkey AS region, arg_max(n_name, struct_pack(h := (contains(lower(n_name), 'an')::INT + contains(lower(n_name), 'i')::INT), s := -length(n_name), n := n_name)) AS name FROM nation GROUP BY 1")
+@query("""SELECT n_regionkey AS region, arg_max(n_name, struct_pack(h := h, s := -length(n_name), n := n_name)) AS name, max(h) AS hits
+FROM (SELECT *, contains(lower(n_name), 'an')::INT + contains(lower(n_name), 'i')::INT AS h FROM nation) GROUP BY 1""")
 def most_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("name"), F.array(F.lit("an"), F.lit("i")).alias("hints"))
-    score = F.size(F.filter("hints", lambda h: F.contains(F.lower("name"), h)))
-    return c.groupBy("region").agg(F.max_by("name", F.struct(score, -F.length("name"), F.col("name"))).alias("name"))
+    return curate.most_hints(c, "region", "name", "hints")
 
 
 @query(f"SELECT doc_id, CASE WHEN (('0x' || {BODY})::UBIGINT % 1000)::INT < 300 THEN 'sft' ELSE 'grpo' END AS split FROM documents")

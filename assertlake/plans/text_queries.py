@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assertlake.functions import describe, keys, rewrite
 from assertlake.operators import curate, extract, provider
 from assertlake.plans.tables import assertions, table
+from assertlake.sources import stage
 from assertlake.streaming import incremental
 
 QUERIES: dict = {}
@@ -117,18 +116,13 @@ def provider_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _stream_dir(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="assertlake-")
-    return f"{top}/stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream that keeps the smallest event of each key in its state, against the same in batch."""
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     first = stream.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    out = _stream_dir(spark)
+    out = stage.path(spark, "stream")
     run = first.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows")).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("event_id", "user_id", "event_type")
@@ -139,7 +133,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_type")
     key = keys.digest(F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
-    out = _stream_dir(spark)
+    out = stage.path(spark, "stream")
     incremental.appended(incremental.first_seen(stream, key), f"{out}/rows", f"{out}/state").awaitTermination()
     rows = spark.read.schema("user_id long, event_type string").parquet(f"{out}/rows")
     return rows.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.count(F.lit(1)).alias("n"))

@@ -17,16 +17,21 @@ def shards(df: DataFrame, path: str, by: list[str], mode: str = "errorifexists")
 
 
 def replaced(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """df in place of what path holds, also if df reads it: written beside, then renamed by the file system."""
+    """df in place of what path holds, also if df reads it: written beside, then renamed by the file system. If a rename fails, the old table is put
+    back and the new one stays beside it. On object stores a rename is a copy, not one step: keep versions there instead."""
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(new)
     jvm = spark.sparkContext._jvm
     to = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(to(path)):
-        fs.rename(to(path), to(old))
-    fs.rename(to(new), to(path))
-    fs.delete(to(old), True)
+    had = fs.exists(to(path))
+    if had and not fs.rename(to(path), to(old)):
+        raise OSError(f"{path} can't be moved; the new table is {new}")
+    if not fs.rename(to(new), to(path)):
+        back = not had or fs.rename(to(old), to(path))
+        raise OSError(f"{new} can't be moved to {path}; the old table is {path if back else old}")
+    if had:
+        fs.delete(to(old), True)
 
 
 def resumed(df: DataFrame, done: DataFrame, key: str, path: str) -> None:
