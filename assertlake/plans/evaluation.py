@@ -92,9 +92,9 @@ def feature_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", *(f"f.{c}" for c in ("has_disable_iff", "has_rarrow", "has_drarrow", "has_rose", "has_seq_delay", "has_eventually", "has_assert_property", "sva_len")))
 
 
-@query(r"SELECT id, array_to_string(list_filter(regexp_extract_all(regexp_replace(sva, '\d+', ' ', 'g'), '[A-Za-z_]\w*'), lambda t: NOT list_contains(" + "[" + ", ".join(f"'{w}'" for w in parse.SIGNAL_KEYWORDS) + "], lower(t))), ' ') AS raw FROM " + ASSERTIONS + " WHERE id % 13 = 4")
+@query(r"""WITH w AS (SELECT id, list_filter(regexp_extract_all(regexp_replace(regexp_replace(sva, '\d+''[bdho][0-9a-fA-FxXzZ_]+|\d+', ' ', 'g'), '\.[A-Za-z_]\w*', '', 'g'), '[A-Za-z_]\w*'), lambda t: NOT list_contains([""" + ", ".join(f"'{w}'" for w in parse.SIGNAL_KEYWORDS) + "], lower(t))) AS l FROM " + ASSERTIONS + ") SELECT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS raw FROM w")
 def signal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assertions(spark, sf_dir).where("id % 13 = 4").select("id", F.array_join(parse.signals("sva"), " ").alias("raw"))
+    return assertions(spark, sf_dir).select("id", F.array_join(parse.signals("sva"), " ").alias("raw"))
 
 
 @query("""WITH m AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
@@ -220,14 +220,14 @@ def edge_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir)
 
 
-@query(f"""WITH w AS (SELECT trace, cycle, kind FROM {_EDGES} WHERE trace % 2 = 0), f AS (SELECT DISTINCT trace, cycle + (trace % 5) - 2 AS at, kind FROM {_EDGES} WHERE cycle % 3 <> 0),
+@query(f"""WITH w AS (SELECT trace, cycle, kind FROM {_EDGES}), f AS (SELECT DISTINCT trace, cycle + (trace % 5) - 2 AS at, kind FROM {_EDGES} WHERE cycle % 3 <> 0),
 m AS (SELECT w.trace, w.cycle, w.kind, arg_min(f.at, struct_pack(d := abs(f.at - w.cycle), a := f.at)) AS matched FROM w JOIN f ON f.trace = w.trace AND f.kind = w.kind AND abs(f.at - w.cycle) <= 10 GROUP BY ALL)
 SELECT w.trace, w.cycle, w.kind, matched, CASE WHEN matched IS NULL THEN 'missing' WHEN matched > w.cycle THEN 'delayed' ELSE 'early' END AS violation, matched - w.cycle AS delta FROM w LEFT JOIN m USING (trace, cycle, kind) WHERE matched IS DISTINCT FROM w.cycle""")
 def nearest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temporal constraints: expected edges against observed ones; perfect matches drop out, and a match may serve several."""
     e = _edges(spark, sf_dir)
     found = e.where("cycle % 3 <> 0").select("trace", (F.col("cycle") + F.col("trace") % 5 - 2).alias("cycle"), "kind")
-    out = curate.closest(e.where("trace % 2 = 0"), found, ["trace", "kind"], "cycle")
+    out = curate.closest(e, found, ["trace", "kind"], "cycle")
     delta = F.col("matched") - F.col("cycle")
     violation = F.when(F.col("matched").isNull(), "missing").when(delta > 0, "delayed").otherwise("early")
     return out.where(~F.col("matched").eqNullSafe(F.col("cycle"))).select("trace", "cycle", "kind", "matched", violation.alias("violation"), delta.alias("delta"))
@@ -290,7 +290,14 @@ def tt_ce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("seq").agg(loss(False).alias("loss"), loss(True).alias("loss_v1"))
 
 
-@query()
+_TOKENS = r"regexp_extract_all({x}, '[A-Za-z_]\w*|##\[[^\]]*\]|##\d+|\|->|\|=>|[()\[\];,.]|\S')"
+
+
+@query(f"""WITH a AS (SELECT id, sva, arg_min(sva, id) OVER (PARTITION BY customer) AS ref FROM {ASSERTIONS}), p AS (SELECT DISTINCT sva, ref FROM a),
+t AS (SELECT sva, ref, {_TOKENS.format(x=sql_squeezed("sva"))} AS x, {_TOKENS.format(x=sql_squeezed("ref"))} AS y FROM p),
+k AS (SELECT *, list_distinct(list_concat(x, y)) AS known FROM t),
+c AS (SELECT sva, ref, array_to_string(list_transform(x, lambda t: chr(32 + list_position(known, t)::INT)), '') AS x, array_to_string(list_transform(y, lambda t: chr(32 + list_position(known, t)::INT)), '') AS y FROM k)
+SELECT id, round(CASE WHEN x = '' OR y = '' THEN 0.0 ELSE 1.0 - levenshtein(x, y) / greatest(length(x), length(y)) END, 6) AS similarity FROM a JOIN c USING (sva, ref)""")
 def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each assertion against the one of its customer with the smallest id."""
     a = assertions(spark, sf_dir)

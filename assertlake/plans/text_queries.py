@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assertlake.functions import describe, keys, rewrite
 from assertlake.operators import curate, extract, provider
-from assertlake.plans.tables import assertions, table
+from assertlake.plans import golden
+from assertlake.plans.tables import ASSERTIONS, TEMPLATES, assertions, table
 from assertlake.sources import stage
 from assertlake.streaming import incremental
 
@@ -29,6 +30,18 @@ def query(sql: str | None = None):
     return register
 
 
+def sql_value(v) -> str:
+    if v is None or isinstance(v, (bool, int)):
+        return {None: "NULL", True: "true", False: "false"}.get(v, str(v))
+    return "replace('" + v.replace("'", "''") + "', '{m}', (id % 5)::VARCHAR)"
+
+
+def sql_golden(rows: list[tuple], columns: str) -> str:
+    """The expected rows (template's place, values) for all assertions of that form."""
+    own = " UNION ALL ".join(f"SELECT id, {', '.join(f'{sql_value(v)} AS {c}' for c, v in zip(columns.split(), row[1:]))} FROM a WHERE id % {len(TEMPLATES)} = {row[0]}" for row in rows)
+    return f"WITH a AS (SELECT id FROM {ASSERTIONS}) {own}"
+
+
 def distinct_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text once with the smallest id: what is costly in Python is done once for equal texts."""
     return assertions(spark, sf_dir).groupBy("sva").agg(F.min("id").alias("id"))
@@ -43,30 +56,35 @@ def for_all_ids(spark: SparkSession, sf_dir: str, judge: Callable[[DataFrame], D
     return rows.join(F.broadcast(judged) if few else judged, "sva").drop("sva")
 
 
-@query()
+@query(sql_golden(list(enumerate(golden.NORMALISED)), "normalised"))
 def normalize_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return for_all_ids(spark, sf_dir, lambda texts: texts.select("sva", rewrite.normalise("sva").alias("normalised")))
 
 
-@query()
+@query(sql_golden([(i, *x) for i, x in enumerate(golden.LOWERED)], "ok pattern tcl lowered"))
 def lower_assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return for_all_ids(spark, sf_dir, lambda texts: texts.select("sva", rewrite.lower("sva").alias("x")).select("sva", "x.ok", "x.pattern", "x.tcl", "x.lowered"))
 
 
-@query()
+@query(r"""SELECT id, CASE WHEN regexp_matches(sva, '^[^|]*\|(?:->|=>)\s*1\);$') THEN regexp_extract(sva, '\|(?:->|=>)') || ' RHS is constant true' ELSE '' END AS reason, CASE WHEN regexp_matches(sva, '^[^|]*\|(?:->|=>)\s*1\);$') THEN 0.0 ELSE 1.0 END AS score FROM """ + ASSERTIONS)
 def vacuity_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = rewrite.vacuity("sva")
     return for_all_ids(spark, sf_dir, lambda texts: texts.select("sva", reason.alias("reason"))).withColumn("score", F.when(F.col("reason") == "", 1.0).otherwise(0.0))
 
 
-@query()
+@query(f"""WITH s AS ({sql_golden(list(enumerate(golden.SWAPPED)), "mutated")}), a AS (SELECT id, sva FROM {ASSERTIONS}), m AS (
+SELECT id, 'swap' AS kind, mutated FROM s UNION ALL SELECT id, 'vacuous', 'assert property (@(posedge clk) 1''b1);' FROM a
+UNION ALL SELECT id, 'flip', CASE WHEN contains(sva, '==') THEN regexp_replace(sva, '==', '!=') WHEN contains(sva, '!=') THEN regexp_replace(sva, '!=', '==') ELSE regexp_replace(sva, '&&', '||') END FROM a
+UNION ALL SELECT id, 'delay', CASE WHEN contains(sva, '|->') THEN regexp_replace(sva, '\\|->', '|=>') WHEN contains(sva, '|=>') THEN regexp_replace(sva, '\\|=>', '|->')
+  WHEN regexp_matches(sva, '##\\s*\\d+') THEN regexp_extract(sva, '^(.*?)##\\s*\\d+', 1) || '##' || (regexp_extract(sva, '##\\s*(\\d+)', 1)::INT + 1) || regexp_extract(sva, '##\\s*\\d+(.*)$', 1) ELSE sva END FROM a)
+SELECT m.id, kind, mutated, mutated <> sva AS changed FROM m JOIN a USING (id)""")
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.explode(F.array(*map(F.lit, rewrite.MUTATIONS)))
     mutated = rewrite.mutate("sva", "kind")
     return for_all_ids(spark, sf_dir, lambda texts: texts.select("sva", kinds.alias("kind")).select("sva", "kind", mutated.alias("mutated"), (mutated != F.col("sva")).alias("changed")))
 
 
-@query()
+@query(sql_golden(golden.EXPANDED, "kind text"))
 def expanded_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants that are classified at the level that they are made for."""
     from assertlake.functions.classify import level
@@ -76,7 +94,9 @@ def expanded_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return for_all_ids(spark, sf_dir, lambda texts: variants(texts).where(level("text") == target).select("sva", "kind", "text"))
 
 
-@query()
+@query(f"""WITH d AS ({sql_golden(list(enumerate(golden.DESCRIBED)), "nl")}) SELECT d.id, nl, 'For module m, ' || CASE WHEN contains(sva, 's_eventually') THEN 'the consequent condition should eventually hold after the trigger.'
+WHEN contains(sva, 'until_with') THEN 'the antecedent condition should persist until the terminating condition holds.' WHEN contains(sva, '##[') THEN 'after the trigger, the consequent should hold within a bounded cycle range.'
+WHEN contains(sva, 'throughout') THEN 'the guarded condition should hold throughout the target sequence.' ELSE 'generate an SVA matching the extracted temporal property.' END AS by_operator FROM d JOIN {ASSERTIONS} a USING (id)""")
 def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return for_all_ids(spark, sf_dir, lambda texts: texts.select("sva", describe.describe("sva").alias("nl"), describe.by_operator("sva", F.lit("m"), F.lit("")).alias("by_operator")))
 
@@ -102,7 +122,7 @@ def extract_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extracted(_files(spark, sf_dir))
 
 
-@query()
+@query(f"""SELECT url AS path, 0 AS low, 4 + CASE WHEN g.n IS NULL THEN 1 ELSE 2 * g.n - 1 END AS high, 'm' || page_id AS module FROM pages LEFT JOIN (SELECT part, count(*) AS n FROM (SELECT min(id) % {FILES} AS part FROM {ASSERTIONS} GROUP BY sva) GROUP BY part) g ON g.part = page_id % {FILES}""")
 def module_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.modules(_files(spark, sf_dir))
 

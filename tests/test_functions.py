@@ -223,7 +223,7 @@ def test_extractors():
     assert source.block_around(text.find("ASSERT("))[1] == "module" and source.window_around(4, most=10) == "module top"
     far = extract.Source("x\n" * 9 + "assert property (a |-> b)" + " " * 170 + ";", extract.WITH_SOURCE)
     (row,) = far.finds(("inline",))
-    assert row[2] == "assert property (a |-> b);" and row[5] == 10 and row[6].split("\n")[0] == "x" and len(row[6].split("\n")) == 6
+    assert row[2] == "assert property (a |-> b) ;" and row[5] == 10 and row[6].split("\n")[0] == "x" and len(row[6].split("\n")) == 6
 
 
 def test_predicates(spark):
