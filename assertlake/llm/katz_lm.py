@@ -50,10 +50,10 @@ def planes(a: np.ndarray) -> bytes:
 
 def numbers(blob: bytes) -> np.ndarray:
     n, width = int.from_bytes(blob[:8], "little"), blob[8]
-    out = np.zeros((n, 8), np.uint8)
+    out = np.zeros(n, "<i8")
     if n:
-        out[:, :width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[9:]), np.uint8).reshape(width, n).T
-    return out.view("<i8")[:, 0].astype(np.int64)
+        out.view(np.uint8).reshape(n, 8)[:, :width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(blob)[9:]), np.uint8).reshape(width, n).T
+    return out
 
 
 def packed(*columns: np.ndarray) -> np.ndarray | None:
@@ -278,7 +278,9 @@ def groups(sorted_values: np.ndarray) -> np.ndarray:
 
 def records(batch: pa.RecordBatch) -> Iterator[dict]:
     for i in range(batch.num_rows):
-        yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+        row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+        yield row
+        row.clear()  # its numbers are as large as what is made of them
 
 
 def _bigram_blocks(n_parts: int):
@@ -461,10 +463,14 @@ class Bigrams:
         self.h, self.w, part, self.of = b.pairs(n_parts)
         answers = sorted(row["pairs_answers"] or [], key=lambda x: x["part"])
         self.total = np.concatenate([np.zeros(0, np.int64), *(numbers(x["a"]) for x in answers)])
-        stats = np.concatenate([np.zeros((0, 2 * TURING + 1), np.int64), *(numbers(x["b"]).reshape(2 * TURING + 1, -1).T for x in answers)])
         first = groups(part * len(b.number) + self.h)
-        context = np.cumsum(np.isin(np.arange(len(self.h)), first)) - 1
-        factor, alpha = model.context(b.count[self.h[first]], stats) if len(self.h) else (np.zeros(0), np.zeros(0))
+        context = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(self.h))))
+        factor, alpha = np.empty((2, len(first)))
+        begin = 0
+        for x in answers:  # one part at a time: its stats are eleven numbers for each context
+            stats = numbers(x["b"]).reshape(2 * TURING + 1, -1).T
+            at = slice(begin, begin := begin + len(stats))
+            factor[at], alpha[at] = model.context(b.count[self.h[first[at]]], stats)
         self.single = model.unigram(b.count)
         self.weight = 2 * b.count + 0  # of each word of the batch, as a context
         self.weight[self.h[first][factor < 1]] += 1
@@ -534,13 +540,17 @@ def _scores(model: Model, three: np.ndarray, n_parts: int):
                 if len(own):
                     answers = sorted(row["triples_answers"], key=lambda x: x["part"])
                     total = np.concatenate([numbers(x["a"]) for x in answers])
-                    stats = np.concatenate([numbers(x["b"]).reshape(TURING, -1).T for x in answers])
-                    pairs = np.concatenate([numbers(x["c"]).reshape(TURING, -1).T for x in answers])
-                    factor, alpha = model.trigram_context(three, two.total[own], two.weight[two.w[own]], stats, pairs)
-                    count = np.append(total, 0)[of]  # of each token's trigram
-                    at = np.maximum(context_of, 0)
+                    factor, alpha = np.empty((2, len(own)))
+                    begin = 0
+                    for x in answers:  # one part at a time
+                        stats, pairs = (numbers(x[k]).reshape(TURING, -1).T for k in ("b", "c"))
+                        part = slice(begin, begin := begin + len(stats))
+                        factor[part], alpha[part] = model.trigram_context(three, two.total[own[part]], two.weight[two.w[own[part]]], stats, pairs)
+                    on = np.flatnonzero(context_of >= 0)
+                    at, count = context_of[on], np.append(total, 0)[of[on]]  # of each token with a context its trigram's count
                     share = factor[at] * three[np.where(count <= TURING, count, 0)] * count / two.total[own][at]
-                    p = np.where(context_of < 0, p, np.where(count > 1, share, alpha[at] * p))
+                    p[on] = np.where(count > 1, share, alpha[at] * p[on])
+                del two
                 p = np.log10(p)
                 base = np.log10((b.count + 0.5) / (model.tokens + 0.5 * (model.types + 1)))[b.tokens]
                 first = np.concatenate([[0], np.cumsum(b.sizes)[:-1]])
