@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assertlake.llm.common import LOWER, SPACED, Words, mix, parts, settled, shared_dir, shuffles_removed, slices
 
 BATCH_TOKENS = 2_000_000
+#: Buckets of batches for each part: the batches of a bucket, with their answers, are in memory together.
+BUCKETS = 2
 TURING = 5
 END = np.uint64(0x656E64)
 
@@ -587,8 +589,8 @@ def _run(docs: DataFrame, train: Column, path: str, stored: str | None) -> DataF
         spark.range(1).select(F.lit(n).alias("parts")).coalesce(1).write.parquet(f"{path}/parts")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), "text")
     # a bucketed table: batches stay where they are when answers are joined to them; its files stay when its name goes
-    name = f"katz_batches_{uuid.uuid4().hex}"
-    own.mapInArrow(settled(_batches), BATCHES).write.bucketBy(n, "batch").sortBy("batch").option("path", f"{path}/batches").saveAsTable(name)
+    name, buckets = f"katz_batches_{uuid.uuid4().hex}", BUCKETS * n
+    own.mapInArrow(settled(_batches), BATCHES).write.bucketBy(buckets, "batch").sortBy("batch").option("path", f"{path}/batches").saveAsTable(name)
     batches = spark.table(name)
     batches.schema  # resolved before the name goes
     spark.sql(f"DROP TABLE {name}")
@@ -603,7 +605,7 @@ def _run(docs: DataFrame, train: Column, path: str, stored: str | None) -> DataF
         return spark.read.schema(ANSWERS).parquet(f"{path}/{table}")
 
     def joined(to: DataFrame, answers: DataFrame, column: str) -> DataFrame:
-        of = answers.where("kind = 'answer'").groupBy("batch").agg(F.collect_list(F.struct("part", "a", "b", "c")).alias(column))
+        of = answers.where("kind = 'answer'").repartition(buckets, "batch").groupBy("batch").agg(F.collect_list(F.struct("part", "a", "b", "c")).alias(column))
         return to.join(of.hint("shuffle_merge"), "batch", "left")
 
     unigrams = asked(batches.select("batch", "words", "counts").mapInArrow(settled(_word_blocks(n)), BLOCKS), _unigrams(n), "unigrams")
