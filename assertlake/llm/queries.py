@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assertlake.llm import cost_pack, fm_decontaminate, katz_lm, mil_quality, rule_filter, signature_join, sparse_suffix, tree_shard, url_rules, wrapper_induction
+from assertlake.llm import cost_pack, filter_audit, fm_decontaminate, katz_lm, mil_quality, rule_filter, signature_join, sparse_suffix, tree_shard, url_rules, wrapper_induction
 from assertlake.llm.common import table
 
 
@@ -48,7 +48,16 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sparse_suffix_dedup, op2_katz_scores, op3_mil_quality, op4_quality_rules, op5_hash_tree_sharding, op6_cost_balanced_packing, op7_signature_tree_join, op8_wrapper_extraction, op9_url_rules, op10_fm_decontamination)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: The operators' queries, by their numbers.
+ALL = (
+    op1_sparse_suffix_dedup, op2_katz_scores, op3_mil_quality, op4_quality_rules, op5_hash_tree_sharding, op6_cost_balanced_packing, op7_signature_tree_join, op8_wrapper_extraction,
+    op9_url_rules, op10_fm_decontamination, op11_filter_audit,
+)
+QUERIES = {f.__name__: f for f in ALL}
 
 ORACLE_SQL = {
     "op1_sparse_suffix_dedup": sparse_suffix.oracle(),
@@ -57,4 +66,5 @@ ORACLE_SQL = {
     "op7_signature_tree_join": signature_join.oracle(),
     "op9_url_rules": url_rules.oracle(),
     "op10_fm_decontamination": fm_decontaminate.oracle(),
+    "op11_filter_audit": filter_audit.oracle(),
 }
