@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assertlake.llm import cost_pack, filter_audit, fm_decontaminate, katz_lm, mil_quality, rule_filter, signature_join, sparse_suffix, tree_shard, url_rules, wrapper_induction
+from assertlake.llm import cost_pack, filter_audit, fm_decontaminate, katz_lm, mil_quality, prefix_trie, projection_forest, rule_filter, signature_join, sparse_suffix, tree_shard, url_rules, wrapper_induction
 from assertlake.llm.common import table
 
 
@@ -52,10 +52,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.deduplicated(table(spark, sf_dir, "embeddings"))
+
+
 #: The operators' queries, by their numbers.
 ALL = (
     op1_sparse_suffix_dedup, op2_katz_scores, op3_mil_quality, op4_quality_rules, op5_hash_tree_sharding, op6_cost_balanced_packing, op7_signature_tree_join, op8_wrapper_extraction,
-    op9_url_rules, op10_fm_decontamination, op11_filter_audit,
+    op9_url_rules, op10_fm_decontamination, op11_filter_audit, op12_prefix_trie, op13_projection_forest,
 )
 QUERIES = {f.__name__: f for f in ALL}
 
@@ -67,4 +75,6 @@ ORACLE_SQL = {
     "op9_url_rules": url_rules.oracle(),
     "op10_fm_decontamination": fm_decontaminate.oracle(),
     "op11_filter_audit": filter_audit.oracle(),
+    "op12_prefix_trie": prefix_trie.oracle(),
+    "op13_projection_forest": projection_forest.oracle(),
 }
