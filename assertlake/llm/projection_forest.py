@@ -58,12 +58,12 @@ def unit(table: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def child(node: int | np.ndarray, side: int) -> np.ndarray:
-    return mix(np.asarray(node, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(side)).view(np.int64)
+def child(node: int, side: int) -> int:
+    return int(mix(np.array([node], np.int64).view(np.uint64) * np.uint64(2) + np.uint64(side)).view(np.int64)[0])
 
 
 def root(tree: int, dim: int) -> int:
-    return int(child(np.array([(dim << 16) + tree]), 1)[0])
+    return child((dim << 16) + tree, 1)
 
 
 def direction(node: int, turn: int, dim: int) -> np.ndarray:
@@ -125,7 +125,8 @@ def planted(rows: DataFrame, least: float) -> DataFrame:
                     if d == dim:
                         mine = (x @ c >= near) & (ball[at] < 0)
                         ball[at[mine]] = k
-            nodes = pa.array([[root(t, int(d)) for t in range(TREES)] for d in dims], pa.list_(pa.int64()))
+            roots = {d: [root(t, int(d)) for t in range(TREES)] for d in np.unique(dims)}
+            nodes = pa.array([roots[d] for d in dims], pa.list_(pa.int64()))
             columns = [*batch.columns, pa.array(ball, mask=ball < 0), nodes, pa.array([[]] * len(dims), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "ball", "nodes", "done"])
 
@@ -151,7 +152,7 @@ def split(node: int, x: np.ndarray, level: int, rows: int, spill: float) -> Iter
     yield node, turn, float(cut)
     p = x @ direction(node, turn, x.shape[1])
     for side, some in enumerate((p <= cut + spill, p >= cut - spill)):
-        yield from split(int(child(node, side)), x[some], level + 1, round(rows * some.mean()), spill)
+        yield from split(child(node, side), x[some], level + 1, round(rows * some.mean()), spill)
 
 
 def sent_down(rows: DataFrame, splits: dict[int, tuple[int, float]], tried: set[int], spill: float) -> DataFrame:
@@ -183,7 +184,7 @@ def sent_down(rows: DataFrame, splits: dict[int, tuple[int, float]], tried: set[
                         p = x[ks] @ v
                         for side, some in enumerate((p <= cut + spill, p >= cut - spill)):
                             if some.any():
-                                queue[int(child(n, side))] = ks[some]
+                                queue[child(n, side)] = ks[some]
                     else:
                         for i in at[ks]:
                             (done if n in tops else stay)[i].append(n)

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_for_each_operator():
     names = list(__spark_entry__.queries())
-    assert [sum(bool(re.match(rf"op{n}_", x)) for x in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(bool(re.match(rf"op{n}_", x)) for x in names) for n in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -28,8 +28,8 @@ def test_same_as_sql(spark, name):
 def test_a_row_for_each_input_row(spark, name):
     got = queries.QUERIES[name](spark, SF)
     n = got.count()
-    if not name.startswith(("op1_", "op6_")):
-        table = "pages" if name.startswith(("op8_", "op9_")) else "documents"
+    if not name.startswith(("op1_", "op6_", "op11_", "op12_")):
+        table = {"op8": "pages", "op9": "pages", "op13": "embeddings"}.get(name.split("_")[0], "documents")
         assert n == spark.read.parquet(f"{SF}/{table}.parquet").count()
     assert n > 0
 
