@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: What Unicode-aware regular expressions take as white space; fixed values.
 SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def text(c: Column | str) -> Column:
     """null counts as empty."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

@@ -101,12 +101,6 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return for_all_ids(spark, sf_dir, lambda texts: texts.select("sva", describe.describe("sva").alias("nl"), describe.by_operator("sva", F.lit("m"), F.lit("")).alias("by_operator")))
 
 
-@query()
-def reset_handling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rtl = lambda texts: texts.withColumn("rtl", rewrite.free_inputs("sva"))
-    return for_all_ids(spark, sf_dir, lambda texts: rtl(texts).select("sva", rewrite.reset_expression("rtl", "sva", "sva").alias("reset"), keys.raw_hash("rtl").alias("rtl_key")))
-
-
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a source file, with the assertions of one of FILES groups in it."""
     a = distinct_assertions(spark, sf_dir).select((F.col("id") % FILES).alias("part"), "sva")

@@ -67,3 +67,20 @@ def with_context(df: DataFrame, sva: str = "reference_sva", rtl: str = "rtl_cont
 
     own, none = df.where(has_module(rtl)), df.where(~has_module(rtl))
     return own.withColumn("made", F.lit(False)).unionByName(none.withColumn(rtl, free_inputs(sva)).withColumn("made", F.lit(True)))
+
+
+def reshaped(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Records (id, nl, reference_sva, rtl_context, expected_tcl, hash_canon, temporal_class) as training rows: a context without a whole module and its
+    tb_reset gives way to one made of the assertion's own signals, as wide as it uses them. Null text counts as empty.
+    keep: columns of df that stay."""
+    from assertlake.functions.keys import text
+    from assertlake.functions.modules import clock_of, context, context_symbols, needs_context
+
+    sva = text("reference_sva")
+    hashed = F.when(text("hash_canon") != "", F.col("hash_canon")).otherwise(F.substring(F.md5(sva), 1, 16))
+    return df.select(
+        text("id").alias("id"), F.lit("synthetic_from_l4").alias("source"), text("nl").alias("nl"), sva.alias("reference_sva"),
+        F.when(needs_context("rtl_context"), context("reference_sva")).otherwise(F.col("rtl_context")).alias("rtl_context"), "expected_tcl", F.lit(None).cast("string").alias("cex"),
+        F.lit("train").alias("split"), hashed.alias("hash"), text("id").alias("source_name"), clock_of("reference_sva").alias("clk"), F.lit("reset").alias("reset"), F.lit(True).alias("reset_polarity"),
+        F.transform(context_symbols("reference_sva"), lambda s: s["name"]).alias("signals"), F.lit("").alias("tb_for_validity"), "temporal_class", *(keep or []),
+    )
