@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from assertlake.functions.classify import level_fallback
-from assertlake.functions.keys import body_hash_ci, squeezed, strip, text, uncommented
+from assertlake.functions.keys import body_hash_ci, let, squeezed, strip, text, uncommented
 
 _RANGE = r"\d+\s*:\s*(?:\d+|\$)"
 #: Temporal operators in the order of report; fixed values.
@@ -25,13 +25,19 @@ def found(x: Column, pattern: str, group: int = 1) -> Column:
 
 
 def operators(c: Column | str) -> Column:
-    bare = uncommented(c)
+    return let(uncommented(c), _operators)
+
+
+def _operators(bare: Column) -> Column:
     return F.array_compact(F.array(*(F.when(bare.rlike(p), F.lit(name)) for p, name in OPERATORS)))
 
 
 def parsed(c: Column | str) -> Column:
-    """struct(bound, property_name, clock_expr, disable_iff, body, temporal_operators)."""
-    bare = uncommented(c)
+    """struct(bound, property_name, clock_expr, disable_iff, body, temporal_operators). Comments are cut once for all of them."""
+    return let(uncommented(c), _parsed)
+
+
+def _parsed(bare: Column) -> Column:
     bound = F.when(bare.rlike(r"(?i)\bcover\b"), "cover").when(bare.rlike(r"(?i)\bassume\b"), "assume").otherwise("assert")
     body = found(bare, r"(?s)@\s*\([^)]+\)\s*(.*?)\s*;?\s*\z")
     return F.struct(
@@ -40,7 +46,7 @@ def parsed(c: Column | str) -> Column:
         found(bare, r"(?i)@\s*\(\s*((?:posedge|negedge)\s+\w+)\s*\)").alias("clock_expr"),
         F.trim(found(bare, r"(?i)disable\s+iff\s*\(([^)]+)\)")).alias("disable_iff"),
         F.trim(F.regexp_replace(F.trim(body), r"[);]+\z", "")).alias("body"),
-        operators(c).alias("temporal_operators"),
+        _operators(bare).alias("temporal_operators"),
     )
 
 
@@ -170,11 +176,6 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(squeezed(c), F.lit(TOKEN), F.lit(0))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once, also where body uses it in a function of array elements."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def token_similarity(a: Column | str, b: Column | str) -> Column:
     """1 - edit distance over tokens / the longer's tokens; 0 if either is empty. Each distinct token stands as a code point of the private planes."""
     # planes 15 and 16 are private: room for 131068 distinct tokens
