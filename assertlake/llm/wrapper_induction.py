@@ -1,11 +1,11 @@
 """HTML extraction by wrapper induction.
 
 Pages of one host are aligned: their trees are matched by simple tree matching (equal labels, children in order, most matched nodes at all
-levels) and merged into one template of the host. A node with the same text on all pages that have it is constant and belongs to the template;
-one whose text varies, or that one page alone has, is a slot. A page's main text is what stands in the lowest region with all of its slots,
-block by block, without constants that most of the host's pages have. What its role marks as navigation, header, footer, sidebar, notice,
-advert, form or comments is left out before. An article's text counts as a slot, since copies of an article are constant too; in it,
-and for running text (RUNNING), only what EVIDENCE different pages share is constant.
+levels) and merged into one template of the host. A node that most of the host's pages have with the same text is constant and belongs to the template;
+any other text is a slot. A list of links (MENU) in a place that most pages have is a menu, whether its links vary or not. A page's main text is what
+stands in the lowest region with all of its slots, block by block, without menus and constant boxes. What its role marks as navigation, header, footer,
+sidebar, notice, advert, form or comments is left out before. Copies of a story are constant on all pages that have it, and headings may be the same on
+all pages of a host, so nothing in an article is template, nor a constant text of HEAVY words, nor running text (RUNNING) beside a slot.
 
 1. Shapes. A task parses the pages that it reads. A page's shape is its tree of labels; what is running text is a leaf, and neighbours of one
    structure are folded. Pages of one host and shape come together as counts and text states, so copies count once and no text travels.
@@ -37,8 +37,10 @@ GROUP_PAGES = 250
 DEPTH = 200
 #: At most so many hosts are dealt out to several tasks; it doesn't touch the result.
 LARGE_HOSTS = 5000
-#: Different pages that must share a running text, or a part of an article, to make it constant.
-EVIDENCE = 8
+#: Words out of links that a constant text needs to count as a story's; the least number of links of a menu and their share of its words.
+HEAVY, MENU, LINKED = 50, 3, 0.8
+#: A template is rid of what under one in RARE of its pages have whenever SETTLED further shapes are in; only what most pages have is read from it.
+RARE, SETTLED = 8, 64
 #: Cells of an alignment that are held at once; larger ones are split.
 CELLS = 1 << 22
 #: Bits of a shape's hash that each round of merges takes off.
@@ -385,12 +387,25 @@ def merge(template: Tree, tree: Tree, memo: dict) -> None:
     template.set(out + template.children[at:])
 
 
+def pruned(template: Tree) -> None:
+    """Without what so few pages have that it won't be most pages' (the rest of the host comes in the order of a hash)."""
+    stack = [template]
+    for t in stack:
+        t.children = [x for x in t.children if RARE * x.pages >= template.pages]
+        stack.extend(t.children)
+    for t in reversed(stack):
+        t.set(t.children)
+
+
 def induced(trees: list[Tree]) -> Tree:
     """The template of different pages of a host."""
     memo: dict = {}
     template, *others = sorted(trees, key=lambda t: t.key)
-    for t in others:
+    for k, t in enumerate(others, 1):
         merge(template, t, memo)
+        if not k % SETTLED:
+            pruned(template)
+            memo.clear()
     return template
 
 
@@ -404,37 +419,78 @@ def pairs_of(template: Tree | None, tree: Tree, memo: dict) -> dict[int, Tree]:
     return out
 
 
+def worded(tree: Tree) -> dict[int, tuple[int, int, int]]:
+    """(words, words in links, links) below each node of a page's tree, without marked parts."""
+    out: dict[int, tuple[int, int, int]] = {}
+    for x, _ in reversed(list(tree.walk())):
+        words = linked = links = 0
+        stack: list = [(y, False) for n in x.nodes for y in n.children if isinstance(y, str) or not x.children]
+        while stack:
+            y, link = stack.pop()
+            if isinstance(y, str):
+                n = len(y.split())
+                words, linked = words + n, linked + n * link
+            elif not y.marked:
+                links += y.name == "a"
+                stack.extend((z, link or y.name == "a") for z in y.children)
+        for y in x.children:
+            words, linked, links = words + out[id(y)][0], linked + out[id(y)][1], links + out[id(y)][2]
+        out[id(x)] = (words, words, links + len(x.nodes)) if x.name == "a" else (words, linked, links)
+    return out
+
+
 def content(page: Node, template: Tree | None, memo: dict | None = None) -> tuple[str, list[str]]:
     """The main text of a page, and the path of its region: the lowest node that holds all its slots."""
     tree = tree_of(page)
     partner = pairs_of(template, tree, {} if memo is None else memo)
-    held, slots, worded = set(), set(), set()
+    counts = worded(tree)
+
+    def usual(x: Tree) -> Tree | None:
+        """The template's node, if most pages have it."""
+        t = partner.get(id(x))
+        return t if t is not None and t.pages > 1 and 2 * t.pages > template.pages else None
+
+    articles: set[int] = set()
+    for x, _ in tree.walk():
+        if x.name == "article" or id(x) in articles:
+            articles.update([id(x), *map(id, x.children)])
+    held, slots, menus, heavy, said = set(), set(), set(), set(), set()
     for x, _ in reversed(list(tree.walk())):
-        k, t = id(x), partner.get(id(x))
-        if x.text and (t is None or t.varies or t.pages == 1):
+        k, t = id(x), usual(x)
+        words, linked, links = counts[k]
+        if words:
+            said.add(k)
+        if t is not None and k not in articles and links >= MENU and linked >= LINKED * words:
+            menus.add(k)
+            continue
+        if x.text and (t is None or t.varies):
             slots.add(k)
-        if x.text or any(id(y) in worded for y in x.children):
-            worded.add(k)
-        if k in slots or any(id(y) in held for y in x.children) or x.name == "article" and k in worded:
+        inner = any(id(y) in held for y in x.children)
+        if not inner and k not in slots and words - linked >= HEAVY and 2 * linked < words:
+            heavy.add(k)
+        if k in slots or k in heavy or inner or x.name == "article" and words:
             held.add(k)
     if id(tree) not in held:  # nothing but what other pages have too
-        held = slots = worded
+        held = slots = said - menus
     at, path = tree, []
-    while at.name != "article" and id(at) not in slots:
+    while at.name != "article" and id(at) not in slots and id(at) not in heavy:
         inner = [x for x in at.children if id(x) in held]
         if len(inner) != 1 or not inner[0].children and inner[0].name != "article":
             break
         at = inner[0]
         path.append(at.label)
     site: set[int] = set()
-    stack = [(x, at.name == "article") for x in at.children]
+    stack = [at]
     while stack:
-        x, article = stack.pop()
-        t = partner.get(id(x))
-        if id(x) in held or t is None or not 2 * t.pages > template.pages or t.pages < (EVIDENCE if article or x.name in RUNNING else 2):
-            stack.extend((y, article or x.name == "article") for y in x.children)
-        else:
-            site.update(map(id, x.nodes))
+        x = stack.pop()
+        if id(x) in articles or id(x) in heavy:
+            continue
+        beside = any(id(y) in held for y in x.children)
+        for y in x.children:
+            if id(y) in held:
+                stack.append(y)
+            elif id(y) in menus or not (beside and y.name in RUNNING):
+                site.update(map(id, y.nodes))
     return "\n".join(s for node in at.nodes for s in blocks(node, site)), path
 
 
@@ -515,24 +571,23 @@ def _merged(last: bool):
     """Rows (host, prefix, shape, pages, tree), sorted, of shapes or templates -> a template for each (host, prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, template, shape, own, memo = None, None, None, None, {}
+        group, template, shape, own, memo, merged = None, None, None, None, {}, 0
 
         def settle_shape() -> None:
-            nonlocal template, own
+            nonlocal template, own, merged
             if own is not None and template is None:
-                template = own
+                template, merged = own, 0
             elif own is not None:
                 merge(template, own, memo)
+                merged += 1
+                if not merged % SETTLED:
+                    pruned(template)
+                    memo.clear()
             own = None
 
         def finish() -> pa.RecordBatch:
-            if last:  # what one page alone has is a slot with or without it
-                stack = [template]
-                for t in stack:
-                    t.children = [x for x in t.children if x.pages > 1]
-                    stack.extend(t.children)
-                for t in reversed(stack):
-                    t.set(t.children)
+            if last or template.pages >= SETTLED:
+                pruned(template)
             return pa.RecordBatch.from_arrays([pa.array([group[0]], pa.string()), pa.array([group[1]], pa.int64()), pa.array([packed(template)], pa.binary())], ["host", "prefix", "tree"])
 
         for batch in batches:

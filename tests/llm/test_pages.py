@@ -1,6 +1,7 @@
 """The operators over pages."""
 
 import random
+import re
 import time
 from collections import Counter
 
@@ -95,10 +96,75 @@ def test_wrapper_without_telling_names():
     assert "Home" in alone(make(4)) and "Daily" in alone(make(4))
 
 
-def test_constants_of_an_article_need_evidence():
+@pytest.mark.parametrize("n", [3, 5, 8, 20])
+def test_nothing_of_an_article_is_template(n):
     make = lambda i: page(f'<article><h1>Same head</h1><p>Text {i}</p><div class="box"><p>Read more of us</p></div></article>')
-    assert together([make(i) for i in range(3)])[0][0] == "Same head\nText 0\nRead more of us"
-    assert together([make(i) for i in range(20)])[0][0] == "Text 0"
+    assert together([make(i) for i in range(n)])[0][0] == "Same head\nText 0\nRead more of us"
+
+
+@pytest.mark.parametrize("n", [2, 5, 8, 12, 20, 100])
+@pytest.mark.parametrize("tag", ["article", 'div class="txt"'])
+def test_headings_that_all_pages_share(n, tag):
+    make = lambda i: page(f'<div class="top"><a>Home</a></div><{tag}><h1>Dish {i}</h1><h2>Ingredients</h2><p>{i} eggs</p><h2>Method</h2><p>Boil for {i} minutes</p></{tag.split()[0]}><div class="low">Printed here</div>')
+    for i, (text, _) in enumerate(together([make(i) for i in range(n)])):
+        assert text == f"Dish {i}\nIngredients\n{i} eggs\nMethod\nBoil for {i} minutes"
+
+
+@pytest.mark.parametrize("n", [2, 5, 8, 9, 20, 100])
+@pytest.mark.parametrize("tag", ["article", 'div class="txt"'])
+def test_copies_of_a_story_keep_it(n, tag):
+    """Only an advert and a stamp differ from page to page; alone on the host, and among other pages."""
+    story = [f"Part {k} of the story goes on for quite a few words, so that nobody takes it for a footer." for k in range(5)]
+    make = lambda i: page(f'<div class="ads">Buy {i}</div><{tag}><h1>The story</h1>{"".join(f"<p>{x}</p>" for x in story)}</{tag.split()[0]}><div>stamp {i}</div>')
+    own = lambda i: page(f"<{tag}><h1>Own {i}</h1><p>Other words {i}</p></{tag.split()[0]}><div>stamp {i}</div>")
+    want = "\n".join(["The story", *story])
+    assert [t for t, _ in together([make(i) for i in range(n)])] == [f"{want}\nstamp {i}" for i in range(n)]
+    mixed = together([make(i) if i % 3 else own(i) for i in range(n)])
+    assert all(t == (f"{want}\nstamp {i}" if i % 3 else f"Own {i}\nOther words {i}\nstamp {i}") for i, (t, _) in enumerate(mixed))
+
+
+def test_menus_are_told_by_their_places_and_links(monkeypatch):
+    """Lists of links in one place of every page go, though their links differ and no name tells; a list of links that few pages have stays."""
+    r = random.Random(1)
+    links = lambda n: "".join(f"<li><a href=x>{r.choice(['Home', 'News', 'Sport', 'Art'])} {r.randrange(99)}</a></li>" for _ in range(n))
+    story = lambda i: f"<h1>Head {i}</h1><p>Text {i} with some <a href=y>words</a> of its own</p>" + ("<ul><li><a>Source 1</a></li><li><a>Source 2</a></li><li><a>Source 3</a></li></ul>" if i == 4 else "")
+    make = lambda i: page(f"<div><ul>{links(r.randint(3, 7))}</ul></div><div>{story(i)}</div><div><ul>{links(4)}</ul></div>")
+    for i, (text, _) in enumerate(together([make(i) for i in range(12)])):
+        assert text == f"Head {i}\nText {i} with some words of its own" + ("\nSource 1\nSource 2\nSource 3" if i == 4 else "")
+
+
+def test_given_menus_go_without_word_lists(spark, monkeypatch):
+    """The given pages with the words and tags of menus and adverts taken from the lists: what is left of the menus is told by the alignment."""
+    rows = [(x.url.split("/")[2], x.html) for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url", "html").collect() if x.html and "://" in (x.url or "")]
+    hosts = {}
+    for host, html in rows:
+        hosts.setdefault(host, []).append(html)
+    usual = {h: [wi.content(wi.parse(x), None)[0] for x in v] for h, v in hosts.items() if len(v) >= 8}
+    monkeypatch.setattr(wi, "DROPPED", wi.DROPPED - {"nav", "menu"})
+    monkeypatch.setattr(wi, "MARKED", re.compile(wi.MARKED.pattern.replace(r"nav\w*|menu\w*|breadcrumbs?|", ""), re.I))
+    menus = {h: [re.findall(r"<nav.*?</nav>", x, re.S) for x in v] for h, v in hosts.items()}
+    assert sum(map(len, usual.values())) >= 50 and any(any(m) for v in menus.values() for m in v)
+    for host, texts in usual.items():
+        trees = [wi.parse(x) for x in hosts[host]]
+        template = wi.induced([wi.tree_of(t) for t in trees])
+        for tree, text, nav in zip(trees, texts, menus[host]):
+            got = wi.content(tree, template)[0]
+            assert set(text.split("\n")) <= set(got.split("\n"))
+            assert not any(line in got.split("\n") for n in nav if n.count("<a") >= wi.MENU for line in wi.blocks(wi.parse(n).children[0]) if line and line not in text)
+
+
+def test_templates_stay_small():
+    """Pages with a class of their own each: neither nodes nor time grow with the square of the pages."""
+    make = lambda i: wi.tree_of(wi.parse(page("".join(f'<div class="c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{k}x"><p>Text {i} {k}</p></div>' for k in "abcdefgh"))))
+
+    def cost(n):
+        began = time.process_time()
+        size = wi.induced([make(i) for i in range(n)]).size
+        return size, time.process_time() - began
+
+    (small, a), (large, b) = cost(400), cost(1600)
+    bound = (wi.SETTLED + wi.RARE) * make(0).size  # whatever the pages
+    assert small <= bound and large <= bound and b < 8 * a + 0.5
 
 
 def test_main_text_over_groups(spark):
