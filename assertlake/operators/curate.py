@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from assertlake.functions.predicates import engineer_nl, real_nl
+from assertlake.operators import ordered
 from assertlake.sources.stage import staged
 
 
@@ -198,12 +199,14 @@ def closest(wanted: DataFrame, found: DataFrame, on: list[str], at: str, window:
     return wanted.join(hits, [*on, at], "left").select(*wanted.columns, F.col("__hit.at").alias("matched"))
 
 
-def preference_pairs(rollouts: DataFrame, prompt: str, order: str, good: Column, bad: Column, cap: int = 2) -> DataFrame:
-    """(prompt, chosen, rejected): the first cap good with the first cap bad rollouts of each prompt, by order."""
+def preference_pairs(rollouts: DataFrame, prompt: str, order: str, good: Column, bad: Column, cap: int = 2, most: int | None = None) -> DataFrame:
+    """(prompt, chosen, rejected): the first cap good with the first cap bad rollouts of each prompt, by order; at most the first `most` pairs of all, by
+    prompt and order."""
     ranked = rollouts.withColumn("__side", F.when(good, 1).when(bad, 0)).where("__side is not null")
     ranked = ranked.withColumn("__n", F.row_number().over(W.partitionBy(prompt, "__side").orderBy(order))).where(F.col("__n") <= cap)
     side = lambda k, name: ranked.where(F.col("__side") == k).select(prompt, F.col(order).alias(name))
-    return side(1, "chosen").join(side(0, "rejected"), prompt)
+    pairs = side(1, "chosen").join(side(0, "rejected"), prompt)
+    return pairs if most is None else ordered.first_rows(pairs, [prompt, "chosen", "rejected"], most)
 
 
 def best_of(rows: DataFrame, key: list[str], verdict: str, ranks: dict[str, int]) -> DataFrame:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import re
-import tarfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assertlake import schemas
 from assertlake.functions.keys import collapse, strip
+from assertlake.sources.records import archives, records
 
 SOURCE_SUFFIX = r"\.(?:sv|svh|v|vh)$"
 SKIPPED_PARTS = r"/(?:build|_out|node_modules|\.git)/"
@@ -23,16 +20,6 @@ def jsonl(spark: SparkSession, paths: str | list[str], schema: str = schemas.RAW
     return reader.schema(schema if fatal else f"{schema}, _corrupt_record string").json(paths)
 
 
-def with_origin(df: DataFrame, tags: list[tuple[str, str, int]]) -> DataFrame:
-    """Adds file, tag and rank by the first (pattern, tag, rank) that the file's path matches, and the record's place in the file's reading order."""
-    path = F.col("_metadata.file_path")
-    tag, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for pattern, name, r in reversed(tags):
-        hit = path.rlike(pattern)
-        tag, rank = F.when(hit, name).otherwise(tag), F.when(hit, r).otherwise(rank)
-    return df.select("*", path.alias("file"), tag.alias("tag"), rank.alias("rank"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("ord"))
-
-
 def malformed(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("malformed"), F.count(F.lit(1)).alias("rows"))
 
@@ -84,24 +71,6 @@ def source_tree(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.col("path").rlike(SOURCE_SUFFIX) & ~F.col("path").rlike(SKIPPED_PARTS))
 
 
-def archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, path, text) of the source files in .tar.gz archives; an archive that can't be read gives none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, content in zip(batch["path"], batch["content"]):
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                        rows += [(name, m.name, tar.extractfile(m).read().decode("utf-8", "ignore")) for m in tar if m.isfile() and re.search(SOURCE_SUFFIX, m.name)]
-                except (tarfile.TarError, EOFError, OSError):
-                    continue
-            yield pd.DataFrame(rows, columns=["archive", "path", "text"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{tar.gz,tgz}").load(path)
-    return files.select("path", "content").mapInPandas(run, "archive string, path string, text string")
-
-
 def gold(spark: SparkSession, path: str) -> DataFrame:
     """(path, kind, body) of .gold files: property blocks, or only where there are none the lines of a report."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.gold").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -154,7 +123,7 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 #: Source name -> reader(spark, path); extended by registration.
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "jsonl": jsonl, "report": report, "task_csv": task_csv, "source_tree": source_tree, "archives": archives, "gold": gold, "gated_jsonl": gated_jsonl, "recorded_search": recorded_search, "runs": runs,
+    "jsonl": jsonl, "report": report, "task_csv": task_csv, "source_tree": source_tree, "archives": archives, "records": lambda spark, path: records(spark, path, schemas.RAW), "gold": gold, "gated_jsonl": gated_jsonl, "recorded_search": recorded_search, "runs": runs,
 }
 
 
