@@ -164,3 +164,16 @@ def mutation_deltas(rows: DataFrame, kind: str, reward: str, golden: str = "gold
     means = rows.groupBy(kind).agg(F.avg(reward).alias("mean"))
     top = means.where(F.col(kind) == golden).select(F.col("mean").alias("__g"), F.lit(1).alias("__k"))
     return means.withColumn("__k", F.lit(1)).join(top, "__k").select(kind, "mean", (F.col("__g") - F.col("mean")).alias("delta"))
+
+
+def level_report(rows: DataFrame, expected: str, generated: str, syntax_ok: Column, body_match: Column) -> DataFrame:
+    """(level or null for all, total, syntax_ok, level_match, body_match, their rates, mean_shift, mean_distance): how far generated levels are from the expected ones. A
+    level counts where the syntax is right; shift is generated less expected. One aggregation for the levels and the whole."""
+    level = F.when(syntax_ok, F.col(generated))
+    own = rows.select(F.col(expected).alias("level"), syntax_ok.alias("ok"), F.coalesce(level == F.col(expected), F.lit(False)).alias("hit"), F.coalesce(body_match, F.lit(False)).alias("same"), (level - F.col(expected)).alias("shift"))
+    share = lambda c: F.round(F.count_if(c) / F.count(F.lit(1)), 4)
+    return own.groupingSets([[], [F.col("level")]], "level").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("syntax_ok"), F.count_if("hit").alias("level_match"), F.count_if("same").alias("body_match"),
+        share(F.col("ok")).alias("syntax_rate"), share(F.col("hit")).alias("match_rate"), share(F.col("same")).alias("body_rate"),
+        F.round(F.avg("shift"), 4).alias("mean_shift"), F.round(F.avg(F.abs("shift")), 4).alias("mean_distance"),
+    )

@@ -78,3 +78,16 @@ def candidates(df: DataFrame, hits: str, stars: str, id_: str, low_stars: int, n
 def variant_order(name: Column) -> list[Column]:
     """Sort columns of run names: base first, then by stage number, then by name."""
     return [F.when(name.rlike("(?i)base"), 0).otherwise(1), F.coalesce(F.regexp_extract(name, r"(\d+)", 1).try_cast("int"), F.lit(0)), name]
+
+
+def by_provenance(df: DataFrame, made: list[str], provenance: str = "provenance") -> DataFrame:
+    """df with side: synthetic where there is a provenance and all of it is in made, else real (rows of both sides are real)."""
+    from assertlake.functions.predicates import all_in
+
+    return df.withColumn("side", F.when(all_in(F.col(provenance), made), "synthetic").otherwise("real"))
+
+
+def side_report(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(side, column, value, n) of the columns' values on each side, and the sides' sizes with column null: one pass over df."""
+    told = F.array(F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value")), *(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
+    return df.select("side", F.explode(told).alias("x")).groupBy("side", "x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))

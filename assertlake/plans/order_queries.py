@@ -28,12 +28,12 @@ def within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.within_budget(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"], F.col("l_quantity"), 100_000).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place, sum(o_shippriority + 1) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place, sum(o_custkey % 3) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM orders")
 def places_and_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's place by date, and a sum over all before it."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_shippriority")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
     placed = ordered.with_place(rows, ["o_orderdate", "o_orderkey"])
-    return ordered.prefix_sum(placed, ["o_orderdate", "o_orderkey"], (F.col("o_shippriority") + 1).cast("long"), "running").select("o_orderkey", "place", "running")
+    return ordered.prefix_sum(placed, ["o_orderdate", "o_orderkey"], (F.col("o_custkey") % 3).cast("long"), "running").select("o_orderkey", "place", "running")
 
 
 @query(f"""WITH r AS (SELECT task, cand, CASE WHEN verdict = 'EQUIVALENT' THEN 1 WHEN verdict IN ('NOT_EQUIVALENT', 'TIMEOUT') THEN 0 END AS s FROM {CANDIDATES}), k AS (SELECT * FROM r WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task, s ORDER BY cand) <= 2)
@@ -68,7 +68,7 @@ def counted_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(found["rows"], found["hits"], found["misses"])], "rows long, hits long, misses long")
 
 
-@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'new ' || s_nationkey ELSE s_name END AS v FROM supplier UNION ALL SELECT -s_suppkey, 'added' FROM supplier WHERE s_suppkey % 3 = 0")
+@query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'new ' || s_nationkey ELSE s_name END AS v FROM supplier UNION ALL SELECT -1 - s_suppkey, 'added' FROM supplier WHERE s_suppkey % 3 = 0")
 def snapshot_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appends, then an upsert that replaces a third of the rows and adds others."""
     at = stage.path(spark, "snapshots")
@@ -76,5 +76,5 @@ def snapshot_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for half in (0, 1):
         snapshots.append(rows.where(F.col("k") % 2 == half).select("k", "v"), at)
     third = rows.where("k % 3 = 0")
-    snapshots.upserted(third.select("k", F.concat(F.lit("new "), F.col("s_nationkey").cast("string")).alias("v")).unionByName(third.select((-F.col("k")).alias("k"), F.lit("added").alias("v"))), at, "k")
+    snapshots.upserted(third.select("k", F.concat(F.lit("new "), F.col("s_nationkey").cast("string")).alias("v")).unionByName(third.select((-1 - F.col("k")).alias("k"), F.lit("added").alias("v"))), at, "k")
     return snapshots.read(spark, at)
