@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assertlake.functions import classify, resets, variants
 from assertlake.operators import evaluate, splits
-from assertlake.plans.tables import chosen, sql_list, table
+from assertlake.plans.tables import ASSERTIONS, assertions, chosen, sql_list, table
+from assertlake.sources import benchmarks, sinks, stage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -120,3 +121,18 @@ def sides_by_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     provenance = F.when(by == 0, kinds[0]).when(by == 1, kinds[1]).when(by == 2, kinds[2])
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("class"), (F.col("o_orderkey") % 3).alias("level"), provenance.alias("provenance"))
     return splits.side_report(splits.by_provenance(rows, _MADE_BY), ["class", "level"])
+
+
+@query(f"""SELECT kind AS source, CASE kind WHEN 'macro' THEN 'o_r' || customer || '_d_f.sv_L' || id || '_M' || id % 3 WHEN 'snapshot' THEN 'snap_k_v_d_f.sv_L' || id ELSE 'o_r' || customer || '_d_f.sv_L' || id END AS id,
+CASE WHEN kind = 'macro' THEN '[M' || id % 3 || '] Known' ELSE 'says ' || id % 4 END AS nl, trim(sva) AS reference_sva, CASE WHEN kind = 'macro' OR id % 2 = 0 THEN '' ELSE '// module m' || customer END AS rtl_context
+FROM {ASSERTIONS}, (SELECT unnest(['repository', 'macro', 'snapshot']) AS kind)""")
+def scraped_there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scraped records of three layouts, written as JSON lines with empty ones among them and loaded by layout."""
+    a, at = assertions(spark, sf_dir), stage.path(spark, "scraped")
+    text = lambda c: c.cast("string")
+    rows = a.select(
+        "sva", F.concat(F.lit("says "), text(F.col("id") % 4)).alias("nl_comment"), F.when(F.col("id") % 2 == 1, F.concat(F.lit("m"), text(F.col("customer")))).alias("module"), F.lit("d/f.sv").alias("file"), text(F.col("id")).alias("line"),
+        F.concat(F.lit("o/r"), text(F.col("customer"))).alias("source_repo"), F.lit("snap").alias("source_snapshot"), F.lit("k:v").alias("strategy"), F.concat(F.lit("M"), text(F.col("id") % 3)).alias("macro"), F.array(F.lit("Known"), F.lit("x")).alias("args"),
+    )
+    sinks.jsonl(rows.unionByName(rows.withColumn("sva", F.lit(" "))), at)
+    return benchmarks.load(spark, [(k, at, k, "train") for k in ("repository", "macro", "snapshot")]).select("source", "id", "nl", "reference_sva", "rtl_context")

@@ -72,13 +72,13 @@ def source_tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, body) of .gold files: property blocks, or only where there are none the lines of a report."""
+    """(path, place, kind, body) of .gold files: property blocks, or only where there are none the lines of a report; place counts a file's from 0."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.gold").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     named = F.filter(F.transform(F.regexp_extract_all("value", F.lit(r"(?s)\bproperty\s+\w+\s*;?(.*?)\bendproperty"), F.lit(1)), lambda b: F.trim(F.regexp_replace(F.trim(collapse(b)), ";+$", ""))), lambda b: b != "")
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^#|^Report| :: "))
     reported = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_extract(x, r"^(.*?);?\s*$", 1))), lambda x: (x != "") & ~x.rlike(r"^[\d.]+$"))
     item = lambda kind, xs: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("body")))
-    return files.select("path", F.explode(F.when(F.size(named) > 0, item("property", named)).otherwise(item("report", reported))).alias("x")).select("path", "x.*")
+    return files.select("path", F.posexplode(F.when(F.size(named) > 0, item("property", named)).otherwise(item("report", reported))).alias("place", "x")).select("path", "place", "x.*")
 
 
 def siblings(files: DataFrame, most: int = 3) -> DataFrame:
