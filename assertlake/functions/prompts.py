@@ -79,3 +79,30 @@ def equivalence_metrics(log: Column) -> Column:
 def compile_errors(log: Column) -> Column:
     """The error lines of a compiler's output; it failed if there are any."""
     return F.filter(F.split(text(log), "\n"), lambda x: x.rlike(r"^Error-\["))
+
+
+#: Level -> class of the curriculum; fixed values.
+CLASSES = {1: "C1", 2: "C2", 3: "C2", 4: "C2", 5: "C3"}
+
+
+def by_class(pool: DataFrame) -> DataFrame:
+    """Training rows (class, id, nl, sva, tcl, rtl_context) of a pool (id, nl, reference_sva, expected_tcl, temporal_class, rtl_context): those with a real description, in
+    the class that they name, else their level's; rows of no class are left out."""
+    from assertlake.functions.keys import text
+    from assertlake.functions.predicates import real_nl
+
+    level = F.create_map(*(F.lit(x) for kv in CLASSES.items() for x in kv))
+    own = F.coalesce(F.nullif("temporal_class", F.lit("")), F.try_element_at(level, F.col("expected_tcl")))
+    rows = pool.where(real_nl("nl", "curriculum")).withColumn("class", own)
+    return rows.where(F.col("class").isin("C1", "C2", "C3")).select("class", text("id").alias("id"), "nl", F.col("reference_sva").alias("sva"), F.col("expected_tcl").alias("tcl"), text("rtl_context").alias("rtl_context"))
+
+
+def class_report(pool: DataFrame) -> DataFrame:
+    """(total, empty, placeholder, kept by class as a map) of by_class."""
+    from assertlake.functions.keys import strip
+    from assertlake.functions.predicates import is_placeholder
+
+    empty = F.length(strip("nl")) < 5
+    kept = by_class(pool).groupBy("class").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class", "n")))).alias("kept"))
+    counts = pool.agg(F.count(F.lit(1)).alias("total"), F.count_if(empty).alias("empty"), F.count_if(~empty & is_placeholder("nl")).alias("placeholder"))
+    return counts.withColumn("one", F.lit(1)).join(kept.withColumn("one", F.lit(1)), "one").drop("one")  # a row each

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assertlake.functions import classify, resets, variants
-from assertlake.operators import evaluate, splits
+from assertlake.functions import classify, prompts, resets, variants
+from assertlake.operators import bundles, evaluate, splits
 from assertlake.plans.tables import ASSERTIONS, assertions, chosen, sql_list, table
 from assertlake.sources import benchmarks, sinks, stage
 
@@ -136,3 +136,31 @@ def scraped_there_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sinks.jsonl(rows.unionByName(rows.withColumn("sva", F.lit(" "))), at)
     return benchmarks.load(spark, [(k, at, k, "train") for k in ("repository", "macro", "snapshot")]).select("source", "id", "nl", "reference_sva", "rtl_context")
+
+
+_PATH = "'/data/' || CASE p_partkey % 3 WHEN 0 THEN 'repos/' WHEN 1 THEN 'snap/x/' ELSE 'other/' END || 'r' || p_size || '/' || CASE p_partkey % 4 WHEN 0 THEN 'src/verified/' WHEN 1 THEN 'a/b/' ELSE '' END || 'f' || p_partkey || '.sv'"
+
+
+@query(f"""WITH f AS (SELECT {_PATH} AS path FROM part), u AS (SELECT path, n, array_to_string(string_split(path, '/')[1 : len(string_split(path, '/')) - n], '/') AS root FROM f, (SELECT unnest(range(0, 15)) AS n) WHERE n < len(string_split(path, '/'))),
+h AS (SELECT path, n, root FROM u WHERE regexp_extract(root, '^(.*)/[^/]*$', 1) IN ('/data/repos', '/data/snap/x') OR regexp_extract(root, '[^/]*$') = 'verified')
+SELECT f.path, g.root FROM f LEFT JOIN (SELECT path, arg_min(root, n) AS root FROM h GROUP BY path) g USING (path)""")
+def nearest_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repository of each file: the nearest marked folder above it."""
+    files = table(spark, sf_dir, "part").select(F.expr(_PATH).alias("path"))
+    containers = spark.createDataFrame([("/data/repos",), ("/data/snap/x/",)], "path string")
+    return bundles.rooted(files, containers, ["verified"]).select("path", "root")
+
+
+@query("""WITH p AS (SELECT c_custkey::VARCHAR AS id, CASE c_custkey % 4 WHEN 0 THEN '[ASSERT x]' WHEN 1 THEN 'four' ELSE 'says ' || c_custkey END AS nl, (c_custkey % 7)::INT AS tcl, CASE c_custkey % 5 WHEN 0 THEN 'C3' WHEN 1 THEN 'odd' WHEN 2 THEN '' END AS cls FROM customer),
+c AS (SELECT *, coalesce(nullif(cls, ''), CASE tcl WHEN 1 THEN 'C1' WHEN 2 THEN 'C2' WHEN 3 THEN 'C2' WHEN 4 THEN 'C2' WHEN 5 THEN 'C3' END) AS class FROM p WHERE nl LIKE 'says %')
+SELECT class, id, nl, 'sva' AS sva, tcl FROM c WHERE class IN ('C1', 'C2', 'C3')""")
+def training_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows by class of the curriculum."""
+    by = F.col("c_custkey") % 4
+    nl = F.when(by == 0, "[ASSERT x]").when(by == 1, "four").otherwise(F.concat(F.lit("says "), F.col("c_custkey").cast("string")))
+    named = F.col("c_custkey") % 5
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), nl.alias("nl"), F.lit("sva").alias("reference_sva"), (F.col("c_custkey") % 7).cast("int").alias("expected_tcl"),
+        F.when(named == 0, "C3").when(named == 1, "odd").when(named == 2, "").alias("temporal_class"), F.lit(None).cast("string").alias("rtl_context"),
+    )
+    return prompts.by_class(rows).drop("rtl_context")

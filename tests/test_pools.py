@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from assertlake.functions import resets, variants
-from assertlake.operators import evaluate, splits
+from assertlake.functions import prompts, resets, variants
+from assertlake.operators import bundles, evaluate, splits
 
 
 def test_variants_and_their_wording(spark):
@@ -63,3 +63,32 @@ def test_sides(spark):
     assert sorted((r.side, str(r.column), str(r.value), r.n) for r in splits.side_report(sides, ["c"]).collect()) == [
         ("real", "None", "None", 3), ("real", "c", "None", 1), ("real", "c", "x", 1), ("real", "c", "y", 1), ("synthetic", "None", "None", 1), ("synthetic", "c", "x", 1),
     ]
+
+
+def test_roots_and_bundles(spark):
+    files = {
+        "/d/repos/r1/p/b_pkg.sv": "package b;\n  `include \"x.svh\"\nendpackage", "/d/repos/r1/a_pkg.sv": "package a; endpackage", "/d/repos/r1/z_pkg.svh": "zz", "/d/repos/r1/bus_if.sv": "interface bus; endinterface",
+        "/d/repos/r1/src/top.sv": "module top; endmodule", "/d/repos/r1/src/sub.sv": "module sub; endmodule", "/d/repos/r1/src/defs.svh": "`define X", "/d/repos/r2/only.sv": "module only; endmodule", "/else/x.sv": "module x; endmodule",
+    }
+    df = spark.createDataFrame(list(files.items()), "path string, text string")
+    rooted = bundles.rooted(df, spark.createDataFrame([("/d/repos/",), ("/none",)], "path string"))
+    assert {r.path: r.root for r in rooted.collect()} == {p: "/".join(p.split("/")[:4]) if p.startswith("/d/repos") else None for p in files}
+    got = {r.path: r.bundle for r in bundles.bundled(df.select("path"), rooted).collect()}
+    packages = "// === PKG: a_pkg.sv ===\npackage a; endpackage\n// === PKG: b_pkg.sv ===\npackage b;\n\nendpackage\n// === PKG: z_pkg.svh ===\nzz\n// === IF: bus_if.sv ===\ninterface bus; endinterface\n"
+    assert got["/d/repos/r1/src/top.sv"] == packages + "// === SIB: sub.sv ===\nmodule sub; endmodule\n// === SIB: defs.svh ===\n`define X\n"
+    assert got["/d/repos/r2/only.sv"] == "\n" and got["/else/x.sv"] == "\n"
+
+
+def test_bundles_end_at_the_first_package_over_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(bundles, "PACKAGE_CHARS", 25)
+    monkeypatch.setattr(bundles, "PACKAGES", 3)
+    rows = [(f"/r/{n}_pkg.sv", "/r", n * 10) for n in "abcde"] + [("/r/big/0_pkg.sv", "/q", "x" * 30), ("/r/big/1_pkg.sv", "/q", "y")]
+    got = {r.root: r.preamble for r in bundles.preambles(spark.createDataFrame(rows, "path string, root string, text string")).collect()}
+    assert got == {"/r": "// === PKG: a_pkg.sv ===\naaaaaaaaaa\n// === PKG: b_pkg.sv ===\nbbbbbbbbbb"}
+
+
+def test_training_classes(spark):
+    rows = [("1", "a description", "s", 1, None, None), ("2", "a description", "s", 4, "C3", "r"), ("3", "tiny", "s", 1, None, None), ("4", "[COVER x]", "s", 1, None, None), ("5", "a description", "s", 9, "", None), (None, "a description", None, None, "C2", None)]
+    df = spark.createDataFrame(rows, "id string, nl string, reference_sva string, expected_tcl int, temporal_class string, rtl_context string")
+    assert sorted((r["class"], r.id, r.rtl_context) for r in prompts.by_class(df).collect()) == [("C1", "1", ""), ("C2", "", ""), ("C3", "2", "r")]
+    assert tuple(prompts.class_report(df).first()) == (6, 1, 1, {"C1": 1, "C2": 1, "C3": 1})
