@@ -67,7 +67,9 @@ def variants(sva: Column | str, nl: Column | str) -> Column:
 def expanded(seeds: DataFrame, order: str) -> DataFrame:
     """seeds (id, nl, reference_sva, rtl_context, source, hash) of level 4 with a usable description -> training rows of their variants, each text once: of the
     first seed by order, and there of the first template."""
-    rows = seeds.where((level("reference_sva") == 4) & real_nl("nl", "expand"))
+    rows = seeds.where(real_nl("nl", "expand"))
+    # of seeds with one text the first wins all variants, so the others need none
+    rows = rows.groupBy(F.col("reference_sva").alias("__sva")).agg(F.min_by(F.struct(*seeds.columns), F.col(order)).alias("x")).select("x.*").where(level("reference_sva") == 4)
     rows = rows.select("*", F.posexplode(variants("reference_sva", "nl")).alias("__at", "v")).withColumn("__hash", body_hash(F.col("v.sva")))
     rows = rows.groupBy("__hash").agg(F.min_by(F.struct(*seeds.columns, "v"), F.struct(F.col(order), F.col("__at"))).alias("x"))
     kind = F.concat(F.lit("l"), F.col("x.v.level").cast("string"))
