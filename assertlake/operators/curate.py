@@ -169,15 +169,12 @@ def enclosing(points: DataFrame, spans: DataFrame, on: str, at: str, low: str, h
 def last_before(points: DataFrame, marks: DataFrame, on: str, at: str, value: str, ranges: int | None = None) -> DataFrame:
     """As-of join: points with the value of the last mark at or before them under the same key. Null values are no marks; at is a number.
 
-    A window over the union, sorted by position, in ranges of the position; the last mark of the ranges before is carried into a range, so a
-    frequent key is not one task's. No pair of point and mark is built. Marks at a point's position count.
+    A window over the union, sorted by position, in ranges of about as many rows each, staged once; the last mark of the ranges before is carried into a
+    range, so neither a frequent key nor a crowd of near positions is one task's. No pair of point and mark is built. Marks at a point's position count.
     """
-    n = ranges or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    low, high = points.select(at).unionByName(marks.select(at)).agg(F.min(at).cast("double"), F.max(at).cast("double")).first()
-    width = max(1e-300, ((high or 0.0) - (low or 0.0)) / n)
-    own = F.floor((F.col(at).cast("double") - F.lit(low or 0.0)) / F.lit(width)).cast("long").alias("__range")
-    rows = points.select(on, at, own, F.lit(1).alias("__point"), F.struct(*points.columns).alias("__row"), F.lit(None).cast(marks.schema[value].dataType).alias(value))
-    rows = rows.unionByName(marks.select(on, at, own, F.lit(0).alias("__point"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), value))
+    rows = points.select(on, at, F.lit(1).alias("__point"), F.struct(*points.columns).alias("__row"), F.lit(None).cast(marks.schema[value].dataType).alias(value))
+    rows = rows.unionByName(marks.select(on, at, F.lit(0).alias("__point"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), value))
+    rows = ordered.ranged(rows, [at, "__point"], ranges)
     last = rows.where(F.col(value).isNotNull()).groupBy(on, "__range").agg(F.max_by(value, at).alias("__last"))
     seen = rows.select(on, "__range").distinct().join(last, [on, "__range"], "left")  # a row for each key and range
     carried = seen.withColumn("__carried", F.last("__last", ignorenulls=True).over(W.partitionBy(on).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))).drop("__last")
@@ -241,14 +238,10 @@ def compared_sets(expected: DataFrame, found: DataFrame, on: list[str], group: s
 
 def collected(rows: DataFrame, key: str, rank: str, order: str, value: str, same: Column, canonical: str) -> DataFrame:
     """(key, refs, n_extra): the key's canonical text first, then its values by rank and order, each only once by same."""
-    items = F.array_sort(F.collect_list(F.struct(rank, order, same.alias("__same"), F.col(value).alias("__value"))))
-    out = rows.groupBy(key).agg(F.min(canonical).alias("__first"), items.alias("__items"))
-    distinct = F.aggregate(
-        F.filter("__items", lambda x: x["__value"].isNotNull()),
-        F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("values")),
-        lambda acc, x: F.when(F.array_contains(acc["keys"], x["__same"]), acc).otherwise(F.struct(F.array_append(acc["keys"], x["__same"]).alias("keys"), F.array_append(acc["values"], x["__value"]).alias("values"))),
-    )["values"]
-    refs = F.concat(F.array("__first"), F.filter(distinct, lambda v: v != F.col("__first")))
+    # each value once before any are collected
+    each = rows.groupBy(key, same.alias("__same")).agg(F.min(canonical).alias("__first"), F.min(F.when(F.col(value).isNotNull(), F.struct(rank, order, F.col(value).alias("__value")))).alias("__item"))
+    out = each.groupBy(key).agg(F.min("__first").alias("__first"), F.array_sort(F.collect_list("__item")).alias("__items"))
+    refs = F.concat(F.array("__first"), F.filter(F.transform("__items", lambda x: x["__value"]), lambda v: v != F.col("__first")))
     return out.select(key, refs.alias("refs"), (F.size(refs) - 1).alias("n_extra"))
 
 

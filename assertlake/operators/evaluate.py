@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from assertlake.operators import ordered
+
 
 def pass_at_k(n: Column, c: Column, k: Column) -> Column:
     """1 - C(n - c, k) / C(n, k), as a product so that nothing overflows."""
@@ -114,21 +116,37 @@ def advantages(rows: DataFrame, group: str, reward: str, eps: float = 1e-8) -> D
     return rows.join(stats, group).select(*rows.columns, value.alias("advantage"), ((F.col("__n") < 2) | (F.col("__s") < 1e-6)).alias("collapsed"))
 
 
-def best_so_far(rows: DataFrame, run: str, step: str, score: str) -> DataFrame:
+EARLIER = (W.unboundedPreceding, -1)
+
+
+def carried(rows: DataFrame, group: str, **sums: Column) -> DataFrame:
+    """ranged rows with, under each name, the aggregate of the group's rows in the ranges before (null without any): sums of sums and the greatest of maxima,
+    by the name's end (_sum or _max). A row for each group and range is added up, so a group with most of the rows is not one task's."""
+    over = W.partitionBy(group).orderBy("__range").rowsBetween(*EARLIER)
+    parts = rows.groupBy(group, "__range").agg(*((F.sum if n.endswith("_sum") else F.max)(c).alias(n) for n, c in sums.items()))
+    parts = parts.select(F.col(group).alias("__group"), F.col("__range").alias("__of"), *((F.sum if n.endswith("_sum") else F.max)(n).over(over).alias(n) for n in sums))
+    return rows.join(parts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__of"))).drop("__group", "__of")
+
+
+def best_so_far(rows: DataFrame, run: str, step: str, score: str, ranges: int | None = None) -> DataFrame:
     """Adds best (the greatest score before), improved, and bad_streak: how many evaluations since the last improvement."""
-    w = W.partitionBy(run).orderBy(step)
-    best = F.max(score).over(w.rowsBetween(W.unboundedPreceding, -1))
-    out = rows.withColumn("best", best).withColumn("improved", F.col("best").isNull() | (F.col(score) > F.col("best")))
-    out = out.withColumn("__n", F.sum(F.col("improved").cast("int")).over(w))
-    return out.withColumn("bad_streak", (F.row_number().over(W.partitionBy(run, "__n").orderBy(step)) - 1).cast("int")).drop("__n")
+    inside = W.partitionBy(run, "__range").orderBy("__place")
+    own = carried(ordered.ranged(rows, [run, step], ranges), run, __best_max=F.col(score), __n_sum=F.lit(1))
+    best = F.greatest("__best_max", F.max(score).over(inside.rowsBetween(*EARLIER)))
+    at = F.coalesce("__n_sum", F.lit(0)) + F.row_number().over(inside)
+    own = own.withColumns({"best": best, "__at": at}).withColumn("improved", F.col("best").isNull() | (F.col(score) > F.col("best")))
+    own = carried(own, run, __last_max=F.when(F.col("improved"), F.col("__at")))
+    last = F.greatest("__last_max", F.max(F.when(F.col("improved"), F.col("__at"))).over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    return own.withColumn("bad_streak", (F.col("__at") - last).cast("int")).select(*rows.columns, "best", "improved", "bad_streak")
 
 
-def running_cap(rows: DataFrame, group: str, order: str, size: str, cap: int) -> DataFrame:
+def running_cap(rows: DataFrame, group: str, order: str, size: str, cap: int, ranges: int | None = None) -> DataFrame:
     """Rows up to the first that takes the group's running size over the cap; what comes after it goes too."""
-    w = W.partitionBy(group).orderBy(order)
-    out = rows.withColumn("__over", (F.sum(size).over(w) > cap).cast("int"))
-    out = out.withColumn("__cut", F.max("__over").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return out.where("__cut = 0").drop("__over", "__cut")
+    inside = W.partitionBy(group, "__range").orderBy("__place").rowsBetween(W.unboundedPreceding, 0)
+    own = carried(ordered.ranged(rows, [group, order], ranges), group, __before_sum=F.col(size))
+    own = own.withColumn("__over", F.coalesce(F.coalesce("__before_sum", F.lit(0)) + F.coalesce(F.sum(size).over(inside), F.lit(0)) > cap, F.lit(False)).cast("int"))
+    own = carried(own, group, __cut_max=F.col("__over"))
+    return own.where((F.coalesce("__cut_max", F.lit(0)) == 0)).withColumn("__cut", F.max("__over").over(inside)).where("__cut = 0").select(*rows.columns)
 
 
 def transitions(rows: DataFrame, trace: list[str], cycle: str, value: str) -> DataFrame:
