@@ -121,7 +121,15 @@ def module_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.modules(_files(spark, sf_dir))
 
 
-@query()
+#: Which of the templates pass the syntax check.
+WELL_FORMED = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 12)
+
+_FORMS = " UNION ALL ".join(f"SELECT {i} AS form, {sql_value(golden.NORMALISED[i])} AS norm, {str(golden.LOWERED[i][0]).lower()} AS ok, {str(i in WELL_FORMED).lower()} AS well, id FROM {ASSERTIONS} WHERE id % {len(TEMPLATES)} = {i}" for i in range(len(TEMPLATES)))
+
+
+@query(f"""WITH f AS ({_FORMS}), a AS (SELECT x.id, x.sva, x.customer, norm, ok, well FROM {ASSERTIONS} x JOIN f USING (id)), r AS (SELECT customer, arg_min(sva, id) AS ref, arg_min(norm, id) AS ref_norm, arg_min(ok, id) AS ref_ok FROM a GROUP BY customer),
+p AS (SELECT DISTINCT sva, ref, norm, ok, well, ref_norm, ref_ok FROM a JOIN r USING (customer))
+SELECT CASE WHEN NOT well THEN 'PARSE_ERROR' WHEN NOT (ok AND ref_ok) THEN 'UNSUPPORTED' WHEN norm = ref_norm THEN 'EQUIVALENT' ELSE 'NOT_EQUIVALENT' END AS verdict, count(*) AS n FROM p GROUP BY 1""")
 def provider_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each assertion against its customer's first, once for each pair, by the provider that needs no tool."""
     a = assertions(spark, sf_dir)
