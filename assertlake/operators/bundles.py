@@ -18,17 +18,28 @@ def name(path: str | Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
+#: So many containers are looked up beside each row. A larger table is joined in SALTS copies, since nearly all paths share their topmost folders.
+FEW, SALTS = 1_000, 16
+
+
 def rooted(files: DataFrame, containers: DataFrame, names: list[str] = ()) -> DataFrame:
     """files (path, ...) with root: the nearest of the path and the folders above it that lies right in a container (containers: path) or has one of the names;
-    null without any within LEVELS. A join of each path's few prefixes with the containers."""
-    parts = F.split("path", "/")
+    null without any within LEVELS. With FEW containers it is a look-up in each row, and no task holds paths; a larger table is joined with the folders of all levels."""
+    parts, up = (next(x for x in (c + "_" * i for i in range(len(files.columns) + 1)) if x not in {y.lower() for y in files.columns}) for c in ("parts", "up"))
+    root = lambda k: F.call_function("substring_index", F.col("path"), F.lit("/"), F.size(parts) - k)
+    named = lambda k: F.get(parts, F.size(parts) - k - 1).isin(list(names))
+    rows = files.withColumn(parts, F.split("path", "/"))
     ups = F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(LEVELS - 1)))
-    above = files.select("path", parts.alias("parts"), F.explode(ups).alias("up")).distinct()
-    above = above.select("path", "up", F.array_join(F.slice("parts", 1, F.size("parts") - F.col("up")), "/").alias("root"))
-    held = containers.select(F.regexp_replace("path", "/+$", "").alias("in"), F.lit(True).alias("hit")).distinct()
-    found = above.join(held, folder("root") == F.col("in"), "left").where(F.col("hit") | name("root").isin(list(names)))
-    nearest = found.groupBy("path").agg(F.min_by("root", "up").alias("root"))
-    return files.join(nearest, "path", "left")
+    inside = containers.select(F.regexp_replace("path", "/+$", "").alias("in")).where(F.col("in").isNotNull()).distinct()
+    first = [r[0] for r in inside.limit(FEW + 1).collect()]
+    if len(first) <= FEW:
+        rows = rows.withColumn(up, F.get(F.filter(ups, lambda k: root(k + 1).isin(first) | named(k)), F.lit(0)))
+    else:
+        above = rows.select("path", parts, F.explode(ups).alias(up)).select("path", up, root(F.col(up) + 1).alias("in"), F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"))
+        held = inside.select("in", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        nearest = above.join(held, ["in", "salt"], "left_semi").groupBy("path").agg(F.min(up).alias(up))
+        rows = rows.join(nearest, "path", "left").withColumn(up, F.least(up, F.get(F.filter(ups, named), F.lit(0))))
+    return rows.select(*files.columns, F.when(F.col(up).isNotNull(), root(F.col(up))).alias("root"))
 
 
 def without_includes(c: Column | str) -> Column:

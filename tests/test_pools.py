@@ -79,6 +79,23 @@ def test_roots_and_bundles(spark):
     assert got["/d/repos/r2/only.sv"] == "\n" and got["/else/x.sv"] == "\n"
 
 
+def test_roots_of_few_and_of_many_containers(spark, monkeypatch):
+    """Few containers: no path is sorted, grouped or shuffled. Many of them: the same roots."""
+    deep = "/d/repos/r" + "/x" * bundles.LEVELS
+    paths = ["/d/repos/r1/a/f.sv", "/d/repos/r1/a/f.sv", "/d/snap/x/r2/verified/b/f.sv", "/d/snap/f.sv", "/verified", "f.sv", "", None, "/d/repos/", "r/verified/d/repos/f.sv", deep, deep[:-2], "/top/f.sv"]
+    want = ["/d/repos/r1", "/d/repos/r1", "/d/snap/x/r2/verified", None, "/verified", None, None, None, "/d/repos/", "r/verified", None, "/d/repos/r", None]
+    files = spark.createDataFrame([(p, i, i) for i, p in enumerate(paths)], "path string, UP int, parts int")
+    held = spark.createDataFrame([("/d/repos",), ("/d/repos//",), ("/d/snap/x/",), ("d/repos",), (None,)], "path string")
+    df = bundles.rooted(files, held, ["verified"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan and "Sort" not in plan
+    got = sorted(df.collect(), key=lambda r: r.UP)
+    assert [r.root for r in got] == want and [r.path for r in got] == paths and df.columns == ["path", "UP", "parts", "root"]
+    assert all(r.root is None for r in bundles.rooted(files, held.limit(0)).collect())
+    monkeypatch.setattr(bundles, "FEW", 2)
+    assert sorted(bundles.rooted(files, held, ["verified"]).collect(), key=lambda r: r.UP) == got
+
+
 def test_bundles_end_at_the_first_package_over_the_bound(spark, monkeypatch):
     monkeypatch.setattr(bundles, "PACKAGE_CHARS", 25)
     monkeypatch.setattr(bundles, "PACKAGES", 3)
