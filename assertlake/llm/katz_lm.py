@@ -112,6 +112,28 @@ def from_runs(blob: bytes, size: np.ndarray) -> np.ndarray:
     return out - np.repeat(before, some)
 
 
+def by_word(w: np.ndarray, own: np.ndarray) -> bytes:
+    """A number that each word has, once for each different word, as differences in the order of the words' numbers: near ones are alike."""
+    rise = np.diff(own[np.unique(w, return_index=True)[1]], prepend=0)
+    return planes(np.where(rise < 0, -2 * rise - 1, 2 * rise))
+
+
+def from_by_word(blob: bytes, w: np.ndarray) -> np.ndarray:
+    rise = numbers(blob)
+    return np.cumsum(np.where(rise & 1, -(rise + 1 >> 1), rise >> 1))[np.unique(w, return_inverse=True)[1]]
+
+
+def falling(number: np.ndarray, count: np.ndarray) -> bytes:
+    """Counts that fall as the words' numbers rise."""
+    return steps(count[np.argsort(-number)])
+
+
+def from_falling(blob: bytes, number: np.ndarray) -> np.ndarray:
+    out = np.empty(len(number), np.int64)
+    out[np.argsort(-number)] = from_steps(blob)
+    return out
+
+
 BATCHES = "batch long, ids array<long>, train binary, sizes binary, tokens binary, words binary, counts binary"
 
 
@@ -224,7 +246,7 @@ def _unigrams(n_parts: int):
                 mine = at[begin : begin + len(w)]
                 begin += len(w)
                 if b[0] is not None:
-                    out.append(answer("answer", part, b[0], planes(number[mine]), planes(total[mine])))
+                    out.append(answer("answer", part, b[0], planes(number[mine]), falling(number[mine], total[mine])))
             yield rows(out, ANSWERS)
 
     return run
@@ -247,7 +269,8 @@ class Batch:
         answers = sorted(row["words_answers"], key=lambda x: x["part"])
         answered = np.argsort(np.frombuffer(row["words"], np.uint64))  # answers are in the order of hashes
         number, count = np.empty((2, len(answered)), np.int64)
-        number[answered], count[answered] = (np.concatenate([numbers(x[k]) for x in answers]) for k in ("a", "b"))
+        given = [numbers(x["a"]) for x in answers]
+        number[answered], count[answered] = np.concatenate(given), np.concatenate([from_falling(x["b"], n) for x, n in zip(answers, given)])
         sizes, tokens = numbers(row["sizes"]), numbers(row["tokens"]).astype(np.int32)
         ends = np.cumsum(sizes) - 1
         prev = np.empty_like(tokens)
@@ -286,7 +309,7 @@ def records(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def _bigram_blocks(n_parts: int):
-    """Blocks: numbers of contexts, how many words follow each, the words' numbers, counts in training, and the words' own counts."""
+    """Blocks: numbers of contexts, how many words follow each, the words' numbers, counts in training, and the words' own counts, once for each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
@@ -301,20 +324,23 @@ def _bigram_blocks(n_parts: int):
                     if i < j:
                         first = groups(h[i:j])
                         size = np.diff(np.append(first, j - i))
-                        out.append(block(p, row["batch"], steps(b.number[h[i:j][first]]), planes(size), runs(b.number[w[i:j]], size), planes(counts[i:j]), planes(b.count[w[i:j]])))
+                        out.append(block(p, row["batch"], steps(b.number[h[i:j][first]]), planes(size), runs(b.number[w[i:j]], size), planes(counts[i:j]), by_word(b.number[w[i:j]], b.count[w[i:j]])))
                 yield rows(out, BLOCKS)
 
     return run
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the counts of a part's bigrams; answers with them, and for each context: its bigrams by count 1 to TURING, the sum of the own
-    counts (over TURING) of the words seen after it, and those words by own count 1 to TURING."""
+    """Sums the counts of a part's bigrams; answers with them, and for each context: which counts 1 to TURING its bigrams have (a bit each). Only where a
+    batch has an unseen bigram after it, which alone needs alpha, also: its bigrams by count 1 to TURING, the sum of the own counts (over TURING) of the
+    words seen after it, and those words by own count 1 to TURING."""
     for part, blocks in by_part(batches):
         contexts, follow = [from_steps(b[1]) for b in blocks], [numbers(b[2]) for b in blocks]
         h = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, follow)])
-        w = np.concatenate([from_runs(b[3], n) for b, n in zip(blocks, follow)])
-        counts, own = (np.concatenate([numbers(b[k]) for b in blocks]) for k in (4, 5))
+        followers = [from_runs(b[3], n) for b, n in zip(blocks, follow)]
+        own = np.concatenate([from_by_word(b[5], x) for b, x in zip(blocks, followers)])
+        w, counts = np.concatenate(followers), np.concatenate([numbers(b[4]) for b in blocks])
+        del followers
         sizes = [int(n.sum()) for n in follow]
         where, at = unique_rows(h, w)
         total = np.bincount(at, counts, len(where)).astype(np.int64)
@@ -329,19 +355,23 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats[:, TURING] = np.bincount(context[high], pair_own[high], len(names)).astype(np.int64)
         first = groups(pair_h[seen])
         size = np.diff(np.append(first, seen.sum()))
-        table = steps(pair_h[seen][first]), planes(size), runs(w[where][seen], size), planes(total[seen]), planes(pair_own[seen])
+        table = steps(pair_h[seen][first]), planes(size), runs(w[where][seen], size), planes(total[seen]), by_word(w[where][seen], pair_own[seen])
         out = [answer("stats", part, None, stats=[int(total.sum()), int(seen.sum()), *counts_of_counts(total)]), answer("model", part, None, *table)]
         begin = 0
-        for b, c, n in zip(blocks, contexts, sizes):
+        some = (stats[:, :TURING] > 0) @ (1 << np.arange(TURING))
+        for b, c, n, size in zip(blocks, contexts, sizes, follow):
             if b[0] is not None:
-                out.append(answer("answer", part, b[0], planes(total[at[begin : begin + n]]), planes(stats[np.searchsorted(names, c)].T.ravel())))
+                mine, here = total[at[begin : begin + n]], np.searchsorted(names, c)
+                asked = np.bincount(np.repeat(np.arange(len(c)), size)[mine == 0], minlength=len(c)) > 0
+                out.append(answer("answer", part, b[0], planes(mine), planes(some[here]), planes(stats[here[asked]].T.ravel())))
             begin += n
         yield rows(out, ANSWERS)
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums the counts of a part's trigrams; answers with them, and for each context with its trigrams by count 2 to TURING and the sum of counts over
-    TURING, and in the same way with the counts of the bigrams of the context's last word and the words of its trigrams."""
+    TURING, and in the same way, for contexts with a token that backs off, with the counts of the bigrams of the context's last word and the words of
+    its trigrams."""
     for part, blocks in by_part(batches):
         yield rows(list(_trigram_part(part, blocks)), ANSWERS)
 
@@ -359,8 +389,8 @@ def by_count(count: np.ndarray, context: np.ndarray, n: int) -> np.ndarray:
 def _trigram_part(part: int, blocks: list[tuple]) -> Iterator[tuple]:
     own = []
     for _, a, b, c, d, *rest in blocks:
-        size = numbers(c)
-        own.append((from_steps(a), numbers(b), size, from_runs(d, size), *(numbers(x) for x in rest)))
+        alone, size = numbers(c) & 1, numbers(c) >> 1
+        own.append((from_steps(a), numbers(b), size, from_runs(d, size), *(numbers(x) for x in rest), alone))
     context_u, context_v, size = (np.concatenate([x[k] for x in own]) for k in (0, 1, 2))
     w, counts, pairs = (np.concatenate([x[k] for x in own]) for k in (3, 4, 5))
     names, asked = unique_rows(context_u, context_v)
@@ -374,12 +404,14 @@ def _trigram_part(part: int, blocks: list[tuple]) -> Iterator[tuple]:
     named = names[context[kept][first]]
     size = np.diff(np.append(first, len(at_kept)))
     yield answer("stats", part, None, stats=[int(total.sum()), int(kept.sum()), *counts_of_counts(total)])
-    yield answer("model", part, None, steps(context_u[named]), planes(context_v[named]), planes(size), runs(w[at_kept], size), planes(total[kept]), planes(pairs[at_kept]))
+    yield answer("model", part, None, steps(context_u[named]), planes(context_v[named]), planes(2 * size), runs(w[at_kept], size), planes(total[kept]), planes(pairs[at_kept]))
     begin, first_context = 0, 0
     for b, x in zip(blocks, own):
         mine = asked[first_context : first_context + len(x[0])]
         if b[0] is not None:
-            yield answer("answer", part, b[0], planes(total[at[begin : begin + len(x[3])]]), planes(stats[mine].T.ravel()), planes(mass[mine].T.ravel()))
+            found = total[at[begin : begin + len(x[3])]]
+            backs_off = (x[6] > 0) | (np.bincount(np.repeat(np.arange(len(mine)), x[2])[found < 2], minlength=len(mine)) > 0)
+            yield answer("answer", part, b[0], planes(found), planes(stats[mine].T.ravel()), planes(mass[mine[backs_off]].T.ravel()))
         begin, first_context = begin + len(x[3]), first_context + len(x[0])
 
 
@@ -438,6 +470,9 @@ class Model:
         seen = self.scale * (stats[:, TURING] + stats[:, TURING + 1 :] @ (self.one[1:] * r)) / max(1, self.tokens)
         return factor, left / (1 - seen)
 
+    def discounted(self, some: np.ndarray) -> np.ndarray:
+        """Whether the discounts of a context's bigrams leave anything, by the bits of the counts that they have."""
+        return some & int(((self.two[1:] < 1) << np.arange(TURING)).sum()) > 0
 
     def pair(self, total: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """p(w | v) of bigrams that occur; weight: the context's count, doubled, plus 1 if its discounts leave nothing."""
@@ -467,15 +502,19 @@ class Bigrams:
         self.total = np.concatenate([np.zeros(0, np.int64), *(numbers(x["a"]) for x in answers)])
         first = groups(part * len(b.number) + self.h)
         context = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(self.h))))
-        factor, alpha = np.empty((2, len(first)))
+        asked = np.zeros(len(first), bool)
+        asked[context[self.total == 0]] = True
+        full, alpha = np.ones(len(first), bool), np.ones(len(first))  # alpha is that of the asked ones; no other is used
         begin = 0
-        for x in answers:  # one part at a time: its stats are eleven numbers for each context
-            stats = numbers(x["b"]).reshape(2 * TURING + 1, -1).T
-            at = slice(begin, begin := begin + len(stats))
-            factor[at], alpha[at] = model.context(b.count[self.h[first[at]]], stats)
+        for x in answers:
+            some = numbers(x["b"])
+            at = slice(begin, begin := begin + len(some))
+            full[at] = model.discounted(some)
+            own = np.flatnonzero(asked[at]) + at.start
+            alpha[own] = model.context(b.count[self.h[first[own]]], numbers(x["c"]).reshape(2 * TURING + 1, -1).T)[1]
         self.single = model.unigram(b.count)
         self.weight = 2 * b.count + 0  # of each word of the batch, as a context
-        self.weight[self.h[first][factor < 1]] += 1
+        self.weight[self.h[first][~full]] += 1
         self.p = np.where(self.total > 0, model.pair(self.total, self.weight[self.h]), alpha[context] * self.single[self.w])
 
     def triples(self, b: Batch, n_parts: int):
@@ -505,7 +544,7 @@ class Bigrams:
 
 
 def _trigram_blocks(model: Model, n_parts: int):
-    """Blocks: numbers of the contexts' words, how many words follow each, their numbers, counts in training, counts of the bigrams of the context's
+    """Blocks: numbers of the contexts' words, how many words follow each (doubled, plus 1 if others follow it that no trigram is asked for), their numbers, counts in training, counts of the bigrams of the context's
     last word and them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,7 +552,9 @@ def _trigram_blocks(model: Model, n_parts: int):
             for row in records(some):
                 b = Batch.of(row)
                 two = Bigrams(b, row, model, n_parts)
-                own, part, context, pair, _, of = two.triples(b, n_parts)
+                own, part, context, pair, context_of, of = two.triples(b, n_parts)
+                alone = np.zeros(len(own), bool)  # contexts with a token that has no trigram to ask for
+                alone[context_of[(context_of >= 0) & (of < 0)]] = True
                 trained = of[np.repeat(b.train, b.sizes)]
                 counts = np.bincount(trained[trained >= 0], minlength=len(pair))
                 size = np.bincount(context, minlength=len(own))
@@ -522,7 +563,7 @@ def _trigram_blocks(model: Model, n_parts: int):
                 for p, (i, j) in enumerate(zip(cut[:-1], cut[1:])):
                     if i < j:
                         at = slice(begin[i], begin[j])
-                        out.append(block(p, row["batch"], steps(b.number[two.h[own[i:j]]]), planes(b.number[two.w[own[i:j]]]), planes(size[i:j]), runs(b.number[two.w[pair[at]]], size[i:j]), planes(counts[at]), planes(two.total[pair[at]])))
+                        out.append(block(p, row["batch"], steps(b.number[two.h[own[i:j]]]), planes(b.number[two.w[own[i:j]]]), planes(2 * size[i:j] + alone[i:j]), runs(b.number[two.w[pair[at]]], size[i:j]), planes(counts[at]), planes(two.total[pair[at]])))
                 yield rows(out, BLOCKS)
 
     return run
@@ -543,13 +584,17 @@ def _scores(model: Model, three: np.ndarray, n_parts: int):
                     answers = sorted(row["triples_answers"], key=lambda x: x["part"])
                     total = np.concatenate([numbers(x["a"]) for x in answers])
                     factor, alpha = np.empty((2, len(own)))
+                    on = np.flatnonzero(context_of >= 0)
+                    at, count = context_of[on], np.append(total, 0)[of[on]]  # of each token with a context its trigram's count
+                    backs_off = np.zeros(len(own), bool)
+                    backs_off[at[count < 2]] = True
                     begin = 0
                     for x in answers:  # one part at a time
-                        stats, pairs = (numbers(x[k]).reshape(TURING, -1).T for k in ("b", "c"))
+                        stats = numbers(x["b"]).reshape(TURING, -1).T
                         part = slice(begin, begin := begin + len(stats))
+                        pairs = np.zeros((len(stats), TURING), np.int64)
+                        pairs[backs_off[part]] = numbers(x["c"]).reshape(TURING, -1).T
                         factor[part], alpha[part] = model.trigram_context(three, two.total[own[part]], two.weight[two.w[own[part]]], stats, pairs)
-                    on = np.flatnonzero(context_of >= 0)
-                    at, count = context_of[on], np.append(total, 0)[of[on]]  # of each token with a context its trigram's count
                     share = factor[at] * three[np.where(count <= TURING, count, 0)] * count / two.total[own][at]
                     p[on] = np.where(count > 1, share, alpha[at] * p[on])
                 del two

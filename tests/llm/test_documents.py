@@ -201,6 +201,23 @@ def test_katz_scores(docs, rows, empty):
     assert katz_lm.scored(empty).count() == 0
 
 
+def test_katz_answers_are_small(spark, tmp_path):
+    """What a count's place or the use of a context tells is not sent: counts that fall with the words' numbers, alpha's sums where nothing backs off."""
+    path = str(tmp_path / "model")
+    katz_lm.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), model_path=path).count()
+    size = {t: spark.read.schema(katz_lm.ANSWERS).parquet(f"{path}/{t}").where("kind = 'answer'").select(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in "abc"))).first()[0] for t in ("unigrams", "bigrams", "trigrams")}
+    assert size["unigrams"] < 185_000 and size["bigrams"] < 150_000 and size["trigrams"] < 50_000, size
+
+
+def test_katz_words_numbers_in_fewer_bytes():
+    rng = np.random.default_rng(3)
+    of = rng.integers(0, 1 << 40, 300)
+    w = rng.integers(0, 300, 1000)
+    assert (katz_lm.from_by_word(katz_lm.by_word(w, of[w]), w) == of[w]).all() and not len(katz_lm.from_by_word(katz_lm.by_word(w[:0], w[:0]), w[:0]))
+    number, count = rng.permutation(500), np.sort(rng.integers(0, 50, 500))[::-1]
+    assert (katz_lm.from_falling(katz_lm.falling(number, count[number]), number) == count[number]).all()
+
+
 def test_katz_by_stored_tables(spark, docs, rows, tmp_path):
     """Other texts, scored by the tables of a stored model; the catalog holds no table of it."""
     path = f"file://{tmp_path}/a.model-1"
