@@ -141,12 +141,16 @@ def test_advantages_and_waveforms(spark):
 def test_modules_and_bundles(spark):
     files = spark.createDataFrame([("f", "x\nmodule a;\n a\nendmodule\nmodule b;\nendmodule\n")], "path string, text string")
     assert sorted(tuple(r) for r in extract.modules(files).collect()) == [("f", 1, 3, "a"), ("f", 4, 5, "b")]
-    same = files.union(spark.createDataFrame([("f", "module c;\nmodule d;\nendmodule"), ("f", None), ("f", "endmodule")], "path string, text string")).repartition(1)  # other files of the same path
-    assert sorted(tuple(r) for r in extract.modules(same).collect()) == [("f", 1, 2, "d"), ("f", 1, 3, "a"), ("f", 4, 5, "b")]
     parts = spark.createDataFrame([("r", i, "`include \"x\"\n" + "y" * 10) for i in range(5)], "repo string, n int, text string")
     assert extract.bundle(parts, ["n"], most_bytes=60).first().text == "\n".join(["y" * 10] * 2)
 
 
+def test_files_of_one_path_have_their_own_modules(spark):
+    files = spark.createDataFrame([("f", "x\nmodule a;\n a\nendmodule\nmodule b;\nendmodule\n")], "path string, text string")
+    same = files.union(spark.createDataFrame([("f", "module c;\nmodule d;\nendmodule"), ("f", None), ("f", "endmodule")], "path string, text string")).repartition(1)  # other files of the same path
+    assert sorted(tuple(r) for r in extract.modules(same).collect()) == [("f", 1, 2, "d"), ("f", 1, 3, "a"), ("f", 4, 5, "b")]
+
+
 def test_two_arms_contexts_and_required(spark, tmp_path):
     from assertlake.functions import rewrite
 
