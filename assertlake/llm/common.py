@@ -64,12 +64,16 @@ def written() -> int:
     return len(WRITTEN)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def removed(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Deletes what was written since a mark but for the last keep paths. A result that is still to be computed from it must be saved before."""
     gone = WRITTEN[since : len(WRITTEN) - keep]
     for path in gone:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        deleted(spark, path)
     del WRITTEN[since : since + len(gone)]
 
 

@@ -8,10 +8,10 @@ counts of counts allow none, half an occurrence is taken off. Trigrams that occu
 discounted by Good-Turing as it is. A context without any discounted count gives up 1 / (c(h) + 1).
 
 How it is spread out: a task makes batches of about BATCH_TOKENS tokens with a vocabulary of their own. Vocabularies go in blocks to tasks by
-range of the word's hash, which sum counts and answer each batch with its words' numbers and counts. Then bigrams, unique in a batch, go in
+range of the word's hash, which sum counts and answer each batch with its words' numbers and counts; the batches are written again with these. Then bigrams, unique in a batch, go in
 blocks to tasks by their context, which sum counts, gather what alpha needs, and answer again. Then trigrams, in the same way: only
-those of bigrams that occur twice, since others can't. Each batch then evaluates its tokens by recursion.
-Only the counts of counts (a few numbers) pass the driver. The answers beside it, the tasks store the model: tables of uni-, bi- and trigrams
+those of bigrams that occur twice, since others can't, and in PASSES runs. Each batch then evaluates its tokens by recursion.
+Only the counts of counts (a few numbers) and the counts of the TOP most frequent words pass the driver. The answers beside it, the tasks store the model: tables of uni-, bi- and trigrams
 with counts, partitioned in the same way. scored_by() scores texts by stored tables: they go beside the texts' blocks to the same tasks.
 
 A text's first token follows the end token, which also is its last; its first has no trigram context. Words are known by 64-bit hashes.
@@ -34,12 +34,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assertlake.llm.common import LOWER, SPACED, Words, mix, parts, settled, shared_dir, shuffles_removed, slices
+from assertlake.llm.common import LOWER, SPACED, Words, deleted, mix, parts, settled, shared_dir, shuffles_removed, slices
 
 BATCH_TOKENS = 1_000_000
 #: Buckets of batches for each part: the batches of a bucket, with their answers, are in memory together.
 BUCKETS = 2
 TURING = 5
+#: The counts of so many of the most frequent words go to all tasks, so that blocks of bigrams bring only those of the others.
+TOP = 1 << 17
+#: Trigrams are asked for in so many runs, for a share of the parts each: only that share of the blocks is on disk at once.
+PASSES = 2
 END = np.uint64(0x656E64)
 
 
@@ -135,6 +139,8 @@ def from_falling(blob: bytes, number: np.ndarray) -> np.ndarray:
 
 
 BATCHES = "batch long, ids array<long>, train binary, sizes binary, tokens binary, words binary, counts binary"
+#: The same with the answers to the words in their place: words in the order of their numbers, tokens as places there.
+NUMBERED = "batch long, ids array<long>, train binary, sizes binary, tokens binary, number binary, count binary"
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +181,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 #: batch is null for a stored part of a model.
 BLOCKS = "part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary"
 BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
-#: kind: answer (to a batch), model (a part of the table of n-grams, as a block), stats (counts of counts, numbers of tokens and types).
+#: kind: answer (to a batch), model (a part of the table of n-grams, as a block), stats (counts of counts, numbers of tokens and types), top (counts of
+#: a part's most frequent words).
 ANSWERS = "kind string, part int, batch long, a binary, b binary, c binary, d binary, e binary, f binary, stats array<long>"
 
 
@@ -229,32 +236,60 @@ def counts_of_counts(c: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(c, TURING + 2), minlength=TURING + 3)[1 : TURING + 2].tolist()
 
 
+def top_ranks(n_parts: int) -> int:
+    """How many words of each part are among the most frequent; their numbers are those under n_parts times that."""
+    return -(-TOP // n_parts)
+
+
 def _unigrams(n_parts: int):
-    """Sums the counts of a part's words; answers with numbers (frequent words get small ones) and counts."""
+    """Sums the counts of a part's words; answers with counts and numbers: frequent words get small ones, words of one count in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, blocks in by_part(batches):
             own = [np.frombuffer(b[1], np.uint64) for b in blocks]
             words, at = np.unique(np.concatenate(own), return_inverse=True)
             total = np.bincount(at, np.concatenate([numbers(b[2]) for b in blocks]), len(words)).astype(np.int64)
-            number = np.empty(len(words), np.int64)
-            number[np.argsort(-total, kind="stable")] = np.arange(len(words)) * n_parts + part
-            seen = total > 0
-            out = [answer("stats", part, None, stats=[int(total.sum()), int(seen.sum()), *counts_of_counts(total)]), answer("model", part, None, words[seen].tobytes(), planes(total[seen]))]
+            rank, order = np.empty(len(words), np.int64), np.argsort(-total, kind="stable")
+            rank[order] = np.arange(len(words))
+            seen, top = total > 0, total[order[: top_ranks(n_parts)]]
+            out = [answer("stats", part, None, stats=[int(total.sum()), int(seen.sum()), *counts_of_counts(total)]), answer("model", part, None, words[seen].tobytes(), planes(total[seen])), answer("top", part, None, falling(np.arange(len(top)), top))]
             begin = 0
             for b, w in zip(blocks, own):
                 mine = at[begin : begin + len(w)]
                 begin += len(w)
                 if b[0] is not None:
-                    out.append(answer("answer", part, b[0], planes(number[mine]), falling(number[mine], total[mine])))
+                    out.append(answer("answer", part, b[0], steps(rank[mine][np.argsort(-total[mine], kind="stable")]), planes(total[mine])))
             yield rows(out, ANSWERS)
 
     return run
 
 
+def _numbered(n_parts: int):
+    """Puts the answers to a batch's words, which are in the order of hashes, in their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            for row in records(some):
+                answered = np.argsort(np.frombuffer(row["words"], np.uint64))
+                number, count = np.empty((2, len(answered)), np.int64)
+                begin = 0
+                for x in sorted(row["words_answers"], key=lambda x: x["part"]):
+                    own = numbers(x["b"])
+                    mine = answered[begin : begin + len(own)]
+                    begin += len(own)
+                    count[mine], number[mine[np.argsort(-own, kind="stable")]] = own, from_steps(x["a"]) * n_parts + x["part"]
+                order = np.argsort(number)
+                place = np.empty_like(order)
+                place[order] = np.arange(len(order))
+                number, count = number[order], count[order]
+                yield rows([(row["batch"], row["ids"], row["train"], row["sizes"], planes(place[numbers(row["tokens"])]), steps(number), by_word(number, count))], NUMBERED)
+
+    return run
+
+
 @dataclass
 class Batch:
-    """A batch with the answers to its words: number and count; prev is the place of each token's context."""
+    """A batch with the numbers (rising) and counts of its words; prev is the place of each token's context."""
 
     ids: list
     train: np.ndarray
@@ -266,11 +301,8 @@ class Batch:
 
     @classmethod
     def of(cls, row: dict) -> Batch:
-        answers = sorted(row["words_answers"], key=lambda x: x["part"])
-        answered = np.argsort(np.frombuffer(row["words"], np.uint64))  # answers are in the order of hashes
-        number, count = np.empty((2, len(answered)), np.int64)
-        given = [numbers(x["a"]) for x in answers]
-        number[answered], count[answered] = np.concatenate(given), np.concatenate([from_falling(x["b"], n) for x, n in zip(answers, given)])
+        number = from_steps(row["number"])
+        count = from_by_word(row["count"], number)
         sizes, tokens = numbers(row["sizes"]), numbers(row["tokens"]).astype(np.int32)
         ends = np.cumsum(sizes) - 1
         prev = np.empty_like(tokens)
@@ -283,14 +315,11 @@ class Batch:
         part = (mix(self.number.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
         known = np.flatnonzero(self.count[self.prev] > 0)
         # words by (part as a context, number), so that places of the pair tell its order
-        by = row_order(part, self.number)
+        by = np.argsort(part, kind="stable")
         head = np.empty(len(by), np.int64)
         head[by] = np.arange(len(by))
-        by_number = np.argsort(self.number)
-        tail = np.empty(len(by), np.int64)
-        tail[by_number] = np.arange(len(by))
-        unique, at = np.unique(head[self.prev[known]] * len(by) + tail[self.tokens[known]], return_inverse=True)
-        h, w = by[unique // max(1, len(by))], by_number[unique % max(1, len(by))]
+        unique, at = np.unique(head[self.prev[known]] * len(by) + self.tokens[known], return_inverse=True)
+        h, w = by[unique // max(1, len(by))], unique % max(1, len(by))
         of = np.full(len(self.tokens), -1, np.int32)
         of[known] = at
         return h, w, part[h], of
@@ -308,8 +337,21 @@ def records(batch: pa.RecordBatch) -> Iterator[dict]:
         row.clear()  # its numbers are as large as what is made of them
 
 
+def rare_counts(w: np.ndarray, own: np.ndarray, n_top: int) -> bytes:
+    """The words' own counts but for the words with numbers under n_top."""
+    return by_word(w[w >= n_top], own[w >= n_top])
+
+
+def from_rare_counts(blob: bytes, w: np.ndarray, top: np.ndarray) -> np.ndarray:
+    out = top[np.minimum(w, len(top) - 1)]
+    out[w >= len(top)] = from_by_word(blob, w[w >= len(top)])
+    return out
+
+
 def _bigram_blocks(n_parts: int):
-    """Blocks: numbers of contexts, how many words follow each, the words' numbers, counts in training, and the words' own counts, once for each word."""
+    """Blocks: numbers of contexts, how many words follow each, the words' numbers, counts in training, and the words' own counts, once for each word that
+    is not among the most frequent."""
+    n_top = n_parts * top_ranks(n_parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
@@ -324,54 +366,58 @@ def _bigram_blocks(n_parts: int):
                     if i < j:
                         first = groups(h[i:j])
                         size = np.diff(np.append(first, j - i))
-                        out.append(block(p, row["batch"], steps(b.number[h[i:j][first]]), planes(size), runs(b.number[w[i:j]], size), planes(counts[i:j]), by_word(b.number[w[i:j]], b.count[w[i:j]])))
+                        out.append(block(p, row["batch"], steps(b.number[h[i:j][first]]), planes(size), runs(b.number[w[i:j]], size), planes(counts[i:j]), rare_counts(b.number[w[i:j]], b.count[w[i:j]], n_top)))
                 yield rows(out, BLOCKS)
 
     return run
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bigrams(top: np.ndarray):
     """Sums the counts of a part's bigrams; answers with them, and for each context: which counts 1 to TURING its bigrams have (a bit each). Only where a
     batch has an unseen bigram after it, which alone needs alpha, also: its bigrams by count 1 to TURING, the sum of the own counts (over TURING) of the
-    words seen after it, and those words by own count 1 to TURING."""
-    for part, blocks in by_part(batches):
-        contexts, follow = [from_steps(b[1]) for b in blocks], [numbers(b[2]) for b in blocks]
-        h = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, follow)])
-        followers = [from_runs(b[3], n) for b, n in zip(blocks, follow)]
-        own = np.concatenate([from_by_word(b[5], x) for b, x in zip(blocks, followers)])
-        w, counts = np.concatenate(followers), np.concatenate([numbers(b[4]) for b in blocks])
-        del followers
-        sizes = [int(n.sum()) for n in follow]
-        where, at = unique_rows(h, w)
-        total = np.bincount(at, counts, len(where)).astype(np.int64)
-        pair_h, pair_own = h[where], own[where]
-        names, context = np.unique(pair_h, return_inverse=True)
-        seen = total > 0
-        stats = np.zeros((len(names), 2 * TURING + 1), np.int64)
-        for r in range(1, TURING + 1):
-            stats[:, r - 1] = np.bincount(context[total == r], minlength=len(names))
-            stats[:, TURING + r] = np.bincount(context[seen & (pair_own == r)], minlength=len(names))
-        high = seen & (pair_own > TURING)
-        stats[:, TURING] = np.bincount(context[high], pair_own[high], len(names)).astype(np.int64)
-        first = groups(pair_h[seen])
-        size = np.diff(np.append(first, seen.sum()))
-        table = steps(pair_h[seen][first]), planes(size), runs(w[where][seen], size), planes(total[seen]), by_word(w[where][seen], pair_own[seen])
-        out = [answer("stats", part, None, stats=[int(total.sum()), int(seen.sum()), *counts_of_counts(total)]), answer("model", part, None, *table)]
-        begin = 0
-        some = (stats[:, :TURING] > 0) @ (1 << np.arange(TURING))
-        for b, c, n, size in zip(blocks, contexts, sizes, follow):
-            if b[0] is not None:
-                mine, here = total[at[begin : begin + n]], np.searchsorted(names, c)
-                asked = np.bincount(np.repeat(np.arange(len(c)), size)[mine == 0], minlength=len(c)) > 0
-                out.append(answer("answer", part, b[0], planes(mine), planes(some[here]), planes(stats[here[asked]].T.ravel())))
-            begin += n
-        yield rows(out, ANSWERS)
+    words seen after it, and those words by own count 1 to TURING. top: the own counts of the most frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, blocks in by_part(batches):
+            contexts, follow = [from_steps(b[1]) for b in blocks], [numbers(b[2]) for b in blocks]
+            h = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, follow)])
+            followers = [from_runs(b[3], n) for b, n in zip(blocks, follow)]
+            own = np.concatenate([from_rare_counts(b[5], x, top) for b, x in zip(blocks, followers)])
+            w, counts = np.concatenate(followers), np.concatenate([numbers(b[4]) for b in blocks])
+            del followers
+            sizes = [int(n.sum()) for n in follow]
+            where, at = unique_rows(h, w)
+            total = np.bincount(at, counts, len(where)).astype(np.int64)
+            pair_h, pair_own = h[where], own[where]
+            names, context = np.unique(pair_h, return_inverse=True)
+            seen = total > 0
+            stats = np.zeros((len(names), 2 * TURING + 1), np.int64)
+            for r in range(1, TURING + 1):
+                stats[:, r - 1] = np.bincount(context[total == r], minlength=len(names))
+                stats[:, TURING + r] = np.bincount(context[seen & (pair_own == r)], minlength=len(names))
+            high = seen & (pair_own > TURING)
+            stats[:, TURING] = np.bincount(context[high], pair_own[high], len(names)).astype(np.int64)
+            first = groups(pair_h[seen])
+            size = np.diff(np.append(first, seen.sum()))
+            table = steps(pair_h[seen][first]), planes(size), runs(w[where][seen], size), planes(total[seen]), rare_counts(w[where][seen], pair_own[seen], len(top))
+            out = [answer("stats", part, None, stats=[int(total.sum()), int(seen.sum()), *counts_of_counts(total)]), answer("model", part, None, *table)]
+            begin = 0
+            some = (stats[:, :TURING] > 0) @ (1 << np.arange(TURING))
+            for b, c, n, size in zip(blocks, contexts, sizes, follow):
+                if b[0] is not None:
+                    mine, here = total[at[begin : begin + n]], np.searchsorted(names, c)
+                    asked = np.bincount(np.repeat(np.arange(len(c)), size)[mine == 0], minlength=len(c)) > 0
+                    out.append(answer("answer", part, b[0], planes(mine), planes(some[here]), planes(stats[here[asked]].T.ravel())))
+                begin += n
+            yield rows(out, ANSWERS)
+
+    return run
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the counts of a part's trigrams; answers with them, and for each context with its trigrams by count 2 to TURING and the sum of counts over
-    TURING, and in the same way, for contexts with a token that backs off, with the counts of the bigrams of the context's last word and the words of
-    its trigrams."""
+    """Sums the counts of a part's trigrams; answers with them, and for each context whether trigrams that count follow it beside the batch's own. Only
+    then, since the batch can tell the rest: its trigrams by count 2 to TURING and the sum of counts over TURING, and in the same way, for contexts with
+    a token that backs off, the counts of the bigrams of the context's last word and the words of its trigrams."""
     for part, blocks in by_part(batches):
         yield rows(list(_trigram_part(part, blocks)), ANSWERS)
 
@@ -399,6 +445,7 @@ def _trigram_part(part: int, blocks: list[tuple]) -> Iterator[tuple]:
     total = np.bincount(at, counts, len(where)).astype(np.int64)
     context = context[where]
     kept = total > 1
+    n_kept = np.bincount(context[kept], minlength=len(names))
     stats, mass = by_count(total[kept], context[kept], len(names)), by_count(pairs[where][kept], context[kept], len(names))
     at_kept, first = where[kept], groups(context[kept])
     named = names[context[kept][first]]
@@ -410,8 +457,9 @@ def _trigram_part(part: int, blocks: list[tuple]) -> Iterator[tuple]:
         mine = asked[first_context : first_context + len(x[0])]
         if b[0] is not None:
             found = total[at[begin : begin + len(x[3])]]
-            backs_off = (x[6] > 0) | (np.bincount(np.repeat(np.arange(len(mine)), x[2])[found < 2], minlength=len(mine)) > 0)
-            yield answer("answer", part, b[0], planes(found), planes(stats[mine].T.ravel()), planes(mass[mine[backs_off]].T.ravel()))
+            own_kept = np.bincount(np.repeat(np.arange(len(mine)), x[2])[found > 1], minlength=len(mine))
+            more, backs_off = n_kept[mine] > own_kept, (x[6] > 0) | (own_kept < x[2])
+            yield answer("answer", part, b[0], planes(found), planes(stats[mine[more]].T.ravel()), planes(mass[mine[more & backs_off]].T.ravel()), planes(np.packbits(more)))
         begin, first_context = begin + len(x[3]), first_context + len(x[0])
 
 
@@ -543,9 +591,9 @@ class Bigrams:
         return own[order], part[order], key // len(total), key % len(total), context_of, trigram_of
 
 
-def _trigram_blocks(model: Model, n_parts: int):
+def _trigram_blocks(model: Model, n_parts: int, turn: int):
     """Blocks: numbers of the contexts' words, how many words follow each (doubled, plus 1 if others follow it that no trigram is asked for), their numbers, counts in training, counts of the bigrams of the context's
-    last word and them."""
+    last word and them. Only the parts of one turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
@@ -561,7 +609,7 @@ def _trigram_blocks(model: Model, n_parts: int):
                 cut, begin = np.searchsorted(part, np.arange(n_parts + 1)), np.concatenate([[0], np.cumsum(size)])
                 out = []
                 for p, (i, j) in enumerate(zip(cut[:-1], cut[1:])):
-                    if i < j:
+                    if i < j and p % PASSES == turn:
                         at = slice(begin[i], begin[j])
                         out.append(block(p, row["batch"], steps(b.number[two.h[own[i:j]]]), planes(b.number[two.w[own[i:j]]]), planes(2 * size[i:j] + alone[i:j]), runs(b.number[two.w[pair[at]]], size[i:j]), planes(counts[at]), planes(two.total[pair[at]])))
                 yield rows(out, BLOCKS)
@@ -579,7 +627,7 @@ def _scores(model: Model, three: np.ndarray, n_parts: int):
                 b = Batch.of(row)
                 two = Bigrams(b, row, model, n_parts)
                 p = np.where(two.of >= 0, np.append(two.p, 0.0)[two.of], two.single[b.tokens])
-                own, _, context, pair, context_of, of = two.triples(b, n_parts)
+                own, part, context, pair, context_of, of = two.triples(b, n_parts)
                 if len(own):
                     answers = sorted(row["triples_answers"], key=lambda x: x["part"])
                     total = np.concatenate([numbers(x["a"]) for x in answers])
@@ -588,12 +636,15 @@ def _scores(model: Model, three: np.ndarray, n_parts: int):
                     at, count = context_of[on], np.append(total, 0)[of[on]]  # of each token with a context its trigram's count
                     backs_off = np.zeros(len(own), bool)
                     backs_off[at[count < 2]] = True
-                    begin = 0
-                    for x in answers:  # one part at a time
-                        stats = numbers(x["b"]).reshape(TURING, -1).T
-                        part = slice(begin, begin := begin + len(stats))
-                        pairs = np.zeros((len(stats), TURING), np.int64)
-                        pairs[backs_off[part]] = numbers(x["c"]).reshape(TURING, -1).T
+                    begin = np.append(groups(part), len(own))
+                    for x, i, j in zip(answers, begin[:-1], begin[1:]):  # one part at a time
+                        part, mine = slice(i, j), slice(*np.searchsorted(context, [i, j]))
+                        kept = total[mine] > 1
+                        after = context[mine][kept] - i
+                        stats, pairs = by_count(total[mine][kept], after, j - i), by_count(two.total[pair[mine][kept]], after, j - i)
+                        more = np.unpackbits(numbers(x["d"]).astype(np.uint8), count=j - i).astype(bool)
+                        stats[more] = numbers(x["b"]).reshape(TURING, -1).T
+                        pairs[more & backs_off[part]] = numbers(x["c"]).reshape(TURING, -1).T
                         factor[part], alpha[part] = model.trigram_context(three, two.total[own[part]], two.weight[two.w[own[part]]], stats, pairs)
                     share = factor[at] * three[np.where(count <= TURING, count, 0)] * count / two.total[own][at]
                     p[on] = np.where(count > 1, share, alpha[at] * p[on])
@@ -616,48 +667,72 @@ def remainder() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def top_counts(answers: DataFrame, n_parts: int) -> np.ndarray:
+    """The counts of the most frequent words, by their numbers."""
+    out = np.zeros((top_ranks(n_parts), n_parts), np.int64)
+    for part, blob in answers.where("kind = 'top'").select("part", "a").collect():
+        own = from_steps(blob)[::-1]
+        out[: len(own), part] = own
+    return out.ravel()
+
+
 def scored(docs: DataFrame, held_out_remainder: int = 1, model_path: str | None = None) -> DataFrame:
-    """Columns SCORES; a row for each row of docs. model_path: where the model's tables go, else the shared folder."""
+    """Columns SCORES; a row for each row of docs. model_path: where the model's tables go and stay with the answers, else the shared folder, where
+    answers go once they are used."""
     train = remainder() != held_out_remainder
-    return _run(docs, train, model_path or shared_dir(docs.sparkSession, "katz"), None)
+    return _run(docs, train, model_path or shared_dir(docs.sparkSession, "katz"), None, model_path is not None)
 
 
 def scored_by(docs: DataFrame, model_path: str) -> DataFrame:
     """The same by a model that scored() has stored; no row of docs trains."""
-    return _run(docs, F.lit(False), shared_dir(docs.sparkSession, "katz"), model_path)
+    return _run(docs, F.lit(False), shared_dir(docs.sparkSession, "katz"), model_path, False)
 
 
-def _run(docs: DataFrame, train: Column, path: str, stored: str | None) -> DataFrame:
+def _run(docs: DataFrame, train: Column, path: str, stored: str | None, keep: bool) -> DataFrame:
     spark = docs.sparkSession
     n = spark.read.schema("parts int").parquet(f"{stored}/parts").first()[0] if stored else parts(spark, docs)
     if not stored:
         spark.range(1).select(F.lit(n).alias("parts")).coalesce(1).write.parquet(f"{path}/parts")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), "text")
-    # a bucketed table: batches stay where they are when answers are joined to them; its files stay when its name goes
-    name, buckets = f"katz_batches_{uuid.uuid4().hex}", BUCKETS * n
-    own.mapInArrow(settled(_batches), BATCHES).write.bucketBy(buckets, "batch").sortBy("batch").option("path", f"{path}/batches").saveAsTable(name)
-    batches = spark.table(name)
-    batches.schema  # resolved before the name goes
-    spark.sql(f"DROP TABLE {name}")
-
-    def asked(blocks: DataFrame, reply, table: str) -> DataFrame:
+    buckets = BUCKETS * n
+
+    def bucketed(df: DataFrame, table: str) -> DataFrame:
+        """A bucketed table: batches stay where they are when answers are joined to them; its files stay when its name goes."""
+        name = f"katz_{table}_{uuid.uuid4().hex}"
+        with shuffles_removed(spark):
+            df.write.bucketBy(buckets, "batch").sortBy("batch").option("path", f"{path}/{table}").saveAsTable(name)
+        out = spark.table(name)
+        out.schema  # resolved before the name goes
+        spark.sql(f"DROP TABLE {name}")
+        return out
+
+    def asked(blocks: DataFrame, reply, table: str, turn: int | None = None) -> DataFrame:
         if stored:
             model = spark.read.schema(ANSWERS).parquet(f"{stored}/{table}").where("kind = 'model'")
-            blocks = blocks.unionByName(model.select(*BLOCK_NAMES))
+            blocks = blocks.unionByName((model if turn is None else model.where(F.col("part") % PASSES == turn)).select(*BLOCK_NAMES))
         out = blocks.repartitionById(n, F.col("part")).sortWithinPartitions("part").mapInArrow(settled(reply), ANSWERS)
         with shuffles_removed(spark):
-            out.write.partitionBy("kind").parquet(f"{path}/{table}")
+            out.write.mode("append").partitionBy("kind").parquet(f"{path}/{table}")
         return spark.read.schema(ANSWERS).parquet(f"{path}/{table}")
 
-    def joined(to: DataFrame, answers: DataFrame, column: str) -> DataFrame:
-        of = answers.where("kind = 'answer'").repartition(buckets, "batch").groupBy("batch").agg(F.collect_list(F.struct("part", "a", "b", "c")).alias(column))
-        return to.join(of.hint("shuffle_merge"), "batch", "left")
+    def by_batch(answers: DataFrame, column: str) -> DataFrame:
+        return answers.where("kind = 'answer'").repartition(buckets, "batch").groupBy("batch").agg(F.collect_list(F.struct("part", "a", "b", "c", "d")).alias(column))
+
+    def used(*tables: str) -> None:
+        for table in () if keep else tables:
+            deleted(spark, f"{path}/{table}")
 
+    # each table of batches has what later steps need, and what it was made of goes
+    batches = bucketed(own.mapInArrow(settled(_batches), BATCHES), "batches")
     unigrams = asked(batches.select("batch", "words", "counts").mapInArrow(settled(_word_blocks(n)), BLOCKS), _unigrams(n), "unigrams")
-    known = joined(batches.drop("counts"), unigrams, "words_answers")
-    bigrams = asked(known.mapInArrow(settled(_bigram_blocks(n)), BLOCKS), _bigrams, "bigrams")
+    numbered = bucketed(batches.drop("counts").join(by_batch(unigrams, "words_answers").hint("shuffle_merge"), "batch", "left").mapInArrow(settled(_numbered(n)), NUMBERED), "numbered")
+    used("batches", "unigrams/kind=answer")
+    bigrams = asked(numbered.mapInArrow(settled(_bigram_blocks(n)), BLOCKS), _bigrams(top_counts(unigrams, n)), "bigrams")
+    pairs = bucketed(by_batch(bigrams, "pairs_answers"), "pairs")
+    used("bigrams/kind=answer")
     model = Model.of(totals(unigrams), totals(bigrams))
-    known = joined(known, bigrams, "pairs_answers")
-    trigrams = asked(known.mapInArrow(settled(_trigram_blocks(model, n)), BLOCKS), _trigrams, "trigrams")
+    known = numbered.join(pairs.hint("shuffle_merge"), "batch", "left")
+    for turn in range(PASSES):
+        trigrams = asked(known.mapInArrow(settled(_trigram_blocks(model, n, turn)), BLOCKS), _trigrams, "trigrams", turn)
     three = cut_discounts(totals(trigrams)[2:])
-    return joined(known, trigrams, "triples_answers").mapInArrow(settled(_scores(model, three, n)), SCORES)
+    return known.join(by_batch(trigrams, "triples_answers").hint("shuffle_merge"), "batch", "left").mapInArrow(settled(_scores(model, three, n)), SCORES)

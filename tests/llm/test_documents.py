@@ -218,6 +218,31 @@ def test_katz_words_numbers_in_fewer_bytes():
     assert (katz_lm.from_falling(katz_lm.falling(number, count[number]), number) == count[number]).all()
 
 
+def test_katz_answers_leave_out_what_a_batch_can_tell(spark, tmp_path):
+    """Words of one count are numbered by hash, so that counts tell their order; a batch with all kept trigrams of a context tells its sums."""
+    path = str(tmp_path / "model")
+    katz_lm.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), model_path=path).count()
+    size = {t: spark.read.schema(katz_lm.ANSWERS).parquet(f"{path}/{t}").where("kind = 'answer'").select(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in "abcd"))).first()[0] for t in ("unigrams", "trigrams")}
+    assert size["unigrams"] < 60_000 and size["trigrams"] < 20_000, size
+
+
+def test_katz_own_counts_of_rare_words_only():
+    rng = np.random.default_rng(5)
+    of, w = rng.integers(0, 1 << 40, 300), rng.integers(0, 300, 1000)
+    for n_top in (1, 100, 300):
+        assert (katz_lm.from_rare_counts(katz_lm.rare_counts(w, of[w], n_top), w, of[:n_top]) == of[w]).all()
+    assert len(katz_lm.rare_counts(w, of[w], 300)) < 20
+
+
+def test_katz_leaves_only_what_the_scores_need(spark, docs, rows):
+    """Without a path for the model, answers and batches go once they are used."""
+    out = katz_lm.scored(docs)
+    top = Path(common.WRITTEN[-1].removeprefix("file://"))
+    left = {f"{x.parent.name}/{x.name}" for x in top.glob("*/kind=answer")} | {x.name for x in top.iterdir()}
+    assert left == {"numbered", "pairs", "parts", "unigrams", "bigrams", "trigrams", "trigrams/kind=answer"}
+    assert out.count() == len(rows)
+
+
 def test_katz_by_stored_tables(spark, docs, rows, tmp_path):
     """Other texts, scored by the tables of a stored model; the catalog holds no table of it."""
     path = f"file://{tmp_path}/a.model-1"
